@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid
 from .common import shared_dir, table
+from .neighbours import nearest
 from .packing import pack_documents
 from .token_records import scan_records, with_starts, write_index, write_records
 
@@ -19,6 +22,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP4_SQL = """
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from pairs
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record files of all documents, written and read back."""
     out = shared_dir(spark, "records")
@@ -27,11 +51,18 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents, the network trained on those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {"op2_packing": op2_packing, "op7_token_records": op7_token_records}
+    return {"op2_packing": op2_packing, "op4_neighbours": op4_neighbours, "op7_token_records": op7_token_records, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op4_neighbours": OP4_SQL}
