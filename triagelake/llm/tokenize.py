@@ -11,14 +11,68 @@ import os
 from array import array
 from collections.abc import Iterable
 
-#: Words and stems the memos hold per worker before they start anew.
-MEMO_WORDS = 700_000
+#: Words the memo holds per worker before it starts anew.
+MEMO_WORDS = 1_500_000
 #: ASCII marks that the pre-tokenizer cuts off a word's end as one run.
 MARKS = b".,!*&%$#;:?"
+MARK_CHARS = MARKS.decode()
+
+
+def _byte_letters() -> dict[int, int]:
+    """The usual byte-level alphabet: printable Latin-1 bytes stand for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in set(plain))
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class Memo(dict):
+    """word -> ids, learnt at the first look-up."""
+
+    def __init__(self, tokenizer, cut_marks: bool) -> None:
+        super().__init__()
+        self.tokenizer, self.cut_marks = tokenizer, cut_marks
+
+    def whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, stem: bytes) -> bytes:
+        """Ids of lower-case letters: one pre-token."""
+        mapped = stem.decode("ascii") if stem.isascii() else stem.decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if self.cut_marks:
+            if word.isascii():
+                low = word.lower()
+                stem = low.rstrip(MARKS)
+                simple = stem.isalpha()
+            else:
+                stem = low = word
+                text = word.decode("utf-8", "surrogatepass").lower()
+                letters = text.rstrip(MARK_CHARS)
+                # Up to U+024F one letter lower-cases to one, and composed letters are the normal form.
+                simple = letters.isalpha() and max(letters) < "\u0250"
+                if simple:
+                    low, stem = text.encode(), letters.encode()
+            if simple:
+                ids = self.get(stem)
+                if ids is None:
+                    ids = self[stem] = self.letters(stem)
+                if len(stem) < len(low):
+                    ids += self[low[len(stem) :]]
+                    self[word] = ids
+                elif word != stem:
+                    self[word] = ids
+                return ids
+        ids = self[word] = self.whole(word.decode("utf-8", "surrogatepass"))
+        return ids
 
 
 class WordEncoder:
-    """``encode(text)`` gives the ids of a whole text as little-endian unsigned 32-bit bytes.
+    """``encode_many(texts)`` gives the ids of whole texts as little-endian unsigned 32-bit bytes.
 
     ``by_words`` False encodes whole texts, for vocabularies whose tokens may hold white space.
     """
@@ -29,56 +83,20 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = by_words
-        self.memo: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-        probe = [b"abacus", b"qzxv", b"the", b"a"]
-        plain = list(self._ids([f"{w.decode().title()}?!;" for w in probe]))
-        ends = next(iter(self._ids(["?!;"])))
-        #: whether the vocabulary lower-cases words and cuts closing marks off them
-        self.cut_marks = by_words and all(self._stem(w) + ends == ids for w, ids in zip(probe, plain, strict=True))
-
-    def _stem(self, stem: bytes) -> bytes:
-        """Ids of lower-case ASCII letters: one pre-token that byte-level mapping leaves as it is."""
-        if (found := self.stems.get(stem)) is None:
-            found = self.stems[stem] = array("I", [t.id for t in self.tokenizer.model.tokenize(stem.decode())]).tobytes()
-        return found
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Add words to the memo; ASCII words through their stem and closing marks."""
-        rest = []
-        for w in new:
-            low = w.lower()
-            stem = low.rstrip(MARKS)
-            if self.cut_marks and stem.isalpha():
-                ids, marks = self._stem(stem), low[len(stem) :]
-                if marks:
-                    if marks not in self.memo:
-                        self.memo[marks] = next(iter(self._ids([marks.decode()])))
-                    ids += self.memo[marks]
-                self.memo[w] = ids
-            else:
-                rest.append(w)
-        for at in range(0, len(rest), 10_000):
-            part = rest[at : at + 10_000]
-            self.memo.update(zip(part, self._ids([w.decode("utf-8", "surrogatepass") for w in part]), strict=True))
-
-    def _ids(self, texts: list[str]) -> Iterable[bytes]:
-        for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield array("I", one.ids).tobytes()
+        trial = Memo(self.tokenizer, True)
+        probe = ["Abacus", "qzxv.", "the?!;", "a", "Éclair,", "straße", "ñandú.", "ångström", "Ÿ"]
+        #: whether the vocabulary lower-cases words, cuts closing marks off them and maps bytes to letters
+        self.cut_marks = by_words and all(trial[w.encode()] == trial.whole(w) for w in probe)
+        self.memo = Memo(self.tokenizer, self.cut_marks)
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         if not self.by_words:
-            return list(self._ids([t or "" for t in texts]))
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        if len(self.stems) > MEMO_WORDS:
-            self.stems.clear()
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        self._learn([w for w in set().union(*split) if w not in memo])
-        get = memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        get = self.memo.__getitem__
+        return [b"".join(map(get, (t or "").encode("utf-8", "surrogatepass").split())) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
