@@ -12,7 +12,9 @@ from . import langid
 from .common import shared_dir, table
 from .neighbours import nearest
 from .packing import pack_documents
-from .token_records import scan_records, with_starts, write_index, write_records
+from .token_records import with_starts, write_index, write_records
+from .url_filter import Rule, judge
+from .winnowing import compare_edited
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -22,6 +24,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts."""
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every 20th."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -51,6 +58,20 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+URL_RULES = (
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents, the network trained on those not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -60,7 +81,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {"op2_packing": op2_packing, "op4_neighbours": op4_neighbours, "op7_token_records": op7_token_records, "op10_language": op10_language}
+    return {"op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
