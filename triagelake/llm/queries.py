@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import langid
 from .common import shared_dir, table
 from .neighbours import nearest
+from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .token_records import with_starts, write_index, write_records
 from .url_filter import Rule, judge
@@ -19,6 +20,11 @@ from .winnowing import compare_edited
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
@@ -81,7 +87,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {"op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op10_language": op10_language}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ from array import array
 from collections.abc import Iterable
 
 #: Words the memo holds per worker before it starts anew.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 800_000
 #: ASCII marks that the pre-tokenizer cuts off a word's end as one run.
 MARKS = b".,!*&%$#;:?"
 MARK_CHARS = MARKS.decode()
