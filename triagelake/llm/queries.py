@@ -13,6 +13,7 @@ from .common import shared_dir, table
 from .neighbours import nearest
 from .ngram_join import near_duplicates
 from .packing import pack_documents
+from .substring_dedup import remove_repeats
 from .token_records import with_starts, write_index, write_records
 from .url_filter import Rule, judge
 from .winnowing import compare_edited
@@ -78,6 +79,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated windows of 13 words leaves of all documents."""
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents, the network trained on those not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -87,7 +93,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op10_language": op10_language}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
