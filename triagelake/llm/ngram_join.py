@@ -16,7 +16,7 @@ already need not be compared, all pairs that are in different components yet.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -173,21 +173,25 @@ def _verify(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link, as written edges."""
+def verified(pairs: DataFrame, sets: DataFrame, verify: Callable) -> DataFrame:
+    """Those of ``pairs`` (a, b) that ``verify`` lets pass, as written edges."""
     side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("tokens").alias(f"{x}_tokens"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    return materialize(rows.select("a", "b", "a_n", "b_n", "a_tokens", "b_tokens").mapInArrow(partial(_verify, percent=percent), "src long, dst long"), "links")
+    return materialize(rows.select("a", "b", "a_n", "b_n", "a_tokens", "b_tokens").mapInArrow(verify, "src long, dst long"), "links")
 
 
-def set_links(sets: DataFrame, percent: int, pairs_per_entry: int = 4) -> DataFrame:
-    """(node, component) of all classes with a link, from ``sets`` (set_id, n, tokens, entries)."""
-    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
-    entries = sets.select("set_id", "n", F.explode("entries").alias("entry"))
+def entry_links(entries: DataFrame, sets: DataFrame, fits: str, verify: Callable, pairs_per_entry: int = 4) -> DataFrame:
+    """(node, component) of all members with a link, where only members with a common entry can link.
+
+    ``entries`` (set_id, n, entry), ``sets`` (set_id, n, tokens); ``fits``: SQL over a_n and b_n that linked members
+    meet; ``verify``: Arrow batches of (a, b, a_n, b_n, a_tokens, b_tokens) to edges (src, dst). Every pair with a
+    common entry is compared unless links already join its two ends: first with one leader per entry, again with
+    others while most pairs are still apart, at last all pairs left.
+    """
     shared = entries.groupBy("entry").agg(F.count("*").alias("c"), F.min(F.struct("set_id", "n")).alias("lead")).where("c > 1")
     entries = materialize(entries.join(materialize(shared.select("entry", "lead"), "leads"), "entry"), "entries")
-    pairs = entries.where("set_id <> lead.set_id").select(F.col("lead.set_id").alias("a"), F.col("lead.n").alias("a_n"), F.col("set_id").alias("b"), F.col("n").alias("b_n"))
-    links = verified(pairs.where(fits).select("a", "b").distinct(), sets, percent)
+    pair = lambda rows: rows.select(F.col("lead.set_id").alias("a"), F.col("lead.n").alias("a_n"), F.col("set_id").alias("b"), F.col("n").alias("b_n"))
+    links = verified(pair(entries.where("set_id <> lead.set_id")).where(fits).select("a", "b").distinct(), sets, verify)
     entries = entries.drop("lead")
     tried = 0
     while True:
@@ -200,20 +204,17 @@ def set_links(sets: DataFrame, percent: int, pairs_per_entry: int = 4) -> DataFr
         left = mixed.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
         if not left.pairs:
             return found
+        joined = materialize(found.select(F.col("node").alias("src"), F.col("component").alias("dst")), "links")
         entries = materialize(known.join(mixed.select("entry"), "entry", "left_semi"), "entries")
         if left.pairs <= pairs_per_entry * left.rows or tried >= 4:
             x = entries.select("entry", F.col("set_id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
             y = entries.select("entry", F.col("set_id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
             pairs = x.join(y, "entry").where(f"a < b and a_c <> b_c and {fits}")
-            more = verified(pairs.select("a", "b").distinct(), sets, percent)
-            return connected_components(materialize(found.select(F.col("node").alias("src"), F.col("component").alias("dst")), "links").unionByName(more))
+            return connected_components(joined.unionByName(verified(pairs.select("a", "b").distinct(), sets, verify)))
         tried += 1
         lead = entries.groupBy("entry").agg(F.min_by(F.struct("set_id", "n", "component"), F.xxhash64("set_id", F.lit(tried))).alias("lead"))
-        pairs = entries.join(materialize(lead, "leads"), "entry").where("component <> lead.component")
-        pairs = pairs.select(F.col("lead.set_id").alias("a"), F.col("lead.n").alias("a_n"), F.col("set_id").alias("b"), F.col("n").alias("b_n"))
-        links = materialize(found.select(F.col("node").alias("src"), F.col("component").alias("dst")), "links").unionByName(
-            verified(pairs.where(fits).select("a", "b").distinct(), sets, percent)
-        )
+        apart = entries.join(materialize(lead, "leads"), "entry").where("component <> lead.component")
+        links = joined.unionByName(verified(pair(apart).where(fits).select("a", "b").distinct(), sets, verify))
         entries = entries.drop("component")
 
 
@@ -232,7 +233,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     posted = blocks.exchange(docs.select("text").mapInArrow(partial(_postings, k=k, parts=parts, least=least), blocks.SCHEMA), parts)
     back = blocks.exchange(posted.mapInArrow(partial(_shared, parts=parts), blocks.SCHEMA), parts)
     sets = materialize(back.mapInArrow(partial(_candidates, percent=percent), "set_id long, n int, tokens binary, entries array<long>"), "sets")
-    found = materialize(set_links(sets, percent), "found")
+    entries = sets.select("set_id", "n", F.explode("entries").alias("entry"))
+    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+    found = materialize(entry_links(entries, sets, fits, partial(_verify, percent=percent)), "found")
     classes = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"))
     classes = materialize(classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").where("c > 1 or component is not null"), "classes")
     lows = materialize(classes.where("component is not null").groupBy("component").agg(F.min("low").alias("least")), "component-lows")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .common import shared_dir, table
+from .line_dedup import remove_lines
 from .neighbours import nearest
 from .ngram_join import near_duplicates
 from .packing import pack_documents
@@ -57,6 +58,11 @@ select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated and nearly repeated lines leaves of all documents."""
+    return remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record files of all documents, written and read back."""
     out = shared_dir(spark, "records")
@@ -93,7 +99,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op6_line_dedup": op6_line_dedup, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
