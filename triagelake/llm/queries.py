@@ -14,12 +14,13 @@ from .line_dedup import remove_lines
 from .neighbours import nearest
 from .ngram_join import near_duplicates
 from .packing import pack_documents
+from .sentencepiece_fst import encode_and_decode
 from .substring_dedup import remove_repeats
 from .token_records import with_starts, write_index, write_records
 from .url_filter import Rule, judge
 from .winnowing import compare_edited
 
-WORD_VOCABULARY = "word_bpe_49k.json"
+WORD_VOCABULARY, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,11 @@ select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents, decoded again."""
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What removing repeated and nearly repeated lines leaves of all documents."""
     return remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
@@ -99,7 +105,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op6_line_dedup": op6_line_dedup, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
