@@ -24,11 +24,12 @@ from pyspark.sql import types as T
 
 from . import blocks, rows
 from .common import materialize, partitions
-from .ngram_join import entry_links
-from .words import BASE, _powers, mix
+from .ngram_join import entry_links, sketch
+from .words import BASE, _powers, mix, runs
 
 WIDTH = 6
 INDEXED, PROBED = 1, 2
+GRAM = 3
 STRIP = b" \t\n\v\f\r"
 #: Code points whose substrings are hashed at once, unless one line alone is longer.
 CHUNK = 1 << 19
@@ -237,15 +238,29 @@ def _is_marked(found: dict[int, set[int]], number: int, line: bytes) -> bool:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, held = rows.arrivals(batches, 8)
     for batch in rows.unpack_rows(held):
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], [], []]
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             if found := _marked(known, doc_id):
                 lines = lines_of(text.as_py())
                 for number in found:
                     if number < len(lines) and _is_marked(found, number, lines[number]):
-                        for column, value in zip(out, (line_id(lines[number]), len(lines[number].decode("utf-8", "surrogatepass")), lines[number]), strict=True):
+                        grams = grams_of(lines[number])
+                        row = (line_id(lines[number]), len(lines[number].decode("utf-8", "surrogatepass")), len(grams), sketch(grams), lines[number])
+                        for column, value in zip(out, row, strict=True):
                             column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["set_id", "n", "tokens"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["set_id", "n", "size", "sketch", "tokens"])
+
+
+def grams_of(line: bytes) -> np.ndarray:
+    """The distinct hashes of ``GRAM`` consecutive code points."""
+    codes = np.frombuffer(line.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return np.unique(runs(mix(codes), GRAM))
+
+
+def edits_allow(edits: int, a_n, a_size, a_alone, b_n, b_size, b_alone):
+    """Whether two lines can be alike: an edit takes at most ``GRAM`` grams from either."""
+    return (a_alone <= GRAM * edits) & (b_alone <= GRAM * edits) & (np.abs(a_n - b_n) <= edits)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
@@ -285,9 +300,9 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32) -> DataFr
     entries = materialize(blocks.exchange(posted, parts).mapInArrow(_met, "set_id long, entry long"), "met")
     wanted = seen.join(materialize(entries.select("set_id").distinct(), "wanted"), "set_id")
     wanted = materialize(wanted.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("set_id", "at.*"), "firsts")
-    sets = materialize(_at_home(texts, wanted, parts).mapInArrow(_texts, "set_id long, n int, tokens binary").dropDuplicates(["set_id"]), "line-texts")
-    sized = materialize(entries.join(sets.select("set_id", "n"), "set_id"), "sized")
-    found = materialize(entry_links(sized, sets, f"abs(a_n - b_n) <= {edits}", partial(_verify, edits=edits)), "found")
+    sets = materialize(_at_home(texts, wanted, parts).mapInArrow(_texts, "set_id long, n int, size int, sketch binary, tokens binary").dropDuplicates(["set_id"]), "line-texts")
+    sized = materialize(entries.join(sets.select("set_id", "n"), "set_id").withColumn("lone", F.lit(0)), "sized")
+    found = materialize(entry_links(sized, sets, f"abs(a_n - b_n) <= {edits}", partial(edits_allow, edits), partial(_verify, edits=edits)), "found")
     classes = seen.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c"))
     classes = materialize(classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").where("c > 1 or component is not null"), "classes")
     lows = materialize(classes.where("component is not null").groupBy("component").agg(F.min("first").alias("low")), "class-firsts")

@@ -10,8 +10,9 @@ one shingle per group. The number of groups follows from the sizes that can matc
 pairs in proportion to the prefix. Shingles of one class alone cost a partner all of them: a class with enough of
 those can have no link and goes no further.
 
-Only classes with the same index entry are compared: first all with one leader per entry, then, as what is linked
-already need not be compared, all pairs that are in different components yet.
+Only classes with the same index entry are compared: first each with one leader, then, as what is linked already need
+not be compared, all pairs that are in different components yet. A bitmap of each set bounds what two sets can share,
+so that few pairs come to the final comparison of their tokens.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .words import hash_words, mix, runs, whole
 
 WIDTH = 6
 #: Shingles in more classes than 2 to this power count as frequent.
-FREQUENT = 4
+FREQUENT = 6
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -140,12 +141,12 @@ def _candidates(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     owners, numbers, short, ranks = blocks.gather(rows, WIDTH)
     order = np.argsort(owners, kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], owners[order][1:] != owners[order][:-1]))) if len(owners) else []
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[] for _ in range(6)]
     size = 0
 
     def batch() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["set_id", "n", "tokens", "entries"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["set_id", "n", "size", "sketch", "tokens", "entries"])
 
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
         own = order[a:b]
@@ -153,12 +154,12 @@ def _candidates(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         found = signatures(n, short[own], ranks[own], percent)
         if len(found):
             tokens = np.sort(short[own])
-            for column, value in zip(out, (owners[own[0]].astype(np.int64), n, blocks._pack(tokens, WIDTH), found.view(np.int64)), strict=True):
+            for column, value in zip(out, (owners[own[0]].astype(np.int64), n, len(tokens), sketch(tokens), blocks._pack(tokens, WIDTH), found.view(np.int64)), strict=True):
                 column.append(value)
             size += len(tokens) + len(found)
             if size > 1_000_000:
                 yield batch()
-                out, size = [[], [], [], []], 0
+                out, size = [[] for _ in range(6)], 0
     yield batch()
 
 
@@ -173,49 +174,151 @@ def _verify(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, verify: Callable) -> DataFrame:
-    """Those of ``pairs`` (a, b) that ``verify`` lets pass, as written edges."""
-    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("tokens").alias(f"{x}_tokens"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    return materialize(rows.select("a", "b", "a_n", "b_n", "a_tokens", "b_tokens").mapInArrow(verify, "src long, dst long"), "links")
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bitmap of hashed tokens, at least two bits for each, a power of two in size."""
+    bits = 64
+    while bits < 2 * len(tokens):
+        bits *= 2
+    out = np.zeros(bits, bool)
+    out[(mix(tokens + np.uint64(0xB175)) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """Rows of a bitmap, folded to ``words`` 64-bit words: a bit stands where any of its like stood."""
+    while bitmap.shape[1] > words:
+        half = bitmap.shape[1] // 2
+        bitmap = bitmap[:, :half] | bitmap[:, half:]
+    return bitmap
 
 
-def entry_links(entries: DataFrame, sets: DataFrame, fits: str, verify: Callable, pairs_per_entry: int = 4) -> DataFrame:
+def jaccard_allows(percent: int, a_n, a_size, a_alone, b_n, b_size, b_alone):
+    """Whether two sets can still link, given how many tokens at least each has alone."""
+    both = np.minimum(a_size - a_alone, b_size - b_alone)
+    return 100 * both >= percent * (a_n + b_n - both)
+
+
+def _prune(rows: Iterator[pa.RecordBatch], allows: Callable) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        read = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+        alone: list[list[int]] = [[], []]
+        for a, b in zip(batch.column("a_sketch"), batch.column("b_sketch"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), "<u8")[None, :] for v in (a, b))
+            words = min(x.shape[1], y.shape[1])
+            x, y = folded(x, words), folded(y, words)
+            alone[0].append(int(np.bitwise_count(x & ~y).sum()))
+            alone[1].append(int(np.bitwise_count(y & ~x).sum()))
+        a_alone, b_alone = (np.array(v, np.int64) for v in alone)
+        keep = allows(read("a_n"), read("a_size"), a_alone, read("b_n"), read("b_size"), b_alone)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, verify: Callable) -> DataFrame:
+    """Those of ``pairs`` (a, b) that ``verify`` lets pass, as written edges."""
+    return materialize(_beside(["n", "tokens"], pairs, sets).mapInArrow(verify, "src long, dst long"), "links")
+
+
+def _beside(columns: list[str], pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    side = lambda x: sets.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in columns])
+
+
+#: Members of an entry that one side of a cell holds, and the pairs compared at once.
+CELL, AT_ONCE = 1024, 1 << 16
+
+
+def _between(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, allows: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of all pairs between two lists of members, of one list if ``same``, that are apart and may link."""
+    for x_bits in np.unique(x["bits"]):
+        for y_bits in np.unique(y["bits"]):
+            i, j = np.flatnonzero(x["bits"] == x_bits), np.flatnonzero(y["bits"] == y_bits)
+            words = int(min(x_bits, y_bits))
+            u = folded(np.stack([x["sketch"][k] for k in i]), words)
+            v = folded(np.stack([y["sketch"][k] for k in j]), words)
+            step = max(1, AT_ONCE // len(j))
+            for at in range(0, len(i), step):
+                rows = i[at : at + step]
+                p, q = np.nonzero((x["component"][rows][:, None] != y["component"][j]) & ((x["set_id"][rows][:, None] < y["set_id"][j]) if same else True))
+                if not len(p):
+                    continue
+                left, right = u[at : at + step][p], v[q]
+                common = np.bitwise_count(left & right).sum(1, dtype=np.int64)
+                a_alone = np.bitwise_count(left).sum(1, dtype=np.int64) - common
+                b_alone = np.bitwise_count(right).sum(1, dtype=np.int64) - common
+                a, b = rows[p], j[q]
+                ok = allows(x["n"][a], x["size"][a], a_alone, y["n"][b], y["size"][b], b_alone)
+                yield x["set_id"][a][ok], y["set_id"][b][ok]
+
+
+def _cells(rows: Iterator[pa.RecordBatch], allows: Callable) -> Iterator[pa.RecordBatch]:
+    batches = [b for b in rows if b.num_rows]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
+    if batches:
+        table = pa.Table.from_batches(batches)
+        read = {c: table.column(c).to_numpy() for c in ("entry", "i", "j", "block", "set_id", "component", "n", "size")}
+        read["n"], read["size"] = read["n"].astype(np.int64), read["size"].astype(np.int64)
+        order = np.lexsort((read["block"], read["j"], read["i"], read["entry"]))
+        e, i, j = (read[c][order] for c in ("entry", "i", "j"))
+        cuts = np.flatnonzero(np.concatenate(([True], (e[1:] != e[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        sketches = table.column("sketch").combine_chunks()
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            own = order[a:b]
+            side = {c: read[c][own] for c in ("set_id", "component", "n", "size", "block")}
+            side["sketch"] = np.empty(len(own), object)
+            side["sketch"][:] = [np.frombuffer(sketches[int(k)].as_buffer(), "<u8") for k in own]
+            side["bits"] = np.array([len(v) for v in side["sketch"]])
+            if i[a] == j[a]:
+                found += _between(side, side, True, allows)
+            else:
+                first = side["block"] == i[a]
+                found += _between({c: v[first] for c, v in side.items()}, {c: v[~first] for c, v in side.items()}, False, allows)
+    a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+
+
+def _apart(entries: DataFrame, sets: DataFrame, sizes: DataFrame, allows: Callable) -> DataFrame:
+    """(a, b) of all pairs with a common entry that are in different components and may link.
+
+    Members of an entry are dealt into blocks by a hash, and each two blocks meet in one cell, where sketches are
+    compared as matrices; only pairs that may link leave it.
+    """
+    parts = partitions(entries.sparkSession)
+    rows = entries.join(sizes, "entry").join(sets.select("set_id", "size", "sketch"), "set_id")
+    blocks_ = F.ceil(F.col("members") / CELL).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(5)), blocks_).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("entry", "i", "j"), F.lit(parts)).cast("int"))
+    rows = rows.select("entry", "i", "j", "block", "set_id", "component", "n", "size", "sketch", "part").repartitionById(parts, "part")
+    return rows.mapInArrow(partial(_cells, allows=allows), "a long, b long").distinct()
+
+
+def entry_links(entries: DataFrame, sets: DataFrame, fits: str, allows: Callable, verify: Callable) -> DataFrame:
     """(node, component) of all members with a link, where only members with a common entry can link.
 
-    ``entries`` (set_id, n, entry), ``sets`` (set_id, n, tokens); ``fits``: SQL over a_n and b_n that linked members
-    meet; ``verify``: Arrow batches of (a, b, a_n, b_n, a_tokens, b_tokens) to edges (src, dst). Every pair with a
-    common entry is compared unless links already join its two ends: first with one leader per entry, again with
-    others while most pairs are still apart, at last all pairs left.
+    ``entries`` (set_id, n, lone, entry), ``sets`` (set_id, n, size, sketch, tokens); ``fits``: SQL over a_n and b_n
+    that linked members meet; ``allows``: whether arrays of (n, size, tokens seen to be alone) of two members can link;
+    ``verify``: Arrow batches of (a, b, a_n, b_n, a_tokens, b_tokens) to edges (src, dst).
+
+    Of entries with the same members one is kept. Then each member is compared with one leader of its entries, members
+    with the fewest ``lone`` tokens leading, and entries whose members are by now in one component are done. In the
+    others every pair not in one component is compared, so no pair with a common entry goes without.
     """
-    shared = entries.groupBy("entry").agg(F.count("*").alias("c"), F.min(F.struct("set_id", "n")).alias("lead")).where("c > 1")
-    entries = materialize(entries.join(materialize(shared.select("entry", "lead"), "leads"), "entry"), "entries")
-    pair = lambda rows: rows.select(F.col("lead.set_id").alias("a"), F.col("lead.n").alias("a_n"), F.col("set_id").alias("b"), F.col("n").alias("b_n"))
-    links = verified(pair(entries.where("set_id <> lead.set_id")).where(fits).select("a", "b").distinct(), sets, verify)
-    entries = entries.drop("lead")
-    tried = 0
-    while True:
-        found = connected_components(links)
-        known = entries.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
-        known = known.select("entry", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-        mixed = known.groupBy("entry", "component").agg(F.count("*").alias("c")).groupBy("entry")
-        mixed = mixed.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("kinds")).where("kinds > 1")
-        mixed = materialize(mixed, "mixed")
-        left = mixed.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not left.pairs:
-            return found
-        joined = materialize(found.select(F.col("node").alias("src"), F.col("component").alias("dst")), "links")
-        entries = materialize(known.join(mixed.select("entry"), "entry", "left_semi"), "entries")
-        if left.pairs <= pairs_per_entry * left.rows or tried >= 4:
-            x = entries.select("entry", F.col("set_id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-            y = entries.select("entry", F.col("set_id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
-            pairs = x.join(y, "entry").where(f"a < b and a_c <> b_c and {fits}")
-            return connected_components(joined.unionByName(verified(pairs.select("a", "b").distinct(), sets, verify)))
-        tried += 1
-        lead = entries.groupBy("entry").agg(F.min_by(F.struct("set_id", "n", "component"), F.xxhash64("set_id", F.lit(tried))).alias("lead"))
-        apart = entries.join(materialize(lead, "leads"), "entry").where("component <> lead.component")
-        links = joined.unionByName(verified(pair(apart).where(fits).select("a", "b").distinct(), sets, verify))
-        entries = entries.drop("component")
+    listed = entries.groupBy("entry").agg(F.count("*").alias("c"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h")).where("c > 1")
+    kept = materialize(listed.groupBy("c", "h").agg(F.min("entry").alias("entry")).select("entry"), "kept-entries")
+    entries = materialize(entries.join(kept, "entry"), "entries")
+    leads = materialize(entries.groupBy("entry").agg(F.min(F.struct("lone", "set_id", "n")).alias("lead")), "leads")
+    led = entries.join(leads, "entry").where("set_id <> lead.set_id").select("set_id", F.col("n").alias("b_n"), F.col("lead.n").alias("a_n"), "lead").where(fits)
+    pairs = led.groupBy("set_id").agg(F.min("lead").alias("lead")).select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b"))
+    pairs = materialize(_beside(["n", "size", "sketch"], pairs, sets).mapInArrow(partial(_prune, allows=allows), "a long, b long"), "pairs")
+    found = connected_components(verified(pairs, sets, verify))
+    known = entries.select("entry", "set_id", "n").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    sizes = known.groupBy("entry").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    sizes = materialize(sizes.select("entry", "members"), "mixed")
+    pairs = materialize(_apart(known, sets, sizes, allows), "pairs")
+    joined = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    return connected_components(materialize(joined, "links").unionByName(verified(pairs, sets, verify)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -232,10 +335,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     least = next(n for n in range(1, 10_000) if may_lack(n, percent) or may_lack(n + 1, percent))
     posted = blocks.exchange(docs.select("text").mapInArrow(partial(_postings, k=k, parts=parts, least=least), blocks.SCHEMA), parts)
     back = blocks.exchange(posted.mapInArrow(partial(_shared, parts=parts), blocks.SCHEMA), parts)
-    sets = materialize(back.mapInArrow(partial(_candidates, percent=percent), "set_id long, n int, tokens binary, entries array<long>"), "sets")
-    entries = sets.select("set_id", "n", F.explode("entries").alias("entry"))
+    sets = materialize(back.mapInArrow(partial(_candidates, percent=percent), "set_id long, n int, size int, sketch binary, tokens binary, entries array<long>"), "sets")
+    entries = sets.select("set_id", "n", (F.col("n") - F.col("size")).alias("lone"), F.explode("entries").alias("entry"))
     fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
-    found = materialize(entry_links(entries, sets, fits, partial(_verify, percent=percent)), "found")
+    found = materialize(entry_links(entries, sets, fits, partial(jaccard_allows, percent), partial(_verify, percent=percent)), "found")
     classes = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"))
     classes = materialize(classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").where("c > 1 or component is not null"), "classes")
     lows = materialize(classes.where("component is not null").groupBy("component").agg(F.min("low").alias("least")), "component-lows")
