@@ -486,7 +486,7 @@ def rf_predict(spark, d):
 
 @query
 def svm_platt_predict(spark, d):
-    return models.fit_predict(_split(spark, d), "category", "Calibrated Linear SVM", 300)
+    return models.fit_predict(_split(spark, d), "priority", "Calibrated Linear SVM", 300)
 
 
 @query
