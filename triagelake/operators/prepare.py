@@ -45,13 +45,17 @@ def numbered(rows: DataFrame, order: str = "row_ord") -> DataFrame:
 def pattern_splits(rows: DataFrame, seed: str = "42") -> DataFrame:
     """(pattern, category, split): of each category's patterns, shuffled by hash, 70 % train, 15 % validation, the rest test.
 
-    A pattern's category is its first row's. Every category has a pattern to train on, and one to validate on if there are two.
+    Ranks come from counts by category and the first digits of the hash, 4,096 parts a category, so no task ranks a
+    whole category. A pattern's category is its first row's. Every category has a pattern to train on, and one to validate on if there are two.
     """
     patterns = rows.withColumn("pattern", X.signature(F.col("ticket_text"))).groupBy("pattern").agg(F.min_by("category", "row_ord").alias("category"))
+    hashed = patterns.withColumn("h", F.md5(F.concat("pattern", F.lit(seed)))).withColumn("part", F.substring("h", 1, 3))
+    counts = hashed.groupBy("category", "part").agg(F.count("*").alias("c"))
     by = Window.partitionBy("category")
-    rank = F.row_number().over(by.orderBy(F.md5(F.concat("pattern", F.lit(seed))), "pattern"))
-    n = F.count("*").over(by)
-    ranked = patterns.withColumns({"rank": rank, "n": n})
+    before = by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("category", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"), F.sum("c").over(by).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("category", "part").orderBy("h", "pattern")) + F.col("base")
+    ranked = hashed.join(counts, ["category", "part"]).withColumn("rank", rank)
     train = F.greatest(F.lit(1), F.bround(F.col("n") * SHARES["train"], 0).cast("int"))
     held = F.greatest(F.lit(1), F.bround(F.col("n") * SHARES["validation"], 0).cast("int"))
     ranked = ranked.withColumns({"train": train, "held": held})
