@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .worker import release
+
 SCHEMA = "part int, data binary"
 ARROW = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 #: Postings that a map task holds before it sends them off.
-HELD = 1_500_000
+HELD = 1_000_000
 
 
 def target(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -62,6 +64,7 @@ def decode(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def gather(rows: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """All postings of a partition: owner, number, short token, extra, one entry each."""
+    release()
     got: list[tuple] = []
     for batch in rows:
         for data in batch.column("data"):
@@ -79,10 +82,12 @@ def batch_of(parts: list[int], data: list[bytes]) -> pa.RecordBatch:
 
 def scatter(owners: np.ndarray, numbers: np.ndarray, short: np.ndarray, to: np.ndarray, width: int, extra: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Blocks of postings by target ``to``; postings of an owner must stand together."""
-    order = np.argsort(to.astype(np.uint16) if len(to) and int(to.max()) < 1 << 16 else to, kind="stable")
+    if not len(to):
+        return
+    order = np.argsort(to.astype(np.uint16) if int(to.max()) < 1 << 16 else to, kind="stable")
     to, owners, numbers, short = to[order], owners[order], numbers[order], short[order]
     extra = extra[order] if extra is not None else None
-    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.empty(0, int)
+    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
     for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
         own = owners[a:b]
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
@@ -94,6 +99,7 @@ class Outbox:
     """Collects (owner, number, 64-bit tokens) and yields blocks by token whenever enough are held."""
 
     def __init__(self, parts: int, width: int) -> None:
+        release()
         self.parts, self.width = parts, width
         self.held: list[tuple[int, int, np.ndarray]] = []
         self.size = 0

@@ -18,7 +18,15 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="triagelake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/triagelake/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/triagelake/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete everything that this application has written to the shared folder; frames read from it are then void."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/triagelake/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -26,6 +26,7 @@ from . import blocks, rows
 from .common import materialize, partitions
 from .ngram_join import entry_links, sketch
 from .words import BASE, _powers, mix, runs
+from .worker import release
 
 WIDTH = 6
 INDEXED, PROBED = 1, 2
@@ -160,6 +161,7 @@ def within(a: str, b: str, edits: int) -> bool:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         out: list[list] = [[], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -172,6 +174,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[
 
 
 def _entry_postings(batches: Iterator[pa.RecordBatch], min_chars: int, edits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    release()
     held: dict[bytes, None] = {}
     size = 0
 
@@ -245,7 +248,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for number in found:
                     if number < len(lines) and _is_marked(found, number, lines[number]):
                         grams = grams_of(lines[number])
-                        row = (line_id(lines[number]), len(lines[number].decode("utf-8", "surrogatepass")), len(grams), sketch(grams), lines[number])
+                        row = (line_id(lines[number]), len(lines[number].decode("utf-8", "surrogatepass")), len(grams), sketch(grams, 16), lines[number])
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
@@ -263,11 +266,8 @@ def edits_allow(edits: int, a_n, a_size, a_alone, b_n, b_size, b_alone):
     return (a_alone <= GRAM * edits) & (b_alone <= GRAM * edits) & (np.abs(a_n - b_n) <= edits)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
-    text = lambda x: x.as_py().decode("utf-8", "surrogatepass")
-    for batch in batches:
-        keep = [within(text(a), text(b), edits) for a, b in zip(batch.column("a_tokens"), batch.column("b_tokens"), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+def _alike(a: bytes, b: bytes, a_n: int, b_n: int, edits: int) -> bool:
+    return within(a.decode("utf-8", "surrogatepass"), b.decode("utf-8", "surrogatepass"), edits)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,7 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32) -> DataFr
     wanted = materialize(wanted.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("set_id", "at.*"), "firsts")
     sets = materialize(_at_home(texts, wanted, parts).mapInArrow(_texts, "set_id long, n int, size int, sketch binary, tokens binary").dropDuplicates(["set_id"]), "line-texts")
     sized = materialize(entries.join(sets.select("set_id", "n"), "set_id").withColumn("lone", F.lit(0)), "sized")
-    found = materialize(entry_links(sized, sets, f"abs(a_n - b_n) <= {edits}", partial(edits_allow, edits), partial(_verify, edits=edits)), "found")
+    found = materialize(entry_links(sized, sets, f"abs(a_n - b_n) <= {edits}", partial(edits_allow, edits), partial(_alike, edits=edits)), "found")
     classes = seen.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c"))
     classes = materialize(classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").where("c > 1 or component is not null"), "classes")
     lows = materialize(classes.where("component is not null").groupBy("component").agg(F.min("first").alias("low")), "class-firsts")

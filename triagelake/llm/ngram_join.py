@@ -30,6 +30,7 @@ from . import blocks
 from .common import drop_written, materialize, partitions
 from .graph import connected_components
 from .words import hash_words, mix, runs, whole
+from .worker import release
 
 WIDTH = 6
 #: Shingles in more classes than 2 to this power count as frequent.
@@ -50,6 +51,7 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def _members(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in rows:
         ids, sizes = [], []
         for text in batch.column(1):
@@ -140,7 +142,9 @@ def signatures(n: int, tokens: np.ndarray, ranks: np.ndarray, percent: int) -> n
 def _candidates(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     owners, numbers, short, ranks = blocks.gather(rows, WIDTH)
     order = np.argsort(owners, kind="stable")
-    cuts = np.flatnonzero(np.concatenate(([True], owners[order][1:] != owners[order][:-1]))) if len(owners) else []
+    if not len(owners):
+        return
+    cuts = np.flatnonzero(np.concatenate(([True], owners[order][1:] != owners[order][:-1])))
     out: list[list] = [[] for _ in range(6)]
     size = 0
 
@@ -163,21 +167,24 @@ def _candidates(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     yield batch()
 
 
-def _verify(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    read = lambda x: blocks._unpack(np.frombuffer(x.as_buffer(), np.uint8), WIDTH)
+def _verify(rows: Iterator[pa.RecordBatch], exact: Callable) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        keep = []
-        a_n, b_n = batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist()
-        for i, (a, b) in enumerate(zip(batch.column("a_tokens"), batch.column("b_tokens"), strict=True)):
-            both = len(np.intersect1d(read(a), read(b), assume_unique=True))
-            keep.append(100 * both >= percent * (a_n[i] + b_n[i] - both))
+        columns = [batch.column(c) for c in ("a_tokens", "b_tokens", "a_n", "b_n")]
+        keep = [exact(*(x.as_py() for x in row)) for row in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """A bitmap of hashed tokens, at least two bits for each, a power of two in size."""
+def jaccard_links(a: bytes, b: bytes, a_n: int, b_n: int, percent: int) -> bool:
+    """Whether two sets link, given the packed tokens that they do not have alone."""
+    x, y = (blocks._unpack(np.frombuffer(v, np.uint8), WIDTH) for v in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (a_n + b_n - both)
+
+
+def sketch(tokens: np.ndarray, each: int = 4) -> bytes:
+    """A bitmap of hashed tokens, at least ``each`` bits for each, a power of two in size."""
     bits = 64
-    while bits < 2 * len(tokens):
+    while bits < each * len(tokens):
         bits *= 2
     out = np.zeros(bits, bool)
     out[(mix(tokens + np.uint64(0xB175)) & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -213,22 +220,17 @@ def _prune(rows: Iterator[pa.RecordBatch], allows: Callable) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, verify: Callable) -> DataFrame:
-    """Those of ``pairs`` (a, b) that ``verify`` lets pass, as written edges."""
-    return materialize(_beside(["n", "tokens"], pairs, sets).mapInArrow(verify, "src long, dst long"), "links")
-
-
 def _beside(columns: list[str], pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda x: sets.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in columns])
 
 
-#: Members of an entry that one side of a cell holds, and the pairs compared at once.
-CELL, AT_ONCE = 1024, 1 << 16
+#: Members of a group that one side of a cell holds, and the pairs compared at once.
+CELL, AT_ONCE = 96, 1 << 16
 
 
 def _between(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, allows: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b) of all pairs between two lists of members, of one list if ``same``, that are apart and may link."""
+    """Places (in x, in y) of all pairs between two lists of members, of one list if ``same``, that are apart and may link."""
     for x_bits in np.unique(x["bits"]):
         for y_bits in np.unique(y["bits"]):
             i, j = np.flatnonzero(x["bits"] == x_bits), np.flatnonzero(y["bits"] == y_bits)
@@ -247,59 +249,84 @@ def _between(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, all
                 b_alone = np.bitwise_count(right).sum(1, dtype=np.int64) - common
                 a, b = rows[p], j[q]
                 ok = allows(x["n"][a], x["size"][a], a_alone, y["n"][b], y["size"][b], b_alone)
-                yield x["set_id"][a][ok], y["set_id"][b][ok]
+                yield a[ok], b[ok]
+
+
+class _Joined:
+    """What the links found in a cell join."""
 
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
 
-def _cells(rows: Iterator[pa.RecordBatch], allows: Callable) -> Iterator[pa.RecordBatch]:
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def new(self, x: int, y: int, linked: Callable[[], bool]) -> bool:
+        """Whether x and y are not joined yet and link."""
+        if self.root(x) == self.root(y) or not linked():
+            return False
+        self.above[self.root(x)] = self.root(y)
+        return True
+
+
+def _cells(rows: Iterator[pa.RecordBatch], allows: Callable, exact: Callable) -> Iterator[pa.RecordBatch]:
+    release()
+    links: list[tuple[int, int]] = []
     batches = [b for b in rows if b.num_rows]
-    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
     if batches:
         table = pa.Table.from_batches(batches)
-        read = {c: table.column(c).to_numpy() for c in ("entry", "i", "j", "block", "set_id", "component", "n", "size")}
+        read = {c: table.column(c).to_numpy() for c in ("grp", "i", "j", "block", "set_id", "component", "n", "size")}
         read["n"], read["size"] = read["n"].astype(np.int64), read["size"].astype(np.int64)
-        order = np.lexsort((read["block"], read["j"], read["i"], read["entry"]))
-        e, i, j = (read[c][order] for c in ("entry", "i", "j"))
-        cuts = np.flatnonzero(np.concatenate(([True], (e[1:] != e[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        sketches = table.column("sketch").combine_chunks()
+        order = np.lexsort((read["block"], read["j"], read["i"], read["grp"]))
+        g, i, j = (read[c][order] for c in ("grp", "i", "j"))
+        cuts = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        sketches, tokens = (table.column(c).combine_chunks() for c in ("sketch", "tokens"))
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             own = order[a:b]
-            side = {c: read[c][own] for c in ("set_id", "component", "n", "size", "block")}
+            side = {c: read[c][own] for c in ("set_id", "component", "n", "size", "block")} | {"at": own}
             side["sketch"] = np.empty(len(own), object)
             side["sketch"][:] = [np.frombuffer(sketches[int(k)].as_buffer(), "<u8") for k in own]
             side["bits"] = np.array([len(v) for v in side["sketch"]])
-            if i[a] == j[a]:
-                found += _between(side, side, True, allows)
-            else:
-                first = side["block"] == i[a]
-                found += _between({c: v[first] for c, v in side.items()}, {c: v[~first] for c, v in side.items()}, False, allows)
-    a, b = (np.concatenate(v) for v in zip(*found, strict=True))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
-
-
-def _apart(entries: DataFrame, sets: DataFrame, sizes: DataFrame, allows: Callable) -> DataFrame:
-    """(a, b) of all pairs with a common entry that are in different components and may link.
-
-    Members of an entry are dealt into blocks by a hash, and each two blocks meet in one cell, where sketches are
-    compared as matrices; only pairs that may link leave it.
+            first = side["block"] == i[a]
+            x, y = ({c: v[first] for c, v in side.items()}, {c: v[~first] for c, v in side.items()}) if i[a] != j[a] else (side, side)
+            joined = _Joined()
+            for p, q in _between(x, y, x is y, allows):
+                for s, t in zip(p.tolist(), q.tolist(), strict=True):
+                    check = lambda: exact(tokens[int(x["at"][s])].as_py(), tokens[int(y["at"][t])].as_py(), int(x["n"][s]), int(y["n"][t]))  # noqa: B023, E731
+                    if joined.new(int(x["component"][s]), int(y["component"][t]), check):
+                        links.append((int(x["set_id"][s]), int(y["set_id"][t])))
+    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["src", "dst"])
+
+
+def _apart(entries: DataFrame, sets: DataFrame, allows: Callable, exact: Callable) -> DataFrame:
+    """Links between members with a common entry that are in different components yet, enough of them to join all that links join.
+
+    Entries with the same least component make one group, so that its members are compared once, not once an entry.
+    A group is dealt into blocks by a hash, and each two blocks meet in one cell: sketches are compared as matrices, the
+    pairs that they allow by their tokens, unless links of the cell join them already. Only links leave a cell.
     """
-    parts = partitions(entries.sparkSession)
-    rows = entries.join(sizes, "entry").join(sets.select("set_id", "size", "sketch"), "set_id")
-    blocks_ = F.ceil(F.col("members") / CELL).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(5)), blocks_).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("entry", "i", "j"), F.lit(parts)).cast("int"))
-    rows = rows.select("entry", "i", "j", "block", "set_id", "component", "n", "size", "sketch", "part").repartitionById(parts, "part")
-    return rows.mapInArrow(partial(_cells, allows=allows), "a long, b long").distinct()
-
-
-def entry_links(entries: DataFrame, sets: DataFrame, fits: str, allows: Callable, verify: Callable) -> DataFrame:
+    spark = entries.sparkSession
+    parts = partitions(spark)
+    mixed = entries.groupBy("entry").agg(F.min("component").alias("grp"), F.max("component").alias("other")).where("grp <> other")
+    rows = materialize(entries.join(materialize(mixed.select("entry", "grp"), "mixed"), "entry").select("grp", "set_id", "n", "component").distinct(), "groups")
+    sizes = materialize(rows.groupBy("grp").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")), "group-sizes")
+    rows = rows.join(sizes, "grp").join(sets.select("set_id", "size", "sketch", "tokens"), "set_id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(5)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(parts)).cast("int"))
+    rows = rows.select("grp", "i", "j", "block", "set_id", "component", "n", "size", "sketch", "tokens", "part").repartitionById(parts, "part")
+    return materialize(rows.mapInArrow(partial(_cells, allows=allows, exact=exact), "src long, dst long"), "links")
+
+
+def entry_links(entries: DataFrame, sets: DataFrame, fits: str, allows: Callable, exact: Callable) -> DataFrame:
     """(node, component) of all members with a link, where only members with a common entry can link.
 
     ``entries`` (set_id, n, lone, entry), ``sets`` (set_id, n, size, sketch, tokens); ``fits``: SQL over a_n and b_n
     that linked members meet; ``allows``: whether arrays of (n, size, tokens seen to be alone) of two members can link;
-    ``verify``: Arrow batches of (a, b, a_n, b_n, a_tokens, b_tokens) to edges (src, dst).
+    ``exact``: whether two members' (tokens, tokens, n, n) do.
 
     Of entries with the same members one is kept. Then each member is compared with one leader of its entries, members
     with the fewest ``lone`` tokens leading, and entries whose members are by now in one component are done. In the
@@ -312,13 +339,11 @@ def entry_links(entries: DataFrame, sets: DataFrame, fits: str, allows: Callable
     led = entries.join(leads, "entry").where("set_id <> lead.set_id").select("set_id", F.col("n").alias("b_n"), F.col("lead.n").alias("a_n"), "lead").where(fits)
     pairs = led.groupBy("set_id").agg(F.min("lead").alias("lead")).select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b"))
     pairs = materialize(_beside(["n", "size", "sketch"], pairs, sets).mapInArrow(partial(_prune, allows=allows), "a long, b long"), "pairs")
-    found = connected_components(verified(pairs, sets, verify))
+    links = materialize(_beside(["n", "tokens"], pairs, sets).mapInArrow(partial(_verify, exact=exact), "src long, dst long"), "links")
+    found = connected_components(links)
     known = entries.select("entry", "set_id", "n").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    sizes = known.groupBy("entry").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    sizes = materialize(sizes.select("entry", "members"), "mixed")
-    pairs = materialize(_apart(known, sets, sizes, allows), "pairs")
-    joined = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    return connected_components(materialize(joined, "links").unionByName(verified(pairs, sets, verify)))
+    more = _apart(known, sets, allows, exact)
+    return connected_components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -338,7 +363,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     sets = materialize(back.mapInArrow(partial(_candidates, percent=percent), "set_id long, n int, size int, sketch binary, tokens binary, entries array<long>"), "sets")
     entries = sets.select("set_id", "n", (F.col("n") - F.col("size")).alias("lone"), F.explode("entries").alias("entry"))
     fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
-    found = materialize(entry_links(entries, sets, fits, partial(jaccard_allows, percent), partial(_verify, percent=percent)), "found")
+    found = materialize(entry_links(entries, sets, fits, partial(jaccard_allows, percent), partial(jaccard_links, percent=percent)), "found")
     classes = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"))
     classes = materialize(classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").where("c > 1 or component is not null"), "classes")
     lows = materialize(classes.where("component is not null").groupBy("component").agg(F.min("low").alias("least")), "component-lows")

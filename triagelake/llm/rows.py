@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .words import mix
+from .worker import release
 
 SCHEMA = "part int, kind int, data binary"
 ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -25,6 +26,7 @@ def home(owners: np.ndarray, parts: int) -> np.ndarray:
 
 def pack_rows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows as blocks; those with a null doc_id go by their text, as nothing comes to meet them."""
+    release()
     options = pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
         if not batch.num_rows:
@@ -66,6 +68,7 @@ class Postings:
 
 def arrivals(batches: Iterator[pa.RecordBatch], width: int) -> tuple[Postings, list[bytes]]:
     """What has come to a partition: its postings, and its row blocks, still compressed."""
+    release()
     owners, short, held = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
     for batch in batches:
         for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
