@@ -109,7 +109,7 @@ INCOMING = f"""{TICKETS}, incoming as (
   select case when row_ord % 7 = 0 then 'TICK-1' else ticket_id end as ticket_id,
     case when row_ord % 13 = 0 then 'hi' when row_ord % 17 = 0 then ticket_text || ' mail me at a.b@c.org' when row_ord % 19 = 0 then ticket_text || ' call 555-123-4567' else ticket_text end as ticket_text,
     category, priority, case when row_ord % 23 = 0 then 'fax' else source end as source, row_ord
-  from raw where row_ord % 5 = 1
+  from raw
 )"""
 AGENTS = "agents as (select * from (values " + ", ".join(f"({i}, {_s(n)}, {_s(t)}, {int(i % 5 != 0)})" for i, (n, t) in enumerate(fixed.AGENTS, 1)) + ") a(id, name, department, is_active))"
 STORE = f"""{TICKETS}, {AGENTS}, kept as (
@@ -191,7 +191,7 @@ _WEIGHTS = """raw_weights as (select ticket_id, term, (1 + ln(tf)) * idf as w fr
 weighted as (select ticket_id, term, w / sqrt(sum(w * w) over (partition by ticket_id)) as weight from raw_weights)"""
 _BAYES = f"""with {TICKETS}, {_terms("counted", "tickets")}, train as (select ticket_id, category as label from tickets where row_ord % 4 <> 0),
 stats as (select term, count(*) as df, sum(tf) as total from counted where ticket_id in (select ticket_id from train) group by term),
-vocab as (select term, ln((1 + (select count(*) from train)) / (1 + df)) + 1 as idf from stats order by total desc, term limit 300),
+vocab as (select term, ln((1 + (select count(*) from train)) / (1 + df)) + 1 as idf from stats order by total desc, term limit 10000),
 {_WEIGHTS}, mass as (select label, term, sum(weight) as mass from weighted join train using (ticket_id) group by label, term),
 cells as (select label, term, coalesce(mass, 0) + 1.0 as mass from (select distinct label from train) cross join (select distinct term from weighted where ticket_id in (select ticket_id from train)) left join mass using (label, term)),
 likelihood as (select label, term, ln(mass / sum(mass) over (partition by label)) as logp from cells),
@@ -251,7 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "priority_share": t + "select priority, count(*) as n, round(count(*) * 100 / sum(count(*)) over (), 4) as pct from tickets group by 1",
         "cat_pri_crosstab": t + "select category, " + ", ".join(f"count(*) filter (priority = '{p}') as \"{p}\"" for p in fixed.PRIORITIES) + " from tickets group by 1",
         "crosstab_margins": t + "select case when grouping(category) = 1 then 'All' else category end as category, case when grouping(priority) = 1 then 'All' else priority end as priority, count(*) as n from tickets group by cube (category, priority)",
-        "zero_filled_grid": t + f", g as (select * from (select unnest({_list(fixed.CATEGORIES)}) as category) cross join (select unnest({_list(fixed.PRIORITIES)}) as priority)), c as (select category, priority, count(*) as n from tickets where category not in ('Refund', 'Account') or priority = 'Low' group by 1, 2) select category, priority, coalesce(n, 0) as n from g left join c using (category, priority)",
+        "zero_filled_grid": t + f", g as (select * from (select unnest({_list(fixed.CATEGORIES)}) as category) cross join (select unnest({_list(fixed.PRIORITIES)}) as priority)), c as (select category, priority, count(*) as n from tickets group by 1, 2) select category, priority, coalesce(n, 0) as n from g left join c using (category, priority)",
         "keyword_profile": t + f", h as (select unnest(list_distinct(string_split_regex(lower(ticket_text), '[^\\p{{L}}\\p{{N}}_]+'))) as word, priority, category from tickets), w as (select unnest({_list(fixed.TARGET_WORDS)}) as word), "
         + ", ".join(f"m_{c} as (select word, {c} from (select word, {c}, count(*) as n from h group by 1, 2) qualify row_number() over (partition by word order by n desc, {c}) = 1)" for c in ("priority", "category"))
         + ", n as (select word, count(*) as n from h group by 1) select w.word, coalesce(n.n, 0) as n, coalesce(p.priority, 'None') as dominant_priority, coalesce(c.category, 'None') as dominant_category from w left join n using (word) left join m_priority p using (word) left join m_category c using (word)",
@@ -286,10 +286,10 @@ def oracle_sql() -> dict[str, str]:
         "assign_agent": assigned + "select ticket_id, agent_id, status from out_",
         "reassign_conflicts": assigned + "select department, status, count(*) as n from out_ group by 1, 2",
         "latest_state": f"with {STORE} select ticket_id, id, min(corrected_priority) as corrected_priority, max(validated) as validated from feedback group by 1, 2 qualify row_number() over (partition by ticket_id order by id desc) = 1",
-        "insert_or_ignore": f"with {INCOMING}, o as (select ticket_id from tickets where ticket_id like '%1'), x as (select ticket_id from o union all select distinct ticket_id from incoming where ticket_id not in (select ticket_id from o)) select ticket_id, count(*) as n from x group by 1",
-        "delete_keeps_feedback": f"with {STORE} select (select count(*) from kept where id % 3 <> 0) as tickets, (select count(*) from feedback) as feedback",
+        "insert_or_ignore": f"with {INCOMING}, o as (select ticket_id from tickets where source = 'manual'), x as (select ticket_id from o union all select distinct ticket_id from incoming where ticket_id not in (select ticket_id from o)) select ticket_id, count(*) as n from x group by 1",
+        "delete_keeps_feedback": f"with {STORE} select (select count(*) from kept where department <> 'Refund Team') as tickets, (select count(*) from feedback) as feedback",
         "dashboard": f"with {STORE} select 'total' as metric, 'tickets' as key, count(*) as n from kept union all " + " union all ".join(f"select '{c}', {c}, count(*) from kept group by {c}" for c in ("category", "priority", "department")) + " union all select 'feedback', case when validated = 1 then 'validated' else 'pending' end, count(*) from feedback group by 2",
-        "tfidf_weights": f"with {TICKETS}, seventh as (select * from tickets where row_ord % 7 = 0), {_terms('counted', 'seventh')}, stats as (select term, count(*) as df, sum(tf) as total from counted group by term), vocab as (select term, ln((1 + (select count(*) from seventh)) / (1 + df)) + 1 as idf from stats order by total desc, term limit 200), {_WEIGHTS} select ticket_id, term, round(weight, 6) as weight from weighted",
+        "tfidf_weights": f"with {TICKETS}, {_terms('counted', 'tickets')}, stats as (select term, count(*) as df, sum(tf) as total from counted group by term), vocab as (select term, ln((1 + (select count(*) from tickets)) / (1 + df)) + 1 as idf from stats order by total desc, term limit 10000), {_WEIGHTS} select ticket_id, term, round(weight, 6) as weight from weighted",
         "nb_train": _BAYES + " select label, term, round(logp, 6) as logp from likelihood",
         "nb_predict": _BAYES + ", s as (select ticket_id, label, sum(weight * logp) as s from weighted join likelihood using (term) where ticket_id not in (select ticket_id from train) group by 1, 2) select ticket_id, label as prediction from s join priors using (label) qualify row_number() over (partition by ticket_id order by round(s + prior, 9) desc, label) = 1",
     }

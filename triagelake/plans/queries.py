@@ -14,6 +14,8 @@ from ..sources import tickets as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Terms that the TF-IDF features keep.
+VOCABULARY = 10_000
 
 
 def query(f: Query) -> Query:
@@ -152,7 +154,7 @@ def quality_report(spark, d):
 
 @query
 def ingest_fold(spark, d):
-    rows = ingest.accept(S.incoming(spark, d), S.raw_tickets(spark, d).where("row_ord % 10 = 2"))
+    rows = ingest.accept(S.incoming(spark, d).where("status <> 'F'"), S.raw_tickets(spark, d).where("status = 'F'"))
     return rows.select("row_ord", "validation_status", "rejection_reason")
 
 
@@ -244,8 +246,7 @@ def crosstab_margins(spark, d):
 
 @query
 def zero_filled_grid(spark, d):
-    rows = S.tickets(spark, d).where("category not in ('Refund', 'Account') or priority = 'Low'")
-    return profile.grid(rows, "category", fixed.CATEGORIES, "priority", fixed.PRIORITIES)
+    return profile.grid(S.tickets(spark, d), "category", fixed.CATEGORIES, "priority", fixed.PRIORITIES)
 
 
 @query
@@ -421,13 +422,13 @@ def latest_state(spark, d):
 
 @query
 def insert_or_ignore(spark, d):
-    rows = S.tickets(spark, d).select("ticket_id", "ticket_text")
-    return store.insert_or_ignore(rows.where("ticket_id like '%1'"), S.incoming(spark, d).select("ticket_id", "ticket_text").dropDuplicates(["ticket_id"]), ["ticket_id"]).groupBy("ticket_id").agg(F.count("*").alias("n"))
+    rows = S.tickets(spark, d).select("ticket_id", "ticket_text", "source")
+    return store.insert_or_ignore(rows.where("source = 'manual'").drop("source"), S.incoming(spark, d).select("ticket_id", "ticket_text").dropDuplicates(["ticket_id"]), ["ticket_id"]).groupBy("ticket_id").agg(F.count("*").alias("n"))
 
 
 @query
 def delete_keeps_feedback(spark, d):
-    gone = S.store_tickets(spark, d).where("id % 3 = 0").select("ticket_id")
+    gone = S.store_tickets(spark, d).where("department = 'Refund Team'").select("ticket_id")
     left = S.store_tickets(spark, d).join(gone, "ticket_id", "left_anti")
     kept = S.feedback(spark, d)
     return left.agg(F.count("*").alias("tickets")).crossJoin(kept.agg(F.count("*").alias("feedback")))  # single rows
@@ -440,9 +441,9 @@ def dashboard(spark, d):
 
 @query
 def tfidf_weights(spark, d):
-    docs = S.tickets(spark, d).where("row_ord % 7 = 0")
+    docs = S.tickets(spark, d)
     counted = features.terms(docs, "ticket_id", "ticket_text")
-    vocab = features.vocabulary(counted, docs.agg(F.count("*").alias("n")), 200)
+    vocab = features.vocabulary(counted, docs.agg(F.count("*").alias("n")), VOCABULARY)
     return features.weights(counted, vocab, "ticket_id").select("ticket_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -451,7 +452,7 @@ def _bayes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     train = docs.where("row_ord % 4 <> 0")
     counted = features.terms(docs, "ticket_id", "ticket_text")
     known = counted.join(train.select("ticket_id"), "ticket_id", "left_semi")
-    vocab = features.vocabulary(known, train.agg(F.count("*").alias("n")), 300)
+    vocab = features.vocabulary(known, train.agg(F.count("*").alias("n")), VOCABULARY)
     weighted = features.weights(counted, vocab, "ticket_id")
     seen = weighted.join(train.select("ticket_id"), "ticket_id", "left_semi")
     priors, likelihood = features.bayes_train(seen, train.select("ticket_id", "label"), "ticket_id")
@@ -476,22 +477,22 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def lr_predict(spark, d):
-    return models.fit_predict(_split(spark, d), "category", "Logistic Regression", 1000)
+    return models.fit_predict(_split(spark, d), "category", "Logistic Regression", VOCABULARY)
 
 
 @query
 def rf_predict(spark, d):
-    return models.fit_predict(_split(spark, d), "priority", "Random Forest", 200, with_signals=True)
+    return models.fit_predict(_split(spark, d), "priority", "Random Forest", VOCABULARY, with_signals=True)
 
 
 @query
 def svm_platt_predict(spark, d):
-    return models.fit_predict(_split(spark, d), "priority", "Calibrated Linear SVM", 300)
+    return models.fit_predict(_split(spark, d), "priority", "Calibrated Linear SVM", VOCABULARY)
 
 
 @query
 def model_benchmark(spark, d):
-    return models.benchmark(_split(spark, d), "category", 500)
+    return models.benchmark(_split(spark, d), "category", VOCABULARY)
 
 
 @query

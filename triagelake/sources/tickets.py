@@ -61,6 +61,7 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 79 == 0, F.lit(None)).otherwise(priority).alias("priority"),
         _pick(fixed.SOURCES, F.col("o_custkey") % 3).alias("source"),
         F.col("o_orderdate").alias("created_at"),
+        F.col("o_orderstatus").alias("status"),
         key.alias("row_ord"),
     )
 
@@ -76,12 +77,12 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One in five raw tickets as a landing file would hold them, some with personal data, short texts or taken ids."""
+    """All raw tickets as a landing file would hold them, some with personal data, short texts or taken ids."""
     key = F.col("row_ord")
-    return raw_tickets(spark, sf_dir).where(key % 5 == 1).select(
+    return raw_tickets(spark, sf_dir).select(
         F.when(key % 7 == 0, "TICK-1").otherwise(F.col("ticket_id")).alias("ticket_id"),
         F.when(key % 13 == 0, "hi").when(key % 17 == 0, F.concat("ticket_text", F.lit(" mail me at a.b@c.org"))).when(key % 19 == 0, F.concat("ticket_text", F.lit(" call 555-123-4567"))).otherwise(F.col("ticket_text")).alias("ticket_text"),
-        "category", "priority", F.when(key % 23 == 0, "fax").otherwise(F.col("source")).alias("source"), "row_ord",
+        "category", "priority", F.when(key % 23 == 0, "fax").otherwise(F.col("source")).alias("source"), "status", "row_ord",
     )
 
 
