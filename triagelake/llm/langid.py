@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tokenize import batches
+from .worker import held
 
 SEGMENT = 32
 UNKNOWN = "und"
 #: Segments a worker's memo holds before it starts anew.
-MEMO_SEGMENTS = 500_000
+MEMO_SEGMENTS = 300_000
 CUT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -250,18 +251,13 @@ def fit(docs: DataFrame, per_label: int = 400, per_document: int = 64) -> Networ
     return train([(r.lang, bytes(r.segments).split()) for r in rows])
 
 
-_LABELLERS: dict[int, Labeller] = {}
-
-
 def _identify(rows: Iterator[pa.RecordBatch], net: Network | None, keep: list[str], key: int) -> Iterator[pa.RecordBatch]:
-    if net is not None and key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(net)
+    labeller = held(("labeller", key), lambda: Labeller(net)) if net is not None else None
     for batch in rows:
         texts = batch.column("_text").to_pylist()
         found: list[tuple[str, float]] = []
         for some in batches(texts, 2_000_000):
-            found += _LABELLERS[key].documents(texts[some]) if net is not None else [(UNKNOWN, 0.0)] * len(texts[some])
+            found += labeller.documents(texts[some]) if labeller else [(UNKNOWN, 0.0)] * len(texts[some])
         columns = [batch.column(c) for c in keep] + [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
         yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 

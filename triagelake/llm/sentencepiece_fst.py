@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .tokenize import batches
+from .worker import held
 
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -226,14 +227,9 @@ class Transducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_COMPILED: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
     """The worker's own compiled model; its memo outlives the task."""
-    if path not in _COMPILED:
-        _COMPILED[path] = Transducer(path)
-    return _COMPILED[path]
+    return held(("transducer", path), lambda: Transducer(path))
 
 
 def _round_trip(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

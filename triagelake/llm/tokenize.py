@@ -11,6 +11,8 @@ import os
 from array import array
 from collections.abc import Iterable
 
+from .worker import held
+
 #: Words the memo holds per worker before it starts anew.
 MEMO_WORDS = 800_000
 #: ASCII marks that the pre-tokenizer cuts off a word's end as one run.
@@ -99,15 +101,9 @@ class WordEncoder:
         return [b"".join(map(get, (t or "").encode("utf-8", "surrogatepass").split())) for t in texts]
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
-
-
 def encoder(path: str, by_words: bool = True) -> WordEncoder:
     """The worker's own encoder for a vocabulary file; its memo outlives the task."""
-    key = (path, by_words)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, by_words)
-    return _ENCODERS[key]
+    return held(("encoder", path, by_words), lambda: WordEncoder(path, by_words))
 
 
 def batches(texts: list, doc_chars: int = 4_000_000) -> Iterable[slice]:
