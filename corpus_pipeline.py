@@ -38,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are alike with an earlier one; documents of which nothing is left go."""
-    cut = remove_lines(docs.select(*COLUMNS))
+    cut = remove_lines(docs.select(*COLUMNS), exact_short=True)
     return _recounted(cut.where((F.col("n_cut") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")))
 
 

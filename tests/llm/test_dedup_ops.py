@@ -123,6 +123,31 @@ def test_lines_by_brute_force(spark):
     assert plain.where("n_cut > 0").count() > 0
 
 
+def brute_short(rows):
+    """doc_id -> text without repeated lines, where no unequal long lines are alike."""
+    strip = " \t\n\v\f\r"
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        for k, x in enumerate(t.split("\n")):
+            if x.strip(strip):
+                first.setdefault(x.strip(strip), (i, k))
+    for i, t in rows:
+        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(strip) or first[x.strip(strip)] == (i, k))
+    return out
+
+
+def test_short_lines_go_when_equal(spark, tmp_path):
+    short = ["All rights reserved.", "Released under the MIT License.", "x", "été", "Licensed under CC BY-NC 4.0."]
+    rows = [(i, f"Own line {i * i * 7919}\n{short[i % 5]}\n\n  {short[i % 3]} \t\n" + ("This line of boilerplate is found in each text.\n" if i % 2 else "") + f"all rights reserved{i % 2}") for i in range(30)]
+    wanted = brute_short(rows)
+    got = {r.doc_id: r for r in line_dedup.remove_lines(frame(spark, rows), exact_short=True).collect()}
+    assert {i: r.text for i, r in got.items()} == wanted and sum(r.n_cut for r in got.values()) > 60
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from triagelake.llm.queries import op6_line_dedup
+
+    assert {r.doc_id: r.kept_sha256 for r in op6_line_dedup(spark, str(tmp_path)).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in wanted.items()}
+
+
 def test_long_lines_and_empty_tables(spark):
     rows = [(1, "a" * 1_200_000), (2, "a" * 1_199_999 + "b"), (3, None)]
     got = {r.doc_id: r.n_cut for r in line_dedup.remove_lines(frame(spark, rows), digest=True).collect()}

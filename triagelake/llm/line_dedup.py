@@ -5,7 +5,8 @@ deletions and replacements of code points turn one into the other. A line splits
 lines agree in one segment, shifted by no more than the edits around it allow. So each line indexes its segments under
 (its length, segment number, content) and probes, for its own and each lesser length, the few substrings that can
 match; lines that meet are compared by banded bit-parallel edit distance. Alike lines form classes, links of links
-included, and of each class the first line stays, by (doc_id, line number).
+included, and of each class the first line stays, by (doc_id, line number). Shorter lines, if asked for, are alike
+only when equal; they skip the edit join.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ def eligible(line: bytes, min_chars: int) -> bool:
     return len(line) >= min_chars and (len(line) >= 4 * min_chars or len(line.decode("utf-8", "surrogatepass")) >= min_chars)
 
 
+def counted(line: bytes, min_chars: int, exact_short: bool) -> bool:
+    """Whether occurrences of a line are looked at: eligible ones, and with ``exact_short`` all that are not blank."""
+    return bool(line) if exact_short else eligible(line, min_chars)
+
+
 def segment_starts(length: np.ndarray, parts: int) -> list[np.ndarray]:
     """Where each of ``parts`` even segments of lines starts, and the ends; the last segments are the longer."""
     base, longer = length // parts, length % parts
@@ -160,14 +166,14 @@ def within(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterator[pa.RecordBatch], min_chars: int, exact_short: bool) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
         out: list[list] = [[], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if doc_id is not None:
                 for number, line in enumerate(lines_of(text.as_py())):
-                    if eligible(line, min_chars):
+                    if counted(line, min_chars, exact_short):
                         for column, value in zip(out, (line_id(line), doc_id, number), strict=True):
                             column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["set_id", "doc_id", "line"])
@@ -288,14 +294,15 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: list[str], digest: bool) -> It
         yield pa.RecordBatch.from_arrays(columns, [*keep, "n_lines", "n_cut", *["kept_sha256"] * digest])
 
 
-def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_short: bool = False) -> DataFrame:
     """(set_id, doc_id, line, first_doc, first_line): every eligible line whose class holds another occurrence.
 
     ``first_doc`` and ``first_line`` name the class by its first occurrence; lines alone in their class are left out.
+    With ``exact_short`` shorter lines are there too, in classes of equal lines; they index and probe nothing.
     """
     parts = partitions(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    seen = materialize(texts.mapInArrow(partial(_occurrences, min_chars=min_chars), "set_id long, doc_id long, line int"), "lines")
+    seen = materialize(texts.mapInArrow(partial(_occurrences, min_chars=min_chars, exact_short=exact_short), "set_id long, doc_id long, line int"), "lines")
     posted = texts.where("doc_id is not null").select("text").mapInArrow(partial(_entry_postings, min_chars=min_chars, edits=edits, parts=parts), blocks.SCHEMA)
     entries = materialize(blocks.exchange(posted, parts).mapInArrow(_met, "set_id long, entry long"), "met")
     wanted = seen.join(materialize(entries.select("set_id").distinct(), "wanted"), "set_id")
@@ -311,17 +318,18 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32) -> DataFr
     return seen.join(named, "set_id")
 
 
-def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, digest: bool = False) -> DataFrame:
+def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, digest: bool = False, exact_short: bool = False) -> DataFrame:
     """``docs`` without the lines that are alike with an earlier one, and n_lines, n_cut.
 
-    Lines end at newlines; shorter lines than ``min_chars`` are left alone. Judged on the input: every occurrence
+    Lines end at newlines; shorter lines than ``min_chars`` are left alone, or with ``exact_short`` are alike when equal
+    (blank ones stay). Judged on the input: every occurrence
     after its class's first, by (doc_id, line number from 0), goes, with its newline. With ``digest`` the result is
     doc_id, n_lines, n_cut and kept_sha256, the SHA-256 of what is kept. A null text has no lines and stays null; rows of
     one doc_id are alike in place, so neither is the earlier; a null doc_id keeps all its lines. Columns named n_lines,
     n_cut are replaced; others pass through. An empty table gives no rows.
     """
     parts = partitions(docs.sparkSession)
-    later = line_classes(docs, edits, min_chars).where("first_doc < doc_id or (first_doc = doc_id and first_line < line)")
+    later = line_classes(docs, edits, min_chars, exact_short).where("first_doc < doc_id or (first_doc = doc_id and first_line < line)")
     later = materialize(later.select("doc_id", "line", "set_id"), "later-lines")
     keep = ["doc_id"] if digest else [c for c in docs.columns if c not in ("n_lines", "n_cut")]
     fields = [f for f in docs.schema.fields if f.name in keep] + [T.StructField("n_lines", T.LongType()), T.StructField("n_cut", T.LongType())]
