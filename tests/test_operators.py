@@ -1,6 +1,7 @@
 """Preparation, ingestion, evaluation, store, sources and streaming on small frames."""
 
 import csv
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,23 @@ def test_stream(spark, tmp_path):
     write_csv(landing / "b.csv", [["2", "second text", "Refund", "High", "external", ""]])
     run()
     assert (count("manual"), count("external"), count("rejected")) == (1, 1, 1)
+
+
+def test_benchmark_passages_by_brute_force(spark):
+    rng = random.Random(8)
+    some = lambda n: [rng.choice("abcdefgh") * rng.randint(1, 40) for _ in range(n)]
+    items = {i: some(n) for i, n in enumerate((1, 3, 12, 13, 14, 30, 60))} | {90: [], 91: None}
+    docs = {i: some(rng.randint(0, 40)) for i in range(40)} | {50: None}
+    for i, (item, n) in enumerate(((1, 3), (2, 12), (2, 11), (3, 13), (4, 13), (5, 13), (5, 12), (6, 60))):
+        docs[60 + i] = some(5) + items[item][-n:] + some(4)
+    text = lambda words: None if words is None else "".join(w.upper() + rng.choice([" ", "\n", "  ", "\n\n"]) for w in words)
+    frame = lambda rows, key: spark.createDataFrame([(i, text(w)) for i, w in rows.items()], f"{key} long, text string").repartition(3)
+
+    def shares(item, doc):
+        n = min(13, len(item))
+        runs = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)}
+        return n > 0 and any(tuple(doc[i : i + n]) in runs for i in range(len(doc) - n + 1))
+
+    wanted = {(a, b) for a, x in items.items() for b, y in docs.items() if x and y and shares(x, y)}
+    got = prepare.shared_passages(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert sorted(map(tuple, got)) == sorted(wanted) and {(1, 60), (2, 61), (5, 65), (6, 67)} <= wanted and (2, 62) not in wanted

@@ -77,6 +77,22 @@ def pair_overlaps(named: DataFrame) -> DataFrame:
     return a.join(b, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def shared_passages(docs: DataFrame, items: DataFrame, length: int = 13) -> DataFrame:
+    """Distinct (item_id, doc_id) that share a run of ``length`` words, or all words of a shorter item.
+
+    Words are lower-cased runs other than white space, so line ends do not matter; runs are compared by 64-bit hashes.
+    """
+    hashed = lambda rows, key: rows.select(key, F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("w"))
+    windows = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n))))
+    wanted = hashed(items, "item_id").withColumn("n", F.least(F.size("w"), F.lit(length))).where("n > 0")
+    sizes = sorted(r.n for r in wanted.select("n").distinct().collect())  # at most ``length`` numbers
+    runs = lambda rows, key, of: rows.select(key, F.explode(F.array_distinct(of)).alias("run"))
+    none = F.array().cast("array<bigint>")
+    of_items = F.coalesce(*[F.when(F.col("n") == n, windows(n)) for n in sizes], none)
+    of_docs = F.concat(none, *[F.coalesce(windows(n), none) for n in sizes])
+    return runs(hashed(docs, "doc_id"), "doc_id", of_docs).join(runs(wanted, "item_id", of_items), "run").select("item_id", "doc_id").distinct()
+
+
 def version_summary(raw: DataFrame, cleaned: DataFrame, split: DataFrame) -> DataFrame:
     """One row of counts and distributions of a dataset's version."""
 

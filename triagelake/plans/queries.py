@@ -224,6 +224,12 @@ def benchmark_leakage(spark, d):
     return lines("documents", "doc_id").join(lines("benchmark", "item_id"), "line").groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
 
 
+@query
+def benchmark_passages(spark, d):
+    """Documents that share a window of 13 words, or a whole shorter passage, with a benchmark item, wherever it stands."""
+    return prepare.shared_passages(_documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 @query
 def category_counts(spark, d):
     return S.tickets(spark, d).groupBy("category").agg(F.count("*").alias("n"))
