@@ -2,11 +2,14 @@
 
 import csv
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from triagelake import fixed
 from triagelake.operators import evaluate, ingest, prepare, profile, store
+from triagelake.plans.queries import QUERIES
 from triagelake.sources import tickets as S
 from triagelake.streaming.landing import ingest_stream
 
@@ -147,3 +150,20 @@ def test_benchmark_passages_by_brute_force(spark):
     wanted = {(a, b) for a, x in items.items() for b, y in docs.items() if x and y and shares(x, y)}
     got = prepare.shared_passages(frame(docs, "doc_id"), frame(items, "item_id")).collect()
     assert sorted(map(tuple, got)) == sorted(wanted) and {(1, 60), (2, 61), (5, 65), (6, 67)} <= wanted and (2, 62) not in wanted
+
+
+def test_every_ticket_is_signed(spark):
+    rows = S.tickets(spark, SMALL).select("ticket_id", "ticket_text").collect()
+    assert any(re.search("[\u0a80-\u0aff]", r.ticket_text) for r in rows)
+
+    def signed(text):
+        text = text.lower().strip()
+        for pattern, by in fixed.MASKS:
+            text = re.sub(pattern, by, text)
+        text = re.sub(r"\s+", " ", text).strip()
+        for phrase in fixed.NOISE:
+            text = text.replace(phrase, "").strip()
+        return text
+
+    got = QUERIES["template_signature_all"](spark, SMALL).collect()
+    assert sorted(map(tuple, got)) == sorted((r.ticket_id, signed(r.ticket_text)) for r in rows)

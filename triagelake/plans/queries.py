@@ -184,6 +184,12 @@ def template_signature(spark, d):
     return S.tickets(spark, d).where(~F.col("ticket_text").rlike(r"[^\x00-\x7F]")).select("ticket_id", X.signature(F.col("ticket_text")).alias("pattern"))
 
 
+@query
+def template_signature_all(spark, d):
+    """The signature of every ticket, those with letters that RE2 masks otherwise included."""
+    return S.tickets(spark, d).select("ticket_id", X.signature(F.col("ticket_text")).alias("pattern"))
+
+
 @query
 def audit_signature_docs(spark, d):
     return S.tickets(spark, d).select("ticket_id", X.audit_signature(F.col("ticket_text")).alias("pattern"))
