@@ -77,6 +77,15 @@ def test_mined_rules_judge_the_rest(spark):
     assert [r.v for r in tokens.select(url_filter.by_mined(F.col("t"), mined).alias("v")).collect()] == ["block", None, None]
 
 
+def test_mined_rules_do_not_restate_the_explicit_ones(spark):
+    urls = [f"http://a{i}.example.net/{'es' if i % 2 else 'fr'}/{i}{'/cheap-pills' if i % 5 == 0 else ''}" for i in range(40)] + [f"http://b{i}.site.com/de/{i}" for i in range(40)]
+    urls += [f"http://c{i}.example.net/en/{i}" for i in range(10)] + [f"http://d{i}.other.org/en/{i}/cheap-pills" for i in range(5)]
+    rules = (*RULES, url_filter.Rule("block", "net", "/fr/"))
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(frame, rules, min_support=0.05).collect()}
+    assert [got[i] for i in range(80, 90)] == ["allow"] * 10 and [got[i] for i in range(90, 95)] == ["block"] * 5
+
+
 def brute_winnow(hashes, window):
     if len(hashes) <= window:
         return [min((h, -i) for i, h in enumerate(hashes))] if hashes else []

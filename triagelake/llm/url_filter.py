@@ -103,6 +103,20 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
     return kept
 
 
+def evidence(judged: DataFrame, rules: Sequence[Rule], min_support: float = 0.005) -> DataFrame:
+    """(tokens, verdict) of ``judged`` (tokens, rule, verdict) for :func:`mine`, without what only restates ``rules``.
+
+    Left out are tokens that a rule itself tests and tokens seen under one rule alone; ones below the support, of which
+    there may be many, cannot be mined and go too. The driver gets at most tokens a URL / ``min_support`` of them.
+    """
+    tested = {f"host:{x}" for r in rules for x in r.host.split(".")} | {f"path:{x.lower()}" for r in rules for x in r.path.split("/") if x}
+    least = judged.count() * min_support
+    seen = judged.select("rule", F.explode("tokens").alias("token")).where(~F.col("token").isin(*tested) if tested else F.lit(True))
+    seen = seen.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("rule").alias("rules")).where((F.col("n") >= least) & (F.col("rules") > 1))
+    told = F.array(*[F.lit(r.token) for r in seen.select("token").collect()]).cast("array<string>")
+    return judged.select(F.array_intersect("tokens", told).alias("tokens"), "verdict")
+
+
 def by_mined(tokens: Column, mined: Sequence[Mined]) -> Column:
     """The verdict of the best rule whose tokens a URL all has; null if there is none."""
     if not mined:
@@ -125,12 +139,13 @@ def by_mined(tokens: Column, mined: Sequence[Mined]) -> Column:
 def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", **thresholds: float) -> DataFrame:
     """``pages`` with host, path, rule and verdict; columns of those names are replaced.
 
-    The URLs that an explicit rule judges are the labels that the mined rules learn from; these judge the rest, and
-    ``default`` where none fits. Null and shapeless URLs have an empty host and path. Repeated rows are judged each.
+    The URLs that an explicit rule judges are the labels that the mined rules learn from, by tokens that do not restate
+    the rules (:func:`evidence`); these judge the rest, and ``default`` where none fits. Null and shapeless URLs have an empty host and path. Repeated rows are judged each.
     """
     rows = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.withColumn("_e", explicit(F.col("host"), F.col("path"), rules))
     tokens = tokens_of(F.col("url"), F.col("host"), F.col("path"))
-    mined = mine(rows.where("_e is not null").select(tokens.alias("tokens"), F.col("_e.verdict").alias("verdict")), **thresholds)
+    judged = rows.where("_e is not null").select(tokens.alias("tokens"), F.col("_e.rule").alias("rule"), F.col("_e.verdict").alias("verdict"))
+    mined = mine(evidence(judged, rules, thresholds.get("min_support", 0.005)), **thresholds)
     verdict = F.coalesce("_e.verdict", by_mined(tokens, mined), F.lit(default))
     return rows.withColumns({"rule": F.col("_e.rule"), "verdict": verdict}).drop("_e")
