@@ -122,6 +122,19 @@ def test_edited_texts(spark, buckets):
     assert sorted(r.next_text for r in chained.collect()) == sorted(t for _, t in order)
 
 
+def test_short_near_copies_share_fingerprints(spark, tmp_path):
+    from triagelake.llm.queries import op3_fingerprints
+
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randint(11, 20)))) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == 80 and all(r.near_edited > 0 and r.near_next == 0 for r in got)
+    frame = spark.createDataFrame(rows, "i long, t string")
+    for r in frame.select(winnowing.gram_hashes(F.col("t"), 3).alias("g"), winnowing.winnow(F.col("t"), 3, 4).alias("w")).collect():
+        assert [(x >> 26, -(winnowing.PLACES - (x & winnowing.PLACES))) for x in r.w] == brute_winnow([g >> 26 for g in r.g], 4)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = langid.Network.new(["a", "b", "c"], 5, 1, np.float64)

@@ -35,7 +35,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts."""
-    return compare_edited(table(spark, sf_dir, "documents"))
+    return compare_edited(table(spark, sf_dir, "documents"), k=3, window=4)
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
