@@ -135,6 +135,22 @@ def test_short_near_copies_share_fingerprints(spark, tmp_path):
         assert [(x >> 26, -(winnowing.PLACES - (x & winnowing.PLACES))) for x in r.w] == brute_winnow([g >> 26 for g in r.g], 4)
 
 
+def test_training_segments_span_the_text():
+    import pyarrow as pa
+
+    def spread(n):
+        words = ["".join(chr(97 + (i // 26**p) % 26) for p in range(3)) for i in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["en"]), pa.array([" ".join(words)])], ["doc_id", "lang", "text"])
+        found = langid.segments(" ".join(words).encode())
+        return found, next(langid._some_segments(iter([batch]), 64)).column(2)[0].as_py().split()
+
+    for n in (10, 64, 65, 100, 127, 128, 191, 1000):
+        found, got = spread(n)
+        places = [found.index(x) for x in got]
+        gaps = np.diff([*places, len(found)])
+        assert len(got) == min(64, len(found)) and places[0] == 0 and gaps.max() <= -(-len(found) // 64)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = langid.Network.new(["a", "b", "c"], 5, 1, np.float64)

@@ -227,8 +227,9 @@ def _some_segments(rows: Iterator[pa.RecordBatch], per_document: int) -> Iterato
         out = []
         for text in batch.column(2).to_pylist():
             found = segments(text.encode("utf-8", "surrogatepass"))
-            step = max(1, len(found) // per_document)
-            out.append(b" ".join(found[::step][:per_document]))
+            if len(found) > per_document:
+                found = [found[i * len(found) // per_document] for i in range(per_document)]
+            out.append(b" ".join(found))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "lang", "segments"])
 
 
