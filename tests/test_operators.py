@@ -1,6 +1,7 @@
 """Preparation, ingestion, evaluation, store, sources and streaming on small frames."""
 
 import csv
+import math
 import random
 import re
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagelake import fixed
-from triagelake.operators import evaluate, ingest, prepare, profile, store
+from triagelake.operators import evaluate, ingest, models, prepare, profile, store
 from triagelake.plans.queries import QUERIES
 from triagelake.sources import tickets as S
 from triagelake.streaming.landing import ingest_stream
@@ -167,3 +168,21 @@ def test_every_ticket_is_signed(spark):
 
     got = QUERIES["template_signature_all"](spark, SMALL).collect()
     assert sorted(map(tuple, got)) == sorted((r.ticket_id, signed(r.ticket_text)) for r in rows)
+
+
+def test_all_models_are_benchmarked_on_both_sets(spark, monkeypatch):
+    full, signals = models.estimators(), models.estimators(with_signals=True)
+    assert full["Logistic Regression"].getMaxIter() == 1000
+    assert [(e["Random Forest"].getNumTrees(), e["Random Forest"].getMaxDepth()) for e in (full, signals)] == [(100, 30), (150, 30)]
+    assert (full["Calibrated Linear SVM"].folds, full["Calibrated Linear SVM"].max_iter) == (5, 1000)
+    monkeypatch.setattr(models, "estimators", lambda seed=42, with_signals=False: {n: full["Naive Bayes"] for n in full})
+    texts = [("refund refund my money", "Billing"), ("parcel parcel never came", "Delivery")]
+    rows = [(i, f"T{i}", *texts[i % 2], ("train", "train", "test", "test", "holdout", "holdout")[i % 6]) for i in range(36)]
+    frame = spark.createDataFrame(rows, "row_ord long, ticket_id string, ticket_text string, category string, split string")
+    got = models.benchmark(frame, "category", 50).collect()
+    assert [(r.model, r.split, r.accuracy) for r in got] == [(n, s, 1.0) for n in full for s in ("test", "holdout")]
+    from pyspark.ml import Pipeline
+
+    done = models.prepared(frame)
+    logged = Pipeline(stages=models.feature_stages(50)).fit(done).transform(done).select("counts", "log_counts").first()
+    assert 2 in logged.counts.values and list(logged.log_counts.values) == [1 + math.log(x) for x in logged.counts.values]
