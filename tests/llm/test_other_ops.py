@@ -35,11 +35,36 @@ def test_neighbours_by_brute_force(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(4)
-    a, b = rng.normal(size=(50, 64)), rng.normal(size=(60, 64)) * 100
-    (qa, sa, la), (qb, sb, lb) = neighbours.quantise(a), neighbours.quantise(b)
-    near = (qa.astype(float) @ qb.T.astype(float)) * sa[:, None] * sb
-    bound = np.linalg.norm(qa * sa[:, None], axis=1)[:, None] * lb + la[:, None] * np.linalg.norm(b, axis=1)
-    assert (np.abs(a @ b.T - near) <= bound + 1e-9).all()
+    whole = lambda n, d, most: rng.integers(-most, most + 1, (n, d)).astype(np.float64)
+    pairs = [(rng.normal(size=(50, 64)), rng.normal(size=(60, 64)) * 100)]
+    pairs += [(whole(80, d, m) * a, whole(90, d, m) * b) for d in (1, 3, 64) for m in (1, 100, 127) for a, b in ((1, 1), (1e3, 1e3), (0.1, 1e9), (1e-150, 1e-150))]
+    for a, b in pairs:
+        (qa, sa, la), (qb, sb, lb) = neighbours.quantise(a), neighbours.quantise(b)
+        near = (qa.astype(float) @ qb.T.astype(float)) * (sa[:, None] * sb)
+        scores = np.stack([neighbours.exact(np.repeat(x[None], len(b), 0), b) for x in a])
+        assert (np.abs(scores - near) <= neighbours.slack(a, sa, la, qa, b, lb)).all()
+
+
+def brute_best(q_ids, q, c_ids, c, k):
+    out = []
+    for i, x in zip(q_ids.tolist(), q, strict=True):
+        scores = neighbours.exact(np.repeat(x[None], len(c), 0), c)
+        out += [(i, j, s) for s, j in sorted(((s, j) for s, j in zip(scores.tolist(), c_ids.tolist(), strict=True) if j != i), key=lambda r: (-r[0], r[1]))[:k]]
+    return out
+
+
+def test_equal_scores_of_long_vectors_go_by_id():
+    """Different vectors with the same score: the smaller id stays, however long the vectors are."""
+    one = lambda *v: np.array([v], np.float64)
+    got = list(neighbours.cell_best(np.array([9]), one(1001, 1001, 1001), np.array([0, 1]), np.concatenate([one(101, 101, 101), one(303, 0, 0)]), 1))
+    assert [(q.tolist(), c.tolist(), s.tolist()) for q, c, s in got] == [([9], [0], [303303.0])]
+    rng = np.random.default_rng(12)
+    for amplitude in (1, 7, 1e3, 1e6, 0.001):
+        for k in (1, 2, 5):
+            q, c = rng.integers(-3, 4, (40, 3)) * amplitude, rng.integers(-3, 4, (130, 3)) * amplitude
+            q_ids, c_ids = np.arange(100, 140), rng.permutation(130)
+            found = [x for part in neighbours.cell_best(q_ids, q, c_ids, c, k) for x in zip(*(y.tolist() for y in part), strict=True)]
+            assert found == brute_best(q_ids, q, c_ids, c, k)
 
 
 RULES = (url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"))

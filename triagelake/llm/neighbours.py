@@ -1,9 +1,9 @@
 """Nearest neighbours by largest inner product: a block matrix join over int8 tiles.
 
 Queries and candidates are dealt into blocks by a hash of their id, and every pair of blocks is one cell of a
-grid. Within a cell both sides are quantised to int8 with a scale per row; the integer product of a tile and the
-lengths of what quantisation left out bound every inner product from both sides. Pairs that the bounds cannot
-exclude are recomputed in double precision, and heaps merge the cells' best.
+grid. Within a cell both sides are quantised to int8 with a scale per row; the integer product of a tile, the
+lengths of what quantisation left out and what rounding can add bound every score from both sides. Pairs that the
+bounds cannot exclude are recomputed in double precision, and heaps merge the cells' best.
 """
 
 from __future__ import annotations
@@ -47,6 +47,21 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def slack(q: np.ndarray, q_scale: np.ndarray, q_lost: np.ndarray, q8: np.ndarray, c: np.ndarray, c_lost: np.ndarray) -> np.ndarray:
+    """How far the scaled product of int8 rows can be from the score that :func:`exact` computes, for each pair.
+
+    By Cauchy and Schwarz quantisation takes at most |q8| * scale * c_lost + q_lost * |c|. Adding d products in double
+    precision moves a score by less than (d + 1) * eps * |q| * |c|; scaling the product and the lengths themselves
+    stay within a few such units, so four times d + 4 of them cover both sides. The last term stands for underflow.
+    """
+    eps = np.finfo(np.float64).eps
+    c_len, q_len = np.linalg.norm(c, axis=1), np.linalg.norm(q, axis=1)
+    q_hat = np.linalg.norm(q8.astype(np.float64), axis=1) * q_scale
+    quantised = q_hat[:, None] * c_lost + q_lost[:, None] * c_len
+    rounded = 4 * (q.shape[1] + 4) * eps * q_len[:, None] * c_len
+    return quantised * (1 + 1e-9) + rounded + 1e-300
+
+
 def cell_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, candidate ids, scores) of each tile's best ``k`` per query, ties to smaller ids.
 
@@ -63,7 +78,6 @@ def cell_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     c_ids, c = c_ids[kept], c[kept]
     c8, c_scale, c_lost = quantise(c)
     q8, q_scale, q_lost = quantise(q)
-    c_len, q_hat = np.linalg.norm(c, axis=1), np.linalg.norm(q8 * q_scale[:, None], axis=1)
     # Products of int8 stay exact in float32 while a sum of them is below 2**24.
     exact_dims = (1 << 24) // (127 * 127)
     c_tile = c8.T.astype(np.float32)
@@ -73,7 +87,7 @@ def cell_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
         for d in range(0, q.shape[1], exact_dims):
             product += q8[rows, d : d + exact_dims].astype(np.float32) @ c_tile[d : d + exact_dims]
         product *= q_scale[rows, None] * c_scale
-        error = (q_hat[rows, None] * c_lost + q_lost[rows, None] * c_len) * (1 + 1e-9) + 1e-12
+        error = slack(q[rows], q_scale[rows], q_lost[rows], q8[rows], c, c_lost)
         own = q_ids[rows, None] == c_ids
         low = np.where(own, -np.inf, product - error)
         if len(c) > k:
