@@ -111,40 +111,91 @@ def test_mined_rules_do_not_restate_the_explicit_ones(spark):
     assert [got[i] for i in range(80, 90)] == ["allow"] * 10 and [got[i] for i in range(90, 95)] == ["block"] * 5
 
 
-def brute_winnow(hashes, window):
-    if len(hashes) <= window:
-        return [min((h, -i) for i, h in enumerate(hashes))] if hashes else []
-    return list(dict.fromkeys(min((h, -i) for i, h in enumerate(hashes[a : a + window], a)) for a in range(len(hashes) - window + 1)))
+def brute_grams(text, k):
+    """The polynomial hashes of k words, each by its definition, from the words' hashes that Spark computes."""
+    import xxhash
 
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    words = [signed(xxhash.xxh64_intdigest(w, 42)) % winnowing.PRIME for w in text.encode().split()]
+    if 0 < len(words) < k:
+        seed = 42
+        for w in words:  # a list of longs is hashed by chaining seeds
+            seed = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), seed)
+        return [signed(seed) % winnowing.PRIME]
+    return [sum(w * pow(winnowing.BASE, k - 1 - j, winnowing.PRIME) for j, w in enumerate(words[i : i + k])) % winnowing.PRIME for i in range(len(words) - k + 1)]
 
-def test_winnowing(spark):
+
+def brute_winnow(text, k, window):
+    """(hash, place) of the least of each window, of equal ones the rightmost."""
+    hashes = brute_grams(text, k)
+    whole = [(h, -i) for i, h in enumerate(hashes)]
+    least = [min(whole[a : a + window]) for a in range(max(1, len(whole) - window + 1))] if whole else []
+    return [(h, -i) for h, i in dict.fromkeys(least)]
+
+
+def as_text(found):
+    return "".join(f"{((h - winnowing.MIDDLE) * (1 << 30) + (1 << 30) - 1 - i) & (1 << 64) - 1:016X}" for h, i in found)
+
+
+def brute_likeness(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+@pytest.mark.parametrize(("k", "window"), [(1, 1), (2, 3), (3, 4), (5, 16), (8, 7), (13, 2)])
+def test_winnowing(spark, k, window):
     rng = random.Random(2)
-    texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in (0, 1, 4, 5, 6, 20, 21, 30, 200)]
+    texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in (0, 1, 2, 4, 5, 6, 13, 20, 21, 30, 200)] + ["é ü\tß\n日本", "same " * 40]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
-    for r in frame.select(winnowing.gram_hashes(F.col("t"), 5).alias("g"), winnowing.winnow(F.col("t"), 5, 16).alias("w"), "t").collect():
-        assert len(r.g) == (max(1, len(r.t.split()) - 4) if r.t else 0)
-        wanted = brute_winnow([g >> 26 for g in r.g], 16)
-        assert [(x >> 26, -(winnowing.PLACES - (x & winnowing.PLACES))) for x in r.w] == wanted
+    kept = winnowing.winnow(F.col("t"), k, window)
+    both = F.transform(kept, lambda e: F.struct(winnowing.hash_of(e), winnowing.place_of(e)))
+    for r in frame.select(winnowing.gram_hashes(F.col("t"), k).alias("g"), both.alias("w"), winnowing.fingerprint_text(kept).alias("f"), "t").collect():
+        assert r.g == brute_grams(r.t, k)
+        assert [tuple(x) for x in r.w] == brute_winnow(r.t, k, window)
+        assert r.f == as_text(brute_winnow(r.t, k, window))
+        for left, right in zip(r.g, r.g[1:], strict=False):  # they roll: one word out, one in
+            assert len(r.t.split()) <= k or right in {(winnowing.BASE * left - pow(winnowing.BASE, k, winnowing.PRIME) * a + b) % winnowing.PRIME for a in brute_grams(r.t, 1) for b in brute_grams(r.t, 1)}
+
 
+def test_every_place_fits(spark):
+    ends = spark.createDataFrame([(h, i) for h in (0, 1, winnowing.PRIME - 1) for i in (0, 1, (1 << 26) + 5, (1 << 30) - 1)], "h long, i int")
+    e = (F.col("h") - winnowing.MIDDLE) * F.lit(1 << 30) + F.lit(winnowing.PLACES) - F.col("i")
+    rows = ends.select("h", "i", e.alias("e")).select("*", winnowing.hash_of(F.col("e")).alias("h2"), winnowing.place_of(F.col("e")).alias("i2")).collect()
+    assert all((r.h, r.i) == (r.h2, r.i2) for r in rows)
+    assert [(r.h, r.i) for r in sorted(rows, key=lambda r: r.e)] == sorted(((r.h, r.i) for r in rows), key=lambda x: (x[0], -x[1]))
 
-@pytest.mark.parametrize("buckets", [1, 3])
-def test_edited_texts(spark, buckets):
-    rows = [(5, "one two three four five six seven"), (9, "été " * 40), (2, None), (2, ""), (None, "last of all words"), (70, "x"), (71, "long word " * 20_000), (9, "été " * 40)]
-    frame = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n_chars int, edited string").repartition(3)
-    got = winnowing.compare_edited(frame)
+
+def brute_edited(rows, k, window):
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    wanted = []
-    for k, (i, t) in enumerate(order):
-        after = order[(k + 1) % len(order)][1]
+    out = []
+    for at, (i, t) in enumerate(order):
+        after = order[(at + 1) % len(order)][1]
         m = len(t) // 3
         edited = t[: len(t) - m] + after[:m]
-        wanted.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got.collect()), key=repr) == sorted(wanted, key=repr)
-    by = {r.doc_id: r for r in got.collect()}
-    assert 0.3 < by[9].near_edited <= 1 and all(0 <= r.near_next <= 1 for r in by.values())
+        own, other, next_ = (brute_winnow(x, k, window) for x in (t, edited, after))
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(own), as_text(other), brute_likeness(own, other), brute_likeness(own, next_)))
+    return out
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 50])
+def test_edited_texts(spark, monkeypatch, buckets):
+    monkeypatch.setattr(winnowing, "buckets_of", lambda docs: buckets)
+    rows = [(5, "one two three four five six seven"), (9, "été " * 40), (2, None), (2, ""), (None, "last of all words"), (None, "last of all but one"), (None, None), (70, "x"), (71, "long word " * 20_000)]
+    rows += [(9, "été " * 40), (-4, "\U0001f600 " * 9), (-(1 << 63), "least id of all"), ((1 << 63) - 1, "w" * 300_000), *((33, f"equal ids {n}") for n in range(40))]
+    frame = spark.createDataFrame([(i, t, 1, "c", "d", "e") for i, t in rows], "doc_id long, text string, n_chars int, edited string, fp string, next_text string").repartition(3)
+    got = [tuple(r) for r in winnowing.compare_edited(frame, 3, 4).collect()]
+    assert sorted(got, key=repr) == sorted(brute_edited(rows, 3, 4), key=repr)
+    assert len({r[3] for r in got if r[0] == 9}) == 1  # equal texts, equal fingerprints
     assert winnowing.compare_edited(frame.limit(0)).count() == 0
-    chained = winnowing.with_next(frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"], buckets)
-    assert sorted(r.next_text for r in chained.collect()) == sorted(t for _, t in order)
+
+
+def test_buckets_grow_with_rows(spark, monkeypatch):
+    frame = spark.range(1000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert winnowing.buckets_of(frame) == 12
+    monkeypatch.setattr(winnowing, "BUCKET_ROWS", 10)
+    assert winnowing.buckets_of(frame) == 100
+    found = winnowing._bounds(frame, 100)
+    assert 80 < len(found) <= 100 and found[0] == {"n": False, "d": -1000, "p": "393939"}
 
 
 def test_short_near_copies_share_fingerprints(spark, tmp_path):
@@ -155,9 +206,7 @@ def test_short_near_copies_share_fingerprints(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = op3_fingerprints(spark, str(tmp_path)).collect()
     assert len(got) == 80 and all(r.near_edited > 0 and r.near_next == 0 for r in got)
-    frame = spark.createDataFrame(rows, "i long, t string")
-    for r in frame.select(winnowing.gram_hashes(F.col("t"), 3).alias("g"), winnowing.winnow(F.col("t"), 3, 4).alias("w")).collect():
-        assert [(x >> 26, -(winnowing.PLACES - (x & winnowing.PLACES))) for x in r.w] == brute_winnow([g >> 26 for g in r.g], 4)
+    assert sorted(map(tuple, got)) == sorted(brute_edited(rows, 3, 4))
 
 
 def test_training_segments_span_the_text():
