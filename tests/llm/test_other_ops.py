@@ -102,6 +102,62 @@ def test_mined_rules_judge_the_rest(spark):
     assert [r.v for r in tokens.select(url_filter.by_mined(F.col("t"), mined).alias("v")).collect()] == ["block", None, None]
 
 
+def brute_rules(rows, min_support, min_confidence, longest):
+    """Rules by counting every set of tokens in every row, then dropping what a better rule with fewer tokens makes needless."""
+    from itertools import combinations
+
+    rows = [(frozenset(t), v) for t, v in rows if t]
+    by_token = {t: frozenset(i for i, (x, _) in enumerate(rows) if t in x) for t in set().union(*(t for t, _ in rows))}
+    first = {}
+    for t in sorted(by_token):
+        first.setdefault(by_token[t], t)
+    rows = [(sorted(x & set(first.values())), v) for x, v in rows]
+    all_, each = {}, {}
+    for x, v in rows:
+        for n in range(1, min(longest, len(x)) + 1):
+            for s in combinations(x, n):
+                all_[s] = all_.get(s, 0) + 1
+                each[s, v] = each.get((s, v), 0) + 1
+    least = math.ceil(len(rows) * min_support)
+    rules = [(s, v, n / all_[s], n / len(rows)) for (s, v), n in each.items() if n >= least and n / all_[s] >= min_confidence]
+    kept = []
+    for s, v, c, p in sorted(rules, key=lambda r: (-r[2], -r[3], len(r[0]), r[0])):
+        if not any(set(k) <= set(s) for k, *_ in kept):
+            kept.append((s, v, round(c, 9), round(p, 9)))
+    return kept
+
+
+@pytest.mark.parametrize("wide", [12, 0])
+@pytest.mark.parametrize(("seed", "longest"), [(1, 3), (2, 3), (3, 9), (4, 1)])
+def test_mined_rules_by_brute_force(spark, monkeypatch, wide, seed, longest):
+    monkeypatch.setattr(url_filter, "WIDE", wide)
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(150):
+        tokens = [t for t in "abcdefg" if rng.random() < 0.45]
+        bad = ("a" in tokens and "b" in tokens and rng.random() < 0.95) or ("c" in tokens and "d" not in tokens and rng.random() < 0.9) or rng.random() < 0.1
+        tokens += ["twin of a"] * ("a" in tokens) + ["twin of all"] + ["spam"] * (bad and rng.random() < 0.5)
+        rows.append((rng.sample(tokens, len(tokens)), "block" if bad else "allow"))
+    frame = spark.createDataFrame([*rows, (None, "block"), (["x"], None), ([], "allow")], "tokens array<string>, verdict string")
+    got = [(m.tokens, m.verdict, round(m.confidence, 9), round(m.support, 9)) for m in url_filter.mine(frame, 0.04, 0.8, longest)]
+    assert got == brute_rules(rows, 0.04, 0.8, longest)
+    assert longest == 1 or any(len(t) > 1 for t, *_ in got)
+
+
+def test_mining_ends_on_long_and_equal_urls(spark):
+    """60 path parts: equal in 100,000 rows, and each URL without one part of its own."""
+    parts = [f"path:{i}" for i in range(60)]
+    equal = spark.range(100_000).select(F.array(*map(F.lit, parts)).alias("tokens"), F.when(F.col("id") % 4 == 0, "allow").otherwise("block").alias("verdict"))
+    assert url_filter.mine(equal, 0.005, 0.9) == []
+    assert [(m.tokens, m.verdict) for m in url_filter.mine(equal, 0.005, 0.7)] == [(("path:0",), "block")]
+    lacking = [([p for j, p in enumerate(parts) if j != i % 60], "block" if i % 60 == 7 else "allow") for i in range(240)]
+    got = url_filter.mine(spark.createDataFrame(lacking, "tokens array<string>, verdict string"), 0.01, 0.99, 2)
+    assert [(m.tokens, m.verdict, m.confidence) for m in got] == [(("path:7",), "allow", 1.0)]
+    urls = [(i, "http://a.example.com/" + "/".join(f"s{j}" for j in range(2000)) + f"/{i}") for i in range(30)] + [(99, "http://b.net/es/" + "x" * 1_000_000)]
+    judged = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), RULES).collect()
+    assert len(judged) == 31 and {r.verdict for r in judged} == {"allow", "block"}
+
+
 def test_mined_rules_do_not_restate_the_explicit_ones(spark):
     urls = [f"http://a{i}.example.net/{'es' if i % 2 else 'fr'}/{i}{'/cheap-pills' if i % 5 == 0 else ''}" for i in range(40)] + [f"http://b{i}.site.com/de/{i}" for i in range(40)]
     urls += [f"http://c{i}.example.net/en/{i}" for i in range(10)] + [f"http://d{i}.other.org/en/{i}/cheap-pills" for i in range(5)]

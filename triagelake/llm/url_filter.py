@@ -4,10 +4,16 @@ Spark's FP-growth mines combinations of URL tokens that go with a label; rules b
 thresholds, or no better than a rule with fewer of the same tokens, are dropped. Each rule is listed in an inverted
 index under its rarest token, so a URL is tried against the rules of its own tokens only. All of it is DataFrame
 operations.
+
+FP-growth makes every subset of what rows have in common, 2 to the power of n for n tokens, so transactions are first
+rid of what cannot change a rule: tokens that no frequent rule can hold, tokens that alone settle the verdict, and all
+but one of tokens that always occur together. Where one still has more than ``WIDE`` tokens, patterns grow by a token a
+level instead, over distinct transactions, up to the rules' length; the rules are the same.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,6 +24,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LABEL = "verdict="
+#: Tokens of a transaction that FP-growth takes whole: it may make 2 ** (WIDE + 1) patterns of one.
+WIDE = 12
 
 
 @dataclass(frozen=True)
@@ -79,24 +87,69 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, max_tokens: int = 3) -> list[Mined]:
-    """Rules from ``labelled`` (tokens array<string>, verdict string), best first: confidence, support, fewer tokens.
+def _grown(rows: DataFrame, least: int, min_confidence: float, longest: int) -> list[Mined]:
+    """Rules of up to ``longest`` tokens by growing patterns a token a level; ``rows``: distinct (items, verdict, n).
 
-    Every labelled row counts. What reaches the driver is the rules alone; the thresholds bound their number, not
-    the table. Rows with null tokens or verdict teach nothing; without rows there are no rules.
+    A pattern grows on only if it is frequent under a verdict and does not settle it.
     """
-    rows = labelled.where("tokens is not null and verdict is not null and size(tokens) > 0")
-    items = rows.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
-    if items.isEmpty():
-        return []
+    total = rows.agg(F.sum("n")).first()[0]
+    level = rows.select("*", F.array().cast("array<string>").alias("pattern"), F.lit(0).alias("at"))
+    out: list[Mined] = []
+    for _ in range(longest):
+        level = level.select("items", "verdict", "n", "pattern", F.explode(F.sequence(F.col("at") + 1, F.size("items"))).alias("at")).where("at <= size(items)")
+        level = level.withColumn("pattern", F.concat("pattern", F.array(F.element_at("items", F.col("at")))))
+        counts = level.groupBy("pattern", "verdict").agg(F.sum("n").alias("n")).groupBy("pattern").agg(F.sum("n").alias("all"), F.collect_list(F.struct("verdict", "n")).alias("each"))
+        counts = counts.where(F.exists("each", lambda e: e["n"] >= least))
+        found = counts.collect()  # at most (patterns of a row) / min_support
+        for r in found:
+            out += [Mined(tuple(r.pattern), e.verdict, e.n / r["all"], e.n / total) for e in r.each if e.n >= least and e.n / r["all"] >= min_confidence]
+        alive = [r.pattern for r in found if len(r.each) > 1]
+        if not alive:
+            break
+        level = level.where("at < size(items)").join(rows.sparkSession.createDataFrame([(p,) for p in alive], "pattern array<string>"), "pattern", "left_semi")
+    return out
+
+
+def _by_fpgrowth(rows: DataFrame, min_support: float, min_confidence: float, longest: int) -> list[Mined]:
+    """Rules of up to ``longest`` tokens by Spark's FP-growth; ``rows``: (items, verdict), a row a URL."""
+    items = rows.select(F.concat("items", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(
-        F.element_at("consequent", 1).startswith(LABEL) & (F.size("antecedent") <= max_tokens) & ~F.exists("antecedent", lambda t: t.startswith(LABEL))
+        F.element_at("consequent", 1).startswith(LABEL) & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda t: t.startswith(LABEL))
     ).select(F.array_sort("antecedent").alias("tokens"), F.element_at("consequent", 1).alias("label"), "confidence", "support")
-    best = sorted((Mined(tuple(r.tokens), r.label.removeprefix(LABEL), r.confidence, r.support) for r in found.collect()), key=lambda m: (-m.confidence, -m.support, len(m.tokens), m.tokens))
+    return [Mined(tuple(r.tokens), r.label.removeprefix(LABEL), r.confidence, r.support) for r in found.collect()]
+
+
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, max_tokens: int = 3) -> list[Mined]:
+    """Rules from ``labelled`` (tokens array<string>, verdict string), best first: confidence, support, fewer tokens.
+
+    Every labelled row counts. A rule has at most ``max_tokens`` tokens and none that a better rule with some of the
+    same tokens makes needless; of tokens that always occur together the least by name stands for all. What reaches the
+    driver is frequent tokens and rules, at most (tokens or patterns of a row) / ``min_support``. Rows with null tokens
+    or verdict teach nothing; without rows there are no rules.
+    """
+    rows = labelled.where("tokens is not null and verdict is not null and size(tokens) > 0").select(F.array_distinct("tokens").alias("tokens"), "verdict")
+    distinct = rows.groupBy(F.array_sort("tokens").alias("tokens"), "verdict").agg(F.count("*").alias("n"))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return []
+    least = max(1, math.ceil(total * min_support))
+    mark = F.xxhash64("tokens", "verdict").cast("decimal(38,0)")
+    each = distinct.select("n", "verdict", mark.alias("m"), F.xxhash64("verdict", "tokens").cast("decimal(38,0)").alias("m2"), F.explode("tokens").alias("token"))
+    each = each.groupBy("token", "verdict").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("m2").alias("m2"))
+    each = each.groupBy("token").agg(F.sum("n").alias("all"), F.sum("m").alias("m"), F.sum("m2").alias("m2"), F.max(F.struct("n", "verdict")).alias("top")).where(F.col("top.n") >= least)
+    tokens = each.groupBy("all", "m", "m2").agg(F.min("token").alias("token"), F.first("top").alias("top")).collect()  # at most tokens of a row / min_support
+    mined = [Mined((r.token,), r.top.verdict, 1.0, r.top.n / total) for r in tokens if r.top.n == r["all"]]
+    open_ = F.array(*[F.lit(r.token) for r in tokens if r.top.n < r["all"]]).cast("array<string>")
+    left = distinct.select(F.array_sort(F.array_intersect("tokens", open_)).alias("items"), "verdict", "n")
+    left = left.groupBy("items", "verdict").agg(F.sum("n").alias("n"))
+    if left.agg(F.max(F.size("items"))).first()[0] > WIDE:
+        mined += _grown(left, least, min_confidence, max_tokens)
+    else:
+        mined += _by_fpgrowth(rows.select(F.array_intersect("tokens", open_).alias("items"), "verdict"), min_support, min_confidence, max_tokens)
     kept: list[Mined] = []
     seen: dict[str, list[Mined]] = {}
-    for m in best:
+    for m in sorted(mined, key=lambda m: (-m.confidence, -m.support, len(m.tokens), m.tokens)):
         if not any(set(k.tokens) <= set(m.tokens) for t in m.tokens for k in seen.get(t, [])):
             kept.append(m)
             seen.setdefault(m.tokens[0], []).append(m)
