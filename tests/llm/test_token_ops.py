@@ -1,6 +1,8 @@
 """Encoding, record files, packing and SentencePiece against the libraries and by hand."""
 
 import collections
+import random
+import struct
 import zlib
 
 import numpy as np
@@ -111,7 +113,7 @@ def test_empty_tables(spark, docs, tmp_path):
 
 def test_sentencepiece_equals_library(spark, docs):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    machine = sentencepiece_fst.Transducer(PIECES)
+    machine = sentencepiece_fst.Model(PIECES)
     for text in ODD:
         ids = machine.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text), text
@@ -122,13 +124,85 @@ def test_sentencepiece_equals_library(spark, docs):
     assert collections.Counter((r.doc_id, r.text) for r in back) == collections.Counter((g.doc_id, (g.text or "").replace("▁", " ")) for g in docs.collect())
 
 
-def test_unigram_path_is_the_lightest():
-    machine = sentencepiece_fst.Transducer(PIECES)
-    machine.kind = sentencepiece_fst.UNIGRAM
-    for word in ("▁hello", "▁abc", "▁the"):
-        ways = [split(word, cut) for cut in range(1 << (len(word) - 1))]
-        best = min(sum(-machine.pieces[p][1] for p in parts) for parts in ways if all(p in machine.pieces for p in parts))
-        assert sum(-machine.pieces[p][1] for p in machine._lightest(word)) == pytest.approx(best)
+def field(number, value):
+    """One field of a protocol buffer message."""
+    size = lambda n: bytes([n & 127 | 128]) + size(n >> 7) if n > 127 else bytes([n])
+    if isinstance(value, int):
+        return size(number << 3) + size(value)
+    if isinstance(value, float):
+        return size(number << 3 | 5) + struct.pack("<f", value)
+    return size(number << 3 | 2) + size(len(value)) + value
+
+
+def model_file(path, kind, pieces, byte_fallback, prefix, squeeze):
+    """A model written by hand: (piece, score) of the normal ones, beside the unknown one and the bytes."""
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if byte_fallback] + [(p, x, 1) for p, x in pieces]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, x) + field(3, t)) for p, x, t in listed)
+    data += field(2, field(3, kind) + field(4, len(listed)) + field(35, int(byte_fallback)))
+    data += field(3, field(1, b"identity") + field(2, b"") + field(3, int(prefix)) + field(4, int(squeeze)) + field(5, 1))
+    path.write_bytes(data)
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [sentencepiece_fst.UNIGRAM, sentencepiece_fst.BPE])
+@pytest.mark.parametrize(("byte_fallback", "prefix", "squeeze"), [(True, True, False), (True, False, True), (False, True, True), (False, False, False)])
+def test_hand_made_models_equal_library(tmp_path, kind, byte_fallback, prefix, squeeze):
+    rng = random.Random(3)
+    texts = {"▁", *"abcd", "é", "▁▁"}
+    while len(texts) < 60:  # every piece joins two others, as merging needs
+        a, b = rng.choice(sorted(texts)), rng.choice(sorted(texts))
+        if len(a + b) <= 6 and "▁" not in b:
+            texts.add(a + b)
+    order = sorted(texts, key=lambda t: (len(t), rng.random()))
+    # different sums for different paths: unigram scores are powers apart, byte-pair scores ranks
+    pieces = [(t, -(i + 1.0) if kind == sentencepiece_fst.BPE else -4.0 - len(t) - rng.randrange(1 << 12) / (1 << 10)) for i, t in enumerate(order)]
+    path = model_file(tmp_path / "m.model", kind, pieces, byte_fallback, prefix, squeeze)
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.Model(path)
+    inputs = ["", " ", "   ", "a", " a  b ", "xyz é日本 日", "▁a▁ b▁", "ab▁▁cd", "\ta\nb c", *("".join(rng.choice("aabbccdé  x") for _ in range(rng.randint(1, 40))) for _ in range(300))]
+    for text in inputs:
+        ids = machine.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text), text
+        assert machine.decode(ids) == library.decode(library.encode(text)), text
+
+
+def test_shortest_path_is_the_lightest_of_all():
+    rng = random.Random(5)
+    for flat in (False, True):
+        for _ in range(200):
+            weights = {p: 0.0 if flat else rng.randrange(9) / 4 for p in {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(6)}}
+            machine = sentencepiece_fst.Pieces(weights, 0.0 if flat else 3.0)
+            text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
+            weigh = lambda parts: sum(weights.get(p, 0.0 if flat else 3.0) for p in parts)  # noqa: B023, E731
+            ways = [split(text, cut) for cut in range(1 << max(0, len(text) - 1))] if text else [[]]
+            best = min(weigh(parts) for parts in ways if all(p in weights or len(p) == 1 for p in parts))
+            got = sentencepiece_fst.shortest_path(text, machine, sentencepiece_fst.AnyNeighbours())
+            assert "".join(got) == text and weigh(got) == best
+
+
+def test_normaliser_states():
+    plain, squeezed = sentencepiece_fst.Normaliser(True, False), sentencepiece_fst.Normaliser(True, True)
+    assert plain.run(plain.START, "  a b ") == (plain.BODY, "▁▁▁a▁b▁")
+    assert squeezed.run(squeezed.START, "  a  b ") == (squeezed.GAP, "▁a▁b")
+    assert squeezed.run(squeezed.BODY, " c") == (squeezed.BODY, "▁c")
+
+
+def test_very_long_words(spark, tmp_path):
+    """Words of millions of characters through all three encoders."""
+    rng = random.Random(9)
+    texts = ["a" * 2_000_000, "".join(rng.choice("etaoinsh") for _ in range(2_000_000)), "日本é" * 300_000]
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_fst.Model(PIECES)
+    for t in texts[1:]:
+        assert np.frombuffer(machine.encode(t), "<u4").tolist() == library.encode(t)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    wanted = {i: library_ids(t) for i, t in enumerate(texts)}
+    pieces = collections.defaultdict(dict)
+    for r in packing.pack_documents(frame, WORDS).collect():
+        pieces[r.doc_id][r.start] = (r.length, r.ids_crc32)
+    for i, ids in wanted.items():
+        assert pieces[i] == {at: (len(ids[at : at + 2048]), crc(ids[at : at + 2048])) for at in range(0, len(ids), 2048)}
+    out = f"file://{tmp_path}/long"
+    token_records.write_records(frame, out, WORDS)
+    assert {r.doc_id: r.ids_crc32 for r in token_records.scan_records(spark, out).collect()} == {i: crc(ids) for i, ids in wanted.items()}
 
 
 def split(word, cut):

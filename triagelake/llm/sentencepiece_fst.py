@@ -1,22 +1,24 @@
-"""SentencePiece encoding and decoding by a weighted transducer.
+"""SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model file is compiled into three machines: a normaliser (spaces to the piece mark, a mark put first), a trie of
-pieces whose leaves give ids, and byte fallback for characters that no piece holds. Composed with an input they give
-a lattice of segmentations, and the encoding is its shortest path in the tropical semiring.
+A model file is compiled into machines: a normaliser (spaces to the piece mark, a mark put first), the pieces (a trie
+whose final states give ids, with a byte fallback arc for characters that no piece holds), and an acceptor of neighbouring
+pieces. Composed with an input they give a lattice of segmentations, and the encoding is its shortest path in the
+tropical semiring: weights along a path add, of paths the least counts. Composition is lazy: only states that the search
+reaches are made.
 
-For a unigram model an arc weighs minus its piece's score. For a byte-pair model sums of scores are not what decides;
-there the lattice is composed with one more acceptor, which lets piece b follow piece a at weight 0 only if merging
-their joined text gives just a and b, and at infinite weight else. A segmentation whose neighbours all pass is the one
-that merging finds, and there is exactly one, so the shortest path is the merged result, and each prefix of an
-input has one last piece.
+For a unigram model a piece's arc weighs minus its score and any piece may follow any other. For a byte-pair model sums
+of scores are not what decides; there arcs weigh 0 and the acceptor lets piece b follow piece a at weight 0 only if
+merging their joined text gives just a and b, and at infinite weight else. A segmentation whose neighbours all pass is
+the one that merging finds, and there is exactly one, so the shortest path is the merged result.
 
-No piece has the mark after another character, so an input falls into words before it is composed, and a bounded memo
-keeps their paths.
+No piece has the mark after another character, so an input falls into chunks, spaces with the word behind them, after
+each of which the normaliser is in one state and the pieces in their start. A bounded memo keeps the chunks' paths.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 import zlib
@@ -24,6 +26,7 @@ from array import array
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,6 +38,7 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 MEMO_WORDS = 800_000
+INFINITE = float("inf")
 SCHEMA = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string"
 
 
@@ -64,7 +68,163 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
-class Transducer:
+class Normaliser:
+    """A transducer over runs of spaces and of other characters: arcs (state, is space) -> (next state, output).
+
+    ``None`` as output copies the run. ``squeeze``: a run of spaces counts as one, those at either end as none.
+    """
+
+    START, BODY, GAP = range(3)
+
+    def __init__(self, prefix: bool, squeeze: bool) -> None:
+        first = MARK if prefix else ""
+        if squeeze:
+            self.arcs = {(self.START, True): (self.START, ""), (self.BODY, True): (self.GAP, ""), (self.GAP, True): (self.GAP, "")}
+            self.arcs |= {(self.START, False): (self.BODY, first), (self.BODY, False): (self.BODY, ""), (self.GAP, False): (self.BODY, MARK)}
+        else:
+            self.arcs = {(self.START, space): (self.BODY, first) for space in (True, False)} | {(self.BODY, space): (self.BODY, "") for space in (True, False)}
+        self.squeeze = squeeze
+
+    def run(self, state: int, text: str) -> tuple[int, str]:
+        """(state after, output) of a text from ``state``."""
+        out = []
+        for part in re.findall(" +|[^ ]+", text):
+            space = part[0] == " "
+            state, before = self.arcs[state, space]
+            out.append(before)
+            if not space:
+                out.append(part)
+            elif not self.squeeze:
+                out.append(MARK * len(part))
+        return state, "".join(out)
+
+
+class Pieces:
+    """The trie of pieces as a transducer: ``arcs[state][char]`` is the next state, ``final[state]`` the (weight, piece)
+    that closes there and leads back to state 0. ``fallback`` weighs the arc of a character that is no piece."""
+
+    def __init__(self, weights: dict[str, float], fallback: float) -> None:
+        none: dict[str, int] = {}
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: list[tuple[float, str] | None] = [None]
+        for piece, weight in weights.items():
+            state = 0
+            for char in piece:
+                if self.arcs[state] is none:
+                    self.arcs[state] = {}
+                state, before = self.arcs[state].setdefault(char, len(self.arcs)), state
+                if state == len(self.arcs):
+                    self.arcs.append(none)
+                    self.final.append(None)
+            self.final[state] = (weight, piece)
+        self.fallback = fallback
+        self.flat = not fallback and not any(weights.values())
+
+
+class AnyNeighbours:
+    """The acceptor of a unigram model: one state, every piece passes at weight 0."""
+
+    def state(self, piece: str) -> str:
+        return ""
+
+    def weight(self, state: str, piece: str) -> float:
+        return 0.0
+
+
+class MergedNeighbours:
+    """The acceptor of a byte-pair model: its state is the last piece, and a piece passes if merging leaves both as they are.
+
+    After a character without a piece, as at the start, the state is empty and a piece passes if merging makes it. If all
+    neighbours pass, no merge of the whole text crosses a border: the first to do so would also do in merging those two.
+    """
+
+    def __init__(self, scores: dict[str, float]) -> None:
+        self.scores = scores
+        self.known: dict[tuple[str, str], float] = {}
+
+    def merge(self, text: str) -> list[str]:
+        """Byte-pair merging: the adjacent pair with the best joined piece, the leftmost of equals, until none is left."""
+        parts, scores = list(text), self.scores
+        while len(parts) > 1:
+            best, where = None, 0
+            for i in range(len(parts) - 1):
+                score = scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, where = score, i
+            if best is None:
+                break
+            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        return parts
+
+    def state(self, piece: str) -> str:
+        return piece
+
+    def weight(self, state: str, piece: str) -> float:
+        found = self.known.get((state, piece))
+        if found is None:
+            if len(self.known) > 4 * MEMO_WORDS:
+                self.known.clear()
+            found = self.known[state, piece] = 0.0 if self.merge(state + piece) == ([state, piece] if state else [piece]) else INFINITE
+        return found
+
+
+def shortest_path(text: str, pieces: Pieces, neighbours: AnyNeighbours | MergedNeighbours) -> list[str]:
+    """The pieces along the lightest path of a text through both machines; a character that no piece holds stands alone.
+
+    Best first over states (place in the text, state of the acceptor), which needs weights of 0 or more: of equal weights
+    the path that has come farthest goes first, then the one whose last piece is longest. An arc's weight by the acceptor
+    is looked up only when its turn comes. Where all pieces weigh 0, what is queued last has come farthest, so the queue
+    is a stack.
+    """
+    n, arcs, final, weight_of, state_of = len(text), pieces.arcs, pieces.final, neighbours.weight, neighbours.state
+    root = arcs[0]
+    queue: list[tuple[float, int, int, str, str]] = []
+    push, pop = (list.append, list.pop) if pieces.flat else (heapq.heappush, heapq.heappop)
+    back: dict[tuple[int, str], tuple[int, str, str]] = {}
+    at, place, state = 0.0, 0, ""
+    while place < n:
+        node = root.get(text[place], 0)
+        if not node or final[node] is None:
+            push(queue, (at + pieces.fallback, -place - 1, place, state, ""))
+        end = place
+        while node:
+            end += 1
+            closed = final[node]
+            if closed is not None:
+                push(queue, (at + closed[0], -end, place, state, closed[1]))
+            node = arcs[node].get(text[end], 0) if end < n else 0
+        while True:
+            at, end, start, before, piece = pop(queue)
+            if piece and (step := weight_of(before, piece)):
+                if step != INFINITE:
+                    push(queue, (at + step, end, start, before, piece))
+                continue
+            place, state = -end, state_of(piece)
+            if (place, state) not in back:
+                back[place, state] = start, before, piece
+                break
+    out: list[str] = []
+    while place:
+        start, before, piece = back[place, state]
+        out.append(piece or text[start])
+        place, state = start, before
+    out.reverse()
+    return out
+
+
+class Memo(dict):
+    """chunk -> the ids along its path, learnt at the first look-up."""
+
+    def __init__(self, machine: Model, state: int) -> None:
+        super().__init__()
+        self.machine, self.state = machine, state
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.machine.ids_of(self.machine.normaliser.run(self.state, chunk)[1])
+        return ids
+
+
+class Model:
     """A compiled model; ``encode`` and ``decode`` are each other's inverse up to the normaliser."""
 
     def __init__(self, path: str) -> None:
@@ -74,21 +234,25 @@ class Transducer:
         normaliser = dict(_fields(next((v for k, v in parts if k == 3), b"")))
         if normaliser.get(2):
             raise ValueError("models with a character map of their own are not supported")
+        if not normaliser.get(5, 1):
+            raise ValueError("models that leave spaces as they are are not supported")
         self.kind = trainer.get(3, UNIGRAM)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and byte-pair models have weights")
-        self.prefix, self.squeeze = normaliser.get(3, 1), normaliser.get(4, 1)
-        self.pieces: dict[str, tuple[int, float]] = {}
+        self.prefix, self.squeeze = bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1))
+        scores: dict[str, float] = {}
+        self.id_of: dict[str, int] = {}
         self.text_of: list[bytes] = []
         self.byte_ids: dict[int, int] = {}
         self.unknown = 0
         for number, (_, value) in enumerate(x for x in parts if x[0] == 1):
             piece = dict(_fields(value))
             text, kind = piece[1].decode(), piece.get(3, NORMAL)
-            (score,) = struct.unpack("<f", piece.get(2, b"\0\0\0\0"))
+            if kind == USER:
+                raise ValueError("models with user-defined pieces are not supported")
             shown = b""
-            if kind in (NORMAL, USER):
-                self.pieces[text] = (number, score)
+            if kind == NORMAL:
+                self.id_of[text], scores[text] = number, struct.unpack("<f", piece.get(2, b"\0\0\0\0"))[0]
                 shown = text.replace(MARK, " ").encode()
             elif kind == BYTE:
                 self.byte_ids[int(text[3:5], 16)] = number
@@ -96,155 +260,83 @@ class Transducer:
             elif kind == UNKNOWN:
                 self.unknown, shown = number, " ⁇ ".encode()
             self.text_of.append(shown)
-        #: the trie: every prefix of a piece, with the piece's arc where it is one
-        self.trie: dict[str, tuple[int, float] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p) + 1)} | self.pieces
-        self.single = {c: self.pieces.get(c) for p in self.pieces for c in p}
-        self.by_words = not any(MARK in p.lstrip(MARK) for p in self.pieces)
-        self.worst = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        self.memo: dict[str, bytes] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
-
-    def normalise(self, text: str) -> str:
-        """The input that the pieces are composed with."""
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if text and self.prefix:
-            text = " " + text
-        return text.replace(" ", MARK)
-
-    def merge(self, text: str) -> list[str]:
-        """Byte-pair merging: the adjacent pair with the best joined piece, the leftmost of equals, until none is left."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(
-                ((self.pieces[j][1], -i) for i in range(len(parts) - 1) if (j := parts[i] + parts[i + 1]) in self.pieces),
-                default=None,
-            )
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def may_follow(self, a: str, b: str) -> bool:
-        """The acceptor of neighbours of a byte-pair model."""
-        found = self.follows.get((a, b))
-        if found is None:
-            if len(self.follows) > 4 * MEMO_WORDS:
-                self.follows.clear()
-            found = self.follows[a, b] = self.merge(a + b) == [a, b]
-        return found
+        #: ids of pieces that begin with the mark
+        self.marked = {number for text, number in self.id_of.items() if text.startswith(MARK)}
+        self.normaliser = Normaliser(self.prefix, self.squeeze)
+        if self.kind == BPE:
+            self.pieces, self.neighbours = Pieces(dict.fromkeys(scores, 0.0), 0.0), MergedNeighbours(scores)
+        else:
+            # Every path holds each character once, so a constant for each makes weights 0 or more and changes no order.
+            each = max(0.0, *scores.values()) if scores else 0.0
+            worst = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
+            self.pieces, self.neighbours = Pieces({p: each * len(p) - s for p, s in scores.items()}, each - worst), AnyNeighbours()
+        by_words = not any(MARK in p.lstrip(MARK) for p in scores)
+        #: Where an input may be cut: before spaces and marks that follow something else.
+        self.chunks = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+" if by_words else "(?s).+")
+        self.first, self.memo = Memo(self, Normaliser.START), Memo(self, Normaliser.BODY)
+
+    def ids_of(self, normal: str) -> bytes:
+        """Ids along the shortest path of a normalised chunk, as little-endian unsigned 32-bit bytes."""
+        out: list[int] = []
+        for piece in shortest_path(normal, self.pieces, self.neighbours):
+            number = self.id_of.get(piece)
+            out += self.fallback(piece) if number is None else (number,)
+        return array("I", out).tobytes()
 
     def fallback(self, char: str) -> list[int]:
         """Ids of a character that no piece holds."""
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
-    def path(self, word: str) -> list[int]:
-        """Ids along the shortest path of one word's lattice."""
-        along = self._merged(word) if self.kind == BPE else self._lightest(word)
-        return [i for piece in along for i in ((self.pieces[piece][0],) if piece in self.pieces else self.fallback(piece))]
-
-    def _lightest(self, word: str) -> list[str]:
-        """The pieces of the lightest path, weights being minus the scores."""
-        n, trie = len(word), self.trie
-        weight, back = [0.0] + [float("inf")] * n, [""] * (n + 1)
-        for i in range(n):
-            if self.single.get(word[i]) is None and weight[i] - self.worst < weight[i + 1]:
-                weight[i + 1], back[i + 1] = weight[i] - self.worst, word[i]
-            for j in range(i + 1, n + 1):
-                piece = word[i:j]
-                if piece not in trie:
-                    break
-                if (arc := trie[piece]) is not None and weight[i] - arc[1] < weight[j]:
-                    weight[j], back[j] = weight[i] - arc[1], piece
-        out = []
-        while n:
-            out.append(back[n])
-            n -= len(back[n])
-        return out[::-1]
-
-    def _merged(self, word: str) -> list[str]:
-        """The pieces of the one path of finite weight, found depth first, longest pieces first.
-
-        All paths of finite weight to a place are one, so a place that leads no further is tried once.
-        """
-        n, trie, follows = len(word), self.trie, self.follows
-        out: list[str] = []
-        waiting: list[list[str]] = []
-        dead: set[int] = set()
-        at, before = 0, ""
-        while at < n:
-            arcs, j = [], at + 1
-            while j <= n and (piece := word[at:j]) in trie:
-                if trie[piece] is not None:
-                    arcs.append(piece)
-                j += 1
-            if j == at + 1:  # fallback is a barrier: nothing merges with it
-                out.append(word[at])
-                waiting.append([])
-                at, before = at + 1, ""
-                continue
-            while True:
-                if not arcs:
-                    dead.add(at)
-                    at -= len(out.pop())
-                    arcs = waiting.pop()
-                    before = out[-1] if out and out[-1] in trie else ""
-                    continue
-                piece = arcs.pop()
-                if dead and at + len(piece) in dead:
-                    continue
-                if before:
-                    passes = follows.get((before, piece))
-                    if passes is None:
-                        passes = self.may_follow(before, piece)
-                    if not passes:
-                        continue
-                break
-            out.append(piece)
-            waiting.append(arcs)
-            at, before = at + len(piece), piece
-        return out
-
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit bytes; null and empty texts have none."""
-        text = self.normalise(text or "")
-        words = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.by_words else [text] * bool(text)
-        memo, out = self.memo, []
-        for word in words:
-            ids = memo.get(word)
-            if ids is None:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                ids = memo[word] = array("I", self.path(word)).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        if self.squeeze:
+            text = (text or "").strip(" ").rstrip(f" {MARK}")
+        if not text:
+            return b""
+        chunks = self.chunks.findall(text)
+        if len(self.memo) + len(self.first) > MEMO_WORDS:
+            self.memo.clear()
+            self.first.clear()
+        ids = self.first[chunks[0]] + b"".join(map(self.memo.__getitem__, chunks[1:]))
+        return ids if self.byte_ids else self._one_unknown(ids)
+
+    def _one_unknown(self, ids: bytes) -> bytes:
+        """Without byte pieces a run of unknown characters has one id."""
+        found = np.frombuffer(ids, "<u4")
+        again = np.concatenate(([False], (found[1:] == self.unknown) & (found[:-1] == self.unknown)))
+        return found[~again].tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: bytes that are no UTF-8 become U+FFFD, and the space put first goes."""
-        data = b"".join(map(self.text_of.__getitem__, array("I", ids)))
-        text = data.decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        numbers = array("I", ids)
+        shown = list(map(self.text_of.__getitem__, numbers))
+        if self.prefix or self.squeeze:
+            for i, number in enumerate(numbers):
+                if number in self.marked:
+                    shown[i] = shown[i][1:]
+                if shown[i] or not self.squeeze:  # squeezed, a mark alone does not end the beginning
+                    break
+        return b"".join(shown).decode("utf-8", "replace")
 
 
-def transducer(path: str) -> Transducer:
+def model(path: str) -> Model:
     """The worker's own compiled model; its memo outlives the task."""
-    return held(("transducer", path), lambda: Transducer(path))
+    return held(("pieces", path), lambda: Model(path))
 
 
 def _round_trip(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    machine = transducer(path)
-    byte_ids = set(machine.byte_ids.values())
+    machine = model(path)
+    of_byte = np.zeros(len(machine.text_of), bool)
+    of_byte[list(machine.byte_ids.values())] = True
     for batch in rows:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for some in batches(texts):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(doc_ids[some], texts[some], strict=True):
                 ids = machine.encode(text)
-                values = array("I", ids)
-                of_bytes = sum(map(byte_ids.__contains__, values))
+                of_bytes = int(of_byte[np.frombuffer(ids, "<u4")].sum())
                 decoded = machine.decode(ids).encode("utf-8", "surrogatepass")
-                for column, value in zip(out, (doc_id, len(values), of_bytes, zlib.crc32(ids), hashlib.sha256(decoded).hexdigest()), strict=True):
+                for column, value in zip(out, (doc_id, len(ids) // 4, of_bytes, zlib.crc32(ids), hashlib.sha256(decoded).hexdigest()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string())], ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256"])
 
@@ -260,7 +352,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _encode(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    machine = transducer(path)
+    machine = model(path)
     for batch in rows:
         ids = [array("I", machine.encode(t)).tolist() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
@@ -272,7 +364,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _decode(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    machine = transducer(path)
+    machine = model(path)
     for batch in rows:
         texts = [machine.decode(array("I", ids or []).tobytes()) for ids in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
