@@ -89,7 +89,9 @@ def pack(pieces: DataFrame, max_len: int) -> DataFrame:
 
     ``pieces`` is read twice: pass a written table. Ranks come from counts by (length, bucket), so that a length
     with a third of all pieces is spread over as many tasks as there are buckets. Rows of length 0 or null get
-    null places. The slot table is broadcast: it has at most a few rows per length, whatever the input's size.
+    null places. The first ranks, a row for each length and bucket, grow with the buckets and are therefore merged, not
+    broadcast: the ranking needs the pieces by length and bucket anyway, so this costs no further shuffle. The slot table
+    is broadcast: it has at most a few rows per length, whatever the input's size.
     """
     spark = pieces.sparkSession
     pieces = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(partitions(spark))))
@@ -103,7 +105,7 @@ def pack(pieces: DataFrame, max_len: int) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = materialize(counts.select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "pack-base")
     ranked = (
-        pieces.join(base, ["length", "_b"], "left")
+        pieces.join(base.hint("merge"), ["length", "_b"], "left")
         .withColumn("_r", F.col("_base") + F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "start")) - 1)
         .join(F.broadcast(slots), (F.col("length") == F.col("_l")) & (F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_to")), "left")
     )
