@@ -66,6 +66,8 @@ def test_records_hold_all_documents_in_order(spark, docs, tmp_path):
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == collections.Counter((g.doc_id, len(i := library_ids(g.text)), crc(i)) for g in given)
     assert [r.doc_id for r in rows] == sorted((g.doc_id for g in given), key=lambda x: (x is not None, x))
     assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
+    by_text = [(g.doc_id, crc(library_ids(g.text))) for g in sorted(given, key=lambda g: (g.doc_id is not None, g.doc_id or 0, g.text is not None, (g.text or "").encode()))]
+    assert [(r.doc_id, r.ids_crc32) for r in rows] == by_text
     read = token_records.shuffled_read(spark, out, index, 3).orderBy("place").collect()
     assert collections.Counter((r.doc_id, crc(r.ids)) for r in read) == collections.Counter((r.doc_id, r.ids_crc32) for r in rows)
     assert [r.doc_id for r in read] != [r.doc_id for r in rows]
@@ -95,12 +97,26 @@ def test_packing_is_gapless_and_whole(docs):
     sequences = collections.defaultdict(list)
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
+    totals = []
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
         assert at <= 256
+        totals.append(at)
+    assert sorted(sequences) == list(range(len(sequences)))
+    assert all(a + b > 256 for i, a in enumerate(totals) for b in totals[:i])  # no two could be one
+
+
+def test_padding_is_little():
+    rng = random.Random(1)
+    for most in (16, 256, 2048):
+        counts = collections.Counter(min(most, int(rng.expovariate(4 / most)) + 1) for _ in range(5000))
+        patterns = packing.pack_histogram(counts, most)
+        tokens = sum(k * n for k, n in counts.items())
+        padded = sum(n * (0 if (t := sum(p)) == most or t & (t - 1) == 0 else most - t) for p, n in patterns)
+        assert packing.pad_of(patterns, most) == padded < (0.02 if most > 16 else 0.15) * tokens
 
 
 def test_empty_tables(spark, docs, tmp_path):

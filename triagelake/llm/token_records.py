@@ -34,6 +34,8 @@ from .tokenize import batches, encoder
 MAGIC = b"TLKR"
 MASK_ADD = 0xA282EAD8
 HEAD, TAIL = 12, 4
+#: Code points of a text by which rows of one doc_id are dealt.
+PREFIX = 16
 INDEX_SCHEMA = "part int, chunk int, record int, doc_id long, offset long, length long, n_tokens long, before long, ids_crc32 long, path string"
 
 
@@ -106,9 +108,11 @@ def write_records(docs: DataFrame, out: str, vocabulary: str, end_id: int = 1, c
     """Encode every whole ``text`` of ``docs`` (null: empty), append ``end_id``, and write record files to ``out``.
 
     Documents are range-partitioned by doc_id, so files in order hold them in ascending doc_id; a file holds
-    ``chunk_bytes`` and at most one document more. Repeated doc_ids stand side by side, null doc_ids first.
+    ``chunk_bytes`` and at most one document more. Repeated doc_ids stand side by side in the order of their texts, null
+    texts first, and null doc_ids before all others; such a run is split between partitions by the texts' beginnings.
     """
-    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    start = F.substring("text", 1, PREFIX)
+    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id", start).sortWithinPartitions("doc_id", "text")
     chunks = ranged.mapInArrow(partial(_chunks, path=vocabulary, end_id=end_id, chunk_bytes=chunk_bytes), "data binary")
     chunks.select(F.col("data").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(out)
 
