@@ -247,7 +247,7 @@ def test_edited_texts(spark, monkeypatch, buckets):
 
 def test_buckets_grow_with_rows(spark, monkeypatch):
     frame = spark.range(1000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    assert winnowing.buckets_of(frame) == 12
+    assert winnowing.buckets_of(frame) == 6
     monkeypatch.setattr(winnowing, "BUCKET_ROWS", 10)
     assert winnowing.buckets_of(frame) == 100
     found = winnowing._bounds(frame, 100)

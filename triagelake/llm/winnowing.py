@@ -191,8 +191,8 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
 
 
 def buckets_of(docs: DataFrame) -> int:
-    """Ranges for ``docs``: four a shuffle partition, or one for ``BUCKET_ROWS`` rows if that is more."""
-    return max(4 * partitions(docs.sparkSession), -(-docs.count() // BUCKET_ROWS))
+    """Ranges for ``docs``: two a shuffle partition, or one for ``BUCKET_ROWS`` rows if that is more."""
+    return max(2 * partitions(docs.sparkSession), -(-docs.count() // BUCKET_ROWS))
 
 
 def compare_edited(docs: DataFrame, k: int = 3, window: int = 4) -> DataFrame:
