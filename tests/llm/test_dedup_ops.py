@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import random
+from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from triagelake.llm import line_dedup, ngram_join, substring_dedup, words
+from triagelake.llm import blocks, hot, line_dedup, ngram_join, substring_dedup, words
 from triagelake.llm.graph import connected_components
 
 ODD = [(100, None), (101, ""), (102, " \n\t "), (103, "one two"), (104, "ONE two"), (105, "solo"), (106, "long " * 30_000), (107, "w" * 2_000_000), (None, "no id at all but a text"), (108, "Ünï cödé " * 5)]
@@ -58,9 +60,19 @@ def components(rows, linked):
     return {i: root(i) for i in low}
 
 
+@pytest.fixture
+def many_hot(monkeypatch):
+    """Every token of a few documents counts as hot."""
+    monkeypatch.setattr(hot, "LEAST", 3)
+    monkeypatch.setattr(hot, "SHARE", 1e-9)
+
+
+@pytest.mark.parametrize("spread", [False, True])
 @pytest.mark.parametrize("frequent", [6, 1])
-def test_near_duplicates_by_brute_force(spark, monkeypatch, frequent):
+def test_near_duplicates_by_brute_force(spark, monkeypatch, request, frequent, spread):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    if spread:
+        request.getfixturevalue("many_hot")
     rows = corpus(frequent) + ODD
     sets = {t: shingles(t) for _, t in rows}
     link = lambda x, y: bool(sets[x]) and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
@@ -106,7 +118,10 @@ def brute_lines(rows, edits=2, least=32):
     return out
 
 
-def test_lines_by_brute_force(spark):
+@pytest.mark.parametrize("spread", [False, True])
+def test_lines_by_brute_force(spark, request, spread):
+    if spread:
+        request.getfixturevalue("many_hot")
     rng = random.Random(4)
     rows = [r for r in corpus(3, 25) if r[1]]
     for i in range(200, 240):
@@ -187,13 +202,47 @@ def brute_windows(rows, size=13):
     return out
 
 
+@pytest.mark.parametrize("spread", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_windows_by_brute_force(spark, seed):
+def test_windows_by_brute_force(spark, request, seed, spread):
+    if spread:
+        request.getfixturevalue("many_hot")
     rows = corpus(seed) + ODD
     got = substring_dedup.remove_repeats(frame(spark, rows).select("doc_id", "text"), digest=True).collect()
     assert collections.Counter(map(tuple, got)) == brute_windows(rows)
 
 
+def uneven(blocks_frame):
+    """The largest partition's bytes of blocks, as a multiple of the median's."""
+    sizes = sorted(r.b for r in blocks_frame.groupBy("part").agg(F.sum(F.length("data")).alias("b")).collect())
+    return sizes[-1] / sizes[len(sizes) // 2]
+
+
+def test_a_passage_that_all_documents_share_is_spread(spark, monkeypatch):
+    """20 words in every document, and one beginning in every line: no partition holds three times the median."""
+    parts = 96
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    monkeypatch.setattr(hot, "SAMPLE", 4)
+    try:
+        rng = random.Random(3)
+        own = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+        passage = own(20)
+        docs = spark.createDataFrame([(i, f"{own(20)} {passage} {own(20)}") for i in range(900)], "doc_id long, text string").repartition(4)
+        for units, tokens_of, post in (
+            (docs.select("text"), partial(ngram_join.shingles_of, k=5), lambda h: docs.select("text").mapInArrow(partial(ngram_join._postings, k=5, parts=parts, least=1, hot=h), blocks.SCHEMA)),
+            (docs.select("text"), partial(substring_dedup.all_of, each=substring_dedup.anchors_of, window=13), lambda h: docs.mapInArrow(partial(substring_dedup._anchor_postings, window=13, parts=parts, hot=h), blocks.SCHEMA)),
+        ):
+            found = hot.find(units, tokens_of)
+            assert 0 < len(found) <= parts / hot.SHARE
+            assert uneven(post(found)) < 3 < uneven(post(blocks.NONE))
+        lines = spark.createDataFrame([(i, "\n".join(f"Written by the author named {own(3)}" for _ in range(4))) for i in range(900)], "doc_id long, text string").repartition(4)
+        found = line_dedup.hot_entries(lines.select("text"), 32, 2)
+        post = lambda h: lines.select("text").mapInArrow(partial(line_dedup._entry_postings, min_chars=32, edits=2, parts=parts, hot=h), blocks.SCHEMA)
+        assert 0 < len(found) and uneven(post(found)) < 3 < uneven(post(blocks.NONE))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 3)
+
+
 def test_kept_text_and_columns(spark):
     repeated = " ".join(f"r{i}" for i in range(13))
     rows = [(1, f"a\n{repeated} b"), (2, f"  x y\t{repeated}\n\nz"), (3, None)]

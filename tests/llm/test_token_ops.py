@@ -116,7 +116,7 @@ def test_padding_is_little():
         patterns = packing.pack_histogram(counts, most)
         tokens = sum(k * n for k, n in counts.items())
         padded = sum(n * (0 if (t := sum(p)) == most or t & (t - 1) == 0 else most - t) for p, n in patterns)
-        assert packing.pad_of(patterns, most) == padded < (0.02 if most > 16 else 0.15) * tokens
+        assert packing.pad_of(patterns, most) == padded < (0.02 if most > 256 else 0.15) * tokens
 
 
 def test_empty_tables(spark, docs, tmp_path):

@@ -3,7 +3,8 @@
 A map task collects postings, cuts them by target partition and sends one block per target and batch. A block holds
 records, one per owner: the owner's 64-bit id, a 32-bit number of its own, and its tokens, of which only the first
 ``width`` bytes travel. The target of a posting follows from the upper 32 bits of its token or owner alone, so blocks
-of equal keys meet, and as tokens are hashes the targets are even.
+of equal keys meet, and as tokens are hashes the targets are even; tokens with too many postings for that (``hot``) are
+dealt by token and owner.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import mix
 from .worker import release
 
 SCHEMA = "part int, data binary"
@@ -27,6 +29,41 @@ def target(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
 
 
+class Hot:
+    """Hot tokens, sorted, each with the share of all sampled units that hold it."""
+
+    def __init__(self, tokens: np.ndarray, shares: np.ndarray) -> None:
+        order = np.argsort(tokens)
+        self.tokens, self.shares = tokens[order], shares[order]
+
+    def __len__(self) -> int:
+        return len(self.tokens)
+
+    def short(self, width: int) -> np.ndarray:
+        """The upper ``width`` bytes of each token."""
+        return self.tokens >> np.uint64(64 - 8 * width)
+
+
+NONE = Hot(np.empty(0, np.uint64), np.empty(0, np.float64))
+
+
+def places(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each value stands in sorted ``known``; -1 where it does not."""
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
+
+
+def dealt(tokens: np.ndarray, owners: np.ndarray, hot: Hot, parts: int) -> np.ndarray:
+    """The partition of each posting: by its token, or of hot ones by token and owner."""
+    to = target(tokens, parts)
+    if len(hot):
+        salted = places(tokens, hot.tokens) >= 0
+        to[salted] = target(mix(tokens[salted] ^ mix(owners[salted])), parts)
+    return to
+
+
 def shorten(tokens: np.ndarray, width: int) -> np.ndarray:
     """The upper ``width`` bytes of 64-bit tokens, as 64-bit numbers."""
     return tokens >> np.uint64(64 - 8 * width)
@@ -98,9 +135,9 @@ def scatter(owners: np.ndarray, numbers: np.ndarray, short: np.ndarray, to: np.n
 class Outbox:
     """Collects (owner, number, 64-bit tokens) and yields blocks by token whenever enough are held."""
 
-    def __init__(self, parts: int, width: int) -> None:
+    def __init__(self, parts: int, width: int, hot: Hot = NONE) -> None:
         release()
-        self.parts, self.width = parts, width
+        self.parts, self.width, self.hot = parts, width, hot
         self.held: list[tuple[int, int, np.ndarray]] = []
         self.size = 0
 
@@ -118,7 +155,7 @@ class Outbox:
             numbers = np.repeat(np.array([n for _, n, _ in self.held], np.uint32), counts)
             tokens = np.concatenate([t for _, _, t in self.held])
             self.held, self.size = [], 0
-            yield from scatter(owners, numbers, shorten(tokens, self.width), target(tokens, self.parts), self.width)
+            yield from scatter(owners, numbers, shorten(tokens, self.width), dealt(tokens, owners, self.hot, self.parts), self.width)
 
 
 def exchange(blocks: DataFrame, parts: int) -> DataFrame:

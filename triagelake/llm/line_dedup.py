@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks, rows
+from .blocks import Hot, dealt, places
 from .common import materialize, partitions
+from .hot import find
 from .ngram_join import entry_links, sketch
 from .words import BASE, _powers, mix, runs
 from .worker import release
@@ -179,7 +181,22 @@ def _occurrences(batches: Iterator[pa.RecordBatch], min_chars: int, exact_short:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["set_id", "doc_id", "line"])
 
 
-def _entry_postings(batches: Iterator[pa.RecordBatch], min_chars: int, edits: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([x for t in batch.column(0) for x in set(lines_of(t.as_py())) if eligible(x, min_chars)], pa.binary())], ["line"])
+
+
+def all_entries(lines: list[bytes], edits: int) -> np.ndarray:
+    """The entries that all lines index or probe, each line's own once."""
+    if not lines:
+        return np.empty(0, np.uint64)
+    who, entries, _ = line_entries(lines, edits)
+    order = np.lexsort((who, entries))
+    who, entries = who[order], entries[order]
+    return entries[np.concatenate(([True], (entries[1:] != entries[:-1]) | (who[1:] != who[:-1])))]
+
+
+def _entry_postings(batches: Iterator[pa.RecordBatch], min_chars: int, edits: int, parts: int, hot: Hot) -> Iterator[pa.RecordBatch]:
     release()
     held: dict[bytes, None] = {}
     size = 0
@@ -191,7 +208,7 @@ def _entry_postings(batches: Iterator[pa.RecordBatch], min_chars: int, edits: in
             who, entries, kinds = line_entries(lines, edits)
             order = np.argsort(who, kind="stable")
             who, entries, kinds = who[order], entries[order], kinds[order]
-            yield from blocks.scatter(ids[who], np.zeros(len(who), np.uint32), blocks.shorten(entries, WIDTH), blocks.target(entries, parts), WIDTH, kinds)
+            yield from blocks.scatter(ids[who], np.zeros(len(who), np.uint32), blocks.shorten(entries, WIDTH), dealt(entries, ids[who], hot, parts), WIDTH, kinds)
             held.clear()
 
     for batch in batches:
@@ -206,18 +223,30 @@ def _entry_postings(batches: Iterator[pa.RecordBatch], min_chars: int, edits: in
     yield from send()
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], hot: Hot) -> Iterator[pa.RecordBatch]:
+    """Lines and entries that one line indexes and another probes. Of hot entries, whose postings are spread, all lines,
+    with what each does (``kind``, else 0)."""
     owners, _, short, kinds = blocks.gather(batches, WIDTH)
     if not len(short):
         return
     order = np.lexsort((owners, short))
     owners, short, kinds = owners[order], short[order], kinds[order]
+    own = np.flatnonzero(np.concatenate(([True], (short[1:] != short[:-1]) | (owners[1:] != owners[:-1]))))
+    owners, short, kinds = owners[own], short[own], np.bitwise_or.reduceat(kinds, own)
     cuts = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1])))
-    both = np.bitwise_or.reduceat(kinds, cuts) == INDEXED | PROBED
-    several = np.minimum.reduceat(owners, cuts) != np.maximum.reduceat(owners, cuts)
-    keep = np.repeat(both & several, np.diff(np.concatenate((cuts, [len(short)]))))
-    keep &= np.concatenate(([True], (short[1:] != short[:-1]) | (owners[1:] != owners[:-1])))
-    yield pa.RecordBatch.from_arrays([pa.array(owners[keep].view(np.int64)), pa.array(short[keep].astype(np.int64))], ["set_id", "entry"])
+    lines = np.diff(np.concatenate((cuts, [len(short)])))
+    spread = np.repeat(places(short[cuts], hot.short(WIDTH)) >= 0, lines)
+    keep = spread | np.repeat((np.bitwise_or.reduceat(kinds, cuts) == INDEXED | PROBED) & (lines > 1), lines)
+    kind = np.where(spread, kinds, 0).astype(np.int8)
+    yield pa.RecordBatch.from_arrays([pa.array(owners[keep].view(np.int64)), pa.array(short[keep].astype(np.int64)), pa.array(kind[keep])], ["set_id", "entry", "kind"])
+
+
+def _settled(met: DataFrame, hot: Hot) -> DataFrame:
+    """(set_id, entry): what :func:`_met` found, of hot entries those that some line indexes; probes alone meet nothing."""
+    if not len(hot):
+        return met.select("set_id", "entry")
+    indexed = met.where(F.col("kind").bitwiseAND(INDEXED) != 0).select("entry").distinct()
+    return met.where("kind = 0").select("set_id", "entry").unionByName(met.where("kind <> 0").join(indexed, "entry", "left_semi").select("set_id", "entry"))
 
 
 def _marks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -294,6 +323,11 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: list[str], digest: bool) -> It
         yield pa.RecordBatch.from_arrays(columns, [*keep, "n_lines", "n_cut", *["kept_sha256"] * digest])
 
 
+def hot_entries(texts: DataFrame, min_chars: int, edits: int) -> Hot:
+    """Entries of so many different lines that their postings are dealt by line, too."""
+    return find(texts, partial(all_entries, edits=edits), distinct=True, units_of=partial(_lines, min_chars=min_chars))
+
+
 def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_short: bool = False) -> DataFrame:
     """(set_id, doc_id, line, first_doc, first_line): every eligible line whose class holds another occurrence.
 
@@ -303,8 +337,10 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_sho
     parts = partitions(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     seen = materialize(texts.mapInArrow(partial(_occurrences, min_chars=min_chars, exact_short=exact_short), "set_id long, doc_id long, line int"), "lines")
-    posted = texts.where("doc_id is not null").select("text").mapInArrow(partial(_entry_postings, min_chars=min_chars, edits=edits, parts=parts), blocks.SCHEMA)
-    entries = materialize(blocks.exchange(posted, parts).mapInArrow(_met, "set_id long, entry long"), "met")
+    posting = texts.where("doc_id is not null").select("text")
+    hot = hot_entries(posting, min_chars, edits)
+    posted = posting.mapInArrow(partial(_entry_postings, min_chars=min_chars, edits=edits, parts=parts, hot=hot), blocks.SCHEMA)
+    entries = _settled(materialize(blocks.exchange(posted, parts).mapInArrow(partial(_met, hot=hot), "set_id long, entry long, kind byte"), "met"), hot)
     wanted = seen.join(materialize(entries.select("set_id").distinct(), "wanted"), "set_id")
     wanted = materialize(wanted.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("set_id", "at.*"), "firsts")
     sets = materialize(_at_home(texts, wanted, parts).mapInArrow(_texts, "set_id long, n int, size int, sketch binary, tokens binary").dropDuplicates(["set_id"]), "line-texts")

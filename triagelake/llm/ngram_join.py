@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .blocks import Hot, places
 from .common import drop_written, materialize, partitions
 from .graph import connected_components
+from .hot import find
 from .words import hash_words, mix, runs, whole
 from .worker import release
 
@@ -45,6 +47,11 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(runs(words, k)) if len(words) >= k else whole(words)
 
 
+def shingles_of(texts: list[str | None], k: int) -> np.ndarray:
+    """The sets of all texts, one after another."""
+    return np.concatenate([np.empty(0, np.uint64), *(shingle_set(t, k) for t in texts)])
+
+
 def class_of(tokens: np.ndarray) -> int:
     """The 64-bit id of a set."""
     return xxhash.xxh3_64_intdigest(tokens.tobytes())
@@ -61,8 +68,8 @@ def _members(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "set_id", "n_shingles"])
 
 
-def _postings(rows: Iterator[pa.RecordBatch], k: int, parts: int, least: int) -> Iterator[pa.RecordBatch]:
-    box, seen = blocks.Outbox(parts, WIDTH), set()
+def _postings(rows: Iterator[pa.RecordBatch], k: int, parts: int, least: int, hot: Hot) -> Iterator[pa.RecordBatch]:
+    box, seen = blocks.Outbox(parts, WIDTH, hot), set()
     for batch in rows:
         for text in batch.column(0):
             tokens = shingle_set(text.as_py(), k)
@@ -75,21 +82,35 @@ def _postings(rows: Iterator[pa.RecordBatch], k: int, parts: int, least: int) ->
     yield from box.flush()
 
 
-def _shared(rows: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def hot_ranks(hot: Hot, sets: int) -> np.ndarray:
+    """A rank above ``FREQUENT`` for each hot token, by how many of ``sets`` hold it; the same in every task."""
+    return np.maximum(FREQUENT + 1, np.ceil(np.log2(np.maximum(hot.shares * sets, 1)))).astype(np.uint8)
+
+
+def _shared(rows: Iterator[pa.RecordBatch], parts: int, hot: Hot, sets: int) -> Iterator[pa.RecordBatch]:
+    """Postings of tokens in more than one set, to their owners, with the binary logarithm of how many hold each.
+
+    A hot token's postings are spread, so its rank is the estimate that all tasks share, and it counts as shared: if it
+    were not, it would only go into a prefix that does without it.
+    """
     owners, numbers, short, _ = blocks.gather(rows, WIDTH)
     order = np.lexsort((owners, short))
     owners, numbers, short = owners[order], numbers[order], short[order]
+    rank = None
     if len(short):
         new = np.concatenate(([True], (short[1:] != short[:-1]) | (owners[1:] != owners[:-1])))
         owners, numbers, short = owners[new], numbers[new], short[new]
         cuts = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1])))
         df = np.diff(np.concatenate((cuts, [len(short)])))
         rank = np.repeat(np.ceil(np.log2(df)).astype(np.uint8), df)
+        if len(hot):
+            at = places(short, hot.short(WIDTH))
+            rank[at >= 0] = hot_ranks(hot, sets)[at[at >= 0]]
         keep = rank > 0
         owners, numbers, short, rank = owners[keep], numbers[keep], short[keep], rank[keep]
         order = np.argsort(owners, kind="stable")
         owners, numbers, short, rank = owners[order], numbers[order], short[order], rank[order]
-    yield from blocks.scatter(owners, numbers, short, blocks.target(owners, parts), WIDTH, rank if len(short) else None)
+    yield from blocks.scatter(owners, numbers, short, blocks.target(owners, parts), WIDTH, rank)
 
 
 def may_lack(n: int, percent: int) -> int:
@@ -358,8 +379,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     parts = partitions(spark)
     members = materialize(docs.select("doc_id", "text").mapInArrow(partial(_members, k=k), "doc_id long, set_id long, n_shingles long"), "members")
     least = next(n for n in range(1, 10_000) if may_lack(n, percent) or may_lack(n + 1, percent))
-    posted = blocks.exchange(docs.select("text").mapInArrow(partial(_postings, k=k, parts=parts, least=least), blocks.SCHEMA), parts)
-    back = blocks.exchange(posted.mapInArrow(partial(_shared, parts=parts), blocks.SCHEMA), parts)
+    texts = docs.select("text")
+    hot = find(texts, partial(shingles_of, k=k), distinct=True)
+    sets = texts.count() if len(hot) else 0
+    posted = blocks.exchange(texts.mapInArrow(partial(_postings, k=k, parts=parts, least=least, hot=hot), blocks.SCHEMA), parts)
+    back = blocks.exchange(posted.mapInArrow(partial(_shared, parts=parts, hot=hot, sets=sets), blocks.SCHEMA), parts)
     sets = materialize(back.mapInArrow(partial(_candidates, percent=percent), "set_id long, n int, size int, sketch binary, tokens binary, entries array<long>"), "sets")
     entries = sets.select("set_id", "n", (F.col("n") - F.col("size")).alias("lone"), F.explode("entries").alias("entry"))
     fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
