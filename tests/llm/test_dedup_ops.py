@@ -232,11 +232,13 @@ def test_a_passage_that_all_documents_share_is_spread(spark, monkeypatch):
             (docs.select("text"), partial(ngram_join.shingles_of, k=5), lambda h: docs.select("text").mapInArrow(partial(ngram_join._postings, k=5, parts=parts, least=1, hot=h), blocks.SCHEMA)),
             (docs.select("text"), partial(substring_dedup.all_of, each=substring_dedup.anchors_of, window=13), lambda h: docs.mapInArrow(partial(substring_dedup._anchor_postings, window=13, parts=parts, hot=h), blocks.SCHEMA)),
         ):
-            found = hot.find(units, tokens_of)
+            found = hot.find_in(units, tokens_of)
             assert 0 < len(found) <= parts / hot.SHARE
             assert uneven(post(found)) < 3 < uneven(post(blocks.NONE))
         lines = spark.createDataFrame([(i, "\n".join(f"Written by the author named {own(3)}" for _ in range(4))) for i in range(900)], "doc_id long, text string").repartition(4)
-        found = line_dedup.hot_entries(lines.select("text"), 32, 2)
+        units = lines.mapInArrow(partial(line_dedup._occurrences, min_chars=32, exact_short=False, share=hot.share_of(lines)), "set_id long, doc_id long, line int, unit binary")
+        assert units.where("set_id is not null").count() == 3600 and 1000 < units.where("unit is not null").count() < 2200
+        found = hot.find(units.where("unit is not null").select("unit"), partial(line_dedup.all_entries, edits=2), distinct=True)
         post = lambda h: lines.select("text").mapInArrow(partial(line_dedup._entry_postings, min_chars=32, edits=2, parts=parts, hot=h), blocks.SCHEMA)
         assert 0 < len(found) and uneven(post(found)) < 3 < uneven(post(blocks.NONE))
     finally:

@@ -38,22 +38,29 @@ def _counted(batches: Iterator[pa.RecordBatch], tokens_of: Callable[[list], np.n
         yield pa.RecordBatch.from_arrays(columns, ["token", "n", "units"])
 
 
-def find(texts: DataFrame, tokens_of: Callable[[list], np.ndarray], distinct: bool = False, units_of: Callable | None = None) -> Hot:
-    """The hot tokens of ``texts`` (one column); ``tokens_of`` gives the 64-bit tokens of a list of units, each unit's own once.
+def share_of(texts: DataFrame) -> float:
+    """The share of ``texts`` to sample: about ``SAMPLE`` a partition, all if there are fewer."""
+    total = texts.count()
+    return min(1.0, SAMPLE * partitions(texts.sparkSession) / total) if total else 0.0
+
 
-    A unit is a text, or what ``units_of`` makes of batches of texts (one binary column). ``distinct``: equal units post
-    their tokens once, so they count once.
+def find(units: DataFrame, tokens_of: Callable[[list], np.ndarray], distinct: bool = False) -> Hot:
+    """The hot tokens by sampled ``units`` (one column); ``tokens_of`` gives the 64-bit tokens of a list of units, each unit's own once.
+
+    ``distinct``: equal units post their tokens once, so they count once.
     """
-    parts = partitions(texts.sparkSession)
-    total = texts.count()
-    if not total:
-        return NONE
-    units = texts.sample(False, SAMPLE * parts / total, seed=20) if total > SAMPLE * parts else texts
-    units = units.mapInArrow(units_of, "unit binary") if units_of else units
     seen = materialize((units.distinct() if distinct else units).mapInArrow(partial(_counted, tokens_of=tokens_of), "token long, n long, units long"), "token-counts")
     postings, sampled = (x or 0 for x in seen.agg(F.sum("n"), F.sum("units")).first())
-    least = max(LEAST, SHARE * postings / parts)
+    least = max(LEAST, SHARE * postings / partitions(units.sparkSession))
     if least > sampled:  # no token stands in so many units
         return NONE
     rows = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()  # at most parts / SHARE
     return Hot(np.array([r.token for r in rows], np.int64).view(np.uint64), np.array([r.n / sampled for r in rows], np.float64))
+
+
+def find_in(texts: DataFrame, tokens_of: Callable[[list], np.ndarray], distinct: bool = False) -> Hot:
+    """The hot tokens of ``texts`` (one column), by a sample of them."""
+    share = share_of(texts)
+    if not share:
+        return NONE
+    return find(texts.sample(False, share, seed=20) if share < 1 else texts, tokens_of, distinct)

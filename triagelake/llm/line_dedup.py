@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import blocks, rows
 from .blocks import Hot, dealt, places
 from .common import materialize, partitions
-from .hot import find
+from .hot import find, share_of
 from .ngram_join import entry_links, sketch
 from .words import BASE, _powers, mix, runs
 from .worker import release
@@ -168,22 +168,25 @@ def within(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], min_chars: int, exact_short: bool) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterator[pa.RecordBatch], min_chars: int, exact_short: bool, share: float) -> Iterator[pa.RecordBatch]:
+    """Every line's id and place; beside them, as ``unit``, the eligible lines of about a ``share`` of the documents."""
     release()
+    below = int(share * (1 << 32))
     for batch in batches:
         out: list[list] = [[], [], []]
+        units: list[bytes] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if doc_id is not None:
-                for number, line in enumerate(lines_of(text.as_py())):
+                lines = lines_of(text.as_py())
+                for number, line in enumerate(lines):
                     if counted(line, min_chars, exact_short):
                         for column, value in zip(out, (line_id(line), doc_id, number), strict=True):
                             column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["set_id", "doc_id", "line"])
-
-
-def _lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([x for t in batch.column(0) for x in set(lines_of(t.as_py())) if eligible(x, min_chars)], pa.binary())], ["line"])
+                if xxhash.xxh32_intdigest(doc_id.to_bytes(8, "little", signed=True)) < below:
+                    units += [x for x in set(lines) if eligible(x, min_chars)]
+        n = len(out[0])
+        columns = [pa.array(c + [None] * len(units), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([None] * n + units, pa.binary())], ["set_id", "doc_id", "line", "unit"])
 
 
 def all_entries(lines: list[bytes], edits: int) -> np.ndarray:
@@ -323,11 +326,6 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: list[str], digest: bool) -> It
         yield pa.RecordBatch.from_arrays(columns, [*keep, "n_lines", "n_cut", *["kept_sha256"] * digest])
 
 
-def hot_entries(texts: DataFrame, min_chars: int, edits: int) -> Hot:
-    """Entries of so many different lines that their postings are dealt by line, too."""
-    return find(texts, partial(all_entries, edits=edits), distinct=True, units_of=partial(_lines, min_chars=min_chars))
-
-
 def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_short: bool = False) -> DataFrame:
     """(set_id, doc_id, line, first_doc, first_line): every eligible line whose class holds another occurrence.
 
@@ -336,10 +334,12 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_sho
     """
     parts = partitions(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    seen = materialize(texts.mapInArrow(partial(_occurrences, min_chars=min_chars, exact_short=exact_short), "set_id long, doc_id long, line int"), "lines")
-    posting = texts.where("doc_id is not null").select("text")
-    hot = hot_entries(posting, min_chars, edits)
-    posted = posting.mapInArrow(partial(_entry_postings, min_chars=min_chars, edits=edits, parts=parts, hot=hot), blocks.SCHEMA)
+    place = partial(_occurrences, min_chars=min_chars, exact_short=exact_short, share=share_of(docs))
+    seen = materialize(texts.mapInArrow(place, "set_id long, doc_id long, line int, unit binary"), "lines")
+    # Entries of so many different lines that their postings are dealt by line, too.
+    hot = find(seen.where("unit is not null").select("unit"), partial(all_entries, edits=edits), distinct=True)
+    seen = seen.where("set_id is not null").select("set_id", "doc_id", "line")
+    posted = texts.where("doc_id is not null").select("text").mapInArrow(partial(_entry_postings, min_chars=min_chars, edits=edits, parts=parts, hot=hot), blocks.SCHEMA)
     entries = _settled(materialize(blocks.exchange(posted, parts).mapInArrow(partial(_met, hot=hot), "set_id long, entry long, kind byte"), "met"), hot)
     wanted = seen.join(materialize(entries.select("set_id").distinct(), "wanted"), "set_id")
     wanted = materialize(wanted.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("set_id", "at.*"), "firsts")

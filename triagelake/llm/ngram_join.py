@@ -30,7 +30,7 @@ from . import blocks
 from .blocks import Hot, places
 from .common import drop_written, materialize, partitions
 from .graph import connected_components
-from .hot import find
+from .hot import find_in
 from .words import hash_words, mix, runs, whole
 from .worker import release
 
@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     members = materialize(docs.select("doc_id", "text").mapInArrow(partial(_members, k=k), "doc_id long, set_id long, n_shingles long"), "members")
     least = next(n for n in range(1, 10_000) if may_lack(n, percent) or may_lack(n + 1, percent))
     texts = docs.select("text")
-    hot = find(texts, partial(shingles_of, k=k), distinct=True)
+    hot = find_in(texts, partial(shingles_of, k=k), distinct=True)
     sets = texts.count() if len(hot) else 0
     posted = blocks.exchange(texts.mapInArrow(partial(_postings, k=k, parts=parts, least=least, hot=hot), blocks.SCHEMA), parts)
     back = blocks.exchange(posted.mapInArrow(partial(_shared, parts=parts, hot=hot, sets=sets), blocks.SCHEMA), parts)

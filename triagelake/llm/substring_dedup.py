@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from . import blocks, rows
 from .blocks import Hot, places
 from .common import materialize, partitions
-from .hot import find
+from .hot import find_in
 from .words import hash_words, runs
 from .worker import release
 
@@ -205,7 +205,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, digest: bool = False) -> D
     keep = ["doc_id"] if digest else [c for c in docs.columns if c not in ("n_words", "n_removed")]
     texts = docs.select("doc_id", "text")
     call = lambda f, df, **more: df.mapInArrow(partial(f, parts=parts, **more), blocks.SCHEMA)
-    hot_anchors, hot_windows = (find(docs.select("text"), partial(all_of, each=f, window=window)) for f in (anchors_of, windows_of))
+    hot_anchors, hot_windows = (find_in(docs.select("text"), partial(all_of, each=f, window=window)) for f in (anchors_of, windows_of))
     firsts = hot_firsts(texts, window, hot_windows)
     posted = call(_anchor_postings, texts, window=window, hot=hot_anchors)
     shared = materialize(call(_shared_anchors, blocks.exchange(posted, parts), hot=hot_anchors), "shared-anchors")
