@@ -33,8 +33,7 @@ def tokens(cleaned: Column) -> Column:
 
 def preprocess(text: Column) -> Column:
     """Cleaned words without stop words and single letters, joined by spaces; words stand for their lemmas."""
-    stops = F.array(*map(F.lit, fixed.STOP_WORDS))
-    return F.array_join(F.filter(tokens(clean(text)), lambda t: (F.length(t) > 1) & ~F.array_contains(stops, t)), " ")
+    return F.array_join(F.filter(tokens(clean(text)), lambda t: (F.length(t) > 1) & ~t.isin(*fixed.STOP_WORDS)), " ")
 
 
 def words(text: Column) -> Column:
@@ -85,9 +84,8 @@ def gate(text: Column) -> Column:
     """struct(ticket_text, message, status_code): the trimmed text, or why it is turned away and how."""
     trimmed = strip(text)
     parts = F.filter(F.split(trimmed, r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    mashes = F.array(*map(F.lit, fixed.KEYBOARD_MASHES))
-    mashed = F.exists(parts, lambda t: F.array_contains(mashes, F.lower(t)))
-    described = F.exists(parts, lambda t: t.rlike(r"^\p{L}+$") & ~F.array_contains(mashes, F.lower(t)))
+    mashed = F.exists(parts, lambda t: F.lower(t).isin(*fixed.KEYBOARD_MASHES))
+    described = F.exists(parts, lambda t: t.rlike(r"^\p{L}+$") & ~F.lower(t).isin(*fixed.KEYBOARD_MASHES))
     repeated = F.exists(parts, lambda t: (F.length(t) >= 6) & (F.size(F.array_distinct(F.split(t, ""))) == 1))
     empty, vague = "Please enter a ticket description.", "Please enter a meaningful description of the issue."
     message = (
@@ -161,6 +159,21 @@ def title(c: Column, allowed: tuple[str, ...]) -> Column:
     return F.try_element_at(names, F.lower(strip(c)))
 
 
+def percent(value: Column) -> Column:
+    """A percentage with two digits; null stays null."""
+    return F.when(value.isNotNull(), F.format_string("%.2f%%", value))
+
+
+def truthy(value: Column) -> Column:
+    """1 for the texts 1 and true, else 0."""
+    return F.coalesce(value.isin("1", "true"), F.lit(False)).cast("int")
+
+
+def first_known(*values: Column, default: str = "--") -> Column:
+    """The first of several values that is there, as text."""
+    return F.coalesce(*[v.cast("string") for v in values], F.lit(default))
+
+
 def fill(template: Column, **values: Column) -> Column:
     """A template with its {names} replaced."""
     return reduce(lambda c, kv: F.replace(c, F.lit("{" + kv[0] + "}"), kv[1]), values.items(), template)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,22 @@ def averages(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     )
 
 
+def summary(rows: DataFrame, by: list[str], truth: str, predicted: str) -> DataFrame:
+    """``by`` with accuracy, macro_f1, weighted_f1 and rows of each group of predictions, in one pass."""
+    one = F.explode(F.array(F.struct(F.col(truth).alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col(predicted).alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p"))))
+    counts = rows.select(*by, one.alias("x"), (F.col(truth) == F.col(predicted)).cast("int").alias("hit")).select(*by, "x.*", "hit")
+    counts = counts.groupBy(*by, "label").agg(F.sum("t").alias("support"), F.sum("p").alias("guessed"), F.sum(F.col("t") * F.col("hit")).alias("hits"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("hits"), F.col("support") + F.col("guessed")), F.lit(0.0))
+    return counts.groupBy(*by).agg(
+        F.round(F.sum("hits") / F.sum("support"), 4).alias("accuracy"), F.round(F.avg(f1), 4).alias("macro_f1"), F.round(F.sum(f1 * F.col("support")) / F.sum("support"), 4).alias("weighted_f1"), F.sum("support").alias("rows")
+    )
+
+
+def scores(rows: DataFrame, truth: str, predicted: str) -> dict[str, float]:
+    """accuracy, macro_f1, weighted_f1 and rows of one set of predictions."""
+    return summary(rows.withColumn("_all", F.lit(0)), ["_all"], truth, predicted).drop("_all").first().asDict()
+
+
 def report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """The classes' scores with both averages below."""
     each = per_class(rows, truth, predicted)
@@ -73,8 +89,23 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.select(label, F.round(F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")), 8).alias("weight"))
 
 
-def softmax(rows: DataFrame, group: str, margin: str) -> DataFrame:
-    """Each margin's share of its group, as a percentage."""
-    by = Window.partitionBy(group)
-    e = F.exp(F.col(margin) - F.max(margin).over(by))
-    return rows.withColumn("confidence", F.round(e / F.sum(e).over(by) * 100, 2))
+def softmax(margins: dict[str, Column]) -> Column:
+    """name -> each margin's share as a percentage, within the row."""
+    names, values = list(margins), F.array(*margins.values())
+    top = F.array_max(values)
+    e = F.transform(values, lambda m: F.exp(m - top))
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.transform(e, lambda x: F.round(x / total * 100, 2)))
+
+
+def scenario_accuracy(rows: DataFrame, expected: str, models: tuple[str, ...]) -> DataFrame:
+    """(model, matches, scenarios, accuracy in percent) of the models' columns against what is expected."""
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col(m) == F.col(expected)).alias("hit")) for m in models])).alias("x")
+    out = rows.select(one).select("x.*").groupBy("model").agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("matches"), F.count("*").alias("scenarios"))
+    return out.withColumn("accuracy", F.round(F.col("matches") * 100 / F.col("scenarios"), 1))
+
+
+def subset(rows: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
+    """One row: whether all values of ``column`` are among ``allowed``, and how many are not."""
+    out = rows.agg(F.countDistinct(F.when(~F.col(column).isin(*allowed), F.col(column))).alias("others"))
+    return out.select(F.lit(column).alias("name"), "others", (F.col("others") == 0).alias("is_subset"))

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
-def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): one- and two-word terms of the preprocessed text."""
-    words = F.filter(F.split(X.preprocess(F.col(text)), " "), lambda t: t != "")
+def words_of(text: Column, letters: bool = False) -> Column:
+    """The words of the preprocessed text, ``ticket`` where none is left; ``letters``: runs of two or more word characters."""
+    done = X.preprocess(text)
+    done = F.when(done == "", "ticket").otherwise(done)
+    return F.filter(F.split(done, r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) > 1) if letters else F.filter(F.split(done, " "), lambda t: t != "")
+
+
+def terms_of(words: Column) -> Column:
+    """Words and pairs of neighbouring words."""
     pairs = F.transform(F.array(words), lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    both = F.concat(words, F.get(pairs, F.lit(0)))
-    return docs.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return F.concat(words, F.get(pairs, F.lit(0)))
+
+
+def terms(docs: DataFrame, key: str, text: str, letters: bool = False) -> DataFrame:
+    """(key, term, tf): one- and two-word terms of the preprocessed text."""
+    return counted_terms(docs, key, words_of(F.col(text), letters))
+
+
+def counted_terms(docs: DataFrame, key: str, words: Column) -> DataFrame:
+    """(key, term, tf) of words."""
+    return docs.select(key, F.explode(terms_of(words)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counted: DataFrame, n_docs: DataFrame, size: int) -> DataFrame:
@@ -23,10 +38,12 @@ def vocabulary(counted: DataFrame, n_docs: DataFrame, size: int) -> DataFrame:
     return top.crossJoin(n_docs).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # a single row beside each
 
 
-def weights(counted: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): (1 + ln tf) * idf, each document's weights of length 1."""
-    raw = counted.join(vocab, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    return raw.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))
+def weights(counted: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
+    """(key, term, weight): (1 + ln tf, or tf) * idf, each document's weights of length 1. ``vocab`` has a fixed size."""
+    tf = (1 + F.log("tf")) if sublinear else F.col("tf")
+    raw = counted.join(F.broadcast(vocab), "term").withColumn("w", tf * F.col("idf"))
+    total = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / total).alias("weight"), *[c for c in counted.columns if c not in (key, "term", "tf")])
 
 
 def bayes_train(weighted: DataFrame, labels: DataFrame, key: str, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:

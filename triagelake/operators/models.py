@@ -1,173 +1,410 @@
-"""Classifiers on Spark ML: features, four models, Platt calibration, benchmark, selection, storage."""
+"""Classifiers: features fitted once, four kinds of model, comparison, prediction records, a store, gated retraining."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, SQLTransformer, StringIndexer, Tokenizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+import json
+import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import text as X
-from . import evaluate
+from ..sources import files
+from . import evaluate, features, machines
+
+LR, NB, RF, SVM = "Logistic Regression", "Naive Bayes", "Random Forest", "Calibrated Linear SVM"
+_VECTOR = T.StructType([T.StructField("v", VectorUDT())])
+
+
+def sparse(size: int, indices: Column, values: Column) -> Column:
+    """A sparse vector of arrays; Spark's own JSON reader makes the vector, so no Python worker takes part."""
+    parts = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values"))
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), _VECTOR)["v"]
+
+
+@dataclass
+class Features:
+    """TF-IDF over one- and two-word terms: (1 + ln tf, or tf) * idf, rows of length 1; beside them, if asked for, the six signals."""
+
+    terms: list[str]
+    idf: list[float]
+    sublinear: bool = True
+    letters: bool = False
+
+    @classmethod
+    def fit(cls, rows: DataFrame, size: int = 10_000, key: str = "ticket_id", sublinear: bool = True, letters: bool = False) -> Features:
+        """The ``size`` commonest terms of ``rows`` (ticket_text); they alone reach the driver."""
+        counted = features.terms(rows, key, "ticket_text", letters) if "_words" not in rows.columns else features.counted_terms(rows, key, F.col("_words"))
+        found = features.vocabulary(counted, rows.agg(F.count("*").alias("n")), size).collect()
+        found.sort(key=lambda r: r.term)
+        return cls([r.term for r in found] or ["ticket"], [r.idf for r in found] or [1.0], sublinear, letters)
+
+    def width(self, with_signals: bool) -> int:
+        return len(self.terms) + (len(fixed.SIGNALS) if with_signals else 0)
+
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the vector columns ``plain`` and ``stacked``, the latter with the signals behind the terms.
+
+        Words that are there already, as ``_words``, are taken as they are.
+        """
+        text = F.col("ticket_text")
+        words = F.col("_words") if "_words" in rows.columns else features.words_of(text, self.letters)
+        found = rows.withColumn("_terms", features.terms_of(words))
+        found = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts").transform(found)
+        idf = F.from_json(F.lit(json.dumps(self.idf)), "array<double>")
+        counts = F.unwrap_udt("_counts")
+        found = found.withColumns({"_at": counts["indices"], "_raw": F.zip_with(counts["indices"], counts["values"], lambda i, n: ((1 + F.log(n)) if self.sublinear else n) * F.get(idf, i))})
+        found = found.withColumn("_length", F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, w: a + w * w)))
+        found = found.withColumn("_w", F.transform("_raw", lambda w: w / F.col("_length")))
+        n = len(self.terms)
+        if "_signals" not in found.columns:
+            found = found.withColumn("_signals", X.signals(text))
+        signals = F.array(*[F.col("_signals")[s] for s in fixed.SIGNALS])
+        places = F.array(*[F.lit(n + i) for i in range(len(fixed.SIGNALS))])
+        out = {"plain": sparse(n, F.col("_at"), F.col("_w")), "stacked": sparse(self.width(True), F.concat("_at", places), F.concat("_w", signals))}
+        kept = [] if "_signals" in rows.columns else ["_signals"]
+        return found.withColumns(out).drop("_words", "_terms", "_counts", "_at", "_raw", "_length", "_w", *kept)
+
+
+@dataclass
+class Config:
+    """A candidate: its kind, whether classes weigh alike, whether it sees the signals, trees, folds."""
+
+    name: str
+    kind: str
+    balanced: bool = False
+    signals: bool = False
+    trees: int = 100
+    folds: int = 5
+    max_iter: int = 1000
+    depth: int = 30
+
+
+def production(balanced: bool) -> tuple[Config, ...]:
+    """The four models that are trained for a target, in order of preference where scores are equal; priority weighs classes alike."""
+    return tuple(Config(k, k, balanced and k != NB) for k in (LR, NB, RF, SVM))
+
+
+#: The six candidates for priority.
+CANDIDATES = (
+    Config("Calibrated Linear SVM, TF-IDF", SVM, folds=3),
+    Config("Logistic Regression, TF-IDF", LR),
+    Config("Random Forest, TF-IDF", RF),
+    Config("Logistic Regression, TF-IDF and signals", LR, balanced=True, signals=True),
+    Config("Random Forest, TF-IDF and signals", RF, balanced=True, signals=True, trees=150),
+    Config("Calibrated Linear SVM, TF-IDF and signals", SVM, balanced=True, signals=True, folds=3),
+)
+
+
+@dataclass
+class Classifier:
+    """A fitted model with its labels, in alphabetical order: ``score`` adds their probabilities."""
+
+    config: Config
+    labels: list[str]
+    model: object = None
+    weights: np.ndarray | None = None
+    sigmoids: np.ndarray | None = None
+
+    @property
+    def column(self) -> str:
+        return "stacked" if self.config.signals else "plain"
+
+    def score(self, vectors: DataFrame, name: str = "probability") -> DataFrame:
+        """``vectors`` with the array column ``name``, a probability for each label."""
+        if self.config.kind == SVM:
+            keep = [c for c in vectors.columns if c not in ("plain", "stacked")]
+            # Vectors do not cross to Python as such: they go as the structs that they are made of, and become vectors again.
+            inner = vectors.select(*keep, F.struct(F.unwrap_udt("plain").alias("p"), F.unwrap_udt("stacked").alias("s")).alias("_both"), F.col(self.column).alias("_features"))
+            found = machines.score(inner, "_features", self.weights, self.sigmoids, len(self.labels), self.config.folds)
+            back = {c: sparse_of(F.col("_both")[k]) for c, k in (("plain", "p"), ("stacked", "s"))}
+            return found.withColumns(back).drop("_both").withColumnRenamed("probability", name)
+        out = self.model.transform(vectors.withColumnRenamed(self.column, "features"))
+        out = out.withColumn(name, vector_to_array("probability"))
+        return out.drop("rawPrediction", "prediction", *(["probability"] if name != "probability" else [])).withColumnRenamed("features", self.column)
+
+    def label(self, probability: str = "probability") -> Column:
+        """The likeliest label, of equals the first."""
+        return F.get(F.array(*map(F.lit, self.labels)), (F.array_position(probability, F.array_max(probability)) - 1).cast("int"))
+
+    def distribution(self, probability: str = "probability") -> Column:
+        """label -> percent, two digits."""
+        return F.map_from_arrays(F.array(*map(F.lit, self.labels)), F.transform(probability, lambda p: F.round(p * 100, 2)))
+
+
+def sparse_of(parts: Column) -> Column:
+    """A vector of the struct that it unwraps to."""
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), _VECTOR)["v"]
+
+
+def fit(vectors: DataFrame, target: str, config: Config, size: int, seed: int = 42) -> Classifier:
+    """``config`` fitted to ``vectors`` (see :meth:`Features.vectors`), read several times: pass a written table.
+
+    Strengths of penalties follow from the rows, so that each adds to the whole loss what C = 1 does.
+    """
+    known = vectors.where(F.col(target).isNotNull())
+    counts = {r[target]: r.n for r in known.groupBy(target).agg(F.count("*").alias("n")).collect()}  # one row per class
+    labels, n = sorted(counts), sum(counts.values())
+    if not labels:
+        raise ValueError("no row has a label")
+    names = F.array(*map(F.lit, labels))
+    column = "stacked" if config.signals else "plain"
+    each = {c: n / (len(labels) * k) for c, k in counts.items()} if config.balanced else dict.fromkeys(labels, 1.0)
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in each.items() for x in pair]), F.col(target))
+    label = (F.array_position(names, F.col(target)) - 1).cast("int")
+    out = Classifier(config, labels)
+    if config.kind == SVM:
+        fold = F.pmod(F.xxhash64("ticket_id", F.lit(seed)), F.lit(config.folds)).cast("int")
+        vector = F.unwrap_udt(column)
+        rows = known.select(vector["indices"].alias("at"), vector["values"].alias("v"), label.alias("label"), fold.alias("fold"), weight.cast("double").alias("weight"))
+        parts = max(1, rows.rdd.getNumPartitions())
+        rows = rows.persist()
+        out.weights = machines.fit_margins(rows, size, len(labels), config.folds, parts, max_iter=config.max_iter)
+        out.sigmoids = machines.fit_sigmoids(rows, out.weights, len(labels), config.folds, parts)
+        rows.unpersist()
+        return out
+    rows = known.select(F.col(column).alias("features"), label.cast("double").alias("label"), weight.cast("double").alias("weight")).persist()
+    made = {
+        LR: lambda: LogisticRegression(maxIter=config.max_iter, regParam=1 / n, tol=1e-4, standardization=False, family="multinomial", weightCol="weight"),
+        NB: lambda: NaiveBayes(smoothing=1.0, weightCol="weight"),
+        RF: lambda: RandomForestClassifier(numTrees=config.trees, maxDepth=config.depth, seed=seed, weightCol="weight", maxMemoryInMB=512),
+    }
+    out.model = made[config.kind]().fit(rows)
+    rows.unpersist()
+    return out
 
 
-def prepared(rows: DataFrame) -> DataFrame:
-    """``rows`` with the words to vectorise and the six signals as an array; a text without words counts as 'ticket'."""
-    done = X.preprocess(F.col("ticket_text"))
-    signals = F.array(*[X.signal(F.col("ticket_text"), s) for s in fixed.SIGNALS])
-    return rows.withColumns({"words": F.when(done == "", "ticket").otherwise(done), "signals": signals})
+def predicted(classifier: Classifier, vectors: DataFrame, target: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(ticket_id, truth, predicted, confidence in percent, and ``keep``)."""
+    scored = classifier.score(vectors)
+    return scored.select("ticket_id", F.col(target).alias("truth"), classifier.label().alias("predicted"), F.round(F.array_max("probability") * 100, 2).alias("confidence"), *keep)
 
 
-def feature_stages(size: int = 10_000, with_signals: bool = False) -> list:
-    """One- and two-word terms, 1 + ln tf times idf, length 1, with the signals beside them if asked for."""
-    union = "SELECT *, concat(w1, w2) AS terms FROM __THIS__"
-    stages = [
-        Tokenizer(inputCol="words", outputCol="w1"),
-        NGram(n=2, inputCol="w1", outputCol="w2"),
-        SQLTransformer(statement=union),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=size),
-        LogCounts(),
-        IDF(inputCol="log_counts", outputCol="weighed"),
-        Normalizer(inputCol="weighed", outputCol="tfidf"),
-    ]
-    return stages + ([SignalVector(), VectorAssembler(inputCols=["tfidf", "signal_vector"], outputCol="features")] if with_signals else [VectorAssembler(inputCols=["tfidf"], outputCol="features")])
+def prepared(rows: DataFrame, size: int = 10_000) -> tuple[Features, DataFrame]:
+    """Features fitted to the rows of split ``train``, and the vectors of all rows; words and vectors are written once."""
+    rows = files.written(rows.withColumn("_words", features.words_of(F.col("ticket_text"))), "words")
+    made = Features.fit(rows.where("split = 'train'"), size)
+    return made, files.written(made.vectors(rows), "vectors")
 
 
-class LogCounts(Transformer):
-    """counts as log_counts: 1 + ln tf where tf is not 0."""
+def fit_predict(rows: DataFrame, target: str, config: Config, size: int = 10_000, keep: Sequence[str] = ()) -> DataFrame:
+    """Predictions of all rows outside ``train`` by a model of those inside."""
+    made, vectors = prepared(rows, size)
+    model = fit(vectors.where("split = 'train'"), target, config, made.width(config.signals))
+    return predicted(model, vectors.where("split <> 'train'"), target, keep)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        @F.udf(VectorUDT())
-        def logged(v):  # noqa: ANN001, ANN202
-            return SparseVector(v.size, [(int(i), 1 + math.log(x)) for i, x in zip(v.indices, v.values, strict=True)])
 
-        return dataset.withColumn("log_counts", logged("counts"))
+def benchmark(rows: DataFrame, target: str, configs: Sequence[Config], size: int = 10_000, splits: Sequence[str] = ("test", "holdout")) -> DataFrame:
+    """(target, model, ord, split, accuracy, macro_f1, weighted_f1, rows) of every candidate on every evaluation set.
 
+    Features are fitted and vectors written once; predictions of all candidates are written and scored together.
+    """
+    made, vectors = prepared(rows, size)
+    train, held = vectors.where("split = 'train'"), vectors.where(F.col("split").isin(*splits))
+    found = None
+    for i, config in enumerate(configs):
+        model = fit(train, target, config, made.width(config.signals))
+        one = predicted(model, held, target, ("split",)).select(F.lit(target).alias("target"), F.lit(config.name).alias("model"), F.lit(i).alias("ord"), "split", "truth", "predicted")
+        one = files.written(one, "predictions")
+        found = one if found is None else found.unionByName(one)
+    return evaluate.summary(found, ["target", "model", "ord", "split"], "truth", "predicted")
+
+
+EMPTY = "Input ticket text cannot be empty."
+MISSING = "Model artifacts not found or failed to load. Please train models first."
+
+
+@dataclass
+class Predictor:
+    """Features and both classifiers; ``predict`` makes the prediction record of every row."""
+
+    features: Features
+    category: Classifier
+    priority: Classifier
+    metrics: dict = field(default_factory=dict)
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (ticket_id, ticket_text, ...) with the prediction record, one plan for all of them.
+
+        A null or blank text gives an error record: Unclassified, Medium, the general team, no confidences, signals
+        or explanation.
+        """
+        known = rows.withColumn("_signals", X.signals(F.col("ticket_text")))
+        scored = self.priority.score(self.category.score(self.features.vectors(known), "_category"), "_priority")
+        text = F.col("ticket_text")
+        blank = F.coalesce(X.strip(text) == "", F.lit(True))
+        ok = lambda c: F.when(~blank, c)
+        percent = lambda p: F.round(F.array_max(p) * 100, 2)
+        category, priority = self.category.label("_category"), self.priority.label("_priority")
+        signals = F.col("_signals")
+        record = {
+            "status": F.when(blank, "error").otherwise("success"),
+            "category": F.when(blank, "Unclassified").otherwise(category),
+            "category_confidence": ok(percent("_category")),
+            "priority": F.when(blank, "Medium").otherwise(priority),
+            "priority_confidence": ok(percent("_priority")),
+            "priority_signals": ok(signals),
+            "priority_explanation": ok(X.explanation(signals, priority)),
+            "priority_distribution": ok(self.priority.distribution("_priority")),
+            "department": X.department(F.when(~blank, category)),
+            "confidence": F.when(blank, 0.0).otherwise(percent("_category")),
+            "error": F.when(blank, EMPTY),
+        }
+        return scored.select(*[c for c in rows.columns if c not in record], *[v.alias(k) for k, v in record.items()])
+
+
+def unloaded(rows: DataFrame) -> DataFrame:
+    """The records of ``rows`` where there are no models."""
+    none = F.lit(None)
+    names = [F.lit(None).cast("double").alias(s) for s in fixed.SIGNALS]
+    record = {
+        "status": F.lit("error"), "category": F.lit("Unclassified"), "category_confidence": none.cast("double"), "priority": F.lit("Medium"),
+        "priority_confidence": none.cast("double"), "priority_signals": F.when(F.lit(False), F.struct(*names)), "priority_explanation": none.cast("string"),
+        "priority_distribution": none.cast("map<string,double>"), "department": F.lit(fixed.DEFAULT_DEPARTMENT), "confidence": F.lit(0.0), "error": F.lit(MISSING),
+    }
+    return rows.select(*[c for c in rows.columns if c not in record], *[v.alias(k) for k, v in record.items()])
+
+
+def train_predictor(rows: DataFrame, category: Sequence[Config] = (), priority: Sequence[Config] = (), size: int = 10_000) -> Predictor:
+    """A predictor fitted to split ``train``; of several candidates for a target the one with the best weighted F1 on ``test``."""
+    made, vectors = prepared(rows, size)
+    train, test = vectors.where("split = 'train'"), vectors.where("split = 'test'")
+    metrics: dict = {}
+
+    def best(target: str, configs: Sequence[Config]) -> Classifier:
+        models = [fit(train, target, c, made.width(c.signals)) for c in configs]
+        if len(models) == 1:
+            return models[0]
+        each = {m.config.name: evaluate.scores(files.written(predicted(m, test, target), "predictions"), "truth", "predicted") for m in models}
+        found = max(models, key=lambda m: (each[m.config.name]["weighted_f1"], -models.index(m)))
+        metrics.update({f"best_{target}_model": found.config.name, f"best_{target}_f1": each[found.config.name]["weighted_f1"], f"{target}_metrics": each})
+        return found
+
+    return Predictor(made, best("category", category or production(False)), best("priority", priority or production(True)), metrics)
+
+
+_KINDS = {LR: LogisticRegressionModel, NB: NaiveBayesModel, RF: RandomForestClassificationModel}
+
+
+def _save(spark: SparkSession, classifier: Classifier, path: str) -> None:
+    described = {"config": classifier.config.__dict__, "labels": classifier.labels}
+    if classifier.config.kind == SVM:
+        rows = [(p, classifier.weights[:, p].tolist(), *map(float, classifier.sigmoids[:, p])) for p in range(classifier.weights.shape[1])]
+        spark.createDataFrame(rows, "problem int, weights array<double>, a double, b double").write.parquet(f"{path}/model")
+    else:
+        classifier.model.write().save(f"{path}/model")
+    files.write_json(spark, f"{path}/described.json", described)
+
+
+def _load(spark: SparkSession, path: str) -> Classifier:
+    described = json.loads(files.read_text(spark, f"{path}/described.json"))
+    out = Classifier(Config(**described["config"]), described["labels"])
+    if out.config.kind == SVM:
+        rows = sorted(spark.read.parquet(f"{path}/model").collect(), key=lambda r: r.problem)  # a row for each class and fold
+        out.weights, out.sigmoids = np.array([r.weights for r in rows]).T, np.array([(r.a, r.b) for r in rows]).T
+    else:
+        out.model = _KINDS[out.config.kind].load(f"{path}/model")
+    return out
 
-class SignalVector(Transformer):
-    """signals (array) as signal_vector."""
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumn("signal_vector", array_to_vector("signals"))
+_LOADED: dict[tuple[str, str, str], Predictor] = {}
 
 
-def estimators(seed: int = 42, with_signals: bool = False) -> dict[str, object]:
-    """The candidates by name, in order of preference where scores are equal; the last is calibrated by :class:`PlattSVM`.
+class ModelStore:
+    """Versions of a predictor below a path, and which of them is active.
 
-    The forest has 150 trees beside signals, else 100, of depth 30, the most that Spark allows.
+    A version is written whole before its name counts; ``active.json`` names the active one and is replaced in one step,
+    so a reader never meets half of a model.
     """
-    return {
-        "Logistic Regression": LogisticRegression(maxIter=1000, regParam=1e-3, labelCol="label", featuresCol="features", weightCol="weight", standardization=False),
-        "Naive Bayes": NaiveBayes(smoothing=1.0, labelCol="label", featuresCol="features", weightCol="weight"),
-        "Random Forest": RandomForestClassifier(numTrees=150 if with_signals else 100, maxDepth=30, seed=seed, labelCol="label", featuresCol="features", weightCol="weight"),
-        "Calibrated Linear SVM": PlattSVM(seed=seed),
-    }
-
 
-class PlattSVM:
-    """One linear support vector machine per class, its margins turned into probabilities by a sigmoid.
-
-    Rows fall into ``folds`` by hash; the margins that a sigmoid learns from come from a machine that has not seen
-    them. Each fold's machine and sigmoid stay, and a class's probability is their mean, normalised over classes.
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def save(self, predictor: Predictor, version: str, activate: bool = False) -> None:
+        """Store features, both classifiers and metrics as ``version``, replacing one of that name."""
+        folder = f"{version}-{uuid.uuid4().hex[:8]}"
+        at = f"{self.path}/{folder}"
+        described = {"terms": predictor.features.terms, "idf": predictor.features.idf, "sublinear": predictor.features.sublinear, "letters": predictor.features.letters}
+        files.write_json(self.spark, f"{at}/features.json", described)
+        _save(self.spark, predictor.category, f"{at}/category")
+        _save(self.spark, predictor.priority, f"{at}/priority")
+        files.write_json(self.spark, f"{at}/metrics.json", predictor.metrics)
+        registry = self.registry()
+        registry["versions"] = registry.get("versions", {}) | {version: {"folder": folder, "metrics": predictor.metrics}}
+        files.write_json(self.spark, f"{self.path}/active.json", registry | ({"active": version} if activate else {}))
+
+    def registry(self) -> dict:
+        """The versions and the active one; empty where nothing is stored."""
+        return files.read_json(self.spark, f"{self.path}/active.json")
+
+    def activate(self, version: str) -> None:
+        """Make a stored version the active one; raises KeyError for an unknown one."""
+        registry = self.registry()
+        if version not in registry.get("versions", {}):
+            raise KeyError(version)
+        files.write_json(self.spark, f"{self.path}/active.json", registry | {"active": version})
+
+    def load(self, version: str | None = None) -> Predictor | None:
+        """A version, by default the active one, with all its parts, or None if one is missing or damaged."""
+        registry = self.registry()
+        entry = registry.get("versions", {}).get(version or registry.get("active"))
+        if entry is None:
+            return None
+        key, at = (self.spark.sparkContext.applicationId, self.path, entry["folder"]), f"{self.path}/{entry['folder']}"
+        if key not in _LOADED:
+            try:
+                described = Features(**json.loads(files.read_text(self.spark, f"{at}/features.json")))
+                found = Predictor(described, _load(self.spark, f"{at}/category"), _load(self.spark, f"{at}/priority"), files.read_json(self.spark, f"{at}/metrics.json"))
+            except Exception:  # noqa: BLE001  whatever is wrong with a part, there is no model
+                return None
+            for old in [k for k in _LOADED if k[:2] == key[:2] and len(_LOADED) > 4]:
+                del _LOADED[old]
+            _LOADED[key] = found
+        return _LOADED[key]
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """The active version's prediction records, error records where there is none."""
+        found = self.load()
+        return found.predict(rows) if found else unloaded(rows)
+
+
+def retrain(store: ModelStore, train: DataFrame, validation: DataFrame, holdout: DataFrame, feedback: DataFrame, promote: bool = False, config: Config = CANDIDATES[-1], least: float = 0.85) -> dict:
+    """Train a priority candidate with validated feedback, weigh it against the active model, and promote it if asked and fit.
+
+    Rows: (ticket_id, ticket_text, priority); feedback: (ticket_id, ticket_text, corrected_priority, validated). The active
+    version's features are used as they are. The gate passes if the candidate is no worse on the holdout and good
+    enough on validation; on promotion the active version stays stored under its name. Returns the decision.
     """
-
-    def __init__(self, folds: int = 5, max_iter: int = 1000, seed: int = 42) -> None:
-        self.folds, self.max_iter, self.seed = folds, max_iter, seed
-        self.members: list[list[tuple[object, object]]] = []
-
-    def fit(self, rows: DataFrame) -> PlattSVM:
-        classes = sorted(r.label for r in rows.select("label").distinct().collect())  # one row per class
-        rows = rows.withColumn("_fold", F.pmod(F.xxhash64("ticket_id", F.lit(self.seed)), F.lit(self.folds)))
-        rows = rows.select("features", "label", "_fold").persist()
-        for label in classes:
-            own = rows.withColumn("_y", (F.col("label") == label).cast("double")).select("features", "_y", "_fold")
-            pairs = []
-            for fold in range(self.folds):
-                machine = LinearSVC(maxIter=self.max_iter, regParam=1e-3, labelCol="_y", featuresCol="features", rawPredictionCol="_raw", predictionCol="_p").fit(own.where(F.col("_fold") != fold))
-                margins = machine.transform(own.where(F.col("_fold") == fold)).select("_y", array_to_vector(F.array(F.element_at(vector_to_array("_raw"), 2))).alias("_m"))
-                pairs.append((machine, LogisticRegression(labelCol="_y", featuresCol="_m", rawPredictionCol="_r", predictionCol="_p", probabilityCol="_q").fit(margins)))
-            self.members.append(pairs)
-        rows.unpersist()
-        return self
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        probabilities = []
-        for pairs in self.members:
-            each = []
-            for machine, sigmoid in pairs:
-                w, b = machine.coefficients, machine.intercept
-                a, c = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-                each.append((w, b, a, c))
-            probabilities.append(each)
-        shared = rows.sparkSession.sparkContext.broadcast([[(w.toArray(), b, a, c) for w, b, a, c in each] for each in probabilities])
-
-        @F.pandas_udf("array<double>")
-        def score(indices, values):  # noqa: ANN001, ANN202
-            import numpy as np
-            import pandas as pd
-
-            out = []
-            for i, v in zip(indices, values, strict=True):
-                i, v = np.asarray(i, int), np.asarray(v, float)
-                p = np.array([np.mean([1 / (1 + np.exp(-(a * (w[i] @ v + b) + c))) for w, b, a, c in each]) for each in shared.value])
-                out.append(p / p.sum())
-            return pd.Series(out)
-
-        from pyspark.ml.functions import vector_to_array as dense
-
-        whole = dense("features")
-        places = F.filter(F.sequence(F.lit(0), F.size(whole) - 1), lambda i: F.get(whole, i) != 0)
-        rows = rows.withColumn("_at", places).withColumn("_v", F.transform("_at", lambda i: F.get(whole, i)))
-        rows = rows.withColumn("_prob", score("_at", "_v"))
-        best = F.array_position("_prob", F.array_max("_prob")) - 1
-        return rows.withColumn("probability", array_to_vector("_prob")).withColumn("prediction", best.cast("double")).drop("_at", "_v", "_prob")
-
-
-def labelled(train: DataFrame, target: str) -> tuple[DataFrame, object]:
-    """``train`` with label and balanced weight, and the fitted indexer; labels are numbered in alphabetical order."""
-    indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
-    rows = indexer.transform(train)
-    return rows.join(F.broadcast(evaluate.balanced_weights(rows, "label")), "label"), indexer  # one weight per class
-
-
-def fit_predict(rows: DataFrame, target: str, name: str, size: int = 10_000, with_signals: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(ticket_id, truth, predicted, confidence in percent, and ``keep``) of all rows outside ``train`` by the named model."""
-    rows = prepared(rows)
-    train, indexer = labelled(rows.where("split = 'train'"), target)
-    features = Pipeline(stages=feature_stages(size, with_signals)).fit(train)
-    model = estimators(with_signals=with_signals)[name].fit(features.transform(train))
-    scored = model.transform(features.transform(rows.where("split <> 'train'")))
-    names = F.array(*map(F.lit, indexer.labels))
-    return scored.select(
-        "ticket_id", F.col(target).alias("truth"), F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
-        F.round(F.array_max(vector_to_array("probability")) * 100, 2).alias("confidence"), *keep,
-    )
-
-
-def benchmark(rows: DataFrame, target: str, size: int = 2000, names: tuple[str, ...] | None = None) -> DataFrame:
-    """(target, model, ord, split, accuracy, weighted_f1) of each candidate, or those named, on ``test`` and on ``holdout``."""
-    out = None
-    for i, name in enumerate(estimators() if names is None else names):
-        predicted = fit_predict(rows, target, name, size, keep=("split",))
-        for split in ("test", "holdout"):
-            part = predicted.where(F.col("split") == split)
-            line = evaluate.averages(part, "truth", "predicted").crossJoin(evaluate.accuracy(part, "truth", "predicted"))  # single rows
-            line = line.select(F.lit(target).alias("target"), F.lit(name).alias("model"), F.lit(i).alias("ord"), F.lit(split).alias("split"), "accuracy", "weighted_f1")
-            out = line if out is None else out.unionByName(line)
-    return out
-
-
-def save(model: PipelineModel, path: str) -> None:
-    """Store a fitted pipeline, replacing an older one."""
-    model.write().overwrite().save(path)
-
-
-def load(path: str) -> PipelineModel:
-    """A stored pipeline."""
-    return PipelineModel.load(path)
+    active = store.load()
+    if active is None:
+        raise ValueError("there is no active model to compare with")
+    sound = feedback.where((F.col("validated") == 1) & (F.coalesce(F.length("ticket_text"), F.lit(0)) > 0))
+    more = sound.select(F.concat(F.lit("feedback "), "ticket_id").alias("ticket_id"), "ticket_text", F.col("corrected_priority").alias("priority"), F.lit("train").alias("split"))
+    sets = [f.select("ticket_id", "ticket_text", "priority", F.lit(s).alias("split")) for f, s in ((train, "train"), (validation, "validation"), (holdout, "holdout"))]
+    rows = sets[0].unionByName(sets[1]).unionByName(sets[2]).unionByName(more)
+    vectors = files.written(active.features.vectors(rows), "vectors")
+    model = fit(vectors.where("split = 'train'"), "priority", config, active.features.width(config.signals))
+    held = vectors.where("split <> 'train'")
+    both = [files.written(predicted(m, held, "priority", ("split",)).withColumn("model", F.lit(n)), "predictions") for n, m in (("candidate", model), ("production", active.priority))]
+    found = {(r.model, r.split): r for r in evaluate.summary(both[0].unionByName(both[1]), ["model", "split"], "truth", "predicted").collect()}  # four rows
+    passed = evaluate.promotion(found["candidate", "holdout"].accuracy, found["production", "holdout"].accuracy, found["candidate", "validation"].accuracy, least)
+    decision = {
+        "candidate_val_accuracy": found["candidate", "validation"].accuracy, "candidate_val_macro_f1": found["candidate", "validation"].macro_f1,
+        "candidate_holdout_accuracy": found["candidate", "holdout"].accuracy, "candidate_holdout_macro_f1": found["candidate", "holdout"].macro_f1,
+        "production_val_accuracy": found["production", "validation"].accuracy,
+        "production_holdout_accuracy": found["production", "holdout"].accuracy, "production_holdout_macro_f1": found["production", "holdout"].macro_f1,
+        "validated_feedback_samples_used": sound.count(), "promotion_gate_passed": passed, "explicit_promotion_requested": promote,
+        "action_taken": "Promoted to production" if promote and passed else "Retained candidate in isolation",
+    }
+    number = 1 + len(store.registry().get("versions", {}))
+    store.save(Predictor(active.features, active.category, model, active.metrics | {"decision": decision}), f"v{number}", activate=promote and passed)
+    return decision

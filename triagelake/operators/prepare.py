@@ -77,6 +77,14 @@ def pair_overlaps(named: DataFrame) -> DataFrame:
     return a.join(b, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def split_overlap(rows: DataFrame, a: str = "train", b: str = "test") -> DataFrame:
+    """One row: distinct patterns, raw texts, and lower-cased and trimmed texts that two splits share."""
+    kinds = {"shared_patterns": F.col("pattern"), "shared_texts": F.col("ticket_text"), "shared_normal": F.lower(F.trim("ticket_text"))}
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in kinds.items()])).alias("x")
+    both = rows.where(F.col("split").isin(a, b)).select("split", one).select("split", "x.*").groupBy("kind", "v").agg(F.countDistinct("split").alias("n")).where("n = 2")
+    return both.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+
+
 def shared_passages(docs: DataFrame, items: DataFrame, length: int = 13) -> DataFrame:
     """Distinct (item_id, doc_id) that share a run of ``length`` words, or all words of a shorter item.
 

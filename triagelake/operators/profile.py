@@ -65,8 +65,7 @@ def top_per_group(counted: DataFrame, group: str, term: str, k: int) -> DataFram
 
 def ngrams(text: Column, n: int) -> Column:
     """The n-grams of two-letter and longer words, stop words taken out before neighbours are joined."""
-    stops = F.array(*map(F.lit, fixed.NGRAM_STOP_WORDS))
-    own = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike("^[a-z]{2,}$") & ~F.array_contains(stops, t))
+    own = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike("^[a-z]{2,}$") & ~t.isin(*fixed.NGRAM_STOP_WORDS))
     if n == 1:
         return own
     joined = F.transform(F.array(own), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
@@ -99,6 +98,22 @@ def keyword_profile(rows: DataFrame, text: str, words: tuple[str, ...] = fixed.T
     return all_.join(found, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), none("priority"), none("category"))
 
 
+def keyword_values(rows: DataFrame, text: str, words: tuple[str, ...] = fixed.TARGET_WORDS) -> DataFrame:
+    """(word, field, value, n): how the priorities and categories of the texts with each target word are spread."""
+    own = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"))
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("priority", "category")])).alias("x")
+    hits = rows.select(F.explode(F.array_intersect(own, F.array(*map(F.lit, words)))).alias("word"), "priority", "category").select("word", one)
+    return hits.groupBy("word", "x.field", "x.value").agg(F.count("*").alias("n"))
+
+
+def surplus(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(kind, n): rows beyond the first that agree in all of ``columns``, and in each of them."""
+    kinds = [("row", columns), *((c, (c,)) for c in columns)]
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.to_json(F.struct(*cs)).alias("v")) for k, cs in kinds])).alias("x")
+    counts = rows.select(one).select("x.*").groupBy("kind", "v").agg(F.count("*").alias("c"))
+    return counts.groupBy("kind").agg(F.sum(F.col("c") - 1).alias("n"))
+
+
 def drift(rows: DataFrame, column: str, a: str = "train", b: str = "test") -> DataFrame:
     """How far each value's percentage in split ``a`` is from that in split ``b``."""
     per = rows.where(F.col("split").isin(a, b)).groupBy(column, "split").agg(F.count("*").alias("n"))

@@ -1,10 +1,17 @@
-"""The serving store as append-only events and views: joins, latest state, assignment, feedback, dashboard."""
+"""The serving store as append-only events and views: joins, latest state, requests with their answers, dashboard.
+
+A request is a row; answering a batch of them is one plan over the current state, which gives every request its status
+and message, and the events to append. Nothing is updated in place: the view takes each key's last event.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
+from ..functions import text as X
+
 # The store's relations.
 SCHEMAS = {
     "agents": "id long, name string, department string, is_active int",
@@ -20,22 +27,38 @@ def create(spark: SparkSession, path: str) -> None:
 
 
 def append(rows: DataFrame, path: str, name: str, kind: str = "put") -> None:
-    """Add events; columns that are missing are null, as an additive migration leaves them."""
+    """Add events; columns that are missing are null, as an additive migration leaves them, and unknown ones stay out."""
     spark = rows.sparkSession
     empty = spark.createDataFrame([], f"seq long, kind string, {SCHEMAS[name]}")
     empty.unionByName(rows.withColumn("kind", F.lit(kind)), allowMissingColumns=True).select(*empty.columns).write.mode("append").parquet(f"{path}/{name}")
 
 
+def state(spark: SparkSession, path: str, name: str, key: str) -> DataFrame:
+    """The rows that a relation's events leave; columns that older files lack are null."""
+    return latest(spark.read.option("mergeSchema", True).schema(f"seq long, kind string, {SCHEMAS[name]}").parquet(f"{path}/{name}"), key)
+
+
+def next_seq(spark: SparkSession, path: str, name: str) -> int:
+    """A sequence number after all events of a relation."""
+    return (spark.read.parquet(f"{path}/{name}").agg(F.max("seq")).first()[0] or 0) + 1
+
+
 def latest(events: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """Each key's last event by ``seq``, equal keys combined before they are shuffled; keys last deleted are absent."""
+    """Each key's last event by ``seq``, equal keys combined before they are shuffled; keys last deleted are absent.
+
+    Events of one key and ``seq`` are ordered by their other columns, so the row that stays is one that was there.
+    """
     rest = [c for c in events.columns if c != key]
-    last = events.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("_row")).select(key, "_row.*").select(*events.columns)
+    order = F.struct(seq, *[c for c in rest if c != seq])
+    last = events.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*").select(*events.columns)
     return last.where("kind <> 'delete'").drop("kind") if "kind" in events.columns else last
 
 
-def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` and those rows of ``new`` whose key is not there yet."""
-    return old.unionByName(new.join(old.select(*key), key, "left_anti"))
+def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
+    """``old`` and of each new key the first row of ``new`` by ``order``."""
+    rest = [c for c in new.columns if c not in key]
+    first = new.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("_row")).select(*key, "_row.*").select(*new.columns)
+    return old.unionByName(first.join(old.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
 def with_agent(tickets: DataFrame, agents: DataFrame) -> DataFrame:
@@ -50,8 +73,9 @@ def recent(tickets: DataFrame, agents: DataFrame, k: int = 10) -> DataFrame:
 
 
 def feedback_with_ticket(feedback: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Feedback beside the text and priority that its ticket has."""
-    known = tickets.select("ticket_id", "ticket_text", F.col("priority").alias("original_priority"))
+    """Feedback beside the text, priority and confidence that its ticket has."""
+    confidence = F.coalesce("priority_confidence", "confidence") if "confidence" in tickets.columns else F.lit(None).cast("double")
+    known = tickets.select("ticket_id", "ticket_text", F.col("priority").alias("original_priority"), confidence.alias("original_priority_confidence"))
     return feedback.join(known, "ticket_id")
 
 
@@ -61,24 +85,191 @@ def feedback_stats(feedback: DataFrame) -> DataFrame:
     return out.withColumn("pending", F.col("total") - F.col("validated"))
 
 
+def _pick(tickets: DataFrame, agents: DataFrame) -> DataFrame:
+    """``tickets`` with the department's team and the agent picked from it, by a hash of both ids; its own agent is no choice."""
+    team = agents.where("is_active = 1").groupBy("department").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("team"))  # a department's few agents
+    rows = tickets.join(team, "department", "left")
+    others = F.filter("team", lambda a: F.coalesce(a["id"] != F.col("assigned_agent_id"), F.lit(True)))
+    ranked = F.array_sort(F.transform(others, lambda a: F.struct(F.md5(F.concat(F.col("ticket_id"), F.lit("|"), a["id"].cast("string"))).alias("h"), a["id"].alias("id"), a["name"].alias("name"))))
+    return rows.withColumn("_picked", F.get(ranked, F.lit(0)))
+
+
 def assign(tickets: DataFrame, agents: DataFrame) -> DataFrame:
-    """Each ticket's new agent: an active one of its department other than its own, by a hash of both names.
+    """Each ticket's new agent: an active one of its department other than its own.
 
-    status 200; 409 where the department has no active agent, or only the one that the ticket has. Departments
-    have few agents, so these are listed per department and picked from in place.
+    status 200; 409 where the department has no active agent, or only the one that the ticket has.
     """
-    team = agents.where("is_active = 1").groupBy("department").agg(F.array_sort(F.collect_list("id")).alias("team"))
-    rows = tickets.join(team, "department", "left")
-    others = F.filter("team", lambda a: F.coalesce(a != F.col("assigned_agent_id"), F.lit(True)))
-    ranked = F.array_sort(F.transform(others, lambda a: F.struct(F.md5(F.concat(F.col("ticket_id"), F.lit("|"), a.cast("string"))).alias("h"), a.alias("id"))))
-    rows = rows.withColumn("_picked", F.get(ranked, F.lit(0)))
+    rows = _pick(tickets, agents)
     reason = F.when(F.col("team").isNull(), "no active agent").when(F.col("_picked").isNull(), "already with the only active agent")
     return rows.select("ticket_id", "department", F.col("_picked.id").alias("agent_id"), F.when(reason.isNull(), 200).otherwise(409).alias("status"), reason.alias("message"))
 
 
+def said(*parts: str | Column) -> Column:
+    """Texts and columns joined; never null."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def answer_assign(requests: DataFrame, tickets: DataFrame, agents: DataFrame) -> DataFrame:
+    """``requests`` (ticket_id, ...) with status_code, message, agent_id: 404 without such a ticket, 409 without another agent."""
+    ids = requests.select("ticket_id").distinct()
+    known = _pick(tickets.join(ids, "ticket_id", "left_semi").select("ticket_id", "department", "assigned_agent_id"), agents)
+    known = known.select("ticket_id", "department", F.col("team").isNotNull().alias("_staffed"), "_picked", F.lit(True).alias("_known"))
+    ticket, picked = F.col("ticket_id"), F.col("_picked")
+    code = F.when(F.col("_known").isNull(), 404).when(picked.isNull(), 409).otherwise(200)
+    message = (
+        F.when(F.col("_known").isNull(), said("Ticket '", ticket, "' was not found."))
+        .when(~F.col("_staffed"), said("No active agents are available for department '", F.col("department"), "'. The ticket was not changed."))
+        .when(picked.isNull(), said("Ticket '", ticket, "' is already assigned to the only active agent in '", F.col("department"), "' and cannot be reassigned."))
+        .otherwise(said("Ticket '", ticket, "' assigned to ", picked["name"], "."))
+    )
+    return requests.join(known, "ticket_id", "left").select(*requests.columns, code.alias("status_code"), message.alias("message"), picked["id"].alias("agent_id"))
+
+
+def answer_delete(requests: DataFrame, tickets: DataFrame, order: str) -> DataFrame:
+    """``requests`` (ticket_id, ``order``) with status_code and message: 400 for a blank id, 404 for an unknown one.
+
+    Of several requests for one ticket the first by ``order`` finds it, the others come too late.
+    """
+    ticket = F.col("ticket_id")
+    first = requests.groupBy("ticket_id").agg(F.min(order).alias("_first"))
+    known = tickets.select("ticket_id").distinct().withColumn("_known", F.lit(True))
+    rows = requests.join(first, "ticket_id", "left").join(known, "ticket_id", "left")
+    blank = F.coalesce(X.strip(ticket) == "", F.lit(True))
+    found = F.col("_known").isNotNull() & (F.col(order) == F.col("_first"))
+    code = F.when(blank, 400).when(found, 200).otherwise(404)
+    message = F.when(blank, "Ticket ID is required.").when(found, said("Ticket '", ticket, "' deleted successfully.")).otherwise(said("Ticket '", ticket, "' was not found."))
+    return rows.select(*requests.columns, code.alias("status_code"), message.alias("message"))
+
+
+def without(tickets: DataFrame, answers: DataFrame) -> DataFrame:
+    """Tickets that no answered delete request has taken; feedback about them stays where it is."""
+    return tickets.join(answers.where("status_code = 200").select("ticket_id"), "ticket_id", "left_anti")
+
+
+def text_field(body: Column, name: str, default: str = "") -> Column:
+    """A text field of a JSON object, trimmed; ``default`` where it is missing, no text, or the body no object."""
+    return F.coalesce(X.strip(json_text(body, name)), F.lit(default))
+
+
+def json_text(body: Column, name: str) -> Column:
+    """A text field of a JSON object as it is; null where it is missing, no text, or the body no object."""
+    value = F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def truth_field(body: Column, name: str, default: bool = False) -> Column:
+    """1 for the JSON values 1, 1.0, true, "1" and "true", else 0; ``default`` where the field is missing."""
+    value = F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant")
+    kind = F.schema_of_variant(value)
+    yes = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(kind == "STRING", F.try_variant_get(value, "$", "string").isin("1", "true"))
+    yes = yes.when(kind == "VOID", False).otherwise(F.try_variant_get(value, "$", "double") == 1.0)
+    return F.when(value.isNull(), F.lit(int(default))).otherwise(F.coalesce(yes, F.lit(False)).cast("int"))
+
+
+def ticket_texts(requests: DataFrame) -> DataFrame:
+    """``requests`` (body, ...) with the gated ticket_text, or the message and status_code that turn it away."""
+    return requests.withColumn("_gate", X.gate(json_text(F.col("body"), "ticket_text"))).select(*requests.columns, "_gate.*")
+
+
+def answer_feedback(requests: DataFrame, tickets: DataFrame) -> DataFrame:
+    """``requests`` (body, ...) with status_code, message and the feedback that a good one makes.
+
+    400 without a ticket id or with an unlisted priority, 404 for an unknown ticket, else 201; reviewer and flag have
+    defaults, the ticket's priority, confidence and text are copied.
+    """
+    body = F.col("body")
+    fields = {"ticket_id": text_field(body, "ticket_id"), "corrected_priority": text_field(body, "corrected_priority"), "reason": text_field(body, "reason")}
+    reviewer = text_field(body, "reviewer", "agent")
+    rows = requests.withColumns(fields | {"reviewer": F.when(reviewer == "", "agent").otherwise(reviewer), "validated": truth_field(body, "validated")})
+    confidence = F.coalesce("priority_confidence", "confidence")
+    known = tickets.select("ticket_id", "ticket_text", F.col("priority").alias("original_priority"), confidence.alias("original_priority_confidence"), F.lit(True).alias("_known"))
+    rows = rows.join(known, "ticket_id", "left")
+    listed = ", ".join(f"'{p}'" for p in fixed.PRIORITIES)
+    code = F.when(F.col("ticket_id") == "", 400).when(~F.col("corrected_priority").isin(*fixed.PRIORITIES), 400).when(F.col("_known").isNull(), 404).otherwise(201)
+    message = (
+        F.when(F.col("ticket_id") == "", "ticket_id is required.")
+        .when(code == 400, f"corrected_priority must be one of [{listed}].")
+        .when(code == 404, said("Ticket '", F.col("ticket_id"), "' not found."))
+        .otherwise("Priority feedback submitted successfully.")
+    )
+    return rows.withColumns({"status_code": code, "message": message}).drop("_known", "body")
+
+
+def answer_validation(requests: DataFrame, feedback: DataFrame) -> DataFrame:
+    """``requests`` (body, ...) with feedback_id, validated (true by default), status_code and message: 400 without an id, 404 for an unknown one."""
+    body = F.col("body")
+    rows = requests.withColumns({"feedback_id": text_field(body, "feedback_id"), "validated": truth_field(body, "validated", True)})
+    rows = rows.join(feedback.select("feedback_id").distinct().withColumn("_known", F.lit(True)), "feedback_id", "left")
+    code = F.when(F.col("feedback_id") == "", 400).when(F.col("_known").isNull(), 404).otherwise(200)
+    message = (
+        F.when(code == 400, "feedback_id is required.")
+        .when(code == 404, said("Feedback '", F.col("feedback_id"), "' not found."))
+        .otherwise(said("Feedback '", F.col("feedback_id"), "' validation status updated to ", F.col("validated"), "."))
+    )
+    return rows.withColumns({"status_code": code, "message": message}).drop("_known", "body")
+
+
+def flagged(feedback: DataFrame, answers: DataFrame, order: str) -> DataFrame:
+    """Feedback with the flag that the last good request by ``order`` sets; all other fields stay."""
+    last = answers.where("status_code = 200").groupBy("feedback_id").agg(F.max_by("validated", F.struct(order, "validated")).alias("_flag"))
+    return feedback.join(last, "feedback_id", "left").withColumn("validated", F.coalesce("_flag", "validated")).drop("_flag").select(*feedback.columns)
+
+
+def reassigned(tickets: DataFrame, answers: DataFrame) -> DataFrame:
+    """Tickets with the agents that good assignment requests give them; all other fields stay."""
+    given = answers.where("status_code = 200").groupBy("ticket_id").agg(F.max("agent_id").alias("_agent"))  # equal requests pick the same agent
+    return tickets.join(given, "ticket_id", "left").withColumn("assigned_agent_id", F.coalesce("_agent", "assigned_agent_id")).drop("_agent").select(*tickets.columns)
+
+
+def bootstrap(rows: DataFrame, tickets: DataFrame, predict, order: str, k: int = 25) -> DataFrame:  # noqa: ANN001
+    """What a store starts with: the prediction records of the first ``k`` rows as open tickets, none if there are tickets already."""
+    if not tickets.isEmpty():
+        return tickets.limit(0)
+    found = predict(rows.orderBy(order).limit(k))
+    return found.select(
+        F.col(order).cast("long").alias("id"), "ticket_id", "ticket_text", "category", "priority", "department", "confidence",
+        F.coalesce("category_confidence", F.lit(95.0)).alias("category_confidence"), F.coalesce("priority_confidence", F.lit(80.0)).alias("priority_confidence"), F.lit("Open").alias("status"),
+    )
+
+
 def dashboard(tickets: DataFrame, feedback: DataFrame) -> DataFrame:
     """(metric, key, n): the totals and distributions of the dashboard."""
     count = lambda c: tickets.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).select(F.lit(c).alias("metric"), "key", "n")
     total = tickets.agg(F.count("*").alias("n")).select(F.lit("total").alias("metric"), F.lit("tickets").alias("key"), "n")
     marks = feedback.select(F.when(F.col("validated") == 1, "validated").otherwise("pending").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     return total.unionByName(count("category")).unionByName(count("priority")).unionByName(count("department")).unionByName(marks.select(F.lit("feedback").alias("metric"), "key", "n"))
+
+
+def newest(rows: DataFrame, by: str = "id", k: int = 10) -> DataFrame:
+    """The ``k`` rows with the largest ``by``, numbered from 1; ties by the other columns."""
+    rest = [F.col(c) for c in rows.columns if c != by]
+    cut = rows.orderBy(F.desc(by), *rest).limit(k)
+    return cut.withColumn("place", F.row_number().over(Window.orderBy(F.desc(by), *rest)))  # k rows
+
+
+def dashboard_bundle(tickets: DataFrame, agents: DataFrame, feedback: DataFrame, metrics: dict) -> DataFrame:
+    """(section, key, value): everything that the dashboard shows, recent tickets and feedback and the saved model metrics included."""
+    spark = tickets.sparkSession
+    counts = dashboard(tickets, feedback).select(F.col("metric").alias("section"), "key", F.col("n").cast("string").alias("value"))
+    lately = with_agent(newest(tickets), agents).select(F.lit("recent_ticket").alias("section"), F.col("place").cast("string").alias("key"), said(F.col("ticket_id"), " | ", F.col("priority"), " | ", F.col("agent")).alias("value"))
+    told = newest(feedback).select(F.lit("recent_feedback").alias("section"), F.col("place").cast("string").alias("key"), said(F.col("feedback_id"), " | ", F.col("corrected_priority")).alias("value"))
+    saved = [("saved_accuracy", target, saved_accuracy(metrics.get(f"{target}_metrics"), metrics.get(f"best_{target}_model"))) for target in ("category", "priority")]
+    return counts.unionByName(lately).unionByName(told).unionByName(spark.createDataFrame(saved, "section string, key string, value string"))
+
+
+def saved_accuracy(by_model: dict | None, best: str | None) -> str:
+    """The best model's saved accuracy in percent; a dash where it is missing, no number, or not between 0 and 1."""
+    found = (by_model or {}).get(best) if isinstance(by_model, dict) else None
+    value = found.get("accuracy") if isinstance(found, dict) else None
+    sound = isinstance(value, (int, float)) and not isinstance(value, bool) and 0 <= value <= 1
+    return f"{value * 100:.2f}%" if sound else "—"
+
+
+def listing(tickets: DataFrame, agents: DataFrame) -> DataFrame:
+    """Tickets as a page lists them: the confidence that there is as a percentage, and what its button offers."""
+    rows = with_agent(tickets, agents)
+    sure = F.coalesce("category_confidence", "confidence")
+    return rows.select(
+        "ticket_id", "agent", F.coalesce(X.percent(sure), F.lit("--")).alias("confidence"),
+        F.when(F.col("agent") != "Unassigned", "Reassign Agent").otherwise("Assign Agent").alias("action"),
+    )

@@ -113,7 +113,9 @@ INCOMING = f"""{TICKETS}, incoming as (
 )"""
 AGENTS = "agents as (select * from (values " + ", ".join(f"({i}, {_s(n)}, {_s(t)}, {int(i % 5 != 0)})" for i, (n, t) in enumerate(fixed.AGENTS, 1)) + ") a(id, name, department, is_active))"
 STORE = f"""{TICKETS}, {AGENTS}, kept as (
-  select row_ord as id, ticket_id, ticket_text, category, priority, department, created_at, case when row_ord % 4 = 0 then null else row_ord % 20 + 1 end as assigned_agent_id from tickets
+  select row_ord as id, ticket_id, ticket_text, category, priority, department, created_at, case when row_ord % 4 = 0 then null else row_ord % 20 + 1 end as assigned_agent_id,
+    case when row_ord % 9 <> 0 then sure end as confidence, case when row_ord % 3 <> 0 then sure end as category_confidence, case when row_ord % 5 <> 0 then sure / 2 end as priority_confidence
+  from (select *, (row_ord * 37 % 10000) / 100.0::double as sure from tickets)
 ), feedback as (
   select 'FB-' || l_orderkey || '-' || l_linenumber as feedback_id, 'TICK-' || l_orderkey as ticket_id, ({_list(fixed.PRIORITIES)})[l_linenumber % 4 + 1] as corrected_priority,
     (l_linestatus = 'F')::int as validated, l_orderkey * 8 + l_linenumber as id
@@ -136,7 +138,7 @@ def _top(source: str, group: str, k: int) -> str:
     return f"select {group}, term, count(*) as n, row_number() over (partition by {group} order by count(*) desc, term)::int as rank from ({source}) group by {group}, term qualify rank <= {k}"
 
 
-def _gate() -> str:
+def _gate(rows: str = "", source: str = "incoming") -> str:
     parts = "list_filter(string_split_regex(t, '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
     mashes = _list(fixed.KEYBOARD_MASHES)
     empty, vague = _s("Please enter a ticket description."), _s("Please enter a meaningful description of the issue.")
@@ -151,7 +153,7 @@ def _gate() -> str:
         ],
         "null",
     )
-    return f"""with {INCOMING}, seen as (select row_ord, ticket_text, trim(ticket_text) as t from incoming), said as (select *, {message} as message from seen)
+    return f"""with {rows or INCOMING}, seen as (select row_ord, ticket_text, trim(ticket_text) as t from {source}), said as (select *, {message} as message from seen)
 select row_ord, case when message is null then t end as ticket_text, message, case when message is not null then case when length(ticket_text) > {fixed.MAX_TICKET_LENGTH} then 413 else 400 end end as status_code from said"""
 
 
@@ -181,8 +183,11 @@ _SPLITS = f"""patterns as (
 )"""
 
 
-def _terms(source: str, rows: str) -> str:
-    return f"""words as (select ticket_id, {_preprocess("ticket_text")} as w from {rows}),
+def _terms(source: str, rows: str, letters: bool = False) -> str:
+    words = "case when len(w) = 0 then ['ticket'] else w end"
+    if letters:
+        words = f"list_filter(string_split_regex(array_to_string({words}, ' '), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 1)"
+    return f"""words as (select ticket_id, {words} as w from (select ticket_id, {_preprocess("ticket_text")} as w from {rows})),
 {source} as (select ticket_id, term, count(*) as tf from (
   select ticket_id, unnest(w) as term from words union all select ticket_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from words) group by ticket_id, term)"""
 
@@ -198,8 +203,24 @@ likelihood as (select label, term, ln(mass / sum(mass) over (partition by label)
 priors as (select label, ln(count(*) / sum(count(*)) over ()) as prior from train group by label)"""
 
 
+def _tfidf(size: int, sublinear: bool, letters: bool) -> str:
+    weights = _WEIGHTS if sublinear else _WEIGHTS.replace("(1 + ln(tf))", "tf")
+    return f"""with {TICKETS}, {_terms('counted', 'tickets', letters)}, stats as (select term, count(*) as df, sum(tf) as total from counted group by term),
+vocab as (select term, ln((1 + (select count(*) from tickets)) / (1 + df)) + 1 as idf from stats order by total desc, term limit {size}), {weights} select ticket_id, term, round(weight, 6) as weight from weighted"""
+
+
+_WINDOWS = "select distinct {key}, n, array_to_string(w[i : i + n - 1], ' ') as run from (select {key}, w, n, unnest(range(1, len(w) - n + 2)) as i from {rows})"
+_LEAKAGE = f"""with d as (select doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') as w from documents),
+b as (select item_id, w, least(len(w), 13) as n from (select item_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') as w from benchmark) where len(w) > 0),
+dn as (select doc_id, w, n from d, (select distinct n from b) where len(w) >= n),
+dw as ({_WINDOWS.format(key="doc_id", rows="dn")}), bw as ({_WINDOWS.format(key="item_id", rows="b")})
+select item_id, count(distinct doc_id) as documents from dw join bw using (n, run) group by item_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name -> SQL; queries without an entry have no equivalent in SQL."""
+    from .service_oracles import service
+
     sig = ", ".join(f"{_signal('ticket_text', s)} as {s}" for s in fixed.SIGNALS)
     told = f"array_to_string(list_filter([{', '.join(_REASONS[n] for n, _ in fixed.REASONS)}], lambda x: x is not null), ', ')"
     t = f"with {TICKETS} "
@@ -238,15 +259,16 @@ def oracle_sql() -> dict[str, str]:
         "exact_dedup": f"with {DENSE} select row_ord, ticket_text, category from dense",
         "sequential_ids": f"with {DENSE} select row_ord, format('T{{:05d}}', row_number() over (order by row_ord)) as ticket_id from dense",
         "near_dup_templates": t + f", s as (select {_masked('ticket_text', fixed.AUDIT_MASKS, fixed.AUDIT_NOISE)} as p from tickets) select count(*) as rows, count(distinct p) as templates, count(*) - count(distinct p) as near_duplicates from s",
-        "template_signature": t + f"select ticket_id, {_masked('ticket_text', fixed.MASKS, fixed.NOISE)} as pattern from tickets where not regexp_matches(ticket_text, '[^\\x00-\\x7F]')",
+        "template_signature": t + f"select ticket_id, {_masked('ticket_text', fixed.MASKS, fixed.NOISE)} as pattern from tickets",
         "audit_signature_docs": t + f"select ticket_id, {_masked('ticket_text', fixed.AUDIT_MASKS, fixed.AUDIT_NOISE)} as pattern from tickets",
         "group_split": f"with {DENSE}, {_SPLITS} select pattern, category, split from splits",
         "split_sizes": f"with {DENSE}, {_SPLITS} select split, count(*) as n, count(distinct category) as categories from marked group by split",
-        "split_overlap": f"with {DENSE}, {_SPLITS} select count(*) as shared_patterns from (select pattern from marked where split = 'train' intersect select pattern from marked where split = 'test')",
+        "split_overlap": f"with {DENSE}, {_SPLITS}, rows_ as (select 'row' as kind, case when row_ord % 10 < 7 then 'train' else 'test' end as split, {_masked('ticket_text', fixed.MASKS, fixed.NOISE)} as pattern, ticket_text from tickets), both_ as (select 'pattern' as kind, split, pattern, ticket_text from marked union all select * from rows_) select k.kind, "
+        + ", ".join(f"(select count(*) from (select {v} from both_ b where b.kind = k.kind and split = 'train' intersect select {v} from both_ b where b.kind = k.kind and split = 'test')) as {n}" for n, v in (("shared_patterns", "pattern"), ("shared_texts", "ticket_text"), ("shared_normal", "lower(trim(ticket_text))"))) + " from (select 'pattern' as kind union all select 'row') k",
         "dataset_version": f"with {DENSE}, {_SPLITS} select (select count(*) from raw) as total_raw, (select count(*) from dense) as total_cleaned, (select count(distinct ticket_text) from dense) as unique_records, {hist('source')}, {hist('category')}, {hist('priority')}, "
         + ", ".join(f"(select count(*) from marked where split = '{s}') as {s}_size" for s in ("train", "validation", "test")),
         "pairwise_leakage": f"with {RAW}, x as (select distinct 'set' || (row_ord % 3) as s, lower(trim(ticket_text)) as t from raw where ticket_text is not null) select a.s as a, b.s as b, count(*) as n from x a join x b on a.t = b.t and a.s < b.s group by 1, 2",
-        "benchmark_leakage": "with d as (select distinct doc_id, unnest(string_split(lower(text), chr(10))) as line from documents), b as (select distinct item_id, unnest(string_split(lower(text), chr(10))) as line from benchmark) select item_id, count(distinct doc_id) as documents from d join b using (line) where length(line) >= 20 group by item_id",
+        "benchmark_leakage": _LEAKAGE,
         "category_counts": t + "select category, count(*) as n from tickets group by 1",
         "priority_share": t + "select priority, count(*) as n, round(count(*) * 100 / sum(count(*)) over (), 4) as pct from tickets group by 1",
         "cat_pri_crosstab": t + "select category, " + ", ".join(f"count(*) filter (priority = '{p}') as \"{p}\"" for p in fixed.PRIORITIES) + " from tickets group by 1",
@@ -263,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "null_profile": f"with {RAW} select " + ", ".join(f"count(*) filter ({c} is null) as {c}_nulls" for c in ("ticket_id", "ticket_text", "category", "priority", "source")) + " from raw",
         "sample_heads": t + "select priority, row_number() over (partition by priority order by row_ord)::int as rank, ticket_text from tickets qualify rank <= 4",
         "invalid_values_except": f"with {RAW} select distinct category from raw where category not in ({', '.join(map(_s, fixed.CATEGORIES))})",
-        "union_ragged": f"with {INCOMING} select ticket_id, ticket_text, department, null::varchar as source from tickets where source = 'manual' union all select ticket_id, ticket_text, null, source from incoming",
+        "union_ragged": f"with {INCOMING} select ticket_id, ticket_text, department, null::varchar as source from tickets union all select ticket_id, ticket_text, null, source from incoming",
         "accuracy": judged + "select round(avg((priority = predicted)::int::double), 6) as accuracy from judged",
         "per_class_prf": f"with {JUDGED}, {_SCORES} select * from rated",
         "macro_weighted": f"with {JUDGED}, {_SCORES} select " + ", ".join(f"round(avg({c}), 4) as macro_{c}, round(sum({c} * support) / sum(support), 4) as weighted_{c}" for c in ("precision", "recall", "f1")) + " from rated",
@@ -273,23 +295,26 @@ def oracle_sql() -> dict[str, str]:
         "misclassified_top": judged + "select row_ord, priority, predicted, replace(left(ticket_text, 80), '|', '\\|') as ticket_text from judged where priority <> predicted order by row_ord limit 10",
         "group_consistency": judged + "select (row_ord // 3)::bigint as g, count(distinct predicted) = 1 as consistent, bool_and(predicted = priority) as perfect from judged group by 1",
         "consistency_score": judged + ", c as (select row_ord // 3 as g, bool_and(predicted = priority) as perfect from judged group by 1) select round(count(*) filter (perfect) * 100 / count(*), 4) as score from c",
-        "best_model": judged + ", m as (select 'priority' as target, 'predicted' as model, 0 as ord, round(avg((priority = predicted)::int::double), 6) as accuracy from judged union all select 'priority', 'always', 1, round(avg((priority = 'Medium')::int::double), 6) from judged union all select 'priority', 'repeat', 2, round(avg((priority = predicted)::int::double), 6) from judged) select * from m order by accuracy desc, ord limit 1",
+        "best_model": judged + f", r as (select *, {_rule('ticket_text', _s('Low'), _s(''))} as low, case when contains(ticket_text, 'refund') then 'Refund' when contains(ticket_text, 'order') then 'Shipping' else 'Account' end as worded from judged), m as ("
+        + " union all ".join(f"select '{target}' as target, '{model}' as model, {i} as ord, round(avg(({target} = {v})::int::double), 6) as accuracy from r" for i, (target, model, v) in enumerate((("priority", "low", "low"), ("priority", "predicted", "predicted"), ("priority", "always", "'Medium'"), ("category", "billing", "'Billing'"), ("category", "worded", "worded"), ("category", "account", "'Account'"))))
+        + ") select * from m qualify row_number() over (partition by target order by accuracy desc, ord) = 1",
         "promotion_gate": judged + ", s as (select avg((priority = predicted)::int::double) filter (row_ord % 2 = 0) as h, avg((priority = predicted)::int::double) filter (row_ord % 2 = 1) as v from judged) select round(h, 6) as holdout, round(v, 6) as validation, h >= 0.2 and v >= 0.85 as promote from s",
         "class_weights": t + "select priority, round(sum(count(*)) over () / (count(*) over () * count(*)), 8) as weight from tickets group by 1",
         "softmax_conf": t + ", s as (" + " union all ".join(f"select ticket_id, '{s}' as name, {_signal('ticket_text', s)} as m from tickets" for s in fixed.SIGNALS) + "), e as (select ticket_id, name, exp(m - max(m) over (partition by ticket_id)) as e from s) select ticket_id, name, round(e / sum(e) over (partition by ticket_id) * 100, 2) as confidence from e",
-        "conversation_latest": "with c as (select conv_id, turn, min(role) as role, min(text) as text from conversations group by 1, 2) select * from c qualify row_number() over (partition by conv_id order by turn desc) = 1",
+        "conversation_latest": "select conv_id, turn, role, text from conversations qualify row_number() over (partition by conv_id order by turn desc, role desc, text desc) = 1",
         "tickets_with_agent": f"with {STORE} select ticket_id, coalesce(a.name, 'Unassigned') as agent from kept k left join agents a on a.id = k.assigned_agent_id",
         "recent_tickets": f"with {STORE} select k.id, ticket_id, coalesce(a.name, 'Unassigned') as agent from kept k left join agents a on a.id = k.assigned_agent_id order by created_at desc, k.id desc limit 10",
-        "feedback_join": f"with {STORE} select feedback_id, priority as original_priority, corrected_priority, validated from feedback join kept using (ticket_id)",
+        "feedback_join": f"with {STORE} select feedback_id, ticket_text, priority as original_priority, coalesce(priority_confidence, confidence) as original_priority_confidence, corrected_priority, validated from feedback join kept using (ticket_id)",
         "feedback_stats": f"with {STORE} select count(*) as total, count(*) filter (validated = 1) as validated, count(*) - count(*) filter (validated = 1) as pending from feedback",
         "feedback_status": f"with {STORE} select case when validated = 1 then 'Validated' else 'Pending Review' end as label, corrected_priority, count(*) as n from feedback group by 1, 2",
         "assign_agent": assigned + "select ticket_id, agent_id, status from out_",
         "reassign_conflicts": assigned + "select department, status, count(*) as n from out_ group by 1, 2",
-        "latest_state": f"with {STORE} select ticket_id, id, min(corrected_priority) as corrected_priority, max(validated) as validated from feedback group by 1, 2 qualify row_number() over (partition by ticket_id order by id desc) = 1",
-        "insert_or_ignore": f"with {INCOMING}, o as (select ticket_id from tickets where source = 'manual'), x as (select ticket_id from o union all select distinct ticket_id from incoming where ticket_id not in (select ticket_id from o)) select ticket_id, count(*) as n from x group by 1",
-        "delete_keeps_feedback": f"with {STORE} select (select count(*) from kept where department <> 'Refund Team') as tickets, (select count(*) from feedback) as feedback",
+        "latest_state": f"with {STORE} select ticket_id, id, feedback_id, corrected_priority, validated from feedback qualify row_number() over (partition by ticket_id order by id desc, feedback_id desc, corrected_priority desc, validated desc) = 1",
+        "insert_or_ignore": f"with {INCOMING}, o as (select ticket_id, ticket_text, row_ord from tickets where source = 'manual'), n as (select ticket_id, ticket_text, row_ord from incoming where ticket_id not in (select ticket_id from o) qualify row_number() over (partition by ticket_id order by row_ord, ticket_text) = 1) select * from o union all select * from n",
         "dashboard": f"with {STORE} select 'total' as metric, 'tickets' as key, count(*) as n from kept union all " + " union all ".join(f"select '{c}', {c}, count(*) from kept group by {c}" for c in ("category", "priority", "department")) + " union all select 'feedback', case when validated = 1 then 'validated' else 'pending' end, count(*) from feedback group by 2",
-        "tfidf_weights": f"with {TICKETS}, {_terms('counted', 'tickets')}, stats as (select term, count(*) as df, sum(tf) as total from counted group by term), vocab as (select term, ln((1 + (select count(*) from tickets)) / (1 + df)) + 1 as idf from stats order by total desc, term limit 10000), {_WEIGHTS} select ticket_id, term, round(weight, 6) as weight from weighted",
+        "tfidf_weights": _tfidf(10000, True, False),
+        "tfidf_baseline": _tfidf(5000, False, True),
+        "tfidf_demo": _tfidf(10, False, True),
         "nb_train": _BAYES + " select label, term, round(logp, 6) as logp from likelihood",
         "nb_predict": _BAYES + ", s as (select ticket_id, label, sum(weight * logp) as s from weighted join likelihood using (term) where ticket_id not in (select ticket_id from train) group by 1, 2) select ticket_id, label as prediction from s join priors using (label) qualify row_number() over (partition by ticket_id order by round(s + prior, 9) desc, label) = 1",
-    }
+    } | service()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as X
 from ..operators import evaluate, features, ingest, models, prepare, profile, store
+from ..sources import files
 from ..sources import tickets as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,12 +182,6 @@ def near_dup_templates(spark, d):
 
 @query
 def template_signature(spark, d):
-    return S.tickets(spark, d).where(~F.col("ticket_text").rlike(r"[^\x00-\x7F]")).select("ticket_id", X.signature(F.col("ticket_text")).alias("pattern"))
-
-
-@query
-def template_signature_all(spark, d):
-    """The signature of every ticket, those with letters that RE2 masks otherwise included."""
     return S.tickets(spark, d).select("ticket_id", X.signature(F.col("ticket_text")).alias("pattern"))
 
 
@@ -207,9 +202,14 @@ def split_sizes(spark, d):
 
 @query
 def split_overlap(spark, d):
-    rows = prepare.with_split(_dense(spark, d)).withColumn("pattern", X.signature(F.col("ticket_text")))
-    part = lambda s: rows.where(F.col("split") == s).select("pattern")
-    return part("train").intersect(part("test")).agg(F.count("*").alias("shared_patterns"))
+    """Patterns and raw texts that train and test share: by the split of patterns, which keeps them apart, and by a split of rows."""
+    whole = prepare.with_split(_dense(spark, d))
+    rows = S.tickets(spark, d).withColumn("split", F.when(F.col("row_ord") % 10 < 7, "train").otherwise("test"))
+    found = None
+    for kind, frame in (("pattern", whole), ("row", rows)):
+        shared = prepare.split_overlap(frame.withColumn("pattern", X.signature(F.col("ticket_text")))).select(F.lit(kind).alias("kind"), "*")
+        found = shared if found is None else found.unionByName(shared)
+    return found
 
 
 @query
@@ -226,12 +226,6 @@ def pairwise_leakage(spark, d):
 
 @query
 def benchmark_leakage(spark, d):
-    lines = lambda t, key: spark.read.parquet(f"{d}/{t}.parquet").select(key, F.explode(F.split(F.lower("text"), "\n")).alias("line")).where("length(line) >= 20").distinct()
-    return lines("documents", "doc_id").join(lines("benchmark", "item_id"), "line").groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
-
-
-@query
-def benchmark_passages(spark, d):
     """Documents that share a window of 13 words, or a whole shorter passage, with a benchmark item, wherever it stands."""
     return prepare.shared_passages(_documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
 
@@ -311,7 +305,7 @@ def invalid_values_except(spark, d):
 
 @query
 def union_ragged(spark, d):
-    a = S.tickets(spark, d).where("source = 'manual'").select("ticket_id", "ticket_text", "department")
+    a = S.tickets(spark, d).select("ticket_id", "ticket_text", "department")
     b = S.incoming(spark, d).select("ticket_id", "ticket_text", "source")
     return a.unionByName(b, allowMissingColumns=True)
 
@@ -360,9 +354,14 @@ def consistency_score(spark, d):
 
 @query
 def best_model(spark, d):
-    rows = _judged(spark, d).withColumns({"always": F.lit("Medium"), "repeat": F.col("predicted")})
-    lines = [evaluate.accuracy(rows, "priority", c).select(F.lit("priority").alias("target"), F.lit(c).alias("model"), F.lit(i).alias("ord"), "accuracy") for i, c in enumerate(("predicted", "always", "repeat"))]
-    return evaluate.best(lines[0].unionByName(lines[1]).unionByName(lines[2]), "target", "accuracy", "ord")
+    """For priority and category the best of three rules each."""
+    low = X.rule_priority(F.col("ticket_text"), F.lit("Low"), F.lit(""))
+    worded = F.when(F.col("ticket_text").contains("refund"), "Refund").when(F.col("ticket_text").contains("order"), "Shipping").otherwise("Account")
+    rows = _judged(spark, d).withColumns({"low": low, "always": F.lit("Medium"), "worded": worded, "billing": F.lit("Billing"), "account": F.lit("Account")})
+    named = [("priority", m) for m in ("low", "predicted", "always")] + [("category", m) for m in ("billing", "worded", "account")]
+    one = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(m).alias("model"), F.lit(i).alias("ord"), (F.col(t) == F.col(m)).alias("hit")) for i, (t, m) in enumerate(named)])).alias("x")
+    scored = rows.select(one).select("x.*").groupBy("target", "model", "ord").agg(F.round(F.avg(F.col("hit").cast("double")), 6).alias("accuracy"))
+    return evaluate.best(scored, "target", "accuracy", "ord")
 
 
 @query
@@ -380,14 +379,13 @@ def class_weights(spark, d):
 
 @query
 def softmax_conf(spark, d):
-    rows = S.tickets(spark, d).select("ticket_id", F.explode(F.create_map(*[x for s in fixed.SIGNALS for x in (F.lit(s), X.signal(F.col("ticket_text"), s))])).alias("name", "margin"))
-    return evaluate.softmax(rows, "ticket_id", "margin").select("ticket_id", "name", "confidence")
+    margins = {name: X.signal(F.col("ticket_text"), name) for name in fixed.SIGNALS}
+    return S.tickets(spark, d).select("ticket_id", F.explode(evaluate.softmax(margins)).alias("name", "confidence"))
 
 
 @query
 def conversation_latest(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet")
-    return store.latest(rows.groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text")), "conv_id", "turn")
+    return store.latest(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
 
 
 @query
@@ -402,7 +400,7 @@ def recent_tickets(spark, d):
 
 @query
 def feedback_join(spark, d):
-    return store.feedback_with_ticket(S.feedback(spark, d), S.store_tickets(spark, d)).select("feedback_id", "original_priority", "corrected_priority", "validated")
+    return store.feedback_with_ticket(S.feedback(spark, d), S.store_tickets(spark, d)).select("feedback_id", "ticket_text", "original_priority", "original_priority_confidence", "corrected_priority", "validated")
 
 
 @query
@@ -428,22 +426,14 @@ def reassign_conflicts(spark, d):
 
 @query
 def latest_state(spark, d):
-    rows = S.feedback(spark, d).groupBy("ticket_id", "id").agg(F.min("corrected_priority").alias("corrected_priority"), F.max("validated").alias("validated"))
-    return store.latest(rows, "ticket_id", "id")
+    return store.latest(S.feedback(spark, d).select("ticket_id", "id", "feedback_id", "corrected_priority", "validated"), "ticket_id", "id")
 
 
 @query
 def insert_or_ignore(spark, d):
-    rows = S.tickets(spark, d).select("ticket_id", "ticket_text", "source")
-    return store.insert_or_ignore(rows.where("source = 'manual'").drop("source"), S.incoming(spark, d).select("ticket_id", "ticket_text").dropDuplicates(["ticket_id"]), ["ticket_id"]).groupBy("ticket_id").agg(F.count("*").alias("n"))
-
-
-@query
-def delete_keeps_feedback(spark, d):
-    gone = S.store_tickets(spark, d).where("department = 'Refund Team'").select("ticket_id")
-    left = S.store_tickets(spark, d).join(gone, "ticket_id", "left_anti")
-    kept = S.feedback(spark, d)
-    return left.agg(F.count("*").alias("tickets")).crossJoin(kept.agg(F.count("*").alias("feedback")))  # single rows
+    """Tickets of one source, then of the incoming ones each new id's first row; incoming ids repeat."""
+    old = S.tickets(spark, d).where("source = 'manual'").select("ticket_id", "ticket_text", "row_ord")
+    return store.insert_or_ignore(old, S.incoming(spark, d).select("ticket_id", "ticket_text", "row_ord"), ["ticket_id"], "row_ord")
 
 
 @query
@@ -451,65 +441,118 @@ def dashboard(spark, d):
     return store.dashboard(S.store_tickets(spark, d), S.feedback(spark, d))
 
 
+def _weights(spark: SparkSession, d: str, size: int, sublinear: bool, letters: bool) -> DataFrame:
+    docs = S.tickets(spark, d)
+    counted = files.written(features.terms(docs, "ticket_id", "ticket_text", letters), "terms")
+    vocab = features.vocabulary(counted, docs.agg(F.count("*").alias("n")), size)
+    return features.weights(counted, vocab, "ticket_id", sublinear).select("ticket_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query
 def tfidf_weights(spark, d):
-    docs = S.tickets(spark, d)
-    counted = features.terms(docs, "ticket_id", "ticket_text")
-    vocab = features.vocabulary(counted, docs.agg(F.count("*").alias("n")), VOCABULARY)
-    return features.weights(counted, vocab, "ticket_id").select("ticket_id", "term", F.round("weight", 6).alias("weight"))
+    return _weights(spark, d, VOCABULARY, True, False)
+
+
+@query
+def tfidf_baseline(spark, d):
+    return _weights(spark, d, 5000, False, True)
+
+
+@query
+def tfidf_demo(spark, d):
+    return _weights(spark, d, 10, False, True)
 
 
-def _bayes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    docs = S.tickets(spark, d).select("ticket_id", "ticket_text", "row_ord", F.col("category").alias("label"))
-    train = docs.where("row_ord % 4 <> 0")
-    counted = features.terms(docs, "ticket_id", "ticket_text")
-    known = counted.join(train.select("ticket_id"), "ticket_id", "left_semi")
-    vocab = features.vocabulary(known, train.agg(F.count("*").alias("n")), VOCABULARY)
+def _bayes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(weights of unseen tickets, priors, likelihoods); terms are counted once, each with its ticket's label if that is for training."""
+    seen = F.col("row_ord") % 4 != 0
+    docs = S.tickets(spark, d).select("ticket_id", "ticket_text", F.when(seen, F.col("category")).alias("label"))
+    words = features.words_of(F.col("ticket_text"))
+    counted = docs.select("ticket_id", "label", F.explode(features.terms_of(words)).alias("term")).groupBy("ticket_id", "label", "term").agg(F.count("*").alias("tf"))
+    counted = files.written(counted, "terms")
+    train = docs.where("label is not null").select("ticket_id", "label")
+    vocab = features.vocabulary(counted.where("label is not null"), train.agg(F.count("*").alias("n")), VOCABULARY)
     weighted = features.weights(counted, vocab, "ticket_id")
-    seen = weighted.join(train.select("ticket_id"), "ticket_id", "left_semi")
-    priors, likelihood = features.bayes_train(seen, train.select("ticket_id", "label"), "ticket_id")
-    unseen = weighted.join(train.select("ticket_id"), "ticket_id", "left_anti")
-    return docs, unseen, priors, likelihood
+    priors, likelihood = features.bayes_train(weighted.where("label is not null").drop("label"), train, "ticket_id")
+    return weighted.where("label is null").drop("label"), priors, likelihood
 
 
 @query
 def nb_train(spark, d):
-    return _bayes(spark, d)[3].select("label", "term", F.round("logp", 6).alias("logp"))
+    return _bayes(spark, d)[2].select("label", "term", F.round("logp", 6).alias("logp"))
 
 
 @query
 def nb_predict(spark, d):
-    _, unseen, priors, likelihood = _bayes(spark, d)
+    unseen, priors, likelihood = _bayes(spark, d)
     return features.bayes_predict(unseen, priors, likelihood, "ticket_id")
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return S.tickets(spark, d).withColumn("split", F.when(F.pmod(F.xxhash64("row_ord"), F.lit(10)) < 7, "train").otherwise("test"))
+    """Tickets with a split by hash: seven tenths to train on, two for testing, one held out."""
+    part = F.pmod(F.xxhash64("row_ord"), F.lit(10))
+    return S.tickets(spark, d).withColumn("split", F.when(part < 7, "train").when(part < 9, "test").otherwise("holdout"))
 
 
 @query
 def lr_predict(spark, d):
-    return models.fit_predict(_split(spark, d), "category", "Logistic Regression", VOCABULARY)
+    return models.fit_predict(_split(spark, d), "category", models.Config(models.LR, models.LR), VOCABULARY)
 
 
 @query
 def rf_predict(spark, d):
-    return models.fit_predict(_split(spark, d), "priority", "Random Forest", VOCABULARY, with_signals=True)
+    return models.fit_predict(_split(spark, d), "priority", models.Config(models.RF, models.RF, balanced=True, signals=True, trees=150), VOCABULARY)
 
 
 @query
 def svm_platt_predict(spark, d):
-    return models.fit_predict(_split(spark, d), "priority", "Calibrated Linear SVM", VOCABULARY)
+    return models.fit_predict(_split(spark, d), "priority", models.Config(models.SVM, models.SVM, balanced=True), VOCABULARY)
 
 
 @query
 def model_benchmark(spark, d):
-    held = F.pmod(F.xxhash64("row_ord"), F.lit(10)) == 9
-    rows = _split(spark, d).withColumn("split", F.when(held, "holdout").otherwise(F.col("split")))
-    return models.benchmark(rows, "category", VOCABULARY)
+    """The six candidates for priority on both evaluation sets."""
+    return models.benchmark(_split(spark, d), "priority", models.CANDIDATES, VOCABULARY)
+
+
+@query
+def category_models(spark, d):
+    """The four models for category on both evaluation sets."""
+    return models.benchmark(_split(spark, d), "category", models.production(False), VOCABULARY)
+
+
+@query
+def predict_tickets(spark, d):
+    """Prediction records of all raw tickets, null and blank ones included, by a stored and reloaded predictor."""
+    light = (models.Config(models.LR, models.LR),), (models.Config(models.SVM, models.SVM, balanced=True, signals=True, folds=3),)
+    store = models.ModelStore(spark, f"{files.scratch(spark, 'models')}")
+    store.save(models.train_predictor(_split(spark, d), *light, size=VOCABULARY), "v1", activate=True)
+    rows = store.predict(S.raw_tickets(spark, d).select("row_ord", "ticket_id", "ticket_text"))
+    signals = [F.col("priority_signals")[s].alias(s) for s in fixed.SIGNALS]
+    routed = X.department(F.when(F.col("status") == "success", F.col("category"))) == F.col("department")
+    known = F.col("category").isin(*fixed.CATEGORIES) & F.col("priority").isin(*fixed.PRIORITIES)
+    sure = (F.col("confidence") == F.col("category_confidence")) & F.col("confidence").between(0, 100) & F.col("priority_confidence").between(0, 100)
+    told = F.col("priority_explanation") == X.explanation(X.signals(F.col("ticket_text")), F.col("priority"))
+    return rows.select("row_ord", "status", "error", *signals, F.when(F.col("status") == "success", known & sure & told).alias("sound"), routed.alias("routed"))
+
+
+@query
+def retrain_gate(spark, d):
+    """The decision on a priority candidate that has learnt from validated feedback."""
+    rows = _split(spark, d)
+    store = models.ModelStore(spark, f"{files.scratch(spark, 'models')}")
+    store.save(models.train_predictor(rows, (models.Config(models.LR, models.LR),), (models.Config(models.LR, models.LR, balanced=True),), VOCABULARY), "v1", activate=True)
+    told = S.feedback(spark, d).select("ticket_id", "corrected_priority", "validated").join(rows.select("ticket_id", "ticket_text"), "ticket_id")
+    part = lambda s: rows.where(F.col("split") == s)
+    decision = models.retrain(store, part("train"), part("test"), part("holdout"), told, promote=True)
+    active = store.registry()["active"]
+    return spark.createDataFrame([(k, str(v)) for k, v in [*decision.items(), ("active", active)]], "name string, value string")
 
 
 @query
 def generated_tickets(spark, d):
     n = spark.read.parquet(f"{d}/orders.parquet").count()
     return S.generate(spark, n)
+
+
+from . import service  # noqa: E402, F401  registers its queries

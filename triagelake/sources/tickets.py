@@ -42,6 +42,31 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: (pair, English text, the same in romanised Hindi).
+LANGUAGE_PAIRS: tuple[tuple[str, str, str], ...] = (
+    ("order status", "Where is my parcel now?", "Mera parcel kahan hai?"),
+    ("double charge", "I was charged twice, please refund it urgently.", "Do baar charge ho gaya, jaldi refund karo."),
+    ("hacked account", "My account was hacked last night.", "Mera account hack ho gaya hai."),
+    ("broken app", "The app is completely broken.", "App kharab hai, kaam nahi kar raha."),
+    ("profile", "I want to change email on my profile.", "Mujhe apna email change karna hai."),
+)
+#: (text, expected priority, why).
+SCENARIOS: tuple[tuple[str, str, str], ...] = (
+    ("Someone made an unauthorized charge of $900 on my card", "Critical", "money is lost now"),
+    ("Production down, all users see a server error", "Critical", "the business stands still"),
+    ("My account was hacked and the password changed", "Critical", "an account is taken over"),
+    ("I was charged twice for the same order", "High", "money is owed"),
+    ("My parcel is delayed by 6 days and I need it today", "High", "late and urgent"),
+    ("I am locked out and cannot login before a deadline", "High", "access is blocked, time presses"),
+    ("The box came damaged but usable", "Medium", "a fault without haste"),
+    ("The page is slow and shows a glitch", "Medium", "a nuisance"),
+    ("My refund has not arrived yet", "Medium", "an open matter"),
+    ("How do I switch on dark mode?", "Low", "a question"),
+    ("What is the pricing of the plan? No rush.", "Low", "a question without haste"),
+    ("Where is the documentation?", "Low", "a question"),
+)
+
+
 def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
@@ -93,11 +118,13 @@ def agents(spark: SparkSession) -> DataFrame:
 
 
 def store_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tickets as the store keeps them, most with an agent."""
+    """Tickets as the store keeps them, most with an agent; some have one confidence alone, some none."""
     key = F.col("row_ord")
+    sure = (key * 37 % 10000) / F.lit(100.0)
     return tickets(spark, sf_dir).select(
         key.alias("id"), "ticket_id", "ticket_text", "category", "priority", "department", "created_at",
         F.when(key % 4 == 0, F.lit(None).cast("long")).otherwise(key % 20 + 1).alias("assigned_agent_id"),
+        F.when(key % 9 != 0, sure).alias("confidence"), F.when(key % 3 != 0, sure).alias("category_confidence"), F.when(key % 5 != 0, sure / 2).alias("priority_confidence"),
     )
 
 
@@ -113,6 +140,43 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ticket_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies that carry ticket texts: objects, and some that are lists, cut short, without the field, or with a number for it."""
+    key, text = F.col("row_ord"), F.coalesce("ticket_text", F.lit(""))
+    body = F.concat(F.lit('{"ticket_text": "'), text, F.lit('"}'))
+    odd = F.when(key % 31 == 0, F.lit(None)).when(key % 29 == 0, F.concat(F.lit("["), body, F.lit("]"))).when(key % 23 == 0, F.lit('{"ticket_text": "cut'))
+    return raw_tickets(spark, sf_dir).select("row_ord", odd.when(key % 19 == 0, F.lit('{"text": "x"}')).when(key % 17 == 0, F.lit('{"ticket_text": 17}')).otherwise(body).alias("body"))
+
+
+def feedback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies with corrected priorities: some without an id, for unknown tickets, with unlisted priorities, with flags of all kinds."""
+    key = F.col("row_ord")
+    ticket = F.when(key % 13 == 0, "  ").when(key % 11 == 0, F.concat(F.lit("NONE-"), key.cast("string"))).otherwise(F.concat(F.lit(" TICK-"), key.cast("string")))
+    priority = F.when(key % 7 == 0, "Urgent").otherwise(_pick(fixed.PRIORITIES, key % 4))
+    flag = _pick(("1", "true", '"1"', '"true"', "0", "false", '"yes"', "null", "1.0"), key % 9)
+    head = F.concat(F.lit('{"ticket_id": "'), ticket, F.lit('", "corrected_priority": " '), priority, F.lit('"'))
+    rest = F.when(key % 2 == 0, F.concat(F.lit(', "validated": '), flag)).otherwise("")
+    reviewer = F.when(key % 3 == 0, ', "reviewer": "  "').when(key % 3 == 1, ', "reviewer": "lead "').otherwise("")
+    return raw_tickets(spark, sf_dir).select("row_ord", F.when(key % 37 == 0, "not json").otherwise(F.concat(head, rest, reviewer, F.lit("}"))).alias("body"))
+
+
+def validation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies that flag feedback; some without an id, for unknown feedback, or twice."""
+    key = F.col("id")
+    told = F.when(key % 7 == 0, "").when(key % 11 == 0, "FB-none").otherwise(F.col("feedback_id"))
+    rest = F.when(key % 3 == 0, ', "validated": 0').when(key % 3 == 1, ', "validated": true').otherwise("")
+    rows = feedback(spark, sf_dir).withColumn("place", F.explode(F.sequence(F.lit(0), F.when(key % 5 == 0, 1).otherwise(0))))
+    return rows.select((key * 2 + F.col("place")).alias("row_ord"), F.concat(F.lit('{"feedback_id": "'), told, F.lit('"'), F.when(F.col("place") == 1, ', "validated": "true"').otherwise(rest), F.lit("}")).alias("body"))
+
+
+def id_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that name a ticket: blank and unknown ids among them, and some twice."""
+    key = F.col("row_ord")
+    rows = raw_tickets(spark, sf_dir).withColumn("place", F.explode(F.sequence(F.lit(0), F.when(key % 6 == 0, 1).otherwise(0))))
+    told = F.when(key % 41 == 0, " ").when(key % 43 == 0, F.concat(F.lit("GONE-"), key.cast("string"))).otherwise(F.col("ticket_id"))
+    return rows.select((key * 2 + F.col("place")).alias("row_ord"), told.alias("ticket_id"))
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType = RAW) -> DataFrame:
     """CSV files with a header; quoted fields may hold quotes and line ends, the usual marks of absence are null."""
     rows = spark.read.schema(schema).csv(paths, header=True, quote='"', escape='"', multiLine=True, enforceSchema=False)
@@ -151,19 +215,52 @@ def require(rows: DataFrame, columns: tuple[str, ...] = RAW_COLUMNS) -> DataFram
     return rows.select(*columns)
 
 
-def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """``n`` synthetic tickets from the templates, labelled by rule; the same for the same seed on any cluster."""
+# What fills the generator's placeholders, and what stands before and behind its texts.
+AMOUNTS, PLAN_AMOUNTS = ("19.99", "49.0", "99.99", "149.0", "249.5", "499.0"), ("9.99", "29.99", "79.99")
+PERIODS, ERROR_CODES = ("Jan 2026", "Feb 2026", "Q1 2026"), ("ERR_502", "NULL_POINTER_EXC", "SOCKET_TIMEOUT", "AUTH_DENIED")
+PREFIXES = ("Hi support team, ", "Hello, ", "Hey there, ", "Dear customer service, ", "Urgent: ", "Quick question - ", "FYI, ", "Plz help - ", "")
+SUFFIXES = (
+    " Please advise as soon as possible.", " Thanks for your help!", " Urgent attention required.", " Contact me via email or phone.", " Appreciate a quick update on this.",
+    " Kindly look into this matter promptly.", " Looking forward to hearing back.", " Plz respond asap.", "",
+)
+#: (category, text, base priority, language) of the generator's own templates.
+GENERATED: tuple[tuple[str, str, str, str], ...] = (
+    *((c, t, ("Low", "Medium", "High", "Critical")[i % 4], "gujarati" if any("\u0a80" <= x <= "\u0aff" for x in t) else "hinglish" if any(w in t.split() for w in ("Mera", "chahiye,", "nathi,")) else "en") for i, (c, t) in enumerate(TEMPLATES)),
+    ("Billing", "Invoice {id} lists ${amount} although my plan costs ${plan_amount} a month.", "Medium", "en"),
+    ("Billing", "The statement for {period} is missing.", "Low", "en"),
+    ("Technical Support", "Error {err_code} appears whenever the server {ip} restarts.", "High", "en"),
+    ("Technical Support", "Model {model} stops with {err_code}", "Medium", "en"),
+    ("Refund", "Please return the ${amount} that I paid in {period}.", "Medium", "en"),
+    ("Shipping", "Order {id} with a {model} never left the depot.", "High", "en"),
+    ("Account", "Someone from {ip} signed in to my account", "Critical", "en"),
+    ("Complaint", "The {model} for ${amount} broke within a day!", "High", "en"),
+    ("Product Inquiry", "Does {model} come with the ${plan_amount} plan?", "Low", "en"),
+    ("Cancellation", "Stop my ${plan_amount} plan at the end of {period}", "Low", "en"),
+)
+
+
+def generate(spark: SparkSession, n: int, seed: int = 42, templates: tuple[tuple[str, str, str, str], ...] = GENERATED) -> DataFrame:
+    """``n`` synthetic tickets, the categories in equal parts, labelled by rule and in shuffled order; the same for the same seed on any cluster.
+
+    ``templates``: (category, text with placeholders, base priority, language); English texts may get a greeting.
+    """
     pick = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(k))
-    rows = spark.range(n).withColumn("which", pick(1, len(TEMPLATES)))
-    main = X.fill(_pick(tuple(t for _, t in TEMPLATES), F.col("which")), id=(F.col("id") + 10001).cast("string"))
-    suffix = _pick(("", "", "Urgent attention required.", "Thank you for your assistance."), pick(2, 4))
-    base = _pick(fixed.PRIORITIES, pick(3, 4))
-    text = F.trim(F.concat_ws(" ", main, suffix))
+    named = tuple(dict.fromkeys(c for c, *_ in templates))
+    own = [[t for t in templates if t[0] == c] for c in named]
+    each = -(-n // len(named)) if n else 1
+    found = F.array(*[F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("category", "text", "base", "language"), t, strict=True)]) for t in group]) for group in own])
+    rows = spark.range(n).withColumn("_of", F.get(found, F.floor(F.col("id") / each).cast("int")))
+    rows = rows.withColumn("t", F.get("_of", F.pmod(F.xxhash64("id", F.lit(seed), F.lit(1)), F.size("_of")).cast("int"))).drop("_of")
+    filled = X.fill(
+        F.col("t.text"), id=(pick(4, 90_000) + 10_000).cast("string"), amount=_pick(AMOUNTS, pick(5, len(AMOUNTS))), plan_amount=_pick(PLAN_AMOUNTS, pick(6, len(PLAN_AMOUNTS))), period=_pick(PERIODS, pick(7, len(PERIODS))),
+        err_code=_pick(ERROR_CODES, pick(8, len(ERROR_CODES))), ip=F.concat(F.lit("192.168."), (pick(9, 254) + 1).cast("string"), F.lit("."), (pick(10, 254) + 1).cast("string")), model=F.concat(F.lit("PRO-"), (pick(11, 900) + 100).cast("string")),
+    )
+    prefix = F.when(F.col("t.language") == "en", _pick(PREFIXES, pick(2, len(PREFIXES)))).otherwise("")
+    suffix = _pick(SUFFIXES, pick(3, len(SUFFIXES)))
+    rows = rows.withColumns({"_suffix": suffix, "ticket_text": X.minor_noise(F.concat(prefix, filled, suffix), F.col("id"))})
     rows = rows.select(
-        F.format_string("TICK-%06d", F.col("id") + 10001).alias("ticket_id"),
-        X.minor_noise(text, F.col("id")).alias("ticket_text"),
-        _pick(tuple(c for c, _ in TEMPLATES), F.col("which")).alias("category"),
-        X.rule_priority(text, base, suffix).alias("priority"),
-        F.lit("synthetic").alias("source"),
-    )
-    return rows.withColumns({"department": X.department(F.col("category")), "language": X.language_by_parts(F.col("ticket_text"))})
+        F.format_string("TICK-%06d", F.col("id") + 10001).alias("ticket_id"), "ticket_text", F.col("t.category").alias("category"),
+        X.rule_priority(F.col("ticket_text"), F.col("t.base"), F.trim("_suffix")).alias("priority"), F.lit("synthetic").alias("source"),
+        F.col("t.language").alias("language"), F.xxhash64("id", F.lit(seed), F.lit(12)).alias("_place"),
+    )
+    return rows.withColumn("department", X.department(F.col("category"))).orderBy("_place").drop("_place")
