@@ -11,8 +11,9 @@ of scores are not what decides; there arcs weigh 0 and the acceptor lets piece b
 merging their joined text gives just a and b, and at infinite weight else. A segmentation whose neighbours all pass is
 the one that merging finds, and there is exactly one, so the shortest path is the merged result.
 
-No piece has the mark after another character, so an input falls into chunks, spaces with the word behind them, after
-each of which the normaliser is in one state and the pieces in their start. A bounded memo keeps the chunks' paths.
+Where two characters never stand side by side in a piece, every path closes a piece between them and no merge crosses.
+So an input falls into chunks, spaces with the letters behind them or a run of marks, after each of which the normaliser
+is in one state and the pieces in their start. A bounded memo keeps the chunks' paths.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -37,7 +38,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 800_000
+MEMO_WORDS = 600_000
 INFINITE = float("inf")
 SCHEMA = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string"
 
@@ -162,7 +163,7 @@ class MergedNeighbours:
     def weight(self, state: str, piece: str) -> float:
         found = self.known.get((state, piece))
         if found is None:
-            if len(self.known) > 4 * MEMO_WORDS:
+            if len(self.known) > 2 * MEMO_WORDS:
                 self.known.clear()
             found = self.known[state, piece] = 0.0 if self.merge(state + piece) == ([state, piece] if state else [piece]) else INFINITE
         return found
@@ -213,16 +214,48 @@ def shortest_path(text: str, pieces: Pieces, neighbours: AnyNeighbours | MergedN
 
 
 class Memo(dict):
-    """chunk -> the ids along its path, learnt at the first look-up."""
+    """chunk -> the ids along its path, learnt at the first look-up; of full memos the last one stays at hand."""
 
     def __init__(self, machine: Model, state: int) -> None:
         super().__init__()
-        self.machine, self.state = machine, state
+        self.machine, self.state, self.old = machine, state, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.machine.ids_of(self.machine.normaliser.run(self.state, chunk)[1])
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.machine.ids_of(self.machine.normaliser.run(self.state, chunk)[1])
+        self[chunk] = ids
         return ids
 
+    def shrink(self, most: int) -> None:
+        """Start anew if ``most`` chunks are held."""
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
+
+def chunk_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """What an input is cut into: spaces and marks with a run of characters of one kind behind them, or alone.
+
+    Characters are of one kind if a chain of neighbours in pieces joins them; one without neighbours stands alone.
+    """
+    above: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while (up := above.setdefault(c, c)) != c:
+            above[c] = c = above.setdefault(up, up)
+        return c
+
+    for piece in pieces:
+        chars = piece.lstrip(MARK)
+        for x, y in zip(chars, chars[1:], strict=False):
+            above[root(x)] = root(y)
+    kinds: dict[str, list[str]] = {}
+    for c in list(above):
+        kinds.setdefault(root(c), []).append(c)
+    runs = [f"[{''.join(map(re.escape, sorted(k)))}]+" for k in sorted(kinds.values(), key=len, reverse=True)]
+    return re.compile(f"[ {MARK}]*(?:{'|'.join([*runs, f'[^ {MARK}]'])})|[ {MARK}]+")
+
 
 class Model:
     """A compiled model; ``encode`` and ``decode`` are each other's inverse up to the normaliser."""
@@ -270,9 +303,8 @@ class Model:
             each = max(0.0, *scores.values()) if scores else 0.0
             worst = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
             self.pieces, self.neighbours = Pieces({p: each * len(p) - s for p, s in scores.items()}, each - worst), AnyNeighbours()
-        by_words = not any(MARK in p.lstrip(MARK) for p in scores)
-        #: Where an input may be cut: before spaces and marks that follow something else.
-        self.chunks = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+" if by_words else "(?s).+")
+        whole = any(MARK in p.lstrip(MARK) for p in scores)  # a piece goes on behind a mark: no cut is safe
+        self.chunks = re.compile("(?s).+") if whole else chunk_pattern(scores)
         self.first, self.memo = Memo(self, Normaliser.START), Memo(self, Normaliser.BODY)
 
     def ids_of(self, normal: str) -> bytes:
@@ -294,9 +326,8 @@ class Model:
         if not text:
             return b""
         chunks = self.chunks.findall(text)
-        if len(self.memo) + len(self.first) > MEMO_WORDS:
-            self.memo.clear()
-            self.first.clear()
+        self.memo.shrink(MEMO_WORDS)
+        self.first.shrink(MEMO_WORDS // 8)
         ids = self.first[chunks[0]] + b"".join(map(self.memo.__getitem__, chunks[1:]))
         return ids if self.byte_ids else self._one_unknown(ids)
 
