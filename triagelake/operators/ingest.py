@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as X
+from ..sources import files
 
 
 def reasons(known_id: Column, known_text: Column) -> Column:
@@ -58,20 +57,18 @@ def accept(rows: DataFrame, existing: DataFrame, order: str = "row_ord") -> Data
     without rivals are all settled in the first.
     """
     checked = against_existing(rows, existing).withColumns({"_id": X.strip(F.col("ticket_id")), "_text": F.lower(X.strip(F.col("ticket_text")))})
-    spark = rows.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="triagelake-"))
-    checked = checked.checkpoint()
+    checked = files.written(checked, "checked")
     open_ = checked.where(F.size("reasons") == 0).select(F.col(order).alias("_ord"), "_id", "_text")
     accepted = open_.limit(0)
     while True:
         first_id = open_.groupBy("_id").agg(F.min("_ord").alias("_by_id"))
         first_text = open_.groupBy("_text").agg(F.min("_ord").alias("_by_text"))
-        won = open_.join(first_id, "_id").join(first_text, "_text").where("_ord = _by_id and _ord = _by_text").select("_ord", "_id", "_text").checkpoint()
+        won = open_.join(first_id, "_id").join(first_text, "_text").where("_ord = _by_id and _ord = _by_text").select("_ord", "_id", "_text")
+        won = files.written(won, "won")
         if won.isEmpty():
             break
         accepted = accepted.unionByName(won)
-        open_ = open_.join(won.select("_id"), "_id", "left_anti").join(won.select("_text"), "_text", "left_anti").checkpoint()
+        open_ = files.written(open_.join(won.select("_id"), "_id", "left_anti").join(won.select("_text"), "_text", "left_anti"), "open")
     ids = accepted.select("_id", F.col("_ord").alias("_id_from"))
     texts = accepted.select("_text", F.col("_ord").alias("_text_from"))
     out = checked.join(ids, "_id", "left").join(texts, "_text", "left")
@@ -86,17 +83,33 @@ def accept(rows: DataFrame, existing: DataFrame, order: str = "row_ord") -> Data
     )
 
 
-def write_routed(decided: DataFrame, out: str) -> None:
-    """Approved rows to ``out``/manual and ``out``/external by source, rejected ones with their reason to ``out``/rejected."""
+PLACES = ("manual", "external", "rejected")
+
+
+def write_routed(decided: DataFrame, out: str, batch: int = 0) -> None:
+    """Approved rows to ``out``/manual and ``out``/external by source, rejected ones with their reason to ``out``/rejected.
+
+    Each batch has its own folder in all three, written over if it comes again: what a batch has written is what its last
+    run decided.
+    """
     ok = decided.where("validation_status = 'approved'").drop("rejection_reason")
-    ok.where("source = 'manual'").write.mode("append").parquet(f"{out}/manual")
-    ok.where("source <> 'manual'").write.mode("append").parquet(f"{out}/external")
-    decided.where("validation_status = 'rejected'").write.mode("overwrite").parquet(f"{out}/rejected")
+    parts = (ok.where("source = 'manual'"), ok.where("source <> 'manual'"), decided.where("validation_status = 'rejected'"))
+    for place, rows in zip(PLACES, parts, strict=True):
+        rows.write.mode("overwrite").parquet(f"{out}/{place}/batch={batch}")
+
+
+def accepted_before(spark: SparkSession, out: str, batch: int, columns: list[str], empty: DataFrame) -> DataFrame:
+    """What earlier batches have accepted; ``empty`` if there is nothing."""
+    rows = empty
+    for place in PLACES[:2]:
+        if files.exists(spark, f"{out}/{place}"):
+            rows = rows.unionByName(spark.read.parquet(f"{out}/{place}").where(F.col("batch") < batch).select(*columns))
+    return rows
 
 
-def append_first(old: DataFrame, new: DataFrame, out: str) -> None:
-    """Old and new rows, of equal texts the first, as a new snapshot at ``out``; old rows come first."""
+def append_first(old: DataFrame, new: DataFrame, out: str, order: str = "row_ord") -> None:
+    """Old and new rows, of equal texts the first, as a new snapshot at ``out``; old rows come first, each side by ``order``."""
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in rows.columns if c not in ("ticket_text", "_new")]
-    first = rows.groupBy("ticket_text").agg(F.min_by(F.struct(*rest), F.struct("_new", "ticket_id")).alias("_row"))
+    first = rows.groupBy("ticket_text").agg(F.min_by(F.struct(*rest), F.struct("_new", order, *[c for c in rest if c != order])).alias("_row"))
     first.select("ticket_text", "_row.*").write.parquet(out)

@@ -70,7 +70,7 @@ def merge_json(spark: SparkSession, path: str, key: str, part: Mapping) -> dict:
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV files with a header; quotes, line ends and separators in fields are quoted, null is an empty field."""
-    rows.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue='""')
+    rows.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def markdown(rows: DataFrame, title: str, note: str = "", limit: int = 1000) -> str:

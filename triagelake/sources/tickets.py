@@ -201,11 +201,20 @@ def read_available(spark: SparkSession, paths: dict[str, str], schema: T.StructT
     return out
 
 
+def is_landed(name: Column) -> Column:
+    """Whether a landing file is neither a processed nor a rejected one."""
+    return ~name.startswith("processed_") & ~name.startswith("rejected_")
+
+
 def read_landing(spark: SparkSession, folder: str) -> DataFrame:
     """All CSV files of a landing folder that are neither processed nor rejected ones."""
     rows = spark.read.schema(INCOMING).csv(folder, header=True, quote='"', escape='"', multiLine=True, pathGlobFilter="*.csv")
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return rows.where(~name.startswith("processed_") & ~name.startswith("rejected_"))
+    return rows.where(is_landed(F.col("_metadata.file_name")))
+
+
+def keep_known(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Those of ``columns`` that ``rows`` has, in order."""
+    return rows.select(*[c for c in columns if c in rows.columns])
 
 
 def require(rows: DataFrame, columns: tuple[str, ...] = RAW_COLUMNS) -> DataFrame:

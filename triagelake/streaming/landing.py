@@ -1,4 +1,4 @@
-"""The landing folder as a stream: each batch is validated against the accepted rows so far and routed."""
+"""The landing folder as a stream: each batch is validated against what earlier batches accepted and routed."""
 
 from __future__ import annotations
 
@@ -7,28 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
-from ..sources.tickets import INCOMING, RAW
+from ..sources.tickets import INCOMING, RAW, is_landed
 
 
-def _accepted(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.createDataFrame([], RAW)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in ("manual", "external"):
-        place = jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
-        if place.getFileSystem(conf).exists(place):
-            rows = rows.unionByName(spark.read.parquet(f"{out}/{name}").select(*RAW.names))
-    return rows
+def take(rows: DataFrame, number: int, out: str) -> None:
+    """One batch: rows with their ``file_name``, in the order of names and of lines, decided against the batches before it,
+    and written under its number.
 
-
-def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Take all waiting files of ``landing``: approved rows to ``out``/manual and /external, rejected ones to ``out``/rejected.
-
-    A batch that is delivered again is rejected as duplicate, so accepted rows are there once.
+    A batch that comes again, after a crash between its writes too, is decided as the first time and replaces what it left.
     """
+    spark = rows.sparkSession
+    # A file with line ends in fields is one task's, so its rows are numbered in order.
+    rows = rows.withColumn("row_ord", F.struct("file_name", F.monotonically_increasing_id().alias("line"))).drop("file_name")
+    empty = spark.createDataFrame([], RAW)
+    before = ingest.accepted_before(spark, out, number, RAW.names, empty)
+    ingest.write_routed(ingest.accept(rows, before).drop("row_ord"), out, number)
 
-    def batch(rows: DataFrame, number: int) -> None:
-        ordered = rows.withColumn("row_ord", F.monotonically_increasing_id())
-        ingest.write_routed(ingest.accept(ordered, _accepted(spark, out)).drop("row_ord"), out)
 
-    source = spark.readStream.schema(INCOMING).option("header", True).option("quote", '"').option("escape", '"').csv(landing)
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Take all waiting CSV files of ``landing`` but processed and rejected ones: approved rows to ``out``/manual and
+    /external, others to ``out``/rejected, each below the batch's number."""
+    source = spark.readStream.schema(INCOMING).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("pathGlobFilter", "*.csv").csv(landing)
+    source = source.select("*", "_metadata.file_name").where(is_landed(F.col("file_name")))
+    return source.writeStream.foreachBatch(lambda rows, number: take(rows, number, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
