@@ -73,6 +73,7 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, request, frequent, s
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     if spread:
         request.getfixturevalue("many_hot")
+        monkeypatch.setattr(ngram_join, "SPLIT", 2)
     rows = corpus(frequent) + ODD
     sets = {t: shingles(t) for _, t in rows}
     link = lambda x, y: bool(sets[x]) and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
@@ -81,6 +82,30 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, request, frequent, s
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == collections.Counter((i, len(sets[t]), wanted.get(i)) for i, t in rows)
 
 
+def test_many_members_that_do_not_link_are_split(spark, monkeypatch):
+    """Sets that share half their tokens and few others: split units hold few of them, and no link is lost."""
+    rng = np.random.default_rng(8)
+    common = rng.integers(1, 1 << 46, 10).astype(np.uint64)
+    sets, own = [], []
+    for i in range(600):
+        if i % 100 == 99:  # a near copy of the one before
+            tokens = np.unique(np.concatenate([own[-1][1:], rng.integers(1, 1 << 46, 1).astype(np.uint64)]))
+        else:
+            tokens = np.unique(np.concatenate([common, rng.integers(1, 1 << 46, 10).astype(np.uint64)]))
+        own.append(tokens)
+        sets.append((i, len(tokens), len(tokens), bytearray(ngram_join.sketch(tokens)), bytearray(blocks._pack(tokens, 6))))
+    frame = spark.createDataFrame(sets, "set_id long, n int, size int, sketch binary, tokens binary")
+    need = "n - (n * 75 + 99) div 100 + 1 - (n - size)"
+    units = spark.createDataFrame([(7, i) for i in range(600)], "unit long, set_id long")
+    smaller = ngram_join._split(units, frame, ngram_join.unpacked, need).distinct()
+    sizes = [r.c for r in smaller.groupBy("unit").agg(F.count("*").alias("c")).collect()]
+    assert sum(c * c for c in sizes) < 600 * 40
+    monkeypatch.setattr(ngram_join, "SPLIT", 20)
+    entries = frame.select("set_id", "n", F.lit(0).alias("lone"), F.lit(5).cast("long").alias("entry"))
+    found = ngram_join.entry_links(entries, frame, "true", partial(ngram_join.jaccard_allows, 75), partial(ngram_join.jaccard_links, percent=75), ngram_join.unpacked, need).collect()
+    assert {r.node: r.component for r in found} == {i - k: i - 1 for i in range(99, 600, 100) for k in (0, 1)}
+
+
 def test_signatures_meet_for_all_linked_sets():
     rng = np.random.default_rng(5)
     for n in (3, 4, 7, 20, 60, 200):
@@ -119,9 +144,10 @@ def brute_lines(rows, edits=2, least=32):
 
 
 @pytest.mark.parametrize("spread", [False, True])
-def test_lines_by_brute_force(spark, request, spread):
+def test_lines_by_brute_force(spark, request, monkeypatch, spread):
     if spread:
         request.getfixturevalue("many_hot")
+        monkeypatch.setattr(ngram_join, "SPLIT", 2)
     rng = random.Random(4)
     rows = [r for r in corpus(3, 25) if r[1]]
     for i in range(200, 240):

@@ -345,7 +345,9 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_sho
     wanted = materialize(wanted.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("set_id", "at.*"), "firsts")
     sets = materialize(_at_home(texts, wanted, parts).mapInArrow(_texts, "set_id long, n int, size int, sketch binary, tokens binary").dropDuplicates(["set_id"]), "line-texts")
     sized = materialize(entries.join(sets.select("set_id", "n"), "set_id").withColumn("lone", F.lit(0)), "sized")
-    found = materialize(entry_links(sized, sets, f"abs(a_n - b_n) <= {edits}", partial(edits_allow, edits), partial(_alike, edits=edits)), "found")
+    need = GRAM * edits + 1  # an edit takes at most GRAM grams
+    found = entry_links(sized, sets, f"abs(a_n - b_n) <= {edits}", partial(edits_allow, edits), partial(_alike, edits=edits), grams_of, str(need), f"size >= {need}")
+    found = materialize(found, "found")
     classes = seen.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c"))
     classes = materialize(classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").where("c > 1 or component is not null"), "classes")
     lows = materialize(classes.where("component is not null").groupBy("component").agg(F.min("first").alias("low")), "class-firsts")

@@ -11,8 +11,9 @@ pairs in proportion to the prefix. Shingles of one class alone cost a partner al
 those can have no link and goes no further.
 
 Only classes with the same index entry are compared: first each with one leader, then, as what is linked already need
-not be compared, all pairs that are in different components yet. A bitmap of each set bounds what two sets can share,
-so that few pairs come to the final comparison of their tokens.
+not be compared, all pairs that are in different components yet. Where many sets are left to compare, their prefixes are
+taken again, ordered by what is frequent among just these. A bitmap of each set bounds what two sets can share, so that
+few pairs come to the final comparison of their tokens.
 """
 
 from __future__ import annotations
@@ -47,6 +48,11 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(runs(words, k)) if len(words) >= k else whole(words)
 
 
+def unpacked(tokens: bytes) -> np.ndarray:
+    """The tokens that a set shares with others."""
+    return blocks._unpack(np.frombuffer(tokens, np.uint8), WIDTH)
+
+
 def shingles_of(texts: list[str | None], k: int) -> np.ndarray:
     """The sets of all texts, one after another."""
     return np.concatenate([np.empty(0, np.uint64), *(shingle_set(t, k) for t in texts)])
@@ -321,19 +327,70 @@ def _cells(rows: Iterator[pa.RecordBatch], allows: Callable, exact: Callable) ->
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["src", "dst"])
 
 
-def _apart(entries: DataFrame, sets: DataFrame, allows: Callable, exact: Callable) -> DataFrame:
+#: Members from which on a unit is split before its members are compared, and how often.
+SPLIT, ROUNDS = 8 * CELL, 3
+
+
+def _exploded(rows: Iterator[pa.RecordBatch], tokens_of: Callable[[bytes], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        units, sets = (batch.column(c).to_numpy() for c in ("unit", "set_id"))
+        found = [tokens_of(t.as_py()) for t in batch.column("tokens")]
+        counts = [len(f) for f in found]
+        tokens = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(units, counts)), pa.array(np.repeat(sets, counts)), pa.array(tokens)], ["unit", "set_id", "token"])
+
+
+def _split(units: DataFrame, sets: DataFrame, tokens_of: Callable, need: str) -> DataFrame:
+    """(unit, set_id) of smaller units, so that any two members that link still have one in common.
+
+    Within a unit tokens are ordered by how many of its members hold them. Two members that link share one of the
+    ``need`` first tokens of either, so these name the new units; a token that one member alone holds names none. Work
+    and rows grow with the members' tokens, not with the pairs of members.
+    """
+    wide = units.select("unit", "set_id").join(sets.select("set_id", "tokens"), "set_id")
+    tokens = materialize(wide.mapInArrow(partial(_exploded, tokens_of=tokens_of), "unit long, set_id long, token long"), "unit-tokens")
+    held = materialize(tokens.groupBy("unit", "token").agg(F.count("*").alias("df")), "unit-df")
+    ordered = tokens.join(held, ["unit", "token"]).groupBy("unit", "set_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # a member's own tokens
+    ordered = ordered.join(sets.select("set_id", F.expr(need).cast("int").alias("need")), "set_id").where("need > 0")
+    first = ordered.select("unit", "set_id", F.explode(F.filter(F.slice("t", 1, F.col("need")), lambda x: x["df"] > 1)).alias("x"))
+    return first.select(F.xxhash64("unit", "x.token").alias("unit"), "set_id")
+
+
+def _apart(entries: DataFrame, sets: DataFrame, allows: Callable, exact: Callable, tokens_of: Callable, need: str, splits: str) -> DataFrame:
     """Links between members with a common entry that are in different components yet, enough of them to join all that links join.
 
-    Entries with the same least component make one group, so that its members are compared once, not once an entry.
-    A group is dealt into blocks by a hash, and each two blocks meet in one cell: sketches are compared as matrices, the
-    pairs that they allow by their tokens, unless links of the cell join them already. Only links leave a cell.
+    What must be compared falls into units. Entries with the same least component make one unit, so that members are
+    compared once, not once an entry, unless that would make more pairs than the entries have. Units of many members
+    are split (:func:`_split`) as long as that helps. A unit is dealt into blocks by a hash, and each two blocks
+    meet in one cell: sketches are compared as matrices, the pairs that they allow by their tokens, unless links of
+    the cell join them already. Only links leave a cell.
     """
     spark = entries.sparkSession
     parts = partitions(spark)
-    mixed = entries.groupBy("entry").agg(F.min("component").alias("grp"), F.max("component").alias("other")).where("grp <> other")
-    rows = materialize(entries.join(materialize(mixed.select("entry", "grp"), "mixed"), "entry").select("grp", "set_id", "n", "component").distinct(), "groups")
-    sizes = materialize(rows.groupBy("grp").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")), "group-sizes")
-    rows = rows.join(sizes, "grp").join(sets.select("set_id", "size", "sketch", "tokens"), "set_id")
+    known = materialize(entries.select("set_id", "component").distinct(), "known")
+    mixed = entries.groupBy("entry").agg(F.min("component").alias("grp"), F.max("component").alias("other"), F.count("*").alias("c")).where("grp <> other")
+    mixed = materialize(mixed.select("entry", "grp", (F.col("c").cast("double") * F.col("c")).alias("pairs")), "mixed")
+    rows = materialize(entries.join(mixed.select("entry", "grp"), "entry").select("grp", "entry", "set_id"), "groups")
+    together = rows.select("grp", "set_id").distinct().groupBy("grp").agg(F.count("*").alias("m")).join(mixed.groupBy("grp").agg(F.sum("pairs").alias("pairs")), "grp")
+    whole = materialize(together.select("grp", (F.col("m").cast("double") * F.col("m") <= 2 * F.col("pairs")).alias("whole")), "wholes")
+    unit = F.when(F.col("whole"), F.xxhash64("grp", F.lit("whole"))).otherwise(F.xxhash64("entry", F.lit("entry")))
+    units = materialize(rows.join(whole, "grp").select(unit.alias("unit"), "set_id").distinct(), "units")
+    ready = None
+    for left in reversed(range(ROUNDS + 1)):
+        sizes = units.join(known, "set_id").groupBy("unit").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("unit", "m")
+        if splits != "true":
+            odd = units.join(sets.where(f"not ({splits})").select("set_id"), "set_id", "left_semi").select("unit").distinct().withColumn("odd", F.lit(True))
+            sizes = sizes.join(odd, "unit", "left")
+        else:
+            sizes = sizes.withColumn("odd", F.lit(None).cast("boolean"))
+        sizes = materialize(sizes, "unit-sizes")
+        large = sizes.where((F.col("m") > SPLIT) & F.col("odd").isNull()).select("unit") if left else sizes.limit(0).select("unit")
+        done = units.join(sizes.join(large, "unit", "left_anti").select("unit", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")), "unit")
+        ready = done if ready is None else ready.unionByName(done)
+        if large.isEmpty():
+            break
+        units = materialize(_split(units.join(large, "unit", "left_semi"), sets, tokens_of, need).distinct(), "units")
+    rows = ready.join(known, "set_id").join(sets.select("set_id", "n", "size", "sketch", "tokens"), "set_id").withColumnRenamed("unit", "grp")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(5)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
@@ -342,12 +399,13 @@ def _apart(entries: DataFrame, sets: DataFrame, allows: Callable, exact: Callabl
     return materialize(rows.mapInArrow(partial(_cells, allows=allows, exact=exact), "src long, dst long"), "links")
 
 
-def entry_links(entries: DataFrame, sets: DataFrame, fits: str, allows: Callable, exact: Callable) -> DataFrame:
+def entry_links(entries: DataFrame, sets: DataFrame, fits: str, allows: Callable, exact: Callable, tokens_of: Callable, need: str, splits: str = "true") -> DataFrame:
     """(node, component) of all members with a link, where only members with a common entry can link.
 
     ``entries`` (set_id, n, lone, entry), ``sets`` (set_id, n, size, sketch, tokens); ``fits``: SQL over a_n and b_n
     that linked members meet; ``allows``: whether arrays of (n, size, tokens seen to be alone) of two members can link;
-    ``exact``: whether two members' (tokens, tokens, n, n) do.
+    ``exact``: whether two members' (tokens, tokens, n, n) do. ``tokens_of`` the tokens, two members that link share one of
+    the ``need`` (SQL over n and size) first of either in any order common to both, if ``splits`` (SQL) holds of both.
 
     Of entries with the same members one is kept. Then each member is compared with one leader of its entries, members
     with the fewest ``lone`` tokens leading, and entries whose members are by now in one component are done. In the
@@ -363,7 +421,7 @@ def entry_links(entries: DataFrame, sets: DataFrame, fits: str, allows: Callable
     links = materialize(_beside(["n", "tokens"], pairs, sets).mapInArrow(partial(_verify, exact=exact), "src long, dst long"), "links")
     found = connected_components(links)
     known = entries.select("entry", "set_id", "n").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    more = _apart(known, sets, allows, exact)
+    more = _apart(known, sets, allows, exact, tokens_of, need, splits)
     return connected_components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
 
 
@@ -387,7 +445,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     sets = materialize(back.mapInArrow(partial(_candidates, percent=percent), "set_id long, n int, size int, sketch binary, tokens binary, entries array<long>"), "sets")
     entries = sets.select("set_id", "n", (F.col("n") - F.col("size")).alias("lone"), F.explode("entries").alias("entry"))
     fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
-    found = materialize(entry_links(entries, sets, fits, partial(jaccard_allows, percent), partial(jaccard_links, percent=percent)), "found")
+    need = f"n - (n * {percent} + 99) div 100 + 1 - (n - size)"
+    found = materialize(entry_links(entries, sets, fits, partial(jaccard_allows, percent), partial(jaccard_links, percent=percent), unpacked, need), "found")
     classes = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"))
     classes = materialize(classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").where("c > 1 or component is not null"), "classes")
     lows = materialize(classes.where("component is not null").groupBy("component").agg(F.min("low").alias("least")), "component-lows")

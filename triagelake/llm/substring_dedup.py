@@ -36,7 +36,7 @@ from .worker import release
 PERIOD = 7
 #: Every difference modulo 7 is one of two of these.
 COVER = np.isin(np.arange(PERIOD), (0, 1, 3))
-ANCHOR_WIDTH, WINDOW_WIDTH, BACK_WIDTH = 6, 8, 6
+ANCHOR_WIDTH, WINDOW_WIDTH, BACK_WIDTH = 6, 8, 8
 WORD = re.compile(rb"[^\x20\x09-\x0d]+[\x20\x09-\x0d]*")
 
 
