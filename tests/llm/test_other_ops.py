@@ -312,19 +312,3 @@ def test_language_of_held_out_documents(spark):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.93
     assert langid.fit(docs.limit(0)) is None
     assert langid.identify(frame, None).where("lang_pred <> 'und'").count() == 0
-
-
-def test_pipeline_stages_keep_columns(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    seen = docs.count()
-    from triagelake.llm.common import materialize
-
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = materialize(stage(spark, docs, SMALL), "test-stage")
-        assert docs.columns == corpus_pipeline.COLUMNS
-        assert 0 < docs.count() <= seen
-        seen = docs.count()
-        assert docs.where("n_chars <> length(text)").count() == 0
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
-    assert packed.select("doc_id").distinct().count() == seen
