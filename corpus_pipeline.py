@@ -3,7 +3,8 @@
     python corpus_pipeline.py SF_DIR OUT
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
-of ``documents``.
+of ``documents``, others that the input has are left out. For all stages: an empty table gives no rows, repeated rows
+are judged each, a null lang, source or n_chars does not matter, and texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -31,32 +32,48 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter and those that the network places nowhere go."""
+    """Documents in a language: those without a letter and those that the network places nowhere go.
+
+    Null and empty texts have no letter and go; a null doc_id takes no part in training, only in the judgement. Without
+    any labelled text there is no network, and everything goes.
+    """
     found = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are alike with an earlier one; documents of which nothing is left go."""
+    """Documents without lines that are alike with an earlier one; documents of which nothing is left go.
+
+    Null and empty texts stay as they are, as does a document with a null doc_id; blank lines stay. Rows of one doc_id
+    are alike in place, so neither cuts the other.
+    """
     cut = remove_lines(docs.select(*COLUMNS), exact_short=True)
     return _recounted(cut.where((F.col("n_cut") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near duplicates."""
+    """One document, the one with the smallest doc_id, of each group of near duplicates.
+
+    Texts that are null or without words are in no group and stay, as do rows with a null doc_id; rows that repeat the
+    smallest doc_id all stay.
+    """
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that a document with a smaller doc_id has; documents of which nothing is left go."""
+    """Documents without passages that a document with a smaller doc_id has; documents of which nothing is left go.
+
+    Null, empty and short texts stay as they are, as does a document with a null doc_id; rows of one doc_id do not cut
+    each other.
+    """
     cut = remove_repeats(docs.select(*COLUMNS))
     return _recounted(cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens; a null or empty text is one piece with the end id alone."""
     return pack_documents(docs, public_tokenizers.path(WORD_VOCABULARY))
 
 
