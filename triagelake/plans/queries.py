@@ -26,7 +26,7 @@ def query(f: Query) -> Query:
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return files.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"), "doc_id")
 
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def clean_text_docs(spark, d):
 
 @query
 def clean_html_pages(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", X.clean(F.concat_ws(" ", "url", "html")).alias("cleaned"))
+    return files.spread(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html"), "page_id").select("page_id", X.clean(F.concat_ws(" ", "url", "html")).alias("cleaned"))
 
 
 @query

@@ -90,6 +90,15 @@ def write_report(spark: SparkSession, path: str, sections: Mapping[str, DataFram
     return text
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt over the session's cores where a scan gives fewer partitions, as a file of one row group does.
+
+    Larger inputs have partitions enough and are left as they are, so this never shuffles much.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *keys)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path below ``spark.checkpoint.dir``.
 

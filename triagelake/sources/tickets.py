@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import text as X
+from . import files
 
 RAW_COLUMNS = ("ticket_id", "ticket_text", "category", "priority", "source")
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
@@ -79,7 +80,8 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = _pick(tuple(c for c, _ in TEMPLATES), which)
     level = F.substring("o_orderpriority", 1, 1)
     priority = F.when(level == "1", "Critical").when(level == "2", "High").when(level == "5", "Low").otherwise("Medium")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderstatus")
+    return files.spread(orders, "o_orderkey").select(
         F.concat(F.lit("TICK-"), key.cast("string")).alias("ticket_id"),
         F.when(key % 97 == 0, F.lit(None)).when(key % 89 == 0, "   ").when(key % 11 == 0, F.concat(F.lit("  "), text)).otherwise(text).alias("ticket_text"),
         F.when(key % 83 == 0, "Unknown").when(F.col("o_custkey") % 5 == 0, F.upper(category)).otherwise(category).alias("category"),
