@@ -5,9 +5,28 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
+
+
+_INNER: ContextVar[str] = ContextVar("inner", default="")
+
+
+@contextmanager
+def apart(tag: str) -> Iterator[str]:
+    """Everything that is written meanwhile goes to a folder of its own, whose name :func:`clear_shared` takes."""
+    name = f"{tag}-{uuid.uuid4().hex}"
+    token = _INNER.set(name)
+    try:
+        yield name
+    finally:
+        _INNER.reset(token)
+
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share.
@@ -18,14 +37,15 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="triagelake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/triagelake/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    inner = f"{_INNER.get()}/" if _INNER.get() else ""
+    return f"{base.rstrip('/')}/triagelake/{spark.sparkContext.applicationId}/{inner}{tag}-{uuid.uuid4().hex}"
 
 
-def clear_shared(spark: SparkSession) -> None:
-    """Delete everything that this application has written to the shared folder; frames read from it are then void."""
+def clear_shared(spark: SparkSession, inner: str = "") -> None:
+    """Delete what this application has written to the shared folder, or what was written :func:`apart`; frames read from it are then void."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/triagelake/{spark.sparkContext.applicationId}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/triagelake/{spark.sparkContext.applicationId}/{inner}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -60,5 +80,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables, dealt over the cores where it is one small file."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

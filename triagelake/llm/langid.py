@@ -233,14 +233,14 @@ def _some_segments(rows: Iterator[pa.RecordBatch], per_document: int) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "lang", "segments"])
 
 
-def fit(docs: DataFrame, per_label: int = 400, per_document: int = 64) -> Network | None:
-    """Train on a bounded sample: of each label about ``per_label`` documents that are not held out, chosen by a
-    hash of their id, and of each ``per_document`` segments spread evenly over its whole text.
+def fit(docs: DataFrame, per_label: int = 400, per_document: int = 64, labels: int = 256) -> Network | None:
+    """Train on a bounded sample: of each label, the ``labels`` commonest at most, about ``per_label`` documents that are
+    not held out, chosen by a hash of their id, and of each ``per_document`` segments spread evenly over its whole text.
 
     Texts and labels alone reach the network. None if no document has both.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per label
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()}
     if not counts:
         return None
     share = F.lit(0.0)
