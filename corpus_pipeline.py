@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm import langid
-from triagelake.llm.common import materialize, table
+from triagelake.llm.common import apart, clear_shared, drop_written, materialize, table
 from triagelake.llm.line_dedup import remove_lines
 from triagelake.llm.ngram_join import near_duplicates
 from triagelake.llm.packing import pack_documents
@@ -83,10 +83,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each result written and read again.
+
+    What a stage wrote for itself is deleted once its result is there, a stage's result once the next one's is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with apart(name) as inner:
+            found = stage(spark, docs, sf_dir)
+        docs = materialize(found, f"pipeline-{name}")
+        clear_shared(spark, inner)
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
