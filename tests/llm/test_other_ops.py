@@ -247,9 +247,12 @@ def test_edited_texts(spark, monkeypatch, buckets):
 
 def test_buckets_grow_with_rows(spark, monkeypatch):
     frame = spark.range(1000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    assert winnowing.buckets_of(frame) == 6
+    assert winnowing.buckets_of(frame) == 3
     monkeypatch.setattr(winnowing, "BUCKET_ROWS", 10)
-    assert winnowing.buckets_of(frame) == 100
+    assert winnowing.buckets_of(frame) == 102
+    labels = winnowing._labels(spark, 102)
+    dealt = [r.p for r in spark.createDataFrame([(x,) for x in labels], "x int").select(F.pmod(F.hash("x"), F.lit(3)).alias("p")).collect()]
+    assert len(set(labels)) == 102 and [dealt.count(p) for p in range(3)] == [34] * 3
     found = winnowing._bounds(frame, 100)
     assert 80 < len(found) <= 100 and found[0] == {"n": False, "d": -1000, "p": "393939"}
 

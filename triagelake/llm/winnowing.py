@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
@@ -167,12 +167,21 @@ def _bucket(bounds: Column, n: int, key: Column) -> Column:
     return F.greatest(found - 1, F.lit(0))
 
 
+def _labels(spark: SparkSession, buckets: int) -> list[int]:
+    """A number for each bucket, so that the hash of the numbers deals buckets to all shuffle partitions in turn."""
+    parts = partitions(spark)
+    each = -(-buckets // parts)
+    some = spark.range(parts * (2 * each + 40)).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(parts)).alias("part"))
+    found = some.agg(F.slice(F.array_sort(F.collect_list("label")), 1, each).alias("labels")).orderBy("part").collect()  # a row per partition
+    return [r.labels[k] for k in range(each) for r in found if k < len(r.labels)][:buckets]
+
+
 def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """``docs`` with next_<c> of the row after it in descending doc_id; after the last comes the first.
 
     Equal doc_ids go by text, null ones last. Rows are dealt into ranges of neighbouring doc_ids, and each range also
-    gets the first row of the one after it. So neighbours meet after one shuffle of the rows, no task holds more than
-    the ranges dealt to it, and the driver holds one key per range. A doc_id, or null, that repeats is split between
+    gets the first row of the one after it. So neighbours meet after one shuffle of the rows, ranges are dealt to tasks
+    in turn, and the driver holds one key per range. A doc_id, or null, that repeats is split between
     ranges by the first ``PREFIX`` code points of its texts; rows that agree in these too stay together.
     """
     found = _bounds(docs, buckets)
@@ -185,14 +194,16 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     # The first row of a bucket has the bucket's bound as its key.
     heads = rows.where(F.get(bounds, F.col("_bucket")) == key).groupBy("_bucket").agg(F.min_by(F.struct(*docs.columns), "text").alias("_row"))
     heads = heads.select("_row.*", F.pmod(F.col("_bucket") - 1, F.lit(n)).alias("_bucket"), F.lit(1).alias("_halo"))
-    window = Window.partitionBy("_bucket").orderBy("_halo", F.col("doc_id").desc_nulls_last(), "text")
-    both = rows.unionByName(heads)
-    return both.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where("_halo = 0").drop("_bucket", "_halo")
+    labels = F.from_json(F.lit(json.dumps(_labels(docs.sparkSession, n))), "array<int>")
+    window = Window.partitionBy("_label").orderBy("_halo", F.col("doc_id").desc_nulls_last(), "text")
+    both = rows.unionByName(heads).withColumn("_label", F.coalesce(F.get(labels, F.col("_bucket")), -1 - F.col("_bucket")))
+    return both.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where("_halo = 0").drop("_bucket", "_halo", "_label")
 
 
 def buckets_of(docs: DataFrame) -> int:
-    """Ranges for ``docs``: two a shuffle partition, or one for ``BUCKET_ROWS`` rows if that is more."""
-    return max(2 * partitions(docs.sparkSession), -(-docs.count() // BUCKET_ROWS))
+    """Ranges for ``docs``: one a shuffle partition, or as many for each that a range has ``BUCKET_ROWS`` rows at most."""
+    parts = partitions(docs.sparkSession)
+    return parts * max(1, -(-docs.count() // (parts * BUCKET_ROWS)))
 
 
 def compare_edited(docs: DataFrame, k: int = 3, window: int = 4) -> DataFrame:
