@@ -176,8 +176,10 @@ def _labels(spark: SparkSession, buckets: int) -> list[int]:
     return [r.labels[k] for k in range(each) for r in found if k < len(r.labels)][:buckets]
 
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
-    """``docs`` with next_<c> of the row after it in descending doc_id; after the last comes the first.
+def with_next(docs: DataFrame, columns: list[str], buckets: int, derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """``docs`` with what ``derive`` adds, and next_<c> of the row after it in descending doc_id; after the last comes the first.
+
+    ``derive`` works on rows that have been dealt, so that what it adds does not travel.
 
     Equal doc_ids go by text, null ones last. Rows are dealt into ranges of neighbouring doc_ids, and each range also
     gets the first row of the one after it. So neighbours meet after one shuffle of the rows, ranges are dealt to tasks
@@ -186,7 +188,7 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """
     found = _bounds(docs, buckets)
     if not found:
-        return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
+        return derive(docs).withColumns({f"next_{c}": F.col(c) for c in columns})
     n = len(found)
     bounds = F.from_json(F.lit(json.dumps(found)), "array<struct<n:boolean,d:bigint,p:string>>")
     key = F.struct(*_order())
@@ -197,6 +199,7 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     labels = F.from_json(F.lit(json.dumps(_labels(docs.sparkSession, n))), "array<int>")
     window = Window.partitionBy("_label").orderBy("_halo", F.col("doc_id").desc_nulls_last(), "text")
     both = rows.unionByName(heads).withColumn("_label", F.coalesce(F.get(labels, F.col("_bucket")), -1 - F.col("_bucket")))
+    both = derive(both.repartition(partitions(docs.sparkSession), "_label"))
     return both.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where("_halo = 0").drop("_bucket", "_halo", "_label")
 
 
@@ -214,7 +217,7 @@ def compare_edited(docs: DataFrame, k: int = 3, window: int = 4) -> DataFrame:
     do not matter. Texts of fewer than ``k`` words have one hash of all their words, empty ones none.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(texts.withColumn("fp", winnow(F.col("text"), k, window)), ["text", "fp"], buckets_of(texts))
+    rows = with_next(texts, ["text", "fp"], buckets_of(texts), lambda rows: rows.withColumn("fp", winnow(F.col("text"), k, window)))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
