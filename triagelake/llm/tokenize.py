@@ -13,8 +13,8 @@ from collections.abc import Iterable
 
 from .worker import held
 
-#: Words the memo holds per worker before it starts anew.
-MEMO_WORDS = 350_000
+#: Words the memo holds per worker before it starts anew, the last full one staying at hand.
+MEMO_WORDS = 250_000
 #: ASCII marks that the pre-tokenizer cuts off a word's end as one run.
 MARKS = b".,!*&%$#;:?"
 MARK_CHARS = MARKS.decode()
@@ -36,6 +36,13 @@ class Memo(dict):
     def __init__(self, tokenizer, cut_marks: bool) -> None:
         super().__init__()
         self.tokenizer, self.cut_marks = tokenizer, cut_marks
+        self.old: dict[bytes, bytes] = {}
+
+    def shrink(self, most: int) -> None:
+        """Start anew if ``most`` words are held."""
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
 
     def whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -46,6 +53,10 @@ class Memo(dict):
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
+        known = self.old.get(word)
+        if known is not None:
+            self[word] = known
+            return known
         if self.cut_marks:
             if word.isascii():
                 low = word.lower()
@@ -62,7 +73,7 @@ class Memo(dict):
             if simple:
                 ids = self.get(stem)
                 if ids is None:
-                    ids = self[stem] = self.letters(stem)
+                    ids = self[stem] = self.old.get(stem) or self.letters(stem)
                 if len(stem) < len(low):
                     ids += self[low[len(stem) :]]
                     self[word] = ids
@@ -95,8 +106,7 @@ class WordEncoder:
         """The ids of each text; null counts as empty."""
         if not self.by_words:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+        self.memo.shrink(MEMO_WORDS)
         get = self.memo.__getitem__
         return [b"".join(map(get, (t or "").encode("utf-8", "surrogatepass").split())) for t in texts]
 
