@@ -63,6 +63,10 @@ def test_split_keeps_templates_whole(spark):
     assert split.count() == rows.count() == rows.select("ticket_text").distinct().count()
     assert split.groupBy("pattern").agg(F.countDistinct("split").alias("n")).where("n > 1").isEmpty()
     assert split.where("split = 'train'").select("category").distinct().count() == 8
+    raw = S.raw_tickets(spark, SMALL)
+    record = prepare.version_record(raw, rows, prepare.with_split(rows), "v1", "2026-01-01T00:00:00")
+    assert record["total_raw"] == raw.count() and record["total_cleaned"] == record["unique_records"] == rows.count() == sum(record["splits"].values()) == sum(record["category_distribution"].values())
+    assert all(v == 0 for pair in record["leakage"].values() for v in pair.values()) and set(record["priority_distribution"]) == set(fixed.PRIORITIES)
     ids = [r.ticket_id for r in prepare.numbered(rows).orderBy("row_ord").collect()]
     assert ids == [f"T{i + 1:05d}" for i in range(len(ids))]
 

@@ -16,6 +16,7 @@ def test_clean_and_preprocess(spark):
     texts = ["Visit https://a.b/c?x=1 NOW!!", "<b>Bold</b> www.x.y text", "મારું એકાઉન્ટ હેક", "a1b2  c\t\n", None, "   ", "Where is THE order of mine? it's I"]
     assert values(spark, texts, X.clean) == ["visit now", "bold text", "મારું એકાઉન્ટ હેક", "a b c", "", "", "where is the order of mine it s i"]
     assert values(spark, [texts[-1], None], X.preprocess) == ["where order mine", ""]
+    assert values(spark, ["Orders of the boxes"], lambda c: X.preprocess(c, {"orders": "order", "boxes": "box"})) == ["order box"]
 
 
 SIGNAL_CASES = [

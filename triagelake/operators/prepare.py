@@ -113,3 +113,16 @@ def version_summary(raw: DataFrame, cleaned: DataFrame, split: DataFrame) -> Dat
     for one in (histogram("source"), histogram("category"), histogram("priority"), sizes):
         out = out.crossJoin(one)  # single rows
     return out
+
+
+def version_record(raw: DataFrame, cleaned: DataFrame, split: DataFrame, version: str, timestamp: str) -> dict:
+    """A dataset's version as one document: counts, distributions, split sizes, and what the splits share; a few rows reach the driver."""
+    spread_ = lambda c: {r[c]: r.n for r in cleaned.groupBy(c).agg(F.count("*").alias("n")).orderBy(c).collect()}
+    sizes = {r.split: r.n for r in split.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    signed = split.withColumn("pattern", X.signature(F.col("ticket_text")))
+    pairs = {f"{a}_{b}": split_overlap(signed, a, b).first().asDict() for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))}
+    return {
+        "version": version, "timestamp": timestamp, "total_raw": raw.count(), "total_cleaned": cleaned.count(), "unique_records": cleaned.select("ticket_text").distinct().count(),
+        "source_distribution": spread_("source"), "category_distribution": spread_("category"), "priority_distribution": spread_("priority"),
+        "splits": {s: sizes.get(s, 0) for s in ("train", "validation", "test")}, "leakage": pairs,
+    }
