@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -49,19 +50,25 @@ def clear_shared(spark: SparkSession, inner: str = "") -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Seconds between collections that are asked for, and when the last was.
+COLLECT_S, _collected = 2.0, [0.0]
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends here.
 
     A lost executor then costs no more than the stage in hand. Shuffle files that only the
-    written plan used become garbage; a driver collection lets Spark's cleaner delete them.
+    written plan used become garbage; a driver collection, every ``COLLECT_S`` seconds at most, lets Spark's cleaner delete them.
     """
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     df.write.parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected[0] > COLLECT_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return spark.read.schema(schema).parquet(path)
 
 
