@@ -341,7 +341,7 @@ def _exploded(rows: Iterator[pa.RecordBatch], tokens_of: Callable[[bytes], np.nd
 
 
 def _split(units: DataFrame, sets: DataFrame, tokens_of: Callable, need: str) -> DataFrame:
-    """(unit, set_id) of smaller units, so that any two members that link still have one in common.
+    """(unit, set_id, parent) of smaller units, so that any two members that link still have one in common.
 
     Within a unit tokens are ordered by how many of its members hold them. Two members that link share one of the
     ``need`` first tokens of either, so these name the new units; a token that one member alone holds names none. Work
@@ -353,43 +353,59 @@ def _split(units: DataFrame, sets: DataFrame, tokens_of: Callable, need: str) ->
     ordered = tokens.join(held, ["unit", "token"]).groupBy("unit", "set_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # a member's own tokens
     ordered = ordered.join(sets.select("set_id", F.expr(need).cast("int").alias("need")), "set_id").where("need > 0")
     first = ordered.select("unit", "set_id", F.explode(F.filter(F.slice("t", 1, F.col("need")), lambda x: x["df"] > 1)).alias("x"))
-    return first.select(F.xxhash64("unit", "x.token").alias("unit"), "set_id")
+    return first.select(F.xxhash64("unit", "x.token").alias("unit"), "set_id", F.col("unit").alias("parent"))
+
+
+#: Rows that a unit of m members sends to cells.
+CELL_ROWS = f"m * ceil(m / {CELL})"
+
+
+def _sized(units: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    """Units whose members are in several components, with their number of members and of rows in cells."""
+    sizes = units.join(known, "set_id").groupBy("unit", *more).agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return sizes.where("low <> high").select("unit", *more, "m", F.expr(CELL_ROWS).alias("cost"))
+
+
+def _units(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """(unit, set_id): what must be compared. Entries with the same least component make one unit, so that members are
+    compared once, not once an entry, unless the entries by themselves send fewer rows to cells."""
+    mixed = entries.groupBy("entry").agg(F.min("component").alias("grp"), F.max("component").alias("other"), F.count("*").alias("m")).where("grp <> other")
+    mixed = materialize(mixed.select("entry", "grp", F.expr(CELL_ROWS).alias("cost")), "mixed")
+    rows = materialize(entries.join(mixed.select("entry", "grp"), "entry").select("grp", "entry", "set_id"), "groups")
+    together = rows.select("grp", "set_id").distinct().groupBy("grp").agg(F.count("*").alias("m"))
+    whole = together.join(mixed.groupBy("grp").agg(F.sum("cost").alias("cost")), "grp").select("grp", (F.expr(CELL_ROWS) <= F.col("cost")).alias("whole"))
+    unit = F.when(F.col("whole"), F.xxhash64("grp", F.lit("whole"))).otherwise(F.xxhash64("entry", F.lit("entry")))
+    return materialize(rows.join(materialize(whole, "wholes"), "grp").select(unit.alias("unit"), "set_id").distinct(), "units")
 
 
 def _apart(entries: DataFrame, sets: DataFrame, allows: Callable, exact: Callable, tokens_of: Callable, need: str, splits: str) -> DataFrame:
     """Links between members with a common entry that are in different components yet, enough of them to join all that links join.
 
-    What must be compared falls into units. Entries with the same least component make one unit, so that members are
-    compared once, not once an entry, unless that would make more pairs than the entries have. Units of many members
-    are split (:func:`_split`) as long as that helps. A unit is dealt into blocks by a hash, and each two blocks
-    meet in one cell: sketches are compared as matrices, the pairs that they allow by their tokens, unless links of
-    the cell join them already. Only links leave a cell.
+    What must be compared falls into units (:func:`_units`). Units of many members are split (:func:`_split`) where that
+    at least halves the rows in cells. A unit is dealt into blocks by a hash, and each two blocks meet in one cell:
+    sketches are compared as matrices, the pairs that they allow by their tokens, unless links of the cell join them
+    already. Only links leave a cell.
     """
     spark = entries.sparkSession
     parts = partitions(spark)
     known = materialize(entries.select("set_id", "component").distinct(), "known")
-    mixed = entries.groupBy("entry").agg(F.min("component").alias("grp"), F.max("component").alias("other"), F.count("*").alias("c")).where("grp <> other")
-    mixed = materialize(mixed.select("entry", "grp", (F.col("c").cast("double") * F.col("c")).alias("pairs")), "mixed")
-    rows = materialize(entries.join(mixed.select("entry", "grp"), "entry").select("grp", "entry", "set_id"), "groups")
-    together = rows.select("grp", "set_id").distinct().groupBy("grp").agg(F.count("*").alias("m")).join(mixed.groupBy("grp").agg(F.sum("pairs").alias("pairs")), "grp")
-    whole = materialize(together.select("grp", (F.col("m").cast("double") * F.col("m") <= 2 * F.col("pairs")).alias("whole")), "wholes")
-    unit = F.when(F.col("whole"), F.xxhash64("grp", F.lit("whole"))).otherwise(F.xxhash64("entry", F.lit("entry")))
-    units = materialize(rows.join(whole, "grp").select(unit.alias("unit"), "set_id").distinct(), "units")
-    ready = None
-    for left in reversed(range(ROUNDS + 1)):
-        sizes = units.join(known, "set_id").groupBy("unit").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("unit", "m")
-        if splits != "true":
-            odd = units.join(sets.where(f"not ({splits})").select("set_id"), "set_id", "left_semi").select("unit").distinct().withColumn("odd", F.lit(True))
-            sizes = sizes.join(odd, "unit", "left")
-        else:
-            sizes = sizes.withColumn("odd", F.lit(None).cast("boolean"))
-        sizes = materialize(sizes, "unit-sizes")
-        large = sizes.where((F.col("m") > SPLIT) & F.col("odd").isNull()).select("unit") if left else sizes.limit(0).select("unit")
-        done = units.join(sizes.join(large, "unit", "left_anti").select("unit", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")), "unit")
+    units = _units(entries, known)
+    ready, left = None, ROUNDS
+    while True:
+        sizes = _sized(units, known)
+        odd = units.join(sets.where(f"not ({splits})").select("set_id"), "set_id", "left_semi").select("unit").distinct().withColumn("odd", F.lit(True))
+        sizes = materialize(sizes.join(odd, "unit", "left") if splits != "true" else sizes.withColumn("odd", F.lit(None).cast("boolean")), "unit-sizes")
+        large = sizes.where((F.col("m") > SPLIT) & F.col("odd").isNull()).select("unit", "cost")
+        split = units.limit(0).select("unit")
+        if left and not large.isEmpty():
+            tried = materialize(_split(units.join(large.select("unit"), "unit", "left_semi"), sets, tokens_of, need).distinct(), "tried")
+            after = _sized(tried, known, "parent").groupBy("parent").agg(F.sum("cost").alias("after")).withColumnRenamed("parent", "unit")
+            split = materialize(large.join(after, "unit", "left").where("2 * coalesce(after, 0) <= cost").select("unit"), "split")
+        done = units.join(sizes.join(split, "unit", "left_anti").select("unit", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")), "unit")
         ready = done if ready is None else ready.unionByName(done)
-        if large.isEmpty():
+        if split.isEmpty():
             break
-        units = materialize(_split(units.join(large, "unit", "left_semi"), sets, tokens_of, need).distinct(), "units")
+        units, left = materialize(tried.join(split.withColumnRenamed("unit", "parent"), "parent", "left_semi").select("unit", "set_id"), "units"), left - 1
     rows = ready.join(known, "set_id").join(sets.select("set_id", "n", "size", "sketch", "tokens"), "set_id").withColumnRenamed("unit", "grp")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(5)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
