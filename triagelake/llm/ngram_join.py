@@ -327,8 +327,9 @@ def _cells(rows: Iterator[pa.RecordBatch], allows: Callable, exact: Callable) ->
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["src", "dst"])
 
 
-#: Members from which on a unit is split before its members are compared, and how often.
-SPLIT, ROUNDS = 8 * CELL, 3
+#: Members from which on splitting a unit is tried, and how often. It sends every token of a member through two shuffles,
+#: which pays only where a member would go to about as many cells.
+SPLIT, ROUNDS = 64 * CELL, 3
 
 
 def _exploded(rows: Iterator[pa.RecordBatch], tokens_of: Callable[[bytes], np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -378,16 +379,9 @@ def _units(entries: DataFrame, known: DataFrame) -> DataFrame:
     return materialize(rows.join(materialize(whole, "wholes"), "grp").select(unit.alias("unit"), "set_id").distinct(), "units")
 
 
-def _apart(entries: DataFrame, sets: DataFrame, allows: Callable, exact: Callable, tokens_of: Callable, need: str, splits: str) -> DataFrame:
-    """Links between members with a common entry that are in different components yet, enough of them to join all that links join.
-
-    What must be compared falls into units (:func:`_units`). Units of many members are split (:func:`_split`) where that
-    at least halves the rows in cells. A unit is dealt into blocks by a hash, and each two blocks meet in one cell:
-    sketches are compared as matrices, the pairs that they allow by their tokens, unless links of the cell join them
-    already. Only links leave a cell.
-    """
-    spark = entries.sparkSession
-    parts = partitions(spark)
+def _fewer(entries: DataFrame, sets: DataFrame, tokens_of: Callable, need: str, splits: str) -> DataFrame:
+    """(grp, set_id, component, blocks): units (:func:`_units`), those of many members split (:func:`_split`) where that at
+    least halves the rows in cells."""
     known = materialize(entries.select("set_id", "component").distinct(), "known")
     units = _units(entries, known)
     ready, left = None, ROUNDS
@@ -404,9 +398,28 @@ def _apart(entries: DataFrame, sets: DataFrame, allows: Callable, exact: Callabl
         done = units.join(sizes.join(split, "unit", "left_anti").select("unit", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")), "unit")
         ready = done if ready is None else ready.unionByName(done)
         if split.isEmpty():
-            break
+            return ready.join(known, "set_id").withColumnRenamed("unit", "grp").select("grp", "set_id", "component", "blocks")
         units, left = materialize(tried.join(split.withColumnRenamed("unit", "parent"), "parent", "left_semi").select("unit", "set_id"), "units"), left - 1
-    rows = ready.join(known, "set_id").join(sets.select("set_id", "n", "size", "sketch", "tokens"), "set_id").withColumnRenamed("unit", "grp")
+
+
+def _apart(entries: DataFrame, sets: DataFrame, allows: Callable, exact: Callable, tokens_of: Callable, need: str, splits: str) -> DataFrame:
+    """Links between members with a common entry that are in different components yet, enough of them to join all that links join.
+
+    Entries with the same least component make one group, so that its members are compared once, not once an entry.
+    Where a group has more than ``SPLIT`` members, smaller ones are sought (:func:`_fewer`). A group is dealt into
+    blocks by a hash, and each two blocks meet in one cell: sketches are compared as matrices, the pairs that they allow
+    by their tokens, unless links of the cell join them already. Only links leave a cell.
+    """
+    spark = entries.sparkSession
+    parts = partitions(spark)
+    mixed = entries.groupBy("entry").agg(F.min("component").alias("grp"), F.max("component").alias("other")).where("grp <> other")
+    rows = materialize(entries.join(materialize(mixed.select("entry", "grp"), "mixed"), "entry").select("grp", "set_id", "component").distinct(), "groups")
+    sizes = materialize(rows.groupBy("grp").agg(F.count("*").alias("m"), F.ceil(F.count("*") / CELL).cast("int").alias("blocks")), "group-sizes")
+    if sizes.where(F.col("m") > SPLIT).isEmpty():
+        rows = rows.join(sizes.select("grp", "blocks"), "grp")
+    else:
+        rows = _fewer(entries, sets, tokens_of, need, splits)
+    rows = rows.join(sets.select("set_id", "n", "size", "sketch", "tokens"), "set_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(5)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
