@@ -201,3 +201,25 @@ AGENTS = (
     ("Demo Agent I1", "General Support Team"),
     ("Demo Agent I2", "General Support Team"),
 )
+
+# Answers to requests, with what they name in braces.
+MESSAGES = {
+    "delete_no_id": "Ticket ID is required.",
+    "deleted": "Ticket '{id}' deleted successfully.",
+    "not_found": "Ticket '{id}' was not found.",
+    "no_agents": "No active agents are available for department '{department}'. The ticket was not changed.",
+    "only_agent": "Ticket '{id}' is already assigned to the only active agent in '{department}' and cannot be reassigned.",
+    "assigned": "Ticket '{id}' assigned to {name}.",
+    "feedback_no_id": "ticket_id is required.",
+    "feedback_priority": "corrected_priority must be one of {listed}.",
+    "feedback_unknown": "Ticket '{id}' not found.",
+    "feedback_taken": "Priority feedback submitted successfully.",
+    "flag_no_id": "feedback_id is required.",
+    "flag_unknown": "Feedback '{id}' not found.",
+    "flag_set": "Feedback '{id}' validation status updated to {flag}.",
+    "empty_text": "Input ticket text cannot be empty.",
+    "no_models": "Model artifacts not found or failed to load. Please train models first.",
+}
+# What the gate says.
+GATE_EMPTY, GATE_NO_WORDS, GATE_VAGUE = "Please enter a ticket description.", "Please describe the issue using words.", "Please enter a meaningful description of the issue."
+GATE_LONG = f"Please keep your ticket description under {MAX_TICKET_LENGTH} characters."

@@ -91,13 +91,12 @@ def gate(text: Column) -> Column:
     mashed = F.exists(parts, lambda t: F.lower(t).isin(*fixed.KEYBOARD_MASHES))
     described = F.exists(parts, lambda t: t.rlike(r"^\p{L}+$") & ~F.lower(t).isin(*fixed.KEYBOARD_MASHES))
     repeated = F.exists(parts, lambda t: (F.length(t) >= 6) & (F.size(F.array_distinct(F.split(t, ""))) == 1))
-    empty, vague = "Please enter a ticket description.", "Please enter a meaningful description of the issue."
     message = (
-        F.when(text.isNull(), empty)
-        .when(F.length(text) > fixed.MAX_TICKET_LENGTH, f"Please keep your ticket description under {fixed.MAX_TICKET_LENGTH} characters.")
-        .when(trimmed == "", empty)
-        .when(~trimmed.rlike(r"\p{L}"), "Please describe the issue using words.")
-        .when(repeated | (mashed & ~described), vague)
+        F.when(text.isNull(), fixed.GATE_EMPTY)
+        .when(F.length(text) > fixed.MAX_TICKET_LENGTH, fixed.GATE_LONG)
+        .when(trimmed == "", fixed.GATE_EMPTY)
+        .when(~trimmed.rlike(r"\p{L}"), fixed.GATE_NO_WORDS)
+        .when(repeated | (mashed & ~described), fixed.GATE_VAGUE)
     )
     code = F.when(F.length(text) > fixed.MAX_TICKET_LENGTH, 413).otherwise(400)
     return F.struct(F.when(message.isNull(), trimmed).alias("ticket_text"), message.alias("message"), F.when(message.isNotNull(), code).alias("status_code"))

@@ -219,8 +219,7 @@ def benchmark(rows: DataFrame, target: str, configs: Sequence[Config], size: int
     return evaluate.summary(found, ["target", "model", "ord", "split"], "truth", "predicted")
 
 
-EMPTY = "Input ticket text cannot be empty."
-MISSING = "Model artifacts not found or failed to load. Please train models first."
+EMPTY, MISSING = fixed.MESSAGES["empty_text"], fixed.MESSAGES["no_models"]
 
 
 @dataclass

@@ -6,6 +6,8 @@ and message, and the events to append. Nothing is updated in place: the view tak
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +106,14 @@ def assign(tickets: DataFrame, agents: DataFrame) -> DataFrame:
     return rows.select("ticket_id", "department", F.col("_picked.id").alias("agent_id"), F.when(reason.isNull(), 200).otherwise(409).alias("status"), reason.alias("message"))
 
 
-def said(*parts: str | Column) -> Column:
-    """Texts and columns joined; never null."""
+def told(message: str, **values: Column) -> Column:
+    """A fixed message with its braces filled; nulls count as empty."""
+    parts = re.split(r"\{(\w+)\}", fixed.MESSAGES[message])
+    return joined(*[values[p] if i % 2 else p for i, p in enumerate(parts)])
+
+
+def joined(*parts: str | Column) -> Column:
+    """Texts and columns one after another; never null."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
@@ -117,10 +125,10 @@ def answer_assign(requests: DataFrame, tickets: DataFrame, agents: DataFrame) ->
     ticket, picked = F.col("ticket_id"), F.col("_picked")
     code = F.when(F.col("_known").isNull(), 404).when(picked.isNull(), 409).otherwise(200)
     message = (
-        F.when(F.col("_known").isNull(), said("Ticket '", ticket, "' was not found."))
-        .when(~F.col("_staffed"), said("No active agents are available for department '", F.col("department"), "'. The ticket was not changed."))
-        .when(picked.isNull(), said("Ticket '", ticket, "' is already assigned to the only active agent in '", F.col("department"), "' and cannot be reassigned."))
-        .otherwise(said("Ticket '", ticket, "' assigned to ", picked["name"], "."))
+        F.when(F.col("_known").isNull(), told("not_found", id=ticket))
+        .when(~F.col("_staffed"), told("no_agents", department=F.col("department")))
+        .when(picked.isNull(), told("only_agent", id=ticket, department=F.col("department")))
+        .otherwise(told("assigned", id=ticket, name=picked["name"]))
     )
     return requests.join(known, "ticket_id", "left").select(*requests.columns, code.alias("status_code"), message.alias("message"), picked["id"].alias("agent_id"))
 
@@ -137,7 +145,7 @@ def answer_delete(requests: DataFrame, tickets: DataFrame, order: str) -> DataFr
     blank = F.coalesce(X.strip(ticket) == "", F.lit(True))
     found = F.col("_known").isNotNull() & (F.col(order) == F.col("_first"))
     code = F.when(blank, 400).when(found, 200).otherwise(404)
-    message = F.when(blank, "Ticket ID is required.").when(found, said("Ticket '", ticket, "' deleted successfully.")).otherwise(said("Ticket '", ticket, "' was not found."))
+    message = F.when(blank, told("delete_no_id")).when(found, told("deleted", id=ticket)).otherwise(told("not_found", id=ticket))
     return rows.select(*requests.columns, code.alias("status_code"), message.alias("message"))
 
 
@@ -184,13 +192,13 @@ def answer_feedback(requests: DataFrame, tickets: DataFrame) -> DataFrame:
     confidence = F.coalesce("priority_confidence", "confidence")
     known = tickets.select("ticket_id", "ticket_text", F.col("priority").alias("original_priority"), confidence.alias("original_priority_confidence"), F.lit(True).alias("_known"))
     rows = rows.join(known, "ticket_id", "left")
-    listed = ", ".join(f"'{p}'" for p in fixed.PRIORITIES)
+    listed = F.lit(str(list(fixed.PRIORITIES)))
     code = F.when(F.col("ticket_id") == "", 400).when(~F.col("corrected_priority").isin(*fixed.PRIORITIES), 400).when(F.col("_known").isNull(), 404).otherwise(201)
     message = (
-        F.when(F.col("ticket_id") == "", "ticket_id is required.")
-        .when(code == 400, f"corrected_priority must be one of [{listed}].")
-        .when(code == 404, said("Ticket '", F.col("ticket_id"), "' not found."))
-        .otherwise("Priority feedback submitted successfully.")
+        F.when(F.col("ticket_id") == "", told("feedback_no_id"))
+        .when(code == 400, told("feedback_priority", listed=listed))
+        .when(code == 404, told("feedback_unknown", id=F.col("ticket_id")))
+        .otherwise(told("feedback_taken"))
     )
     return rows.withColumns({"status_code": code, "message": message}).drop("_known", "body")
 
@@ -202,9 +210,9 @@ def answer_validation(requests: DataFrame, feedback: DataFrame) -> DataFrame:
     rows = rows.join(feedback.select("feedback_id").distinct().withColumn("_known", F.lit(True)), "feedback_id", "left")
     code = F.when(F.col("feedback_id") == "", 400).when(F.col("_known").isNull(), 404).otherwise(200)
     message = (
-        F.when(code == 400, "feedback_id is required.")
-        .when(code == 404, said("Feedback '", F.col("feedback_id"), "' not found."))
-        .otherwise(said("Feedback '", F.col("feedback_id"), "' validation status updated to ", F.col("validated"), "."))
+        F.when(code == 400, told("flag_no_id"))
+        .when(code == 404, told("flag_unknown", id=F.col("feedback_id")))
+        .otherwise(told("flag_set", id=F.col("feedback_id"), flag=F.col("validated")))
     )
     return rows.withColumns({"status_code": code, "message": message}).drop("_known", "body")
 
@@ -251,10 +259,10 @@ def dashboard_bundle(tickets: DataFrame, agents: DataFrame, feedback: DataFrame,
     """(section, key, value): everything that the dashboard shows, recent tickets and feedback and the saved model metrics included."""
     spark = tickets.sparkSession
     counts = dashboard(tickets, feedback).select(F.col("metric").alias("section"), "key", F.col("n").cast("string").alias("value"))
-    lately = with_agent(newest(tickets), agents).select(F.lit("recent_ticket").alias("section"), F.col("place").cast("string").alias("key"), said(F.col("ticket_id"), " | ", F.col("priority"), " | ", F.col("agent")).alias("value"))
-    told = newest(feedback).select(F.lit("recent_feedback").alias("section"), F.col("place").cast("string").alias("key"), said(F.col("feedback_id"), " | ", F.col("corrected_priority")).alias("value"))
+    lately = with_agent(newest(tickets), agents).select(F.lit("recent_ticket").alias("section"), F.col("place").cast("string").alias("key"), joined(F.col("ticket_id"), " | ", F.col("priority"), " | ", F.col("agent")).alias("value"))
+    lately_told = newest(feedback).select(F.lit("recent_feedback").alias("section"), F.col("place").cast("string").alias("key"), joined(F.col("feedback_id"), " | ", F.col("corrected_priority")).alias("value"))
     saved = [("saved_accuracy", target, saved_accuracy(metrics.get(f"{target}_metrics"), metrics.get(f"best_{target}_model"))) for target in ("category", "priority")]
-    return counts.unionByName(lately).unionByName(told).unionByName(spark.createDataFrame(saved, "section string, key string, value string"))
+    return counts.unionByName(lately).unionByName(lately_told).unionByName(spark.createDataFrame(saved, "section string, key string, value string"))
 
 
 def saved_accuracy(by_model: dict | None, best: str | None) -> str:
