@@ -51,7 +51,7 @@ def clear_shared(spark: SparkSession, inner: str = "") -> None:
 
 
 #: Seconds between collections that are asked for, and when the last was.
-COLLECT_S, _collected = 2.0, [0.0]
+COLLECT_S, _collected = 0.5, [0.0]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -26,7 +26,7 @@ from .worker import held
 SEGMENT = 32
 UNKNOWN = "und"
 #: Segments a worker's memo holds before it starts anew.
-MEMO_SEGMENTS = 300_000
+MEMO_SEGMENTS = 200_000
 CUT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 

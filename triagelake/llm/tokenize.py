@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from .worker import held
 
 #: Words the memo holds per worker before it starts anew, the last full one staying at hand.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 #: ASCII marks that the pre-tokenizer cuts off a word's end as one run.
 MARKS = b".,!*&%$#;:?"
 MARK_CHARS = MARKS.decode()
