@@ -81,6 +81,14 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(rows: DataFrame, wish: str) -> str:
+    """``wish``, underscored until no column of ``rows`` has that name in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of partitions for exchanges: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,6 +14,7 @@ from .line_dedup import remove_lines
 from .neighbours import nearest
 from .ngram_join import near_duplicates
 from .packing import pack_documents
+from .periodic_runs import find_runs, run_digest, with_planted_runs
 from .sentencepiece_fst import encode_and_decode
 from .substring_dedup import remove_repeats
 from .token_records import with_starts, write_index, write_records
@@ -103,9 +104,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, periodic ends planted in a tenth of them, and what collapsing them leaves."""
+    docs = table(spark, sf_dir, "documents")
+    return run_digest(find_runs(docs.select("doc_id", with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language, "op12_periodic_runs": op12_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
