@@ -15,6 +15,7 @@ from .neighbours import nearest
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .periodic_runs import find_runs, run_digest, with_planted_runs
+from .secrets import find_secrets, secret_digest
 from .sentencepiece_fst import encode_and_decode
 from .substring_dedup import remove_repeats
 from .token_records import with_starts, write_index, write_records
@@ -110,9 +111,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(find_runs(docs.select("doc_id", with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language, "op12_periodic_runs": op12_periodic_runs}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language, "op12_periodic_runs": op12_periodic_runs, "op13_secrets": op13_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
