@@ -20,6 +20,7 @@ from .sentencepiece_fst import encode_and_decode
 from .substring_dedup import remove_repeats
 from .token_records import with_starts, write_index, write_records
 from .url_filter import Rule, judge
+from .vector_codes import compress
 from .winnowing import compare_edited
 
 WORD_VOCABULARY, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -105,6 +106,49 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings, from codebooks of 4 rounds."""
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op11_sql(rounds: int = 4) -> str:
+    """The rounds written out: each assigns every part by exact distances, then replaces entries by floored means."""
+    steps = [
+        """with kept as materialized (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), cut as materialized (
+  select r, vec_id, p.p, list_slice(v, (p.p * len(v) // 4 + 1)::int, ((p.p + 1) * len(v) // 4)::int) as x from kept, range(4) p(p)
+), book0 as materialized (
+  select p, e, x as c from (select p, x, row_number() over (partition by p order by vec_id) - 1 as e from cut where vec_id is not null) where e < 256
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} as materialized (
+  select r, p, x, arg_min(e, (d, e)) as e, min(d) as d from (
+    select r, cut.p, x, e, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) as d from cut join book{i} b on b.p = cut.p
+  ) group by r, p, x
+)""")
+        if i < rounds:
+            steps.append(f"""book{i + 1} as materialized (
+  select b.p, b.e, coalesce(m.c, b.c) as c from book{i} b left join (
+    select p, e, list(floor(s / n) order by k) as c from (
+      select p, e, k, sum(x[k]) as s, count(*) as n from near{i}, range(1, 4097) t(k) where k <= len(x) group by p, e, k
+    ) group by p, e
+  ) m on m.p = b.p and m.e = b.e
+)""")
+    last = rounds
+    steps.append(f"""coded as (
+  select r, string_agg(printf('%02x', e::int), '' order by p) as code, sum(d)::bigint as error from near{last} group by r
+), joined as (
+  select k.vec_id, k.label, code, error from coded join kept k using (r)
+), told as (
+  select sha256(string_agg(list_aggregate(list_transform(c, lambda x: x::bigint), 'string_agg', ','), ',' order by p, e)) as codebooks_sha256 from book{last}
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from joined, told""")
+    return ", ".join(steps[:-1]) + ", " + steps[-1]
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents, periodic ends planted in a tenth of them, and what collapsing them leaves."""
     docs = table(spark, sf_dir, "documents")
@@ -118,9 +162,9 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language, "op12_periodic_runs": op12_periodic_runs, "op13_secrets": op13_secrets}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_fingerprints": op3_fingerprints, "op4_neighbours": op4_neighbours, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_token_records": op7_token_records, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_language": op10_language, "op11_vector_codes": op11_vector_codes, "op12_periodic_runs": op12_periodic_runs, "op13_secrets": op13_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op4_neighbours": OP4_SQL}
+    return {"op4_neighbours": OP4_SQL, "op11_vector_codes": op11_sql()}
