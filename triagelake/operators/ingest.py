@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as X
 from ..sources import files
+from . import fold
 
 
 def reasons(known_id: Column, known_text: Column) -> Column:
@@ -42,36 +43,27 @@ def against_existing(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """``rows`` with their reasons, those against an ``existing`` dataset's ids and texts included."""
     ids = existing.select(X.strip(F.col("ticket_id")).alias("_id")).where("_id is not null").distinct().withColumn("_known_id", F.lit(True))
     texts = existing.select(F.lower(X.strip(F.col("ticket_text"))).alias("_text")).where("_text is not null").distinct().withColumn("_known_text", F.lit(True))
-    keyed = rows.withColumns({"_id": X.strip(F.col("ticket_id")), "_text": F.lower(X.strip(F.col("ticket_text")))})
+    keyed = rows.withColumns(rival_keys())
     marked = keyed.join(ids, "_id", "left").join(texts, "_text", "left")
     told = reasons(F.coalesce("_known_id", F.lit(False)), F.coalesce("_known_text", F.lit(False)))
     return marked.withColumn("reasons", told).drop("_id", "_text", "_known_id", "_known_text")
 
 
-def accept(rows: DataFrame, existing: DataFrame, order: str = "row_ord") -> DataFrame:
+def rival_keys() -> dict[str, Column]:
+    """What makes two rows rivals: the trimmed id, and the trimmed text in any case."""
+    return {"_id": X.strip(F.col("ticket_id")), "_text": F.lower(X.strip(F.col("ticket_text")))}
+
+
+def accept(rows: DataFrame, existing: DataFrame, order: str = "row_ord", bound: int = fold.BOUND) -> DataFrame:
     """``rows`` with validation_status and rejection_reason as if taken one by one in ``order``.
 
-    A sound row is a duplicate only of an *accepted* earlier row. Whether one is accepted follows from earlier rows
-    with its id or text, so rounds settle all rows at once whose earlier rivals are settled: a row with no earlier rival
-    left is accepted, and its later rivals are duplicates. Each round settles the first of every group of rivals; rows
-    without rivals are all settled in the first.
+    A sound row is a duplicate only of an *accepted* earlier row with its id or text (:mod:`.fold`); values of ``order`` are unique.
     """
-    checked = against_existing(rows, existing).withColumns({"_id": X.strip(F.col("ticket_id")), "_text": F.lower(X.strip(F.col("ticket_text")))})
-    checked = files.written(checked, "checked")
-    open_ = checked.where(F.size("reasons") == 0).select(F.col(order).alias("_ord"), "_id", "_text")
-    accepted = open_.limit(0)
-    while True:
-        first_id = open_.groupBy("_id").agg(F.min("_ord").alias("_by_id"))
-        first_text = open_.groupBy("_text").agg(F.min("_ord").alias("_by_text"))
-        won = open_.join(first_id, "_id").join(first_text, "_text").where("_ord = _by_id and _ord = _by_text").select("_ord", "_id", "_text")
-        won = files.written(won, "won")
-        if won.isEmpty():
-            break
-        accepted = accepted.unionByName(won)
-        open_ = files.written(open_.join(won.select("_id"), "_id", "left_anti").join(won.select("_text"), "_text", "left_anti"), "open")
-    ids = accepted.select("_id", F.col("_ord").alias("_id_from"))
-    texts = accepted.select("_text", F.col("_ord").alias("_text_from"))
-    out = checked.join(ids, "_id", "left").join(texts, "_text", "left")
+    checked = files.written(against_existing(rows, existing).withColumns(rival_keys()), "checked")
+    accepted = fold.first_come(checked.where(F.size("reasons") == 0), order, F.col("_id"), F.col("_text"), bound)
+    ids, texts = accepted.select(F.col("_a").alias("_id_key"), F.col("_ord").alias("_id_from")), accepted.select(F.col("_b").alias("_text_key"), F.col("_ord").alias("_text_from"))
+    checked = checked.withColumns({"_id_key": fold.short(F.col("_id")), "_text_key": fold.short(F.col("_text"))})
+    out = checked.join(ids, "_id_key", "left").join(texts, "_text_key", "left")
     late_id, late_text = F.coalesce(F.col("_id_from") < F.col(order), F.lit(False)), F.coalesce(F.col("_text_from") < F.col(order), F.lit(False))
     known_id = F.exists("reasons", lambda r: r.startswith("Duplicate ticket_id")) | late_id
     known_text = F.exists("reasons", lambda r: r == "Exact duplicate ticket_text already in dataset") | late_text
@@ -79,7 +71,7 @@ def accept(rows: DataFrame, existing: DataFrame, order: str = "row_ord") -> Data
     status = F.when(F.size("reasons") == 0, "approved").otherwise("rejected")
     return (
         out.withColumns({"source": F.lower(X.strip(F.coalesce("source", F.lit("external")))), "validation_status": status, "rejection_reason": F.concat_ws("; ", "reasons")})
-        .drop("_id", "_text", "_id_from", "_text_from", "reasons")
+        .drop("_id", "_text", "_id_key", "_text_key", "_id_from", "_text_from", "reasons")
     )
 
 

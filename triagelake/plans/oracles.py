@@ -157,12 +157,13 @@ def _gate(rows: str = "", source: str = "incoming") -> str:
 select row_ord, case when message is null then t end as ticket_text, message, case when message is not null then case when length(ticket_text) > {fixed.MAX_TICKET_LENGTH} then 413 else 400 end end as status_code from said"""
 
 
-def _reasons() -> str:
+def _reasons(known_id: str = "false", known_text: str = "false") -> str:
     t = "trim(ticket_text)"
     has = f"coalesce({t} <> '' and {t} <> 'nan', false)"
     items = [
-        "case when ticket_id is null or trim(ticket_id) in ('', 'nan') then 'Missing ticket_id' end",
+        f"case when ticket_id is null or trim(ticket_id) in ('', 'nan') then 'Missing ticket_id' when {known_id} then 'Duplicate ticket_id ''' || trim(ticket_id) || '''' end",
         f"case when not {has} then 'Missing or empty ticket_text' when length({t}) < 5 then 'Text too short (' || length({t}) || ' chars, min 5)' when length({t}) > 2000 then 'Text too long (' || length({t}) || ' chars, max 2000)' end",
+        f"case when {has} and {known_text} then 'Exact duplicate ticket_text already in dataset' end",
         f"case when {has} and len({_pii(t)}) > 0 then 'PII detected: ' || array_to_string({_pii(t)}, ', ') end",
         f"case when ({_title('category', fixed.CATEGORIES)}) is null then 'Invalid category ''' || coalesce(category, 'nan') || '''' end",
         f"case when ({_title('priority', fixed.PRIORITIES)}) is null then 'Invalid priority ''' || coalesce(priority, 'nan') || '''' end",
@@ -171,6 +172,28 @@ def _reasons() -> str:
     return f"list_filter([{', '.join(items)}], lambda x: x is not null)"
 
 
+def _fold() -> str:
+    """The fold in rounds: the first of both its keys is accepted, rows that share a key with it go, and it starts anew."""
+    first = "row_ord = min(row_ord) over (partition by i) and row_ord = min(row_ord) over (partition by t)"
+    return f"""with recursive {INCOMING}, old as (
+  select trim(ticket_id) as i, lower(trim(ticket_text)) as t from raw join orders on o_orderkey = row_ord where o_orderstatus = 'F'
+), taken as (
+  select n.*, trim(ticket_id) as i, lower(trim(ticket_text)) as t, coalesce(trim(ticket_id) in (select i from old where i is not null), false) as old_i, coalesce(lower(trim(ticket_text)) in (select t from old where t is not null), false) as old_t
+  from incoming n join orders on o_orderkey = row_ord where o_orderstatus <> 'F'
+), open as (
+  select row_ord, i, t from taken where len({_reasons("old_i", "old_t")}) = 0
+), rounds(row_ord, i, t, won) as (
+  select row_ord, i, t, {first} from open
+  union all
+  select row_ord, i, t, {first} from (
+    select row_ord, i, t from rounds r where not won and i not in (select i from rounds where won) and t not in (select t from rounds where won))
+), marked as (
+  select k.*, old_i or coalesce(a.row_ord < k.row_ord, false) as known_i, old_t or coalesce(b.row_ord < k.row_ord, false) as known_t
+  from taken k left join (select row_ord, i from rounds where won) a on a.i = k.i left join (select row_ord, t from rounds where won) b on b.t = k.t
+), told as (select row_ord, array_to_string({_reasons("known_i", "known_t")}, '; ') as rejection_reason from marked)
+select row_ord, case when rejection_reason = '' then 'approved' else 'rejected' end as validation_status, rejection_reason from told"""
+
+
 _SPLITS = f"""patterns as (
   select pattern, min_by(category, row_ord) as category from (select *, {_masked("ticket_text", fixed.MASKS, fixed.NOISE)} as pattern from dense) group by pattern
 ), ranked as (
@@ -252,6 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "route_department": f"with {RAW}, c as (select ticket_id, {_title('category', fixed.CATEGORIES)} as category from raw) select ticket_id, {_department('category')} as department from c",
         "ticket_gate": _gate(),
         "pii_scan": f"select doc_id, array_to_string({_pii('text')}, ', ') as found from documents where len({_pii('text')}) > 0",
+        "ingest_fold": _fold(),
         "validate_incoming": f"with {INCOMING} select row_ord, array_to_string({_reasons()}, '; ') as rejection_reason from incoming",
         "reject_reasons": f"with {INCOMING}, r as (select unnest({_reasons()}) as r from incoming) select regexp_replace(r, '[ ]?[''(:].*', '') as reason, count(*) as n from r group by 1",
         "quality_report": f"with {RAW} " + " union all ".join(f"select '{c}' as name, count(*) filter ({c} is null) as nulls, count(*) filter (trim({c}) = '') as blanks, count(*) - (count(distinct {c}) + (count(*) filter ({c} is null) > 0)::int) as duplicates from raw" for c in ("ticket_id", "ticket_text", "category", "priority", "source")),
