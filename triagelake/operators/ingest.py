@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -54,12 +54,42 @@ def rival_keys() -> dict[str, Column]:
     return {"_id": X.strip(F.col("ticket_id")), "_text": F.lower(X.strip(F.col("ticket_text")))}
 
 
+def tagged_keys(rows: DataFrame) -> DataFrame:
+    """(key) of each row's id and text, 16 bytes behind a letter that tells which; rows without one have none for it."""
+    own = rival_keys()
+    return rows.select(F.explode(F.array(_tagged("i", own["_id"]), _tagged("t", own["_text"]))).alias("key")).where("key is not null")
+
+
+def _tagged(tag: str, key: Column) -> Column:
+    return F.concat(F.lit(tag).cast("binary"), fold.short(key))
+
+
+def against_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with their reasons, those against ``known`` (key) of :func:`tagged_keys`, each once, included."""
+    own = rival_keys()
+    marked = rows.withColumns({"_i": _tagged("i", own["_id"]), "_t": _tagged("t", own["_text"])})
+    for name in ("_i", "_t"):
+        marked = marked.join(known.select(F.col("key").alias(name), F.lit(True).alias(f"{name}_known")), name, "left")
+    told = reasons(F.coalesce("_i_known", F.lit(False)), F.coalesce("_t_known", F.lit(False)))
+    return marked.withColumn("reasons", told).drop("_i", "_t", "_i_known", "_t_known")
+
+
 def accept(rows: DataFrame, existing: DataFrame, order: str = "row_ord", bound: int = fold.BOUND) -> DataFrame:
-    """``rows`` with validation_status and rejection_reason as if taken one by one in ``order``.
+    """``rows`` with validation_status and rejection_reason as if taken one by one in ``order``, after an ``existing`` dataset."""
+    return _settle(against_existing(rows, existing), order, bound)
+
+
+def accept_unknown(rows: DataFrame, known: DataFrame, order: str = "row_ord", bound: int = fold.BOUND) -> DataFrame:
+    """As :func:`accept`, after rows of which only the ``known`` keys (:func:`tagged_keys`) are left."""
+    return _settle(against_known(rows, known), order, bound)
+
+
+def _settle(told: DataFrame, order: str, bound: int) -> DataFrame:
+    """Rows with the reasons that earlier datasets give, decided in ``order``.
 
     A sound row is a duplicate only of an *accepted* earlier row with its id or text (:mod:`.fold`); values of ``order`` are unique.
     """
-    checked = files.written(against_existing(rows, existing).withColumns(rival_keys()), "checked")
+    checked = files.written(told.withColumns(rival_keys()), "checked")
     accepted = fold.first_come(checked.where(F.size("reasons") == 0), order, F.col("_id"), F.col("_text"), bound)
     ids, texts = accepted.select(F.col("_a").alias("_id_key"), F.col("_ord").alias("_id_from")), accepted.select(F.col("_b").alias("_text_key"), F.col("_ord").alias("_text_from"))
     checked = checked.withColumns({"_id_key": fold.short(F.col("_id")), "_text_key": fold.short(F.col("_text"))})
@@ -90,15 +120,6 @@ def write_routed(decided: DataFrame, out: str, batch: int = 0) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/{place}/batch={batch}")
 
 
-def accepted_before(spark: SparkSession, out: str, batch: int, columns: list[str], empty: DataFrame) -> DataFrame:
-    """What earlier batches have accepted; ``empty`` if there is nothing."""
-    rows = empty
-    for place in PLACES[:2]:
-        if files.exists(spark, f"{out}/{place}"):
-            rows = rows.unionByName(spark.read.parquet(f"{out}/{place}").where(F.col("batch") < batch).select(*columns))
-    return rows
-
-
 def append_first(old: DataFrame, new: DataFrame, out: str, order: str = "row_ord") -> None:
     """Old and new rows, of equal texts the first, as a new snapshot at ``out``; old rows come first, each side by ``order``."""
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)

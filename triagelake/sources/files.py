@@ -21,6 +21,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A folder, and those above it, where there is none."""
+    system, place = _place(spark, path)
+    system.mkdirs(place)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a file or folder to a place where nothing is yet, in one step."""
+    system, place = _place(spark, path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    system.mkdirs(target.getParent())
+    if system.exists(target) or not system.rename(place, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file, whole or not at all: written beside its place and renamed."""
     system, place = _place(spark, path)
