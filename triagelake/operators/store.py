@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as X
+from . import snapshots
 
 # The store's relations.
 SCHEMAS = {
@@ -20,6 +21,7 @@ SCHEMAS = {
     "tickets": "id long, ticket_id string, ticket_text string, category string, priority string, department string, confidence double, category_confidence double, priority_confidence double, status string, created_at timestamp_ntz, assigned_agent_id long",
     "priority_feedback": "id long, feedback_id string, ticket_id string, ticket_text string, original_priority string, corrected_priority string, original_priority_confidence double, reason string, reviewer string, validated int, created_at timestamp_ntz",
 }
+KEYS = {"agents": "id", "tickets": "ticket_id", "priority_feedback": "feedback_id"}
 
 
 def create(spark: SparkSession, path: str) -> None:
@@ -36,13 +38,23 @@ def append(rows: DataFrame, path: str, name: str, kind: str = "put") -> None:
 
 
 def state(spark: SparkSession, path: str, name: str, key: str) -> DataFrame:
-    """The rows that a relation's events leave; columns that older files lack are null."""
-    return latest(spark.read.option("mergeSchema", True).schema(f"seq long, kind string, {SCHEMAS[name]}").parquet(f"{path}/{name}"), key)
+    """The rows that a relation's snapshot, if it has one, and its events leave; columns that older files lack are null."""
+    events = spark.read.option("mergeSchema", True).schema(f"seq long, kind string, {SCHEMAS[name]}").parquet(f"{path}/{name}")
+    found = snapshots.state(spark, path, name, key, events)
+    return latest(events, key) if found is None else found
+
+
+def compact(spark: SparkSession, path: str, name: str, bucket_rows: int = snapshots.BUCKET_ROWS) -> int:
+    """Make the state of now a relation's snapshot and delete the event files it holds; returns how many."""
+    key, through = KEYS[name], next_seq(spark, path, name) - 1
+    snapshots.compact(spark, path, name, key, state(spark, path, name, key), through, bucket_rows)
+    return snapshots.trim(spark, path, name)
 
 
 def next_seq(spark: SparkSession, path: str, name: str) -> int:
     """A sequence number after all events of a relation."""
-    return (spark.read.parquet(f"{path}/{name}").agg(F.max("seq")).first()[0] or 0) + 1
+    events = spark.read.schema("seq long").parquet(f"{path}/{name}")
+    return max(events.agg(F.max("seq")).first()[0] or 0, snapshots.pointer(spark, path, name).get("through", 0)) + 1
 
 
 def latest(events: DataFrame, key: str, seq: str = "seq") -> DataFrame:

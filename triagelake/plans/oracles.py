@@ -172,9 +172,32 @@ def _reasons(known_id: str = "false", known_text: str = "false") -> str:
     return f"list_filter([{', '.join(items)}], lambda x: x is not null)"
 
 
+#: ``rounds`` over ``open`` (row_ord, i, t): the first of both its keys has won, rows that share a key with it go, and it starts anew.
+_FIRST = "row_ord = min(row_ord) over (partition by i) and row_ord = min(row_ord) over (partition by t)"
+_ROUNDS = f"""rounds(row_ord, i, t, won) as (
+  select row_ord, i, t, {_FIRST} from open
+  union all
+  select row_ord, i, t, {_FIRST} from (
+    select row_ord, i, t from rounds r where not won and i not in (select i from rounds where won) and t not in (select t from rounds where won))
+)"""
+
+
+def _violations() -> str:
+    required = [f"when {c} is null then 'NOT NULL constraint failed: tickets.{c}'" for c in ("ticket_id", "ticket_text", "category", "priority", "department", "confidence")]
+    return f"""with recursive {INCOMING}, {STORE.split(TICKETS)[1].lstrip(", ")}, given as (
+  select row_ord, case when row_ord % 10 < 6 then row_ord + 1 else row_ord end as id, ticket_id, ticket_text, category, priority, {_department("category")} as department,
+    case when row_ord % 31 <> 0 then 0.5 end as confidence, case when row_ord % 4 <> 0 then row_ord % 23 + 1 end as assigned_agent_id from incoming
+), seen as (
+  select g.*, case {" ".join(required)} when assigned_agent_id is not null and assigned_agent_id not in (select id from agents) then 'FOREIGN KEY constraint failed: tickets.assigned_agent_id' end as base,
+    id in (select id from kept where id % 3 = 0) as id_there, ticket_id in (select ticket_id from kept where id % 3 = 0) as ticket_there from given g
+), open as (select row_ord, id as i, ticket_id as t from seen where base is null and not id_there and not ticket_there), {_ROUNDS}, told as (
+  select s.row_ord as seq, ticket_id, coalesce(base, case when id_there or a.row_ord < s.row_ord then 'UNIQUE constraint failed: tickets.id' when ticket_there or b.row_ord < s.row_ord then 'UNIQUE constraint failed: tickets.ticket_id' end) as violation
+  from seen s left join (select row_ord, i from rounds where won) a on a.i = s.id left join (select row_ord, t from rounds where won) b on b.t = s.ticket_id
+)
+select * from told where violation is not null"""
+
+
 def _fold() -> str:
-    """The fold in rounds: the first of both its keys is accepted, rows that share a key with it go, and it starts anew."""
-    first = "row_ord = min(row_ord) over (partition by i) and row_ord = min(row_ord) over (partition by t)"
     return f"""with recursive {INCOMING}, old as (
   select trim(ticket_id) as i, lower(trim(ticket_text)) as t from raw join orders on o_orderkey = row_ord where o_orderstatus = 'F'
 ), taken as (
@@ -182,11 +205,7 @@ def _fold() -> str:
   from incoming n join orders on o_orderkey = row_ord where o_orderstatus <> 'F'
 ), open as (
   select row_ord, i, t from taken where len({_reasons("old_i", "old_t")}) = 0
-), rounds(row_ord, i, t, won) as (
-  select row_ord, i, t, {first} from open
-  union all
-  select row_ord, i, t, {first} from (
-    select row_ord, i, t from rounds r where not won and i not in (select i from rounds where won) and t not in (select t from rounds where won))
+), {_ROUNDS[:-2]}
 ), marked as (
   select k.*, old_i or coalesce(a.row_ord < k.row_ord, false) as known_i, old_t or coalesce(b.row_ord < k.row_ord, false) as known_t
   from taken k left join (select row_ord, i from rounds where won) a on a.i = k.i left join (select row_ord, t from rounds where won) b on b.t = k.t
@@ -276,6 +295,7 @@ def oracle_sql() -> dict[str, str]:
         "ticket_gate": _gate(),
         "pii_scan": f"select doc_id, array_to_string({_pii('text')}, ', ') as found from documents where len({_pii('text')}) > 0",
         "ingest_fold": _fold(),
+        "store_violations": _violations(),
         "validate_incoming": f"with {INCOMING} select row_ord, array_to_string({_reasons()}, '; ') as rejection_reason from incoming",
         "reject_reasons": f"with {INCOMING}, r as (select unnest({_reasons()}) as r from incoming) select regexp_replace(r, '[ ]?[''(:].*', '') as reason, count(*) as n from r group by 1",
         "quality_report": f"with {RAW} " + " union all ".join(f"select '{c}' as name, count(*) filter ({c} is null) as nulls, count(*) filter (trim({c}) = '') as blanks, count(*) - (count(distinct {c}) + (count(*) filter ({c} is null) > 0)::int) as duplicates from raw" for c in ("ticket_id", "ticket_text", "category", "priority", "source")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as X
-from ..operators import evaluate, features, ingest, models, prepare, profile, store
+from ..operators import constraints, evaluate, features, ingest, models, prepare, profile, store
 from ..sources import files
 from ..sources import tickets as S
 
@@ -436,6 +436,19 @@ def insert_or_ignore(spark, d):
     return store.insert_or_ignore(old, S.incoming(spark, d).select("ticket_id", "ticket_text", "row_ord"), ["ticket_id"], "row_ord")
 
 
+@query
+def store_violations(spark, d):
+    """What the store demands and incoming tickets miss, a third of all tickets being there already."""
+    key = F.col("row_ord")
+    there = S.store_tickets(spark, d).where("id % 3 = 0")
+    new = S.incoming(spark, d).select(
+        key.alias("seq"), F.when(key % 10 < 6, key + 1).otherwise(key).alias("id"), "ticket_id", "ticket_text", "category", "priority", X.department(F.col("category")).alias("department"),
+        F.when(key % 31 != 0, F.lit(0.5)).alias("confidence"), F.when(key % 4 != 0, key % 23 + 1).alias("assigned_agent_id"),
+    )
+    told = constraints.violations(new, "tickets", {"tickets": there, "agents": S.agents(spark)})
+    return told.where("violation is not null").select("seq", "ticket_id", "violation")
+
+
 @query
 def dashboard(spark, d):
     return store.dashboard(S.store_tickets(spark, d), S.feedback(spark, d))

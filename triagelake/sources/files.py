@@ -36,6 +36,12 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not be moved to {to}")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file, or a folder with all it holds; nothing where there is none."""
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file, whole or not at all: written beside its place and renamed."""
     system, place = _place(spark, path)
