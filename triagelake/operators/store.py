@@ -254,10 +254,15 @@ def bootstrap(rows: DataFrame, tickets: DataFrame, predict, order: str, k: int =
 
 def dashboard(tickets: DataFrame, feedback: DataFrame) -> DataFrame:
     """(metric, key, n): the totals and distributions of the dashboard."""
-    count = lambda c: tickets.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).select(F.lit(c).alias("metric"), "key", "n")
-    total = tickets.agg(F.count("*").alias("n")).select(F.lit("total").alias("metric"), F.lit("tickets").alias("key"), "n")
+    columns = ("category", "priority", "department")
+    which = F.when(F.grouping("category") == 0, "category").when(F.grouping("priority") == 0, "priority").when(F.grouping("department") == 0, "department").otherwise("total")
+    key = F.when(F.grouping_id() == 7, F.lit("tickets")).otherwise(F.coalesce(*columns))  # of one set all but one are null
+    # One scan: the total and the three distributions are grouping sets, added up before they are shuffled.
+    counts = tickets.groupingSets([[c] for c in columns] + [[]], *columns).agg(which.alias("metric"), key.alias("key"), F.count("*").alias("n")).select("metric", "key", "n")
     marks = feedback.select(F.when(F.col("validated") == 1, "validated").otherwise("pending").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    return total.unionByName(count("category")).unionByName(count("priority")).unionByName(count("department")).unionByName(marks.select(F.lit("feedback").alias("metric"), "key", "n"))
+    empty = tickets.sparkSession.createDataFrame([("total", "tickets", 0)], counts.schema)  # an empty table has a total as well
+    counts = counts.unionByName(empty).groupBy("metric", "key").agg(F.sum("n").alias("n"))
+    return counts.unionByName(marks.select(F.lit("feedback").alias("metric"), "key", "n"))
 
 
 def newest(rows: DataFrame, by: str = "id", k: int = 10) -> DataFrame:

@@ -288,6 +288,8 @@ def oracle_sql() -> dict[str, str]:
         "top_words_by_priority": t + _top(f"select priority, unnest({_TOKENS}) as term from tickets", "priority", 10),
         "bigrams_by_priority": t + _top(f"select priority, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from (select priority, {_TOKENS} as w from tickets)", "priority", 10),
         "priority_signals": t + f"select ticket_id, {sig} from tickets",
+        "signals_by_rules": t + f"select ticket_id, {sig} from tickets",
+        "sketched_profile": t + f", s as (select source, ticket_text, {_masked('ticket_text', fixed.AUDIT_MASKS, fixed.AUDIT_NOISE)} as p from tickets) select source, count(*) as n, count(distinct ticket_text) as texts, count(distinct p) as templates, true as n_same, true as texts_near, true as templates_near, true as words_near, true as chars_near from s group by source",
         "signal_explanation": t + f", s as (select ticket_id, priority, {sig} from tickets), r as (select ticket_id, priority, lower({told}) as j from s) select ticket_id, priority || ' priority: ' || case when j = '' then case when priority in ('Low', 'Medium') then {_s(fixed.ROUTINE)} else {_s(fixed.ELEVATED)} end else upper(left(j, 1)) || substr(j, 2) || ' detected.' end as explanation from r",
         "signal_bands": t + f", s as (select {_signal('ticket_text', 'security_risk')} as v from tickets) select case when v >= 0.7 then 'danger' when v >= 0.4 then 'warning' else 'normal' end as band, count(*) as n from s group by 1",
         "rule_priority": t + f", s as (select *, case when suffix(ticket_text, 'Urgent attention required.') then 'Urgent attention required.' else '' end as e from tickets) select ticket_id, {_rule('ticket_text', 'priority', 'e')} as label from s",

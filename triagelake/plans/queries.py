@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as X
-from ..operators import constraints, evaluate, features, ingest, models, prepare, profile, store
+from ..operators import constraints, evaluate, features, ingest, models, prepare, profile, rules, sketches, store
 from ..sources import files
 from ..sources import tickets as S
 
@@ -101,6 +101,12 @@ def priority_signals(spark, d):
     return S.tickets(spark, d).select("ticket_id", *[X.signal(F.col("ticket_text"), s).alias(s) for s in fixed.SIGNALS])
 
 
+@query
+def signals_by_rules(spark, d):
+    """The six signals by a table of rules and its index."""
+    return rules.signal_scores(S.tickets(spark, d).select("ticket_id", "ticket_text"), rules.rule_table(spark, fixed.SIGNALS), "ticket_id", tuple(fixed.SIGNALS))
+
+
 @query
 def signal_explanation(spark, d):
     rows = S.tickets(spark, d).select("ticket_id", "priority", X.signals(F.col("ticket_text")).alias("s"))
@@ -180,6 +186,14 @@ def near_dup_templates(spark, d):
     return rows.agg(F.count("*").alias("rows"), F.countDistinct("t").alias("templates")).withColumn("near_duplicates", F.col("rows") - F.col("templates"))
 
 
+@query
+def sketched_profile(spark, d):
+    """By source: texts and templates, counted, and whether sketches made by source and day and merged tell them and the medians."""
+    rows = S.tickets(spark, d)
+    kept = files.written(sketches.sketch(rows.withColumn("day", F.to_date("created_at")), "source", "day"), "sketches")
+    return sketches.checked(rows, kept, "source")
+
+
 @query
 def template_signature(spark, d):
     return S.tickets(spark, d).select("ticket_id", X.signature(F.col("ticket_text")).alias("pattern"))
