@@ -223,3 +223,6 @@ MESSAGES = {
 # What the gate says.
 GATE_EMPTY, GATE_NO_WORDS, GATE_VAGUE = "Please enter a ticket description.", "Please describe the issue using words.", "Please enter a meaningful description of the issue."
 GATE_LONG = f"Please keep your ticket description under {MAX_TICKET_LENGTH} characters."
+
+# What is detached from nouns and what takes its place, in the usual order.
+NOUN_SUFFIXES = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))

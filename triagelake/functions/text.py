@@ -31,9 +31,14 @@ def tokens(cleaned: Column) -> Column:
     return F.filter(F.split(cleaned, " "), lambda t: t != "")
 
 
+def kept_words(text: Column) -> Column:
+    """Cleaned words without stop words and single letters."""
+    return F.filter(tokens(clean(text)), lambda t: (F.length(t) > 1) & ~t.isin(*fixed.STOP_WORDS))
+
+
 def preprocess(text: Column, lemmas: dict[str, str] | None = None) -> Column:
-    """Cleaned words without stop words and single letters, joined by spaces; words stand for their lemmas unless ``lemmas`` has others."""
-    kept = F.filter(tokens(clean(text)), lambda t: (F.length(t) > 1) & ~t.isin(*fixed.STOP_WORDS))
+    """:func:`kept_words` joined by spaces; words stand for their lemmas unless ``lemmas`` has others (for many, see operators.lemmas)."""
+    kept = kept_words(text)
     if lemmas:
         known = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
         kept = F.transform(kept, lambda t: F.coalesce(F.try_element_at(known, t), t))

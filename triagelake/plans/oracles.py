@@ -197,6 +197,26 @@ def _violations() -> str:
 select * from told where violation is not null"""
 
 
+def _lemmas() -> str:
+    """Suffixes detached in rounds; of a word's first round with forms in the lexicon the shortest, then the first found."""
+    from .queries import IRREGULAR
+
+    rules = ", ".join(f"({i}, {_s(a)}, {_s(b)})" for i, (a, b) in enumerate(fixed.NOUN_SUFFIXES))
+    irregular = ", ".join(f"({_s(a)}, {_s(b)})" for a, b in IRREGULAR)
+    return f"""with recursive kept as (select doc_id, {_preprocess("text")} as ws from documents), placed as (
+  select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as place from kept
+), lexicon as (select distinct unnest(string_split({_clean("text")}, ' ')) as w from conversations), rules(i, old, new) as (values {rules}), irregular(w, form) as (values {irregular}), forms(w, form, n, path) as (
+  select distinct w, w, 0, '' from placed
+  union all
+  select f.w, left(form, length(form) - length(old)) || new, n + 1, path || i from forms f, rules where suffix(form, old) and f.w not in (select w from irregular)
+), tried as (
+  select w, form, greatest(n, 1) as n, path from forms union all select i.w, i.form, 1, 'x' from irregular i where i.w in (select w from placed)
+), found as (
+  select w, arg_min(form, (n, length(form), path)) as lemma from tried where form in (select w from lexicon where w <> '') group by w
+), told as (select doc_id, string_agg(coalesce(lemma, p.w), ' ' order by place) as words from placed p left join found f on f.w = p.w group by doc_id)
+select k.doc_id, coalesce(words, '') as words from kept k left join told t on t.doc_id = k.doc_id"""
+
+
 def _fold() -> str:
     return f"""with recursive {INCOMING}, old as (
   select trim(ticket_id) as i, lower(trim(ticket_text)) as t from raw join orders on o_orderkey = row_ord where o_orderstatus = 'F'
@@ -279,6 +299,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_text_docs": f"select doc_id, {_clean('text')} as cleaned from documents",
         "clean_html_pages": f"select page_id, {_clean('concat_ws(chr(32), url, html)')} as cleaned from pages",
         "preprocess_docs": f"select doc_id, array_to_string({_preprocess('text')}, ' ') as words from documents",
+        "lemmas_docs": _lemmas(),
         "word_stats": f"select doc_id, len({_words('text')})::bigint as n_words, length(text)::bigint as n_len from documents",
         "length_stats": t + f", sized as (select len({_words('ticket_text')}) as words, length(ticket_text) as chars from tickets) select "
         + ", ".join(f"round(avg({c}), 6) as mean_{c}, min({c})::bigint as min_{c}, max({c})::bigint as max_{c}, quantile_cont({c}, 0.5)::double as median_{c}" for c in ("words", "chars")) + " from sized",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as X
-from ..operators import constraints, evaluate, features, ingest, models, prepare, profile, rules, sketches, store
+from ..operators import constraints, evaluate, features, ingest, lemmas, models, prepare, profile, rules, sketches, store
 from ..sources import files
 from ..sources import tickets as S
 
@@ -58,6 +58,18 @@ def preprocess_docs(spark, d):
     return _documents(spark, d).select("doc_id", X.preprocess(F.col("text")).alias("words"))
 
 
+#: Nouns that no suffix rule brings back.
+IRREGULAR = (("children", "child"), ("feet", "foot"), ("mice", "mouse"), ("people", "person"), ("teeth", "tooth"), ("geese", "goose"), ("data", "datum"), ("indices", "index"), ("wives", "wife"), ("lives", "life"))
+
+
+@query
+def lemmas_docs(spark, d):
+    """Preprocessed documents with noun lemmas; the lexicon is the words of all conversations."""
+    said = spark.read.parquet(f"{d}/conversations.parquet").select(F.explode(X.tokens(X.clean(F.col("text")))).alias("word")).distinct()
+    exceptions = spark.createDataFrame(IRREGULAR, "word string, form string")
+    return lemmas.preprocess(_documents(spark, d).select("doc_id", "text"), said, exceptions).select("doc_id", "words")
+
+
 @query
 def word_stats(spark, d):
     return _documents(spark, d).select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("n_words"), F.length("text").cast("long").alias("n_len"))
