@@ -77,9 +77,28 @@ def best(metrics: DataFrame, by: str, score: str, order: str) -> DataFrame:
     return metrics.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def promotion(candidate: float, production: float, validation: float, least: float = 0.85) -> bool:
-    """Whether a candidate may replace production: no worse on the holdout, and good enough on validation."""
-    return candidate >= production and validation >= least
+def promotion[T](candidate: T, production: T, validation: T, least: float = 0.85) -> T:
+    """Whether a candidate may replace production, for numbers or columns: no worse on the holdout, and good enough on validation."""
+    return (candidate >= production) & (validation >= least)
+
+
+def by_language(rows: DataFrame, group: tuple[str, ...], predicted: str, expected: str, least: int = 2) -> DataFrame:
+    """:func:`consistency` of groups whose texts are in ``least`` languages or more, and in how many."""
+    told = rows.groupBy(*group).agg(F.countDistinct("lang").alias("languages"), (F.countDistinct(predicted) == 1).alias("consistent"), F.bool_and(F.col(predicted) == F.col(expected)).alias("perfect"))
+    return told.where(F.col("languages") >= least)
+
+
+def language_pairs(rows: DataFrame, group: tuple[str, ...], order: str, text: str, one: str, other: str) -> DataFrame:
+    """Of each group the first text in either of two languages, where it has both: (``group``, one_text, other_text)."""
+    first = lambda lang: F.min_by(F.when(F.col("lang") == lang, F.col(text)), F.when(F.col("lang") == lang, F.col(order)))
+    pairs = rows.where(F.col("lang").isin(one, other)).groupBy(*group).agg(first(one).alias("one_text"), first(other).alias("other_text"))
+    return pairs.where("one_text is not null and other_text is not null")
+
+
+def scenarios(rows: DataFrame, template: Column, text: str, expected: str, order: str) -> DataFrame:
+    """A scenario for each template: its first text, and the value that most of its rows have (ties: the least)."""
+    out = rows.groupBy(template.alias("template")).agg(F.min_by(text, order).alias("text"), F.mode(expected, deterministic=True).alias("expected"))
+    return out.select("template", "text", "expected")
 
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:

@@ -57,7 +57,15 @@ def bayes_train(weighted: DataFrame, labels: DataFrame, key: str, smoothing: flo
 
 
 def bayes_predict(weighted: DataFrame, priors: DataFrame, likelihood: DataFrame, key: str) -> DataFrame:
-    """(key, prediction): the label with the highest joint log probability, ties to the lesser."""
-    scores = weighted.join(likelihood, "term").groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("logp")).alias("s"))
-    scores = scores.join(priors, "label").withColumn("s", F.col("s") + F.col("prior"))
-    return scores.groupBy(key).agg(F.min_by("label", F.struct(-F.round("s", 9), F.col("label"))).alias("prediction"))
+    """(key, prediction): the label with the highest joint log probability, ties to the lesser.
+
+    A term's probabilities stand side by side, one row for each of the vocabulary's terms, whose number is fixed: they are
+    broadcast to the weights, and what is shuffled is a row a document.
+    """
+    known = [(r.label, r.prior) for r in priors.orderBy("label").collect()]  # a few labels
+    by_term = likelihood.groupBy("term").agg(*[F.max(F.when(F.col("label") == label, F.col("logp"))).alias(f"_p{i}") for i, (label, _) in enumerate(known)])
+    sums = weighted.join(F.broadcast(by_term), "term").groupBy(key).agg(*[F.sum(F.col("weight") * F.col(f"_p{i}")).alias(f"_s{i}") for i in range(len(known))])
+    if not known:
+        return sums.select(key, F.lit(None).cast("string").alias("prediction"))
+    ranked = F.array(*[F.struct((-F.round(F.col(f"_s{i}") + prior, 9)).alias("s"), F.lit(label).alias("label")) for i, (label, prior) in enumerate(known)])
+    return sums.select(key, F.array_min(ranked)["label"].alias("prediction"))

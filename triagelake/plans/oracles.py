@@ -365,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
         "best_model": judged + f", r as (select *, {_rule('ticket_text', _s('Low'), _s(''))} as low, case when contains(ticket_text, 'refund') then 'Refund' when contains(ticket_text, 'order') then 'Shipping' else 'Account' end as worded from judged), m as ("
         + " union all ".join(f"select '{target}' as target, '{model}' as model, {i} as ord, round(avg(({target} = {v})::int::double), 6) as accuracy from r" for i, (target, model, v) in enumerate((("priority", "low", "low"), ("priority", "predicted", "predicted"), ("priority", "always", "'Medium'"), ("category", "billing", "'Billing'"), ("category", "worded", "worded"), ("category", "account", "'Account'"))))
         + ") select * from m qualify row_number() over (partition by target order by accuracy desc, ord) = 1",
-        "promotion_gate": judged + ", s as (select avg((priority = predicted)::int::double) filter (row_ord % 2 = 0) as h, avg((priority = predicted)::int::double) filter (row_ord % 2 = 1) as v from judged) select round(h, 6) as holdout, round(v, 6) as validation, h >= 0.2 and v >= 0.85 as promote from s",
+        "promotion_gate": judged + ", s as (select avg((priority = predicted)::int::double) filter (row_ord % 2 = 0) as h, avg((priority = 'Medium')::int::double) filter (row_ord % 2 = 0) as p, avg((priority = predicted)::int::double) filter (row_ord % 2 = 1) as v from judged) select round(h, 6) as holdout, round(p, 6) as production, round(v, 6) as validation, h >= p and v >= 0.85 as promote from s",
         "class_weights": t + "select priority, round(sum(count(*)) over () / (count(*) over () * count(*)), 8) as weight from tickets group by 1",
         "softmax_conf": t + ", s as (" + " union all ".join(f"select ticket_id, '{s}' as name, {_signal('ticket_text', s)} as m from tickets" for s in fixed.SIGNALS) + "), e as (select ticket_id, name, exp(m - max(m) over (partition by ticket_id)) as e from s) select ticket_id, name, round(e / sum(e) over (partition by ticket_id) * 100, 2) as confidence from e",
         "conversation_latest": "select conv_id, turn, role, text from conversations qualify row_number() over (partition by conv_id order by turn desc, role desc, text desc) = 1",

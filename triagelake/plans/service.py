@@ -8,7 +8,7 @@ from .. import fixed
 from ..functions import text as X
 from ..operators import evaluate, prepare, profile, store
 from ..sources import tickets as S
-from .queries import query
+from .queries import _predicted, query
 
 #: Saved metrics as a training run leaves them; the best model for priority has none.
 METRICS = {"best_category_model": "Logistic Regression", "category_metrics": {"Logistic Regression": {"accuracy": 0.9787}}, "best_priority_model": "Naive Bayes", "priority_metrics": {}}
@@ -135,21 +135,44 @@ def reference_numbers(spark, d):
     return S.raw_tickets(spark, d).select("row_ord", X.reference_number("TICK-", F.col("row_ord")).alias("ticket"), X.reference_number("FB-", F.col("row_ord")).alias("feedback"))
 
 
+#: Tickets of one category among 24 neighbours: the same matter, told in up to three languages.
+MATTER = ("block", "category")
+
+
+def _matters(spark, d):
+    rows = S.tickets(spark, d).withColumns({"block": F.floor(F.col("row_ord") / 24), "lang": X.language_by_parts(F.col("ticket_text"))})
+    return rows.select("row_ord", "ticket_id", "ticket_text", "priority", "lang", *MATTER)
+
+
 @query
 def language_pairs(spark, d):
-    """The same request in two languages: rule labels, signals' maxima, and whether the labels agree."""
-    rows = spark.createDataFrame([(p, lang, text) for p, *both in S.LANGUAGE_PAIRS for lang, text in zip(("en", "hi"), both, strict=True)], "pair string, lang string, text string")
-    top = F.greatest(*[X.signal(F.col("text"), s) for s in fixed.SIGNALS])
-    rows = rows.select("pair", "lang", X.rule_priority(F.col("text"), F.lit("Medium"), F.lit("")).alias("label"), top.alias("top"))
-    en, hi = (rows.where(F.col("lang") == k).select("pair", F.col("label").alias(f"{k}_label"), F.col("top").alias(f"{k}_top")) for k in ("en", "hi"))
-    return en.join(hi, "pair").withColumn("agree", F.col("en_label") == F.col("hi_label"))
+    """The same matter in English and in romanised Hindi: rule labels, signals' maxima, and whether the labels agree."""
+    pairs = evaluate.language_pairs(_matters(spark, d), MATTER, "row_ord", "ticket_text", "english", "hinglish")
+    told = lambda c: (X.rule_priority(F.col(c), F.lit("Medium"), F.lit("")), F.greatest(*[X.signal(F.col(c), s) for s in fixed.SIGNALS]))
+    (en, en_top), (hi, hi_top) = told("one_text"), told("other_text")
+    out = pairs.select(*MATTER, en.alias("en_label"), en_top.alias("en_top"), hi.alias("hi_label"), hi_top.alias("hi_top"))
+    return out.withColumn("agree", F.col("en_label") == F.col("hi_label"))
+
+
+@query
+def language_consistency(spark, d):
+    """Whether the predictor gives a matter told in several languages one category, and the right one."""
+    told = _predicted(spark, d)
+    return evaluate.by_language(_matters(spark, d).join(told, "ticket_id"), MATTER, "prediction", "category")
+
+
+@query
+def language_consistency_score(spark, d):
+    """The percentage of matters that get the right category in every language."""
+    return evaluate.consistency_score(language_consistency(spark, d))
 
 
 @query
 def scenario_accuracy(spark, d):
-    """How many scenarios two rules get right: the labels' triggers, and the highest signal."""
-    rows = spark.createDataFrame(S.SCENARIOS, "text string, expected string, reason string")
+    """How many scenarios, one a template, two rules get right: the labels' triggers, and the highest signal."""
+    rows = evaluate.scenarios(S.tickets(spark, d), X.audit_signature(F.col("ticket_text")), "ticket_text", "priority", "row_ord")
     top = F.greatest(*[X.signal(F.col("text"), s) for s in fixed.SIGNALS])
     by_signal = F.when(top >= 0.95, "Critical").when(top >= 0.8, "High").when(top >= 0.4, "Medium").otherwise("Low")
     rows = rows.withColumns({"triggers": X.rule_priority(F.col("text"), F.lit("Medium"), F.lit("")), "signals": by_signal})
     return evaluate.scenario_accuracy(rows, "expected", ("triggers", "signals"))
+

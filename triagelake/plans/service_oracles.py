@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from .. import fixed
-from ..sources.tickets import LANGUAGE_PAIRS, SCENARIOS
 from . import oracles as O  # noqa: E812, N812
 
 
-def _values(rows, columns: str) -> str:  # noqa: ANN001
-    return "(values " + ", ".join("(" + ", ".join(O._s(x) for x in r) + ")" for r in rows) + f") v({columns})"
+_MATTERS = f"""matters as (
+  select *, row_ord // 24 as block, case when {O._any("lower(ticket_text)", fixed.HINGLISH_PARTS)} then 'hinglish' when {O._any("lower(ticket_text)", fixed.GUJARATI_PARTS)} then 'gujarati' else 'english' end as lang from tickets
+)"""
+_CONSISTENT = f"""{O._BAYES}, {_MATTERS}, sums as (select ticket_id, label, sum(weight * logp) as s from weighted join likelihood using (term) group by 1, 2),
+predicted as (select ticket_id, label as prediction from sums join priors using (label) qualify row_number() over (partition by ticket_id order by round(s + prior, 9) desc, label) = 1),
+told as (select block, category, count(distinct lang) as languages, count(distinct prediction) = 1 as consistent, bool_and(prediction = category) as perfect from matters join predicted using (ticket_id) group by 1, 2 having count(distinct lang) >= 2)"""
 
 
 def _text(body: str, name: str) -> str:
@@ -94,8 +97,12 @@ union all select 'recent_feedback', place::varchar, feedback_id || ' | ' || corr
         "keyword_values": f"with {O.TICKETS}, h as (select unnest(list_distinct(string_split_regex(lower(ticket_text), '[^\\p{{L}}\\p{{N}}_]+'))) as word, priority, category from tickets), k as (select word, 'priority' as field, priority as value from h union all select word, 'category', category from h) select word, field, value, count(*) as n from k where word in ({', '.join(map(O._s, fixed.TARGET_WORDS))}) group by 1, 2, 3",
         "source_overlap": f"with {O.TICKETS}, m as (select source, ticket_text, lower(trim(ticket_text)) as normal, {O._masked('ticket_text', fixed.MASKS, fixed.NOISE)} as pattern from tickets) select {shared('pattern')} as shared_patterns, {shared('ticket_text')} as shared_texts, {shared('normal')} as shared_normal",
         "reference_numbers": f"with {O.RAW} select row_ord, 'TICK-' || upper(left(md5(row_ord::varchar), 6)) as ticket, 'FB-' || upper(left(md5(row_ord::varchar), 6)) as feedback from raw",
-        "language_pairs": f"with v as (select * from {_values([(p, lang, t) for p, *both in LANGUAGE_PAIRS for lang, t in zip(('en', 'hi'), both, strict=True)], 'pair, lang, text')}), s as (select pair, lang, {rule} as label, {top} as top from v) select e.pair, e.label as en_label, e.top as en_top, h.label as hi_label, h.top as hi_top, e.label = h.label as agree from s e join s h on e.pair = h.pair and e.lang = 'en' and h.lang = 'hi'",
-        "scenario_accuracy": f"with v as (select * from {_values(SCENARIOS, 'text, expected, reason')}), s as (select expected, {rule} as triggers, case when {top} >= 0.95 then 'Critical' when {top} >= 0.8 then 'High' when {top} >= 0.4 then 'Medium' else 'Low' end as signals from v) "
+        "language_pairs": f"with {O.TICKETS}, {_MATTERS}, v as (select block, category, arg_min(ticket_text, row_ord) filter (lang = 'english') as en, arg_min(ticket_text, row_ord) filter (lang = 'hinglish') as hi from matters group by 1, 2), texts as (select block, category, l.lang, l.text from v, unnest([{{'lang': 'en', 'text': en}}, {{'lang': 'hi', 'text': hi}}]) u(l) where en is not null and hi is not null), "
+        f"s as (select block, category, lang, {rule} as label, {top} as top from texts) select e.block, e.category, e.label as en_label, e.top as en_top, h.label as hi_label, h.top as hi_top, e.label = h.label as agree from s e join s h on e.block = h.block and e.category = h.category and e.lang = 'en' and h.lang = 'hi'",
+        "language_consistency": _CONSISTENT + " select * from told",
+        "language_consistency_score": _CONSISTENT + " select round(count(*) filter (perfect) * 100 / count(*), 4) as score from told",
+        "scenario_accuracy": f"with {O.TICKETS}, masked as (select *, {O._masked('ticket_text', fixed.AUDIT_MASKS, fixed.AUDIT_NOISE)} as template from tickets), firsts as (select template, arg_min(ticket_text, row_ord) as text from masked group by 1), most as (select template, priority as expected from (select template, priority, count(*) as n from masked group by 1, 2) qualify row_number() over (partition by template order by n desc, priority) = 1), "
+        f"s as (select expected, {rule} as triggers, case when {top} >= 0.95 then 'Critical' when {top} >= 0.8 then 'High' when {top} >= 0.4 then 'Medium' else 'Low' end as signals from firsts join most using (template)) "
         + " union all ".join(f"select '{m}' as model, count(*) filter ({m} = expected) as matches, count(*) as scenarios, round(count(*) filter ({m} = expected) * 100 / count(*), 1) as accuracy from s" for m in ("triggers", "signals")),
         "predict_tickets": f"with {O.RAW} select row_ord, case when {blank} then 'error' else 'success' end as status, case when {blank} then 'Input ticket text cannot be empty.' end as error, {signals}, case when not {blank} then true end as sound, true as routed from raw",
     }

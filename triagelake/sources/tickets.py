@@ -30,7 +30,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Shipping", "Mera order kahan hai"),
     ("Account", "My account was hacked by unauthorized access at 192.168.1.20"),
     ("Account", "I am locked out and cannot login, otp issue"),
-    ("Account", "મારું એકાઉન્ટ હેક થઈ ગયું છે"),
+    ("Account", "કોઈ મારા ખાતામાં ઘૂસ્યું, હેક લાગે છે"),
     ("Complaint", "The product {id} came damaged and completely broken!"),
     ("Complaint", "Your agent was slow to answer; this is a complaint"),
     ("Complaint", "Status update nathi, order {id}"),
@@ -43,31 +43,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
-#: (pair, English text, the same in romanised Hindi).
-LANGUAGE_PAIRS: tuple[tuple[str, str, str], ...] = (
-    ("order status", "Where is my parcel now?", "Mera parcel kahan hai?"),
-    ("double charge", "I was charged twice, please refund it urgently.", "Do baar charge ho gaya, jaldi refund karo."),
-    ("hacked account", "My account was hacked last night.", "Mera account hack ho gaya hai."),
-    ("broken app", "The app is completely broken.", "App kharab hai, kaam nahi kar raha."),
-    ("profile", "I want to change email on my profile.", "Mujhe apna email change karna hai."),
-)
-#: (text, expected priority, why).
-SCENARIOS: tuple[tuple[str, str, str], ...] = (
-    ("Someone made an unauthorized charge of $900 on my card", "Critical", "money is lost now"),
-    ("Production down, all users see a server error", "Critical", "the business stands still"),
-    ("My account was hacked and the password changed", "Critical", "an account is taken over"),
-    ("I was charged twice for the same order", "High", "money is owed"),
-    ("My parcel is delayed by 6 days and I need it today", "High", "late and urgent"),
-    ("I am locked out and cannot login before a deadline", "High", "access is blocked, time presses"),
-    ("The box came damaged but usable", "Medium", "a fault without haste"),
-    ("The page is slow and shows a glitch", "Medium", "a nuisance"),
-    ("My refund has not arrived yet", "Medium", "an open matter"),
-    ("How do I switch on dark mode?", "Low", "a question"),
-    ("What is the pricing of the plan? No rush.", "Low", "a question without haste"),
-    ("Where is the documentation?", "Low", "a question"),
-)
-
-
 def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
