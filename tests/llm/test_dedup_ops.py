@@ -299,3 +299,27 @@ def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(5, 5), (None, 3), (7, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, 7: 7, **{i: 7 for i in range(200, 260)}}
+
+
+def test_partitions_follow_the_input(spark, monkeypatch, tmp_path):
+    """Many more partitions than the session asks for, as large inputs get them: the same results."""
+    from triagelake.llm import common
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    run = lambda: [sorted(map(tuple, f(docs.select("doc_id", "text")).collect())) for f in (ngram_join.near_duplicates, lambda d: line_dedup.remove_lines(d, digest=True, exact_short=True), lambda d: substring_dedup.remove_repeats(d, digest=True))]
+    wanted = run()
+    assert common.partitions_for(docs) == common.partitions(spark) == 3
+    assert common.partitions_for(spark.createDataFrame([(1,)], "a int")) == 3
+    monkeypatch.setattr(common, "PARTITION_BYTES", int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 17)
+    assert common.partitions_for(docs) >= 17
+    assert run() == wanted
+
+
+def test_a_cluster_must_name_the_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from triagelake.llm import common
+
+    there = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(there, "x")

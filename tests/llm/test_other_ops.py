@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -102,6 +103,25 @@ def test_mined_rules_judge_the_rest(spark):
     assert [r.v for r in tokens.select(url_filter.by_mined(F.col("t"), mined).alias("v")).collect()] == ["block", None, None]
 
 
+def test_rules_from_given_labels_on_pages_held_out(spark):
+    """Spam by two combinations of tokens, labels of their own with a tenth of noise: rules from half of them are right on the other half."""
+    rng = random.Random(9)
+    pages = []
+    for i in range(800):
+        host, path = rng.choice(["shop", "news", "casino"]) + rng.choice([".org", ".io"]), rng.choice(["win", "post", "pills"])
+        spam = (host.startswith("casino") and path == "win") or (host.endswith(".io") and path == "pills")
+        told = spam != (rng.random() < 0.1)
+        pages.append((i, f"http://{host}/{path}/{i}", "block" if told else "allow", "block" if spam else "allow"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, verdict string, truth string")
+    labels = frame.where("page_id % 2 = 0").select("url", "verdict").unionByName(spark.createDataFrame([(None, "block"), ("http://x/", None)], "url string, verdict string"))
+    got = url_filter.judge(frame.where("page_id % 2 = 1").withColumn("explicit", F.lit(1)), RULES, labels=labels, min_support=0.02, min_confidence=0.75)
+    assert "explicit" in got.columns
+    rows = got.collect()
+    blocked = [r for r in rows if r.verdict == "block"]
+    assert sum(r.truth == "block" for r in blocked) / len(blocked) > 0.97 and len(blocked) / sum(r.truth == "block" for r in rows) > 0.97
+    assert url_filter.judge(frame.select("page_id", "url"), RULES, labels=labels.limit(0)).where("verdict = 'block'").count() == 0
+
+
 def brute_rules(rows, min_support, min_confidence, longest):
     """Rules by counting every set of tokens in every row, then dropping what a better rule with fewer tokens makes needless."""
     from itertools import combinations
@@ -303,6 +323,16 @@ def test_gradients():
             assert abs((up - down) / 2e-5 - g[at]) < 1e-7
 
 
+def test_every_language_is_learnt(spark):
+    """300 labels, one with most rows: each is a label of the network, with about as many documents as it may have."""
+    rows = [(i, f"l{i % 300:03}" if i % 2 else "common", f"{chr(0x4E00 + i % 300) * 3} w{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    net = langid.fit(docs, per_label=4, steps=2)
+    assert set(net.labels) == {r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    clash = docs.limit(3).withColumnsRenamed({"lang": "_text", "doc_id": "TEXT_to_judge"})
+    assert langid.identify(clash, net).columns == ["TEXT_to_judge", "_text", "text", "lang_pred", "score"] and langid.identify(clash, net).count() == 3
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = langid.fit(docs)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -12,7 +11,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.files import spread
+from ..sources.files import scratch, spread
 
 
 _INNER: ContextVar[str] = ContextVar("inner", default="")
@@ -32,14 +31,10 @@ def apart(tag: str) -> Iterator[str]:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share.
 
-    Only where that setting is absent (tests, a single machine) a local folder is made and set.
+    Only where that setting is absent a local session (tests, a single machine) gets a folder of its own; a cluster must name one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="triagelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
     inner = f"{_INNER.get()}/" if _INNER.get() else ""
-    return f"{base.rstrip('/')}/triagelake/{spark.sparkContext.applicationId}/{inner}{tag}-{uuid.uuid4().hex}"
+    return scratch(spark, f"{inner}{tag}")
 
 
 def clear_shared(spark: SparkSession, inner: str = "") -> None:
@@ -94,6 +89,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input, as its files hold it, for a partition of an exchange that a task takes into memory.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions_for(rows: DataFrame) -> int:
+    """Partitions for an exchange whose size follows from ``rows``: the session's setting, or more where they are many.
+
+    What a task holds is then bounded by ``PARTITION_BYTES`` of the input, whatever the setting; the size is the plan's own
+    estimate, which for files is what they hold. Results do not depend on the number.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # a frame made from local rows has no estimate
+    return max(partitions(rows.sparkSession), -(-size // PARTITION_BYTES) if known else 0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, dealt over the cores where it is one small file."""
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

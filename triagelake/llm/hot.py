@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NONE, Hot
-from .common import materialize, partitions
+from .common import materialize, partitions, partitions_for
 from .worker import release
 
 SAMPLE, SHARE = 64, 0.5
@@ -41,17 +41,17 @@ def _counted(batches: Iterator[pa.RecordBatch], tokens_of: Callable[[list], np.n
 def share_of(texts: DataFrame) -> float:
     """The share of ``texts`` to sample: about ``SAMPLE`` a partition, all if there are fewer."""
     total = texts.count()
-    return min(1.0, SAMPLE * partitions(texts.sparkSession) / total) if total else 0.0
+    return min(1.0, SAMPLE * partitions_for(texts) / total) if total else 0.0
 
 
-def find(units: DataFrame, tokens_of: Callable[[list], np.ndarray], distinct: bool = False) -> Hot:
+def find(units: DataFrame, tokens_of: Callable[[list], np.ndarray], distinct: bool = False, parts: int = 0) -> Hot:
     """The hot tokens by sampled ``units`` (one column); ``tokens_of`` gives the 64-bit tokens of a list of units, each unit's own once.
 
-    ``distinct``: equal units post their tokens once, so they count once.
+    ``distinct``: equal units post their tokens once, so they count once. ``parts``: of the exchange; the session's setting.
     """
     seen = materialize((units.distinct() if distinct else units).mapInArrow(partial(_counted, tokens_of=tokens_of), "token long, n long, units long"), "token-counts")
     postings, sampled = (x or 0 for x in seen.agg(F.sum("n"), F.sum("units")).first())
-    least = max(LEAST, SHARE * postings / partitions(units.sparkSession))
+    least = max(LEAST, SHARE * postings / (parts or partitions(units.sparkSession)))
     if least > sampled:  # no token stands in so many units
         return NONE
     rows = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()  # at most parts / SHARE
@@ -63,4 +63,4 @@ def find_in(texts: DataFrame, tokens_of: Callable[[list], np.ndarray], distinct:
     share = share_of(texts)
     if not share:
         return NONE
-    return find(texts.sample(False, share, seed=20) if share < 1 else texts, tokens_of, distinct)
+    return find(texts.sample(False, share, seed=20) if share < 1 else texts, tokens_of, distinct, partitions_for(texts))

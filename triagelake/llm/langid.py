@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
 from .tokenize import batches
 from .worker import held
 
@@ -146,11 +147,12 @@ def train(texts: list[tuple[str, list[bytes]]], width: int = 16, steps: int = 50
     labels = sorted({label for label, some in texts if some})
     if not labels:
         return None
+    number = {label: i for i, label in enumerate(labels)}
     pools: dict[int, tuple[list[bytes], list[int]]] = defaultdict(lambda: ([], []))
     for label, some in texts:
         for s in some:
             pools[len(s)][0].append(s)
-            pools[len(s)][1].append(labels.index(label))
+            pools[len(s)][1].append(number[label])
     lengths = sorted(pools)
     x = {n: np.frombuffer(b"".join(pools[n][0]), np.uint8).reshape(-1, n) for n in lengths}
     y = {n: np.array(pools[n][1]) for n in lengths}
@@ -233,29 +235,28 @@ def _some_segments(rows: Iterator[pa.RecordBatch], per_document: int) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "lang", "segments"])
 
 
-def fit(docs: DataFrame, per_label: int = 400, per_document: int = 64, labels: int = 256) -> Network | None:
-    """Train on a bounded sample: of each label, the ``labels`` commonest at most, about ``per_label`` documents that are
-    not held out, chosen by a hash of their id, and of each ``per_document`` segments spread evenly over its whole text.
+def fit(docs: DataFrame, per_label: int = 400, per_document: int = 64, steps: int = 500) -> Network | None:
+    """Train on a bounded sample: of each label about ``per_label`` documents that are not held out, chosen by a hash of
+    their id, and of each ``per_document`` segments spread evenly over its whole text. Every label is learnt.
 
     Texts and labels alone reach the network. None if no document has both.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # the network's labels
     if not counts:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_label / n)).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) < share * (1 << 20))
+    # Of 2**62 hashes, so that a share is met however many documents a label has.
+    least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, (1 << 62) * per_label // max(per_label, n))])
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 62)) < F.element_at(least, F.col("lang")))
     rows = drawn.select("doc_id", "lang", "text").mapInArrow(partial(_some_segments, per_document=per_document), "doc_id long, lang string, segments binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.segments)))
-    return train([(r.lang, bytes(r.segments).split()) for r in rows])
+    return train([(r.lang, bytes(r.segments).split()) for r in rows], steps=steps)
 
 
 def _identify(rows: Iterator[pa.RecordBatch], net: Network | None, keep: list[str], key: int) -> Iterator[pa.RecordBatch]:
     labeller = held(("labeller", key), lambda: Labeller(net)) if net is not None else None
     for batch in rows:
-        texts = batch.column("_text").to_pylist()
+        texts = batch.column(len(keep)).to_pylist()
         found: list[tuple[str, float]] = []
         for some in batches(texts, 2_000_000):
             found += labeller.documents(texts[some]) if labeller else [(UNKNOWN, 0.0)] * len(texts[some])
@@ -272,4 +273,4 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([*[f for f in docs.schema.fields if f.name in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     key = hash(b"".join(w.tobytes() for w in net.weights())) if net else 0
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(partial(_identify, net=net, keep=keep, key=key), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(free_name(docs, "text_to_judge"))).mapInArrow(partial(_identify, net=net, keep=keep, key=key), schema)

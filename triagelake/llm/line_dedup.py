@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import blocks, rows
 from .blocks import Hot, dealt, places
-from .common import materialize, partitions
+from .common import materialize, partitions_for
 from .hot import find, share_of
 from .ngram_join import entry_links, sketch
 from .words import BASE, _powers, mix, runs
@@ -332,12 +332,12 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_sho
     ``first_doc`` and ``first_line`` name the class by its first occurrence; lines alone in their class are left out.
     With ``exact_short`` shorter lines are there too, in classes of equal lines; they index and probe nothing.
     """
-    parts = partitions(docs.sparkSession)
+    parts = partitions_for(docs)
     texts = docs.select("doc_id", "text")
     place = partial(_occurrences, min_chars=min_chars, exact_short=exact_short, share=share_of(docs))
     seen = materialize(texts.mapInArrow(place, "set_id long, doc_id long, line int, unit binary"), "lines")
     # Entries of so many different lines that their postings are dealt by line, too.
-    hot = find(seen.where("unit is not null").select("unit"), partial(all_entries, edits=edits), distinct=True)
+    hot = find(seen.where("unit is not null").select("unit"), partial(all_entries, edits=edits), distinct=True, parts=parts)
     seen = seen.where("set_id is not null").select("set_id", "doc_id", "line")
     posted = texts.where("doc_id is not null").select("text").mapInArrow(partial(_entry_postings, min_chars=min_chars, edits=edits, parts=parts, hot=hot), blocks.SCHEMA)
     entries = _settled(materialize(blocks.exchange(posted, parts).mapInArrow(partial(_met, hot=hot), "set_id long, entry long, kind byte"), "met"), hot)
@@ -366,7 +366,7 @@ def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, digest: b
     one doc_id are alike in place, so neither is the earlier; a null doc_id keeps all its lines. Columns named n_lines,
     n_cut are replaced; others pass through. An empty table gives no rows.
     """
-    parts = partitions(docs.sparkSession)
+    parts = partitions_for(docs)
     later = line_classes(docs, edits, min_chars, exact_short).where("first_doc < doc_id or (first_doc = doc_id and first_line < line)")
     later = materialize(later.select("doc_id", "line", "set_id"), "later-lines")
     keep = ["doc_id"] if digest else [c for c in docs.columns if c not in ("n_lines", "n_cut")]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import Hot, places
-from .common import drop_written, materialize, partitions
+from .common import drop_written, materialize, partitions, partitions_for
 from .graph import connected_components
 from .hot import find_in
 from .words import hash_words, mix, runs, whole
@@ -463,7 +463,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     that repeat are rows; a null doc_id is no smallest one unless alone. Other columns do not matter.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions_for(docs)
     members = materialize(docs.select("doc_id", "text").mapInArrow(partial(_members, k=k), "doc_id long, set_id long, n_shingles long"), "members")
     least = next(n for n in range(1, 10_000) if may_lack(n, percent) or may_lack(n + 1, percent))
     texts = docs.select("text")

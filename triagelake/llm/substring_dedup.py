@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import blocks, rows
 from .blocks import Hot, places
-from .common import materialize, partitions
+from .common import materialize, partitions_for
 from .hot import find_in
 from .words import hash_words, runs
 from .worker import release
@@ -201,7 +201,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, digest: bool = False) -> D
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
-    parts = partitions(docs.sparkSession)
+    parts = partitions_for(docs)
     keep = ["doc_id"] if digest else [c for c in docs.columns if c not in ("n_words", "n_removed")]
     texts = docs.select("doc_id", "text")
     call = lambda f, df, **more: df.mapInArrow(partial(f, parts=parts, **more), blocks.SCHEMA)

@@ -21,6 +21,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LABEL = "verdict="
@@ -189,16 +191,21 @@ def by_mined(tokens: Column, mined: Sequence[Mined]) -> Column:
     return F.when(F.size(fitting) > 0, F.element_at(verdicts, F.array_min(fitting)))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", **thresholds: float) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", labels: DataFrame | None = None, **thresholds: float) -> DataFrame:
     """``pages`` with host, path, rule and verdict; columns of those names are replaced.
 
-    The URLs that an explicit rule judges are the labels that the mined rules learn from, by tokens that do not restate
-    the rules (:func:`evidence`); these judge the rest, and ``default`` where none fits. Null and shapeless URLs have an empty host and path. Repeated rows are judged each.
+    Explicit rules judge the URLs they fit, mined rules the rest, and ``default`` where none fits. The mined ones learn from ``labels``
+    (url, verdict) where there are any, repeated ones each; else the URLs that an explicit rule judges are the labels, by tokens
+    that do not restate the rules (:func:`evidence`). Null and shapeless URLs have an empty host and path. Repeated rows are judged each.
     """
     rows = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = rows.withColumn("_e", explicit(F.col("host"), F.col("path"), rules))
+    e = free_name(rows, "explicit")
+    rows = rows.withColumn(e, explicit(F.col("host"), F.col("path"), rules))
     tokens = tokens_of(F.col("url"), F.col("host"), F.col("path"))
-    judged = rows.where("_e is not null").select(tokens.alias("tokens"), F.col("_e.rule").alias("rule"), F.col("_e.verdict").alias("verdict"))
-    mined = mine(evidence(judged, rules, thresholds.get("min_support", 0.005)), **thresholds)
-    verdict = F.coalesce("_e.verdict", by_mined(tokens, mined), F.lit(default))
-    return rows.withColumns({"rule": F.col("_e.rule"), "verdict": verdict}).drop("_e")
+    if labels is None:
+        judged = rows.where(F.col(e).isNotNull()).select(tokens.alias("tokens"), F.col(f"{e}.rule").alias("rule"), F.col(f"{e}.verdict").alias("verdict"))
+        taught = evidence(judged, rules, thresholds.get("min_support", 0.005))
+    else:
+        taught = labels.select(tokens_of(F.col("url"), host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "verdict")
+    verdict = F.coalesce(f"{e}.verdict", by_mined(tokens, mine(taught, **thresholds)), F.lit(default))
+    return rows.withColumns({"rule": F.col(f"{e}.rule"), "verdict": verdict}).drop(e)
