@@ -264,3 +264,39 @@ def test_numbers_of_rows_that_repeat(spark):
 
     got = {r.kind: r.n for r in profile.surplus(spark.createDataFrame(rows, "p string, q string"), ("p", "q")).collect()}
     assert got == {"row": 30 - len(set(rows)), "p": 28, "q": 28}
+
+
+def test_tasks_do_not_carry_the_weights(spark):
+    """What is pickled with a step is as small for many terms as for few; the gradient equals one counted problem by problem."""
+    import pyarrow as pa
+    from pyspark.serializers import CloudPickleSerializer
+
+    sizes = []
+    for terms in (10, 200_000):
+        with machines.sent(spark.range(1), np.zeros((terms + 1, 20))) as (there,):
+            sizes.append(len(CloudPickleSerializer().dumps(machines.partial(machines._pass, sent_w=there, classes=4, folds=5))))
+            spark.sparkContext._pickled_broadcast_vars.clear()
+    assert sizes[0] == sizes[1] < 10_000
+    rng = np.random.default_rng(5)
+    n, terms, classes, folds = 200, 30, 3, 2
+    at = [sorted(rng.choice(terms, rng.integers(0, 8), replace=False).tolist()) for _ in range(n)]
+    v = [rng.random(len(a)).tolist() for a in at]
+    label, fold, weight = rng.integers(0, classes, n), rng.integers(0, folds, n), rng.random(n)
+    w = rng.normal(size=(terms + 1, classes * folds))
+
+    class There:
+        value = w
+
+    batch = pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64())), pa.array(label.astype(np.int32)), pa.array(fold.astype(np.int32)), pa.array(weight)], ["at", "v", "label", "fold", "weight"])
+    found = next(machines._pass(iter([batch]), There, classes, folds))
+    gradient = np.frombuffer(found.column("gradient")[0].as_py()).reshape(w.shape)
+    wanted, loss = np.zeros_like(w), np.zeros(classes * folds)
+    for i in range(n):
+        for p in range(classes * folds):
+            y, x = (1 if label[i] == p // folds else -1), np.zeros(terms + 1)
+            x[at[i]], x[-1] = v[i], 1
+            gap = max(0, 1 - y * (x @ w[:, p]))
+            if fold[i] != p % folds:
+                wanted[:, p] += -2 * weight[i] * y * gap * x
+                loss[p] += weight[i] * gap * gap
+    assert np.allclose(gradient, wanted) and np.allclose(np.frombuffer(found.column("loss")[0].as_py()), loss)

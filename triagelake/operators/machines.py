@@ -9,10 +9,12 @@ A sigmoid for each problem is fitted to the margins of the rows that it has not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,17 @@ AT_ONCE = 64
 MEMORY = 8
 
 
+@contextmanager
+def sent(rows: DataFrame, *arrays: np.ndarray) -> Iterator[list[Broadcast]]:
+    """``arrays`` as broadcast variables for one step's jobs: executors share a copy, tasks do not carry them, and all are released after."""
+    out = [rows.sparkSession.sparkContext.broadcast(a) for a in arrays]
+    try:
+        yield out
+    finally:
+        for b in out:
+            b.destroy()
+
+
 def _flat(column: pa.ListArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column, and where each row's begin and end."""
     ends = column.offsets.to_numpy().astype(np.int64)
@@ -42,8 +55,9 @@ def _targets(batch: pa.RecordBatch, classes: int, folds: int) -> tuple[np.ndarra
     return np.where(label[:, None] == problem // folds, 1.0, -1.0), fold[:, None] == problem % folds
 
 
-def _pass(batches: Iterator[pa.RecordBatch], w: np.ndarray, classes: int, folds: int) -> Iterator[pa.RecordBatch]:
+def _pass(batches: Iterator[pa.RecordBatch], sent_w: Broadcast, classes: int, folds: int) -> Iterator[pa.RecordBatch]:
     """Sums over rows of the squared hinge losses and of their gradients."""
+    w = sent_w.value
     loss, gradient = np.zeros(w.shape[1]), np.zeros_like(w)
     for batch in batches:
         for start in range(0, batch.num_rows, 20_000):
@@ -56,8 +70,10 @@ def _pass(batches: Iterator[pa.RecordBatch], w: np.ndarray, classes: int, folds:
             loss += (each * gap * gap).sum(0)
             slope = -2 * each * y * gap
             rows = np.repeat(np.arange(part.num_rows), np.diff(ends))
-            for p in range(w.shape[1]):
-                gradient[:-1, p] += np.bincount(at, v * slope[rows, p], len(w) - 1)
+            if len(at):
+                order = np.argsort(at, kind="stable")
+                cuts = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+                gradient[at[order][cuts]] += np.add.reduceat((v[:, None] * slope[rows])[order], cuts, axis=0)
             gradient[-1] += slope.sum(0)
     yield pa.RecordBatch.from_arrays([pa.array([loss.tobytes()]), pa.array([gradient.tobytes()])], ["loss", "gradient"])
 
@@ -106,7 +122,8 @@ def fit_margins(rows: DataFrame, size: int, classes: int, folds: int, parts: int
     w = np.zeros((size + 1, k))
 
     def at(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        loss, gradient = summed(rows, partial(_pass, w=w, classes=classes, folds=folds), ["loss", "gradient"], parts)
+        with sent(rows, w) as (there,):
+            loss, gradient = summed(rows, partial(_pass, sent_w=there, classes=classes, folds=folds), ["loss", "gradient"], parts)
         return 0.5 * (w * w).sum(0) + c * loss, w + c * gradient.reshape(w.shape)
 
     value, g = at(w)
@@ -138,8 +155,9 @@ def fit_margins(rows: DataFrame, size: int, classes: int, folds: int, parts: int
     return w
 
 
-def _platt(batches: Iterator[pa.RecordBatch], w: np.ndarray, ab: np.ndarray, targets: np.ndarray, classes: int, folds: int) -> Iterator[pa.RecordBatch]:
+def _platt(batches: Iterator[pa.RecordBatch], sent_w: Broadcast, ab: np.ndarray, targets: np.ndarray, classes: int, folds: int) -> Iterator[pa.RecordBatch]:
     """Sums over held-out rows: counts, loss, slope by a and b, and the curvatures aa, ab, bb, for each problem."""
+    w = sent_w.value
     total = np.zeros((8, w.shape[1]))
     for batch in batches:
         for start in range(0, batch.num_rows, 20_000):
@@ -163,10 +181,13 @@ def fit_sigmoids(rows: DataFrame, w: np.ndarray, classes: int, folds: int, parts
 
     Targets are drawn in from 0 and 1 by the counts of both sides, as in Platt's method.
     """
-    k = w.shape[1]
+    with sent(rows, w) as (there,):
+        return _fit_sigmoids(rows, there, w.shape[1], classes, folds, parts, max_iter)
+
 
+def _fit_sigmoids(rows: DataFrame, there: Broadcast, k: int, classes: int, folds: int, parts: int, max_iter: int) -> np.ndarray:
     def at(ab: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        return summed(rows, partial(_platt, w=w, ab=ab, targets=targets, classes=classes, folds=folds), ["total"], parts)[0].reshape(8, k)
+        return summed(rows, partial(_platt, sent_w=there, ab=ab, targets=targets, classes=classes, folds=folds), ["total"], parts)[0].reshape(8, k)
 
     yes, no = at(np.zeros((2, k)), np.zeros((2, k)))[:2]
     targets = np.stack([(yes + 1) / (yes + 2), 1 / (no + 2)])
@@ -199,11 +220,11 @@ def probabilities(f: np.ndarray, ab: np.ndarray, classes: int, folds: int) -> np
     return np.where(total > 0, p / np.where(total > 0, total, 1), 1 / classes).mean(2)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], w: np.ndarray, ab: np.ndarray, classes: int, folds: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], sent_w: Broadcast, ab: np.ndarray, classes: int, folds: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, ends = _flat(batch.column("_at"), np.int64)
         v, _ = _flat(batch.column("_v"), np.float64)
-        p = probabilities(margins(at, v, ends, w), ab, classes, folds)
+        p = probabilities(margins(at, v, ends, sent_w.value), ab, classes, folds)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p.tolist(), pa.list_(pa.float64()))], [*keep, "probability"])
 
 
@@ -215,4 +236,5 @@ def score(rows: DataFrame, features: str, w: np.ndarray, ab: np.ndarray, classes
     vector = F.unwrap_udt(features)
     wide = rows.select(*keep, vector["indices"].alias("_at"), vector["values"].alias("_v"))
     schema = T.StructType([*(f for f in rows.schema.fields if f.name in keep), T.StructField("probability", T.ArrayType(T.DoubleType()))])
-    return wide.mapInArrow(partial(_scored, w=w, ab=ab, classes=classes, folds=folds, keep=keep), schema)
+    there = rows.sparkSession.sparkContext.broadcast(w)  # released with the plan that holds it
+    return wide.mapInArrow(partial(_scored, sent_w=there, ab=ab, classes=classes, folds=folds, keep=keep), schema)

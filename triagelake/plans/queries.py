@@ -246,7 +246,7 @@ def dataset_version(spark, d):
 
 @query
 def pairwise_leakage(spark, d):
-    rows = S.raw_tickets(spark, d).select(F.concat(F.lit("set"), (F.col("row_ord") % 3).cast("string")).alias("set_name"), "ticket_text")
+    rows = S.raw_tickets(spark, d, dealt=False).select(F.concat(F.lit("set"), (F.col("row_ord") % 3).cast("string")).alias("set_name"), "ticket_text")
     return prepare.pair_overlaps(rows)
 
 
@@ -258,27 +258,27 @@ def benchmark_leakage(spark, d):
 
 @query
 def category_counts(spark, d):
-    return S.tickets(spark, d).groupBy("category").agg(F.count("*").alias("n"))
+    return S.tickets(spark, d, dealt=False).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query
 def priority_share(spark, d):
-    return profile.shares(S.tickets(spark, d), "priority")
+    return profile.shares(S.tickets(spark, d, dealt=False), "priority")
 
 
 @query
 def cat_pri_crosstab(spark, d):
-    return profile.crosstab(S.tickets(spark, d), "category", "priority", fixed.PRIORITIES)
+    return profile.crosstab(S.tickets(spark, d, dealt=False), "category", "priority", fixed.PRIORITIES)
 
 
 @query
 def crosstab_margins(spark, d):
-    return profile.margins(S.tickets(spark, d), "category", "priority")
+    return profile.margins(S.tickets(spark, d, dealt=False), "category", "priority")
 
 
 @query
 def zero_filled_grid(spark, d):
-    return profile.grid(S.tickets(spark, d), "category", fixed.CATEGORIES, "priority", fixed.PRIORITIES)
+    return profile.grid(S.tickets(spark, d, dealt=False), "category", fixed.CATEGORIES, "priority", fixed.PRIORITIES)
 
 
 @query
@@ -288,7 +288,7 @@ def keyword_profile(spark, d):
 
 @query
 def dominant_priority(spark, d):
-    return S.tickets(spark, d).groupBy("category").agg(F.mode("priority", deterministic=True).alias("priority"))
+    return S.tickets(spark, d, dealt=False).groupBy("category").agg(F.mode("priority", deterministic=True).alias("priority"))
 
 
 @query
@@ -309,12 +309,12 @@ def stratification_drift(spark, d):
 
 @query
 def longest_ticket(spark, d):
-    return profile.extremes(S.tickets(spark, d), "ticket_text", "row_ord")
+    return profile.extremes(S.tickets(spark, d, dealt=False), "ticket_text", "row_ord")
 
 
 @query
 def null_profile(spark, d):
-    rows = S.raw_tickets(spark, d)
+    rows = S.raw_tickets(spark, d, dealt=False)
     return rows.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in S.RAW_COLUMNS])
 
 
@@ -326,7 +326,7 @@ def sample_heads(spark, d):
 
 @query
 def invalid_values_except(spark, d):
-    return S.raw_tickets(spark, d).select("category").subtract(spark.createDataFrame([(c,) for c in fixed.CATEGORIES], "category string"))
+    return S.raw_tickets(spark, d, dealt=False).select("category").subtract(spark.createDataFrame([(c,) for c in fixed.CATEGORIES], "category string"))
 
 
 @query
@@ -403,7 +403,7 @@ def promotion_gate(spark, d):
 
 @query
 def class_weights(spark, d):
-    return evaluate.balanced_weights(S.tickets(spark, d), "priority")
+    return evaluate.balanced_weights(S.tickets(spark, d, dealt=False), "priority")
 
 
 @query

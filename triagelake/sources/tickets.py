@@ -47,8 +47,11 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
-def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as raw tickets with blemishes: null and blank texts, unknown and oddly written domains."""
+def raw_tickets(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """Orders as raw tickets with blemishes: null and blank texts, unknown and oddly written domains.
+
+    ``dealt``: over all cores, where the file has fewer row groups; worth its shuffle where a text kernel follows.
+    """
     key = F.col("o_orderkey")
     which = key % len(TEMPLATES)
     text = X.fill(_pick(tuple(t for _, t in TEMPLATES), which), id=key.cast("string"))
@@ -56,7 +59,7 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.substring("o_orderpriority", 1, 1)
     priority = F.when(level == "1", "Critical").when(level == "2", "High").when(level == "5", "Low").otherwise("Medium")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderstatus")
-    return files.spread(orders, "o_orderkey").select(
+    return (files.spread(orders, "o_orderkey") if dealt else orders).select(
         F.concat(F.lit("TICK-"), key.cast("string")).alias("ticket_id"),
         F.when(key % 97 == 0, F.lit(None)).when(key % 89 == 0, "   ").when(key % 11 == 0, F.concat(F.lit("  "), text)).otherwise(text).alias("ticket_text"),
         F.when(key % 83 == 0, "Unknown").when(F.col("o_custkey") % 5 == 0, F.upper(category)).otherwise(category).alias("category"),
@@ -68,9 +71,9 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tickets(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     """The raw tickets that are sound, with domains written as they are listed."""
-    rows = raw_tickets(spark, sf_dir)
+    rows = raw_tickets(spark, sf_dir, dealt)
     return (
         rows.withColumns({"ticket_text": F.trim("ticket_text"), "category": X.title(F.col("category"), fixed.CATEGORIES)})
         .where("ticket_text is not null and ticket_text <> '' and category is not null and priority is not null")
@@ -98,7 +101,7 @@ def store_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets as the store keeps them, most with an agent; some have one confidence alone, some none."""
     key = F.col("row_ord")
     sure = (key * 37 % 10000) / F.lit(100.0)
-    return tickets(spark, sf_dir).select(
+    return tickets(spark, sf_dir, dealt=False).select(
         key.alias("id"), "ticket_id", "ticket_text", "category", "priority", "department", "created_at",
         F.when(key % 4 == 0, F.lit(None).cast("long")).otherwise(key % 20 + 1).alias("assigned_agent_id"),
         F.when(key % 9 != 0, sure).alias("confidence"), F.when(key % 3 != 0, sure).alias("category_confidence"), F.when(key % 5 != 0, sure / 2).alias("priority_confidence"),
