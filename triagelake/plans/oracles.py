@@ -281,7 +281,7 @@ select item_id, count(distinct doc_id) as documents from dw join bw using (n, ru
 
 def oracle_sql() -> dict[str, str]:
     """Name -> SQL; queries without an entry have no equivalent in SQL."""
-    from .service_oracles import service
+    from .service_oracles import reports, service
 
     sig = ", ".join(f"{_signal('ticket_text', s)} as {s}" for s in fixed.SIGNALS)
     told = f"array_to_string(list_filter([{', '.join(_REASONS[n] for n, _ in fixed.REASONS)}], lambda x: x is not null), ', ')"
@@ -294,7 +294,7 @@ def oracle_sql() -> dict[str, str]:
  picked as (select ticket_id, min_by(a, md5(ticket_id || '|' || a)) as agent_id from pairs group by ticket_id),
  out_ as (select o.ticket_id, o.department, p.agent_id::bigint as agent_id, case when p.agent_id is null then 409 else 200 end as status from open_ o left join picked p using (ticket_id)) """
     hist = lambda c: f"(select string_agg({c} || '=' || n, ', ' order by {c} || '=' || n) from (select {c}, count(*) as n from dense group by {c})) as {c}_distribution"
-    return {
+    known = {
         "dept_priority_counts": t + f"select department, priority, count(*) as n, round(avg({_signal('ticket_text', 'urgency')}), 6) as mean_urgency from tickets group by 1, 2",
         "clean_text_docs": f"select doc_id, {_clean('text')} as cleaned from documents",
         "clean_html_pages": f"select page_id, {_clean('concat_ws(chr(32), url, html)')} as cleaned from pages",
@@ -385,3 +385,4 @@ def oracle_sql() -> dict[str, str]:
         "nb_train": _BAYES + " select label, term, round(logp, 6) as logp from likelihood",
         "nb_predict": _BAYES + ", s as (select ticket_id, label, sum(weight * logp) as s from weighted join likelihood using (term) where ticket_id not in (select ticket_id from train) group by 1, 2) select ticket_id, label as prediction from s join priors using (label) qualify row_number() over (partition by ticket_id order by round(s + prior, 9) desc, label) = 1",
     } | service()
+    return known | reports(known)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as X
-from ..operators import evaluate, prepare, profile, store
+from ..operators import evaluate, ingest, prepare, profile, reports, store
 from ..sources import tickets as S
-from .queries import _predicted, query
+from .queries import _dense, _judged, _predicted, query
 
 #: Saved metrics as a training run leaves them; the best model for priority has none.
 METRICS = {"best_category_model": "Logistic Regression", "category_metrics": {"Logistic Regression": {"accuracy": 0.9787}}, "best_priority_model": "Naive Bayes", "priority_metrics": {}}
@@ -176,3 +176,34 @@ def scenario_accuracy(spark, d):
     rows = rows.withColumns({"triggers": X.rule_priority(F.col("text"), F.lit("Medium"), F.lit("")), "signals": by_signal})
     return evaluate.scenario_accuracy(rows, "expected", ("triggers", "signals"))
 
+
+@query
+def diversity_report(spark, d):
+    """Lengths, vocabulary, languages and keywords of all tickets."""
+    return reports.diversity(S.tickets(spark, d))
+
+
+@query
+def validation_report(spark, d):
+    """How many incoming tickets pass, and how many miss each rule."""
+    return reports.validation(ingest.validate(S.incoming(spark, d)))
+
+
+@query
+def version_report(spark, d):
+    """Sizes, distributions and splits of the dataset."""
+    dense = _dense(spark, d)
+    return reports.version(S.raw_tickets(spark, d), dense, prepare.with_split(dense))
+
+
+@query
+def comparison_report(spark, d):
+    """Measures of two rules for priority, and the better one."""
+    rows = _judged(spark, d).withColumn("always", F.lit("Medium"))
+    found = None
+    for i, model in enumerate(("predicted", "always")):
+        told = evaluate.averages(rows, "priority", model)
+        flat = told.select(F.lit("priority").alias("target"), F.lit(model).alias("model"), F.lit(i).alias("ord"), *[c for c in told.columns])
+        found = flat if found is None else found.unionByName(flat)
+    best = evaluate.best(found, "target", "weighted_f1", "ord").select("target", "model")
+    return reports.models(found, best)

@@ -61,6 +61,43 @@ def _rule_signal() -> tuple[str, str]:
     return O._rule("text", O._s("Medium"), O._s("")), "greatest(" + ", ".join(O._signal("text", s) for s in fixed.SIGNALS) + ")"
 
 
+def _row(section: str, sql: str, columns) -> str:  # noqa: ANN001
+    """A single row's columns as (section, name, value)."""
+    names, values = ", ".join(map(O._s, columns)), ", ".join(f"{c}::double" for c in columns)
+    return f"select '{section}' as section, unnest([{names}]) as name, unnest([{values}]) as value from ({sql})"
+
+
+def _counted(section: str, source: str, name: str) -> str:
+    return f"select '{section}' as section, coalesce({name}, 'none') as name, count(*)::double as value from {source} group by 2"
+
+
+def reports(known: dict[str, str]) -> dict[str, str]:
+    """The reports' sections from the SQL of single queries."""
+    length = [f"{m}_{c}" for c in ("words", "chars") for m in ("mean", "min", "max", "median")]
+    language = f"case when {O._any('lower(ticket_text)', fixed.HINGLISH_PARTS)} then 'hinglish' when {O._any('lower(ticket_text)', fixed.GUJARATI_PARTS)} then 'gujarati' else 'english' end"
+    top = O._top(f"select category, unnest({O._TOKENS}) as term from tickets", "category", 5)
+    vocabulary = known["vocab_ttr"].replace("coalesce(text, '')", "coalesce(ticket_text, '')").replace("from documents", "from tickets")
+    parts = [_row("length", known["length_stats"], length), _row("buckets", known["length_buckets"], ("short", "medium", "long")), _row("vocabulary", f"with {O.TICKETS} {vocabulary}", ("total_tokens", "unique_tokens", "ttr"))]
+    parts += [f"select * from (with {O.TICKETS} {_counted('language', 'tickets', language)})", f"select 'keywords' as section, category || ': ' || term as name, n::double as value from (with {O.TICKETS} {top})"]
+    told = f"with {O.INCOMING}, told as (select {O._reasons()} as r from incoming), each_ as (select regexp_replace(unnest(r), '[ ]?[''(:].*', '') as reason from told)"
+    passed = "case when len(r) = 0 then 'approved' else 'rejected' end"
+    checks = f"{told} select 'rows' as section, 'total' as name, count(*)::double as value from told union all {_counted('rows', 'told', passed)} union all {_counted('reasons', 'each_', 'reason')}"
+    sizes = ["select 'sizes', 'raw', count(*)::double from raw", "select 'sizes', 'cleaned', count(*)::double from dense", "select 'sizes', 'unique', count(distinct ticket_text)::double from dense"]
+    shared = lambda a, b: " union all ".join(
+        f"select 'shared by {a} and {b}', 'shared_{k}', count(*)::double from (select {v} from marked where split = '{a}' intersect select {v} from marked where split = '{b}')" for k, v in (("patterns", "pattern"), ("texts", "ticket_text"), ("normal", "lower(trim(ticket_text))"))
+    )
+    version = f"with {O.DENSE}, {O._SPLITS} select 'split' as section, split as name, count(*)::double as value from marked group by split union all " + " union all ".join(
+        [*sizes, *[f"select '{c}', coalesce({c}, 'none'), count(*)::double from dense group by 2" for c in ("source", "category", "priority")], *[shared(a, b) for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))]]
+    )
+    measures = [f"{k}_{m}" for k in ("macro", "weighted") for m in ("precision", "recall", "f1")]
+    always = known["macro_weighted"].replace(O._rule("ticket_text", O._s("Medium"), O._s("")) + " as predicted", "'Medium' as predicted")
+    told_by = lambda model, sql: f"select '{model}' as model, * from ({sql})"
+    both = f"{told_by('predicted', known['macro_weighted'])} union all by name {told_by('always', always)}"
+    names = ", ".join(f"'{m}'" for m in measures)
+    compared = f"with both_ as ({both}) select 'models for priority' as section, model || ': ' || unnest([{names}]) as name, unnest([{', '.join(m + '::double' for m in measures)}]) as value from both_ union all select 'best model for priority', model, 1.0::double from (select model from both_ order by weighted_f1 desc, model = 'always' limit 1)"
+    return {"diversity_report": " union all ".join(parts), "validation_report": checks, "version_report": version, "comparison_report": compared}
+
+
 def service() -> dict[str, str]:
     """Name -> SQL."""
     rule, top = _rule_signal()
