@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as X
 from ..operators import evaluate, ingest, prepare, profile, reports, store
+from ..sources import files
 from ..sources import tickets as S
 from .queries import _dense, _judged, _predicted, query
 
@@ -207,3 +208,66 @@ def comparison_report(spark, d):
         found = flat if found is None else found.unionByName(flat)
     best = evaluate.best(found, "target", "weighted_f1", "ord").select("target", "model")
     return reports.models(found, best)
+
+
+@query
+def csv_round_trip(spark, d):
+    """All raw tickets, written as CSV and read again."""
+    path = files.scratch(spark, "csv")
+    files.write_csv(S.require(S.raw_tickets(spark, d)), path)
+    return S.read_csv(spark, path)
+
+
+@query
+def optional_sources(spark, d):
+    """Tickets of the files that there are, of three that may be, each with its source filled in."""
+    path, rows = files.scratch(spark, "sources"), S.raw_tickets(spark, d)
+    for source in ("manual", "external"):
+        given = rows.where(F.col("source") == source)
+        files.write_csv(S.keep_known(given, ("ticket_id", "ticket_text", "category", "priority", "absent")), f"{path}/{source}")
+    schema = "ticket_id string, ticket_text string, category string, priority string"
+    return S.read_available(spark, {f"{path}/{s}": s for s in ("synthetic", "manual", "external")}, schema)
+
+
+@query
+def routed_ingest(spark, d):
+    """Rows and distinct texts at each place that incoming tickets are routed to, and in the dataset that the accepted ones are added to."""
+    path, old = files.scratch(spark, "routed"), S.raw_tickets(spark, d).where("status = 'F'").where("ticket_text is not null")
+    decided = files.written(ingest.accept(S.incoming(spark, d).where("status <> 'F'"), S.raw_tickets(spark, d).where("status = 'F'")), "decided")
+    ingest.write_routed(decided, path)
+    ingest.append_first(old.select("ticket_text", "row_ord"), decided.where("validation_status = 'approved'").select("ticket_text", "row_ord"), f"{path}/dataset")
+    count = lambda place: spark.read.parquet(f"{path}/{place}").agg(F.lit(place).alias("place"), F.count("*").alias("n"), F.countDistinct("ticket_text").alias("texts"))
+    return reports.together(*map(count, (*ingest.PLACES, "dataset")))
+
+
+@query
+def bootstrap_tickets(spark, d):
+    """What an empty store starts with: the records of the first 25 tickets, labelled by rule."""
+    sure = F.lit(90.0)
+    predict = lambda rows: rows.withColumns({"priority": X.rule_priority(F.col("ticket_text"), F.lit("Medium"), F.lit("")), "confidence": sure, "category_confidence": F.when(F.col("row_ord") % 2 == 0, sure), "priority_confidence": F.lit(None).cast("double")})
+    rows = S.tickets(spark, d)
+    return store.bootstrap(rows, S.store_tickets(spark, d).limit(0), predict, "row_ord")
+
+
+@query
+def json_metrics(spark, d):
+    """Counts by category and priority, kept in one JSON document key by key and read again."""
+    path, rows = f"{files.scratch(spark, 'json')}/metrics.json", S.tickets(spark, d, dealt=False)
+    for column in ("category", "priority"):
+        files.merge_json(spark, path, column, {r[column]: r.n for r in rows.groupBy(column).agg(F.count("*").alias("n")).collect()})  # a few values
+    kept = files.read_json(spark, path)
+    return spark.createDataFrame([(k, name, n) for k, counts in kept.items() for name, n in counts.items()], "field string, name string, n long")
+
+
+@query
+def store_replay(spark, d):
+    """Tickets that a store holds after events before and after a compaction: put, closed, deleted, put again."""
+    path, key = files.scratch(spark, "store"), F.col("id")
+    rows = S.store_tickets(spark, d).withColumns({"created_at": F.col("created_at").cast("timestamp_ntz"), "status": F.lit("Open")})
+    store.create(spark, path)
+    turns = (("put", F.lit(True), "Open", 0), ("put", key % 5 == 0, "Closed", 1), ("delete", key % 7 == 0, "Open", 2), ("put", key % 21 == 0, "Reopened", 3), ("delete", key % 11 == 0, "Open", 4))
+    for kind, which, status, turn in turns:
+        store.append(rows.where(which).withColumns({"seq": key * 10 + turn + 10**12 * turn, "status": F.lit(status)}), path, "tickets", kind)
+        if turn == 2:
+            store.compact(spark, path, "tickets")
+    return store.state(spark, path, "tickets", "ticket_id").select("id", "ticket_id", "category", "status", "assigned_agent_id")

@@ -71,6 +71,20 @@ def _counted(section: str, source: str, name: str) -> str:
     return f"select '{section}' as section, coalesce({name}, 'none') as name, count(*)::double as value from {source} group by 2"
 
 
+def _routed() -> str:
+    """Where the accepted and the rejected rows of the fold go, and the dataset that the accepted ones join, of equal texts one."""
+    fold = O._fold()
+    cut = fold.rindex("select row_ord, case when rejection_reason")
+    return fold[:cut].rstrip() + """, decided as (
+  select n.row_ord, n.ticket_text, lower(trim(coalesce(n.source, 'external'))) as source, rejection_reason = '' as ok from told join incoming n using (row_ord)
+), placed as (
+  select case when not ok then 'rejected' when source = 'manual' then 'manual' else 'external' end as place, ticket_text from decided
+), dataset as (
+  select distinct ticket_text from (select ticket_text from raw join orders on o_orderkey = row_ord where o_orderstatus = 'F' and ticket_text is not null union all select ticket_text from decided where ok)
+)
+select place, count(*) as n, count(distinct ticket_text) as texts from placed group by place union all select 'dataset', count(*), count(*) from dataset"""
+
+
 def reports(known: dict[str, str]) -> dict[str, str]:
     """The reports' sections from the SQL of single queries."""
     length = [f"{m}_{c}" for c in ("words", "chars") for m in ("mean", "min", "max", "median")]
@@ -141,5 +155,11 @@ union all select 'recent_feedback', place::varchar, feedback_id || ' | ' || corr
         "scenario_accuracy": f"with {O.TICKETS}, masked as (select *, {O._masked('ticket_text', fixed.AUDIT_MASKS, fixed.AUDIT_NOISE)} as template from tickets), firsts as (select template, arg_min(ticket_text, row_ord) as text from masked group by 1), most as (select template, priority as expected from (select template, priority, count(*) as n from masked group by 1, 2) qualify row_number() over (partition by template order by n desc, priority) = 1), "
         f"s as (select expected, {rule} as triggers, case when {top} >= 0.95 then 'Critical' when {top} >= 0.8 then 'High' when {top} >= 0.4 then 'Medium' else 'Low' end as signals from firsts join most using (template)) "
         + " union all ".join(f"select '{m}' as model, count(*) filter ({m} = expected) as matches, count(*) as scenarios, round(count(*) filter ({m} = expected) * 100 / count(*), 1) as accuracy from s" for m in ("triggers", "signals")),
+        "csv_round_trip": f"with {O.RAW} select ticket_id, ticket_text, category, priority, source from raw",
+        "optional_sources": f"with {O.RAW} select ticket_id, ticket_text, category, priority, source from raw where source in ('manual', 'external')",
+        "routed_ingest": _routed(),
+        "bootstrap_tickets": f"with {O.TICKETS} select row_ord as id, ticket_id, ticket_text, category, {O._rule('ticket_text', O._s('Medium'), O._s(''))} as priority, department, 90.0::double as confidence, case when row_ord % 2 = 0 then 90.0 else 95.0 end::double as category_confidence, 80.0::double as priority_confidence, 'Open' as status from tickets order by row_ord limit 25",
+        "json_metrics": f"with {O.TICKETS} select 'category' as field, category as name, count(*) as n from tickets group by 2 union all select 'priority', priority, count(*) from tickets group by 2",
+        "store_replay": f"with {O.STORE} select id, ticket_id, category, case when id % 21 = 0 then 'Reopened' when id % 5 = 0 then 'Closed' else 'Open' end as status, assigned_agent_id from kept where (id % 7 <> 0 or id % 21 = 0) and id % 11 <> 0",
         "predict_tickets": f"with {O.RAW} select row_ord, case when {blank} then 'error' else 'success' end as status, case when {blank} then 'Input ticket text cannot be empty.' end as error, {signals}, case when not {blank} then true end as sound, true as routed from raw",
     }
