@@ -130,3 +130,20 @@ def test_demands_by_one_by_one(spark, tmp_path):
     left = constraints.without_agents(tickets, spark.createDataFrame([(1,), (1,)], "id long"))
     assert left.count() == tickets.count() and left.where("assigned_agent_id = 1").isEmpty()
     assert left.where("assigned_agent_id = 2").count() == tickets.where("assigned_agent_id = 2").count()
+
+
+def test_the_slower_of_two_writers_is_told(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    store.create(spark, path)
+    row = lambda seq, status: spark.createDataFrame([(seq, 1, "T1", status)], "seq long, id long, ticket_id string, status string")
+    seq = store.next_seq(spark, path, "tickets")
+    store.append(row(seq, "Open"), path, "tickets", expect=seq)
+    for late in (seq, seq):
+        with pytest.raises(store.Conflict):
+            store.append(row(late, "Closed"), path, "tickets", expect=late)
+    again = store.next_seq(spark, path, "tickets")
+    store.claim(spark, path, "tickets", again)
+    with pytest.raises(store.Conflict):
+        store.append(row(again, "Closed"), path, "tickets", expect=again)
+    store.append(row(again + 1, "Closed"), path, "tickets", expect=again + 1)
+    assert [r.status for r in store.state(spark, path, "tickets", "ticket_id").collect()] == ["Closed"]

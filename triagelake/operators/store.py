@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as X
+from ..sources import files
 from . import snapshots
 
 # The store's relations.
@@ -30,9 +31,29 @@ def create(spark: SparkSession, path: str) -> None:
         spark.createDataFrame([], f"seq long, kind string, {schema}").write.mode("ignore").parquet(f"{path}/{name}")
 
 
-def append(rows: DataFrame, path: str, name: str, kind: str = "put") -> None:
-    """Add events; columns that are missing are null, as an additive migration leaves them, and unknown ones stay out."""
+class Conflict(RuntimeError):
+    """Another writer has taken the sequence number that this one counted on."""
+
+
+def claim(spark: SparkSession, path: str, name: str, seq: int) -> None:
+    """Take a sequence number of a relation for one writer; raises :class:`Conflict` if events, or another's claim, have reached it.
+
+    A marker file is created where there must be none yet, which the file system does for one writer alone. A claim is not given back: a
+    writer that fails after it takes the next number.
+    """
+    if next_seq(spark, path, name) > seq or not files.create_new(spark, f"{path}/claims/{name}/{seq}"):
+        raise Conflict(f"{name}: number {seq} is taken; read the state again")
+
+
+def append(rows: DataFrame, path: str, name: str, kind: str = "put", expect: int | None = None) -> None:
+    """Add events; columns that are missing are null, as an additive migration leaves them, and unknown ones stay out.
+
+    ``expect``: the number from :func:`next_seq` that the rows were made after; if another writer has been faster,
+    :class:`Conflict` is raised and nothing is written.
+    """
     spark = rows.sparkSession
+    if expect is not None:
+        claim(spark, path, name, expect)
     empty = spark.createDataFrame([], f"seq long, kind string, {SCHEMAS[name]}")
     empty.unionByName(rows.withColumn("kind", F.lit(kind)), allowMissingColumns=True).select(*empty.columns).write.mode("append").parquet(f"{path}/{name}")
 

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import evaluate, ingest, prepare, profile, reports, store
 from ..sources import files
 from ..sources import tickets as S
+from ..streaming.landing import ingest_stream
 from .queries import _dense, _judged, _predicted, query
 
 #: Saved metrics as a training run leaves them; the best model for priority has none.
@@ -271,3 +272,28 @@ def store_replay(spark, d):
         if turn == 2:
             store.compact(spark, path, "tickets")
     return store.state(spark, path, "tickets", "ticket_id").select("id", "ticket_id", "category", "status", "assigned_agent_id")
+
+
+@query
+def generated_rules(spark, d):
+    """As many generated tickets as there are orders: by category their number, different ids, and whether all are as they should be."""
+    n = spark.read.parquet(f"{d}/orders.parquet").count()
+    rows = S.generate(spark, n)
+    text = F.col("ticket_text")
+    sound = F.col("ticket_id").rlike("^TICK-[0-9]{5,}$") & ~text.contains("{") & ~text.contains("}") & (F.length(text) > 10) & F.col("priority").isin(*fixed.PRIORITIES) & (F.col("department") == X.department(F.col("category"))) & (F.col("source") == "synthetic")
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("ticket_id").alias("ids"), F.bool_and(sound).alias("sound"))
+
+
+@query
+def landing_stream(spark, d):
+    """What the landing stream decides of all incoming tickets, which come in two runs: even orders, then odd ones."""
+    path = files.scratch(spark, "stream")
+    rows = S.incoming(spark, d).withColumn("created_at", F.lit(None).cast("string"))
+    for turn in (0, 1):
+        # The names of the parts are in the order of the rows.
+        given = rows.where(F.col("row_ord") % 2 == turn).repartitionByRange(4, "row_ord").sortWithinPartitions("row_ord").select(*S.INCOMING.names)
+        files.write_csv(given, f"{path}/in", "append")
+        ingest_stream(spark, f"{path}/in", f"{path}/out", f"{path}/state").awaitTermination()
+    there = [p for p in ingest.PLACES if files.exists(spark, f"{path}/out/{p}")]
+    told = [spark.read.parquet(f"{path}/out/{p}").select("ticket_id", "ticket_text", F.lit("").alias("rejection_reason") if p != "rejected" else F.col("rejection_reason"), "batch") for p in there]
+    return reports.together(*told).groupBy("batch", "rejection_reason").agg(F.count("*").alias("n"), F.countDistinct("ticket_text").alias("texts"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import fixed
+from ..sources.tickets import GENERATED
 from . import oracles as O  # noqa: E812, N812
 
 
@@ -71,6 +72,20 @@ def _counted(section: str, source: str, name: str) -> str:
     return f"select '{section}' as section, coalesce({name}, 'none') as name, count(*)::double as value from {source} group by 2"
 
 
+_GENERATED = tuple(dict.fromkeys(c for c, *_ in GENERATED))
+
+
+def _streamed() -> str:
+    """The fold over even orders, then odd ones, with nothing there before."""
+    return f"""with recursive {O.INCOMING}, taken as (
+  select *, trim(ticket_id) as i, lower(trim(ticket_text)) as t, row_ord % 2 as batch, (row_ord % 2) * 1000000000000 + row_ord as place from incoming
+), open as (select place as row_ord, i, t from taken where len({O._reasons()}) = 0), {O._ROUNDS}, marked as (
+  select k.*, coalesce(a.row_ord < k.place, false) as known_i, coalesce(b.row_ord < k.place, false) as known_t
+  from taken k left join (select row_ord, i from rounds where won) a on a.i = k.i left join (select row_ord, t from rounds where won) b on b.t = k.t
+), told as (select batch, ticket_text, array_to_string({O._reasons("known_i", "known_t")}, '; ') as rejection_reason from marked)
+select batch::int as batch, rejection_reason, count(*) as n, count(distinct ticket_text) as texts from told group by 1, 2"""
+
+
 def _routed() -> str:
     """Where the accepted and the rejected rows of the fold go, and the dataset that the accepted ones join, of equal texts one."""
     fold = O._fold()
@@ -160,6 +175,8 @@ union all select 'recent_feedback', place::varchar, feedback_id || ' | ' || corr
         "routed_ingest": _routed(),
         "bootstrap_tickets": f"with {O.TICKETS} select row_ord as id, ticket_id, ticket_text, category, {O._rule('ticket_text', O._s('Medium'), O._s(''))} as priority, department, 90.0::double as confidence, case when row_ord % 2 = 0 then 90.0 else 95.0 end::double as category_confidence, 80.0::double as priority_confidence, 'Open' as status from tickets order by row_ord limit 25",
         "json_metrics": f"with {O.TICKETS} select 'category' as field, category as name, count(*) as n from tickets group by 2 union all select 'priority', priority, count(*) from tickets group by 2",
+        "generated_rules": f"with n as (select count(*) as n, ceil(count(*) / {len(_GENERATED)})::bigint as each_ from orders), c as (select unnest(range({len(_GENERATED)})) as i, unnest({O._list(_GENERATED)}) as category) select category, least(each_, n - i * each_)::bigint as n, least(each_, n - i * each_)::bigint as ids, true as sound from c, n where i * each_ < n",
+        "landing_stream": _streamed(),
         "store_replay": f"with {O.STORE} select id, ticket_id, category, case when id % 21 = 0 then 'Reopened' when id % 5 = 0 then 'Closed' else 'Open' end as status, assigned_agent_id from kept where (id % 7 <> 0 or id % 21 = 0) and id % 11 <> 0",
         "predict_tickets": f"with {O.RAW} select row_ord, case when {blank} then 'error' else 'success' end as status, case when {blank} then 'Input ticket text cannot be empty.' end as error, {signals}, case when not {blank} then true end as sound, true as routed from raw",
     }

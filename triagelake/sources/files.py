@@ -27,6 +27,18 @@ def make_folder(spark: SparkSession, path: str) -> None:
     system.mkdirs(place)
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file where there is none; whether this call was the one that did."""
+    system, place = _place(spark, path)
+    system.mkdirs(place.getParent())
+    try:
+        return bool(system.createNewFile(place))
+    except Exception as error:  # noqa: BLE001  file systems differ in how they say that it is there
+        if system.exists(place):
+            return False
+        raise error
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
     """Move a file or folder to a place where nothing is yet, in one step."""
     system, place = _place(spark, path)

@@ -212,6 +212,26 @@ SUFFIXES = (
     " Please advise as soon as possible.", " Thanks for your help!", " Urgent attention required.", " Contact me via email or phone.", " Appreciate a quick update on this.",
     " Kindly look into this matter promptly.", " Looking forward to hearing back.", " Plz respond asap.", "",
 )
+#: By category: what a text is about, and what is said of it with the priority that this has.
+MATTERS: dict[str, tuple[tuple[str, ...], tuple[tuple[str, str], ...]]] = {
+    "Billing": (("my {period} statement", "invoice {id}", "the ${plan_amount} charge", "the tax on invoice {id}", "the receipt for ${amount}"), (("There is a mistake in {}.", "Medium"), ("Could you send me {} once more?", "Low"), ("I do not recognise {} and want it looked into.", "High"), ("{} was taken from my card two times", "Critical"))),
+    "Technical Support": (("the {model} client", "the export page", "the server at {ip}", "my login screen", "the mobile app"), (("{} stops with {err_code}.", "High"), ("Since the update {} is slow.", "Medium"), ("How do I set up {}?", "Low"), ("Nobody in our office can use {}, everything is down!", "Critical"))),
+    "Refund": (("order {id}", "the ${amount} I paid", "my cancelled {model}", "the unused ${plan_amount} plan", "the deposit from {period}"), (("I am still waiting for the money back for {}.", "Medium"), ("What are the terms for getting {} refunded?", "Low"), ("You promised a refund of {} weeks ago and nothing came.", "High"), ("The refund for {} went to a stranger's account", "Critical"))),
+    "Shipping": (("parcel {id}", "my {model}", "the replacement for order {id}", "the express delivery", "the second half of order {id}"), (("When will {} arrive?", "Low"), ("The tracking of {} has not moved for days.", "Medium"), ("{} was left at a wrong address!", "High"), ("{} holds medicine and is lost", "Critical"))),
+    "Account": (("my account", "the profile of user {id}", "my sign-in", "the team account", "my recovery address"), (("Please help me to change {}.", "Low"), ("I cannot get into {} since this morning.", "High"), ("Some settings of {} are gone.", "Medium"), ("Someone at {ip} has broken into {}", "Critical"))),
+    "Complaint": (("the {model}", "your hotline", "the answer to ticket {id}", "the technician", "the packaging of order {id}"), (("I am not happy with {}.", "Medium"), ("A small remark about {}: it could be friendlier.", "Low"), ("{} was a disaster, I want a manager to call me.", "High"), ("{} has hurt a customer of ours", "Critical"))),
+    "Product Inquiry": (("the {model}", "the ${plan_amount} plan", "the family offer", "the interface for developers", "the offer of {period}"), (("Does {} work with older devices?", "Low"), ("What does {} cost for a team of ten?", "Low"), ("I have to decide on {} by tomorrow, please call.", "High"), ("The page on {} contradicts the manual.", "Medium"))),
+    "Cancellation": (("my ${plan_amount} plan", "order {id}", "the automatic renewal", "the trial of {model}", "our contract from {period}"), (("Please cancel {}.", "Medium"), ("How do I cancel {} without a fee?", "Low"), ("I cancelled {} long ago and am still charged!", "High"), ("Stop {} at once, it was signed with forged papers", "Critical"))),
+}
+
+
+def composed(matters: dict[str, tuple[tuple[str, ...], tuple[tuple[str, str], ...]]] = MATTERS) -> tuple[tuple[str, str, str, str], ...]:
+    """English templates: everything said of every matter, the first letter in upper case."""
+    fill = lambda said, about: said.replace("{}", about)
+    upper = lambda t: t if t.startswith("{") else t[0].upper() + t[1:]
+    return tuple((category, upper(fill(said, about)), base, "en") for category, (about_, said_) in matters.items() for about in about_ for said, base in said_)
+
+
 #: (category, text, base priority, language) of the generator's own templates.
 GENERATED: tuple[tuple[str, str, str, str], ...] = (
     *((c, t, ("Low", "Medium", "High", "Critical")[i % 4], "gujarati" if any("\u0a80" <= x <= "\u0aff" for x in t) else "hinglish" if any(w in t.split() for w in ("Mera", "chahiye,", "nathi,")) else "en") for i, (c, t) in enumerate(TEMPLATES)),
@@ -225,6 +245,7 @@ GENERATED: tuple[tuple[str, str, str, str], ...] = (
     ("Complaint", "The {model} for ${amount} broke within a day!", "High", "en"),
     ("Product Inquiry", "Does {model} come with the ${plan_amount} plan?", "Low", "en"),
     ("Cancellation", "Stop my ${plan_amount} plan at the end of {period}", "Low", "en"),
+    *composed(),
 )
 
 
