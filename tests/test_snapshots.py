@@ -50,6 +50,8 @@ def test_snapshot_and_tail_equal_replay(spark, tmp_path, bucket_rows):
             assert store.next_seq(spark, path, "tickets") == len(all_events) + 1
     found = snapshots.pointer(spark, path, "tickets")
     assert found["through"] == len(all_events) and found["rows"] == len(replay(all_events))
+    assert store.compact(spark, path, "tickets", bucket_rows) == 0 and read(spark, path) == replay(all_events)  # nothing new
+    found = snapshots.pointer(spark, path, "tickets")
     # Another session does not know the table yet.
     spark.sql(f"drop table `{found['table']}`")
     assert read(spark, path) == replay(all_events)

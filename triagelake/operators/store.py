@@ -125,8 +125,8 @@ def _pick(tickets: DataFrame, agents: DataFrame) -> DataFrame:
     team = agents.where("is_active = 1").groupBy("department").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("team"))  # a department's few agents
     rows = tickets.join(team, "department", "left")
     others = F.filter("team", lambda a: F.coalesce(a["id"] != F.col("assigned_agent_id"), F.lit(True)))
-    ranked = F.array_sort(F.transform(others, lambda a: F.struct(F.md5(F.concat(F.col("ticket_id"), F.lit("|"), a["id"].cast("string"))).alias("h"), a["id"].alias("id"), a["name"].alias("name"))))
-    return rows.withColumn("_picked", F.get(ranked, F.lit(0)))
+    hashed = F.transform(others, lambda a: F.struct(F.md5(F.concat(F.col("ticket_id"), F.lit("|"), a["id"].cast("string"))).alias("h"), a["id"].alias("id"), a["name"].alias("name")))
+    return rows.withColumn("_picked", F.array_min(hashed))
 
 
 def assign(tickets: DataFrame, agents: DataFrame) -> DataFrame:
