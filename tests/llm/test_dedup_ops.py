@@ -183,6 +183,53 @@ def test_short_lines_go_when_equal(spark, tmp_path):
     wanted = brute_short(rows)
     got = {r.doc_id: r for r in line_dedup.remove_lines(frame(spark, rows), exact_short=True).collect()}
     assert {i: r.text for i, r in got.items()} == wanted and sum(r.n_cut for r in got.values()) > 60
+    apart = [(i, t.replace("all rights reserved1", "no right is reserved").replace("Own line", "Own" + "abcdefghijklmnopqrstuvwxyz0123"[i] * 4)) for i, t in rows]
+    spark.createDataFrame(apart, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from triagelake.llm.queries import op6_line_dedup
+
+    assert {r.doc_id: r.kept_sha256 for r in op6_line_dedup(spark, str(tmp_path)).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in brute_short(apart).items()}
+
+
+def brute_scaled(rows, edits=2, full=32):
+    """doc_id -> text, lines alike within edits in proportion to the shorter one's length."""
+    strip = " \t\n\v\f\r"
+    seen = [(i, k, x.strip(strip)) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip(strip)]
+    kinds = sorted({x for _, _, x in seen})
+    low = components(list(enumerate(kinds)), lambda x, y: line_dedup._by_table(x, y) <= min(edits, min(len(x), len(y)) * edits // full))
+    low = {x: low[k] for k, x in enumerate(kinds)}
+    first = {}
+    for i, k, x in seen:
+        first[low[x]] = min(first.get(low[x], (i, k)), (i, k))
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(strip) or first[low[x.strip(strip)]] == (i, k)) for i, t in rows}
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_short_lines_within_fewer_edits(spark, request, monkeypatch, spread, tmp_path):
+    if spread:
+        request.getfixturevalue("many_hot")
+        monkeypatch.setattr(ngram_join, "SPLIT", 2)
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdé fgh") for _ in range(n)).strip() or "x" for n in (3, 9, 14, 15, 16, 17, 18, 20, 24, 30, 31, 32, 33, 34, 40)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for line in rng.sample(base, 6):
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+                at = rng.randrange(len(line) + 1)
+                line = line[:at] + rng.choice(["", "x", "q", line[at : at + 1] + "y"]) + line[at + 1 :]
+            lines.append(line)
+        rows.append((i, "\n".join(lines)))
+    wanted = brute_scaled(rows)
+    assert line_dedup._by_table("released in May 2019", "released in May 2020") == 2  # 20 characters, one edit allowed
+    rows += [(100, "released in May 2019"), (101, "released in May 2020"), (102, "released in Mai 2019")]
+    wanted |= {100: "released in May 2019", 101: "released in May 2020", 102: ""}
+    got = {r.doc_id: r.text for r in line_dedup.remove_lines(frame(spark, rows), exact_short=True, scaled=True).collect()}
+    assert got == wanted and wanted == brute_scaled(rows)
+    if spread:
+        return
+    assert got != {r.doc_id: r.text for r in line_dedup.remove_lines(frame(spark, rows), exact_short=True).collect()}
+    left_alone = {r.doc_id: r.text for r in line_dedup.remove_lines(frame(spark, rows), scaled=True).collect()}
+    assert left_alone[102] == "" and left_alone[101] == "released in May 2020"
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     from triagelake.llm.queries import op6_line_dedup
 

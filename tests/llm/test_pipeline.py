@@ -63,10 +63,10 @@ def scalar_language(net, text, memo):
 
 
 def plain_lines(rows, edits=2, least=32):
-    """(doc_id, text) after line dedup: long lines alike by edits, short ones when equal."""
+    """(doc_id, text) after line dedup: long lines alike by edits, short ones by fewer in proportion."""
     seen = [(i, k, x.strip(SPACE)) for i, t in rows if i is not None for k, x in enumerate((t or "").split("\n")) if x.strip(SPACE)]
     kinds = sorted({x for _, _, x in seen})
-    alike = lambda x, y: min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= edits and line_dedup.within(x, y, edits)
+    alike = lambda x, y: line_dedup.within(x, y, min(edits, min(len(x), len(y)) * edits // least))
     low = components(list(enumerate(kinds)), alike)
     number = {x: k for k, x in enumerate(kinds)}
     first = {}

@@ -5,8 +5,9 @@ deletions and replacements of code points turn one into the other. A line splits
 lines agree in one segment, shifted by no more than the edits around it allow. So each line indexes its segments under
 (its length, segment number, content) and probes, for its own and each lesser length, the few substrings that can
 match; lines that meet are compared by banded bit-parallel edit distance. Alike lines form classes, links of links
-included, and of each class the first line stays, by (doc_id, line number). Shorter lines, if asked for, are alike
-only when equal; they skip the edit join.
+included, and of each class the first line stays, by (doc_id, line number). Shorter lines, if asked for, may differ by
+fewer edits, in proportion to the shorter line's length (:func:`allowance`); those too short for one are alike only when
+equal and skip the edit join.
 """
 
 from __future__ import annotations
@@ -59,6 +60,16 @@ def counted(line: bytes, min_chars: int, exact_short: bool) -> bool:
     return bool(line) if exact_short else eligible(line, min_chars)
 
 
+def allowance(length, edits: int, min_chars: int):
+    """The edits by which lines may differ of which the shorter has ``length`` code points: ``edits`` from ``min_chars`` on, below in proportion."""
+    return np.minimum(edits, length * edits // min_chars)
+
+
+def shortest(edits: int, min_chars: int, scaled: bool) -> int:
+    """The least length of a line that takes part in the edit join."""
+    return -(-min_chars // edits) if scaled and edits else min_chars
+
+
 def segment_starts(length: np.ndarray, parts: int) -> list[np.ndarray]:
     """Where each of ``parts`` even segments of lines starts, and the ends; the last segments are the longer."""
     base, longer = length // parts, length % parts
@@ -69,9 +80,8 @@ def segment_starts(length: np.ndarray, parts: int) -> list[np.ndarray]:
     return [*out, at]
 
 
-def line_entries(lines: list[bytes], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line number, entry hash, kind) of all index and probe entries of ``lines``."""
-    parts = edits + 1
+def line_entries(lines: list[bytes], edits: int, min_chars: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, entry hash, kind) of all index and probe entries of ``lines``; the shorter line sets the number of segments."""
     codes = [np.frombuffer(x.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4") for x in lines]
     length = np.array([len(c) for c in codes], np.int64)
     first = np.cumsum(length) - length
@@ -80,7 +90,6 @@ def line_entries(lines: list[bytes], edits: int) -> tuple[np.ndarray, np.ndarray
     up, down = (_UP, _DOWN) if n < len(_UP) else (_powers(BASE, n + 1), _powers(_INVERSE, n + 1))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(flat * up[:n], out=total[1:])
-    numbers = np.arange(len(lines))
 
     def entry(which: np.ndarray, of_length: np.ndarray, segment: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         a = first[which] + start
@@ -94,18 +103,22 @@ def line_entries(lines: list[bytes], edits: int) -> tuple[np.ndarray, np.ndarray
         entries.append(found)
         kinds.append(np.full(len(which), kind, np.uint8))
 
-    starts = segment_starts(length, parts)
-    for i in range(parts):
-        add(numbers, entry(numbers, length, i, starts[i], starts[i + 1] - starts[i]), INDEXED)
-    for shorter in range(edits + 1):
-        other = length - shorter
-        theirs = segment_starts(other, parts)
+    for most in range(min(1, edits), edits + 1):
+        parts = most + 1
+        own = np.flatnonzero(allowance(length, edits, min_chars) == most)
+        starts = segment_starts(length[own], parts)
         for i in range(parts):
-            size = theirs[i + 1] - theirs[i]
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                at = theirs[i] + shift
-                ok = np.flatnonzero((at >= 0) & (at + size <= length) & (other > 0))
-                add(ok, entry(ok, other[ok], i, at[ok], size[ok]), PROBED)
+            add(own, entry(own, length[own], i, starts[i], starts[i + 1] - starts[i]), INDEXED)
+        for shorter in range(most + 1):
+            other = length - shorter
+            probing = (other > 0) & (allowance(other, edits, min_chars) == most)
+            theirs = segment_starts(other, parts)
+            for i in range(parts):
+                size = theirs[i + 1] - theirs[i]
+                for shift in range(max(-i, shorter - (most - i)), min(i, shorter + (most - i)) + 1):
+                    at = theirs[i] + shift
+                    ok = np.flatnonzero((at >= 0) & (at + size <= length) & probing)
+                    add(ok, entry(ok, other[ok], i, at[ok], size[ok]), PROBED)
     return np.concatenate(who), np.concatenate(entries), np.concatenate(kinds)
 
 
@@ -189,18 +202,19 @@ def _occurrences(batches: Iterator[pa.RecordBatch], min_chars: int, exact_short:
         yield pa.RecordBatch.from_arrays([*columns, pa.array([None] * n + units, pa.binary())], ["set_id", "doc_id", "line", "unit"])
 
 
-def all_entries(lines: list[bytes], edits: int) -> np.ndarray:
+def all_entries(lines: list[bytes], edits: int, min_chars: int = 32) -> np.ndarray:
     """The entries that all lines index or probe, each line's own once."""
     if not lines:
         return np.empty(0, np.uint64)
-    who, entries, _ = line_entries(lines, edits)
+    who, entries, _ = line_entries(lines, edits, min_chars)
     order = np.lexsort((who, entries))
     who, entries = who[order], entries[order]
     return entries[np.concatenate(([True], (entries[1:] != entries[:-1]) | (who[1:] != who[:-1])))]
 
 
-def _entry_postings(batches: Iterator[pa.RecordBatch], min_chars: int, edits: int, parts: int, hot: Hot) -> Iterator[pa.RecordBatch]:
+def _entry_postings(batches: Iterator[pa.RecordBatch], min_chars: int, edits: int, parts: int, hot: Hot, scaled: bool = False) -> Iterator[pa.RecordBatch]:
     release()
+    least = shortest(edits, min_chars, scaled)
     held: dict[bytes, None] = {}
     size = 0
 
@@ -208,7 +222,7 @@ def _entry_postings(batches: Iterator[pa.RecordBatch], min_chars: int, edits: in
         if held:
             lines = list(held)
             ids = np.array([line_id(x) for x in lines], np.int64).view(np.uint64)
-            who, entries, kinds = line_entries(lines, edits)
+            who, entries, kinds = line_entries(lines, edits, min_chars)
             order = np.argsort(who, kind="stable")
             who, entries, kinds = who[order], entries[order], kinds[order]
             yield from blocks.scatter(ids[who], np.zeros(len(who), np.uint32), blocks.shorten(entries, WIDTH), dealt(entries, ids[who], hot, parts), WIDTH, kinds)
@@ -217,7 +231,7 @@ def _entry_postings(batches: Iterator[pa.RecordBatch], min_chars: int, edits: in
     for batch in batches:
         for text in batch.column(0):
             for line in lines_of(text.as_py()):
-                if line not in held and eligible(line, min_chars):
+                if line not in held and eligible(line, least):
                     if size and size + len(line) > CHUNK:
                         yield from send()
                         size = 0
@@ -304,8 +318,8 @@ def edits_allow(edits: int, a_n, a_size, a_alone, b_n, b_size, b_alone):
     return (a_alone <= GRAM * edits) & (b_alone <= GRAM * edits) & (np.abs(a_n - b_n) <= edits)
 
 
-def _alike(a: bytes, b: bytes, a_n: int, b_n: int, edits: int) -> bool:
-    return within(a.decode("utf-8", "surrogatepass"), b.decode("utf-8", "surrogatepass"), edits)
+def _alike(a: bytes, b: bytes, a_n: int, b_n: int, edits: int, min_chars: int) -> bool:
+    return within(a.decode("utf-8", "surrogatepass"), b.decode("utf-8", "surrogatepass"), int(allowance(min(a_n, b_n), edits, min_chars)))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
@@ -326,27 +340,29 @@ def _cut(batches: Iterator[pa.RecordBatch], keep: list[str], digest: bool) -> It
         yield pa.RecordBatch.from_arrays(columns, [*keep, "n_lines", "n_cut", *["kept_sha256"] * digest])
 
 
-def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_short: bool = False) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_short: bool = False, scaled: bool = False) -> DataFrame:
     """(set_id, doc_id, line, first_doc, first_line): every eligible line whose class holds another occurrence.
 
     ``first_doc`` and ``first_line`` name the class by its first occurrence; lines alone in their class are left out.
-    With ``exact_short`` shorter lines are there too, in classes of equal lines; they index and probe nothing.
+    With ``scaled`` shorter lines join within their :func:`allowance`; with ``exact_short`` those without one are there
+    too, in classes of equal lines; they index and probe nothing.
     """
+    least = shortest(edits, min_chars, scaled)
     parts = partitions_for(docs)
     texts = docs.select("doc_id", "text")
-    place = partial(_occurrences, min_chars=min_chars, exact_short=exact_short, share=share_of(docs))
+    place = partial(_occurrences, min_chars=least, exact_short=exact_short, share=share_of(docs))
     seen = materialize(texts.mapInArrow(place, "set_id long, doc_id long, line int, unit binary"), "lines")
     # Entries of so many different lines that their postings are dealt by line, too.
-    hot = find(seen.where("unit is not null").select("unit"), partial(all_entries, edits=edits), distinct=True, parts=parts)
+    hot = find(seen.where("unit is not null").select("unit"), partial(all_entries, edits=edits, min_chars=min_chars), distinct=True, parts=parts)
     seen = seen.where("set_id is not null").select("set_id", "doc_id", "line")
-    posted = texts.where("doc_id is not null").select("text").mapInArrow(partial(_entry_postings, min_chars=min_chars, edits=edits, parts=parts, hot=hot), blocks.SCHEMA)
+    posted = texts.where("doc_id is not null").select("text").mapInArrow(partial(_entry_postings, min_chars=min_chars, edits=edits, parts=parts, hot=hot, scaled=scaled), blocks.SCHEMA)
     entries = _settled(materialize(blocks.exchange(posted, parts).mapInArrow(partial(_met, hot=hot), "set_id long, entry long, kind byte"), "met"), hot)
     wanted = seen.join(materialize(entries.select("set_id").distinct(), "wanted"), "set_id")
     wanted = materialize(wanted.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("set_id", "at.*"), "firsts")
     sets = materialize(_at_home(texts, wanted, parts).mapInArrow(_texts, "set_id long, n int, size int, sketch binary, tokens binary").dropDuplicates(["set_id"]), "line-texts")
     sized = materialize(entries.join(sets.select("set_id", "n"), "set_id").withColumn("lone", F.lit(0)), "sized")
     need = GRAM * edits + 1  # an edit takes at most GRAM grams
-    found = entry_links(sized, sets, f"abs(a_n - b_n) <= {edits}", partial(edits_allow, edits), partial(_alike, edits=edits), grams_of, str(need), f"size >= {need}")
+    found = entry_links(sized, sets, f"abs(a_n - b_n) <= {edits}", partial(edits_allow, edits), partial(_alike, edits=edits, min_chars=min_chars), grams_of, str(need), f"size >= {need}")
     found = materialize(found, "found")
     classes = seen.groupBy("set_id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c"))
     classes = materialize(classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").where("c > 1 or component is not null"), "classes")
@@ -356,18 +372,19 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 32, exact_sho
     return seen.join(named, "set_id")
 
 
-def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, digest: bool = False, exact_short: bool = False) -> DataFrame:
+def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 32, digest: bool = False, exact_short: bool = False, scaled: bool = False) -> DataFrame:
     """``docs`` without the lines that are alike with an earlier one, and n_lines, n_cut.
 
-    Lines end at newlines; shorter lines than ``min_chars`` are left alone, or with ``exact_short`` are alike when equal
-    (blank ones stay). Judged on the input: every occurrence
+    Lines end at newlines; shorter lines than ``min_chars`` are left alone. With ``scaled`` they are alike within fewer
+    edits, ``edits`` * length / ``min_chars`` rounded down (one edit from 16 of 32 characters on); with ``exact_short`` those
+    that no edit is allowed for are alike when equal (blank ones stay). Judged on the input: every occurrence
     after its class's first, by (doc_id, line number from 0), goes, with its newline. With ``digest`` the result is
     doc_id, n_lines, n_cut and kept_sha256, the SHA-256 of what is kept. A null text has no lines and stays null; rows of
     one doc_id are alike in place, so neither is the earlier; a null doc_id keeps all its lines. Columns named n_lines,
     n_cut are replaced; others pass through. An empty table gives no rows.
     """
     parts = partitions_for(docs)
-    later = line_classes(docs, edits, min_chars, exact_short).where("first_doc < doc_id or (first_doc = doc_id and first_line < line)")
+    later = line_classes(docs, edits, min_chars, exact_short, scaled).where("first_doc < doc_id or (first_doc = doc_id and first_line < line)")
     later = materialize(later.select("doc_id", "line", "set_id"), "later-lines")
     keep = ["doc_id"] if digest else [c for c in docs.columns if c not in ("n_lines", "n_cut")]
     fields = [f for f in docs.schema.fields if f.name in keep] + [T.StructField("n_lines", T.LongType()), T.StructField("n_cut", T.LongType())]

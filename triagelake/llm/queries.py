@@ -69,7 +69,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What removing repeated and nearly repeated lines leaves of all documents."""
-    return remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True, exact_short=True)
+    return remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True, exact_short=True, scaled=True)
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
