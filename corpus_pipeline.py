@@ -47,7 +47,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are, as does a document with a null doc_id; blank lines stay. Rows of one doc_id
     are alike in place, so neither cuts the other.
     """
-    cut = remove_lines(docs.select(*COLUMNS), exact_short=True)
+    cut = remove_lines(docs.select(*COLUMNS), exact_short=True, scaled=True)
     return _recounted(cut.where((F.col("n_cut") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")))
 
 
