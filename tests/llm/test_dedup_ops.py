@@ -211,7 +211,7 @@ def test_short_lines_within_fewer_edits(spark, request, monkeypatch, spread, tmp
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdé fgh") for _ in range(n)).strip() or "x" for n in (3, 9, 14, 15, 16, 17, 18, 20, 24, 30, 31, 32, 33, 34, 40)]
     rows = []
-    for i in range(60):
+    for i in range(24):
         lines = []
         for line in rng.sample(base, 6):
             for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
