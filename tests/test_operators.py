@@ -200,3 +200,12 @@ def test_every_ticket_is_signed(spark):
 
     got = QUERIES["template_signature"](spark, SMALL).collect()
     assert sorted(map(tuple, got)) == sorted((r.ticket_id, signed(r.ticket_text)) for r in rows)
+
+
+def test_softmax_makes_each_margin_once_a_row(spark):
+    """By how often the plan holds a margin's own expression; the shares are hand-made."""
+    rows = spark.createDataFrame([(0.0, 1.0), (2.0, 2.0), (-1.0, 3.0)], "a double, b double").coalesce(1)
+    plan = rows.select(evaluate.softmax({"a": F.rand() * 0 + F.col("a"), "b": F.col("b")}).alias("s"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("rand(") == 1
+    got = [r.s for r in plan.collect()]
+    assert got[0] == {"a": 26.89, "b": 73.11} and got[1] == {"a": 50.0, "b": 50.0} and got[2] == {"a": 1.8, "b": 98.2}
