@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from triagelake import fixed
 from triagelake.operators import evaluate, features, ingest, machines, models, store
+from triagelake.plans.queries import QUERIES
 from triagelake.sources import files
 from triagelake.sources import tickets as S
 
+SMALL = "/root/testdata/sf0.001"
+
 TEXTS = [("refund refund my money please", "Refund", "High"), ("parcel parcel never came", "Shipping", "Medium"), ("cannot login to my account, hacked", "Account", "Critical"), ("what is the pricing", "Billing", "Low")]
 
 
@@ -300,3 +303,28 @@ def test_tasks_do_not_carry_the_weights(spark):
                 wanted[:, p] += -2 * weight[i] * y * gap * x
                 loss[p] += weight[i] * gap * gap
     assert np.allclose(gradient, wanted) and np.allclose(np.frombuffer(found.column("loss")[0].as_py()), loss)
+
+
+def test_equal_rows_are_one_for_a_model(rows, monkeypatch):
+    """Three copies of every row, with ids of their own: what is fitted is no more rows, and they weigh as much."""
+    seen = []
+    monkeypatch.setattr(machines, "fit_margins", lambda r, size, classes, folds, parts, **_: (seen.append(r.agg(F.count("*"), F.sum("n")).first()), np.zeros((size + 1, classes * folds)))[1])
+    copies = rows.withColumn("ticket_id", F.explode(F.array(*[F.concat("ticket_id", F.lit(f"-{i}")) for i in range(3)])))
+    for frame in (rows, copies):
+        made, vectors, kinds = models.prepared(frame, (models.Config("s", models.SVM),), 60)
+        models.fit(vectors, "priority", models.Config("s", models.SVM, folds=1), len(made.terms), kinds=kinds)
+    assert seen[0][0] == seen[1][0] < seen[0][1] == rows.count() and seen[1][1] == 3 * seen[0][1]
+
+
+def test_weights_and_bayes_are_made_in_rows(spark):
+    """No (document, term) pair is shuffled or sorted, and a larger table has more parts."""
+    plan = QUERIES["tfidf_weights"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    plan = QUERIES["nb_predict"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(files, "DEALT", 100)
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    assert S.raw_tickets(spark, SMALL).rdd.getNumPartitions() == -(-orders.count() // 100) > 4

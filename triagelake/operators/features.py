@@ -1,11 +1,14 @@
-"""TF-IDF and multinomial naive Bayes in long form: (document, term, weight) relations that any size can join."""
+"""Terms, their vocabulary and multinomial naive Bayes: what belongs to one document is made in its row."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import files
 
 
 def words_of(text: Column, letters: bool = False) -> Column:
@@ -17,55 +20,47 @@ def words_of(text: Column, letters: bool = False) -> Column:
 
 def terms_of(words: Column) -> Column:
     """Words and pairs of neighbouring words."""
-    pairs = F.transform(F.array(words), lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.concat(words, F.get(pairs, F.lit(0)))
-
-
-def terms(docs: DataFrame, key: str, text: str, letters: bool = False) -> DataFrame:
-    """(key, term, tf): one- and two-word terms of the preprocessed text."""
-    return counted_terms(docs, key, words_of(F.col(text), letters))
-
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return X.bound(words, lambda w: F.concat(w, pairs(w)))
 
-def counted_terms(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, term, tf) of words."""
-    return docs.select(key, F.explode(terms_of(words)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
+def vocabulary(docs: DataFrame, words: Column, n_docs: DataFrame, size: int) -> DataFrame:
+    """(term, idf) of the ``size`` terms with the highest counts, ties by term; a row of ``docs`` is a document, ``n_docs``: one row with n.
 
-def vocabulary(counted: DataFrame, n_docs: DataFrame, size: int) -> DataFrame:
-    """(term, idf) of the ``size`` terms with the highest counts, ties by term; ``n_docs``: one row with n."""
-    stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    top = stats.orderBy(F.desc("total"), F.asc("term")).limit(size)
+    A row's terms are counted in the row: only terms with their sums are shuffled, never (document, term) pairs.
+    """
+    first = lambda s: F.transform(s, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get(s, i - 1) == t), 0).otherwise(1).alias("first")))
+    counted = docs.select(F.explode(X.bound(F.sort_array(terms_of(words)), first)).alias("x")).select("x.*")
+    top = counted.groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("total")).orderBy(F.desc("total"), F.asc("term")).limit(size)
     return top.crossJoin(n_docs).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # a single row beside each
 
 
-def weights(counted: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
-    """(key, term, weight): (1 + ln tf, or tf) * idf, each document's weights of length 1. ``vocab`` has a fixed size."""
-    tf = (1 + F.log("tf")) if sublinear else F.col("tf")
-    raw = counted.join(F.broadcast(vocab), "term").withColumn("w", tf * F.col("idf"))
-    total = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / total).alias("weight"), *[c for c in counted.columns if c not in (key, "term", "tf")])
-
-
-def bayes_train(weighted: DataFrame, labels: DataFrame, key: str, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(label, prior) and (label, term, log probability) with additive smoothing; ``labels``: (key, label)."""
-    terms_ = weighted.select("term").distinct()
+def bayes_train(weighted: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(label, prior) and (label, term, log probability) with additive smoothing; ``weighted``: (label, term, weight), ``labels``: a row a document."""
     classes = labels.groupBy("label").agg(F.count("*").alias("n"))
     priors = classes.select("label", F.log(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("prior"))
-    mass = weighted.join(labels, key).groupBy("label", "term").agg(F.sum("weight").alias("mass"))
-    cells = terms_.crossJoin(classes.select("label")).join(mass, ["label", "term"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)) + smoothing)  # terms x a few labels
+    mass = files.written(weighted.groupBy("label", "term").agg(F.sum("weight").alias("mass")), "mass")
+    cells = mass.select("term").distinct().crossJoin(classes.select("label")).join(mass, ["label", "term"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)) + smoothing)  # terms x a few labels
     return priors, cells.select("label", "term", F.log(F.col("mass") / F.sum("mass").over(Window.partitionBy("label"))).alias("logp"))
 
 
-def bayes_predict(weighted: DataFrame, priors: DataFrame, likelihood: DataFrame, key: str) -> DataFrame:
-    """(key, prediction): the label with the highest joint log probability, ties to the lesser.
+def bayes_predict(weighted: DataFrame, terms: list[str], priors: DataFrame, likelihood: DataFrame) -> DataFrame:
+    """``weighted`` (_at: places in ``terms``, _w: weights) with the prediction in their place: the label with the highest joint log probability, ties to the lesser.
 
-    A term's probabilities stand side by side, one row for each of the vocabulary's terms, whose number is fixed: they are
-    broadcast to the weights, and what is shuffled is a row a document.
+    The likelihoods, terms times a few labels, reach the driver and go with the plan; a row is decided by itself. Rows without a known term are left out.
     """
-    known = [(r.label, r.prior) for r in priors.orderBy("label").collect()]  # a few labels
-    by_term = likelihood.groupBy("term").agg(*[F.max(F.when(F.col("label") == label, F.col("logp"))).alias(f"_p{i}") for i, (label, _) in enumerate(known)])
-    sums = weighted.join(F.broadcast(by_term), "term").groupBy(key).agg(*[F.sum(F.col("weight") * F.col(f"_p{i}")).alias(f"_s{i}") for i in range(len(known))])
-    if not known:
-        return sums.select(key, F.lit(None).cast("string").alias("prediction"))
-    ranked = F.array(*[F.struct((-F.round(F.col(f"_s{i}") + prior, 9)).alias("s"), F.lit(label).alias("label")) for i, (label, prior) in enumerate(known)])
-    return sums.select(key, F.array_min(ranked)["label"].alias("prediction"))
+    place = {t: i for i, t in enumerate(terms)}
+    logp = {r.label: ([0.0] * len(terms), r.prior) for r in priors.orderBy("label").collect()}
+    for r in likelihood.collect():
+        logp[r.label][0][place[r.term]] = r.logp
+    rest = [c for c in weighted.columns if c not in ("_at", "_w")]
+    told = weighted.where(F.size("_at") > 0)
+    if not logp:
+        return told.select(*rest, F.lit(None).cast("string").alias("prediction"))
+
+    def joint(values: list[float], prior: float) -> Column:
+        of = F.from_json(F.lit(json.dumps(values)), "array<double>")
+        return F.aggregate(F.zip_with("_at", "_w", lambda i, w: w * F.get(of, i)), F.lit(0.0), lambda a, x: a + x) + prior
+
+    ranked = F.array(*[F.struct((-F.round(joint(*of), 9)).alias("s"), F.lit(label).alias("label")) for label, of in logp.items()])
+    return told.select(*rest, F.array_min(ranked)["label"].alias("prediction"))

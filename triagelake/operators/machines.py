@@ -18,7 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS = "at array<int>, v array<double>, label int, fold int, weight double"
+#: ``n`` rows each, which weigh ``weight`` together.
+ROWS = "at array<int>, v array<double>, label int, fold int, weight double, n double"
 #: Results of a pass that go to the driver at once; more are added up by twos before.
 AT_ONCE = 64
 MEMORY = 8
@@ -165,14 +166,14 @@ def _platt(batches: Iterator[pa.RecordBatch], sent_w: Broadcast, ab: np.ndarray,
             at, ends = _flat(part.column("at"), np.int64)
             v, _ = _flat(part.column("v"), np.float64)
             y, held = _targets(part, classes, folds)
-            f = margins(at, v, ends, w)
+            f, n = margins(at, v, ends, w), part.column("n").to_numpy()[:, None]
             z = ab[0] * f + ab[1]
             t = np.where(y > 0, targets[0], targets[1])
             p = 1 / (1 + np.exp(np.clip(z, -700, 700)))  # of the class
             d, h = t - p, p * (1 - p)
             loss = t * np.logaddexp(0, z) + (1 - t) * np.logaddexp(0, -z)
             for i, x in enumerate((y > 0, y < 0, loss, d * f, d, h * f * f, h * f, h)):
-                total[i] += np.where(held, x, 0).sum(0)
+                total[i] += np.where(held, x * n, 0).sum(0)
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["total"])
 
 

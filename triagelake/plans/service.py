@@ -159,8 +159,8 @@ def language_pairs(spark, d):
 @query
 def language_consistency(spark, d):
     """Whether the predictor gives a matter told in several languages one category, and the right one."""
-    told = _predicted(spark, d)
-    return evaluate.by_language(_matters(spark, d).join(told, "ticket_id"), MATTER, "prediction", "category")
+    rows = _matters(spark, d).select("row_ord", "ticket_text", "lang", *MATTER)
+    return evaluate.by_language(_predicted(rows), MATTER, "prediction", "category")
 
 
 @query
