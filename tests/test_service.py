@@ -328,3 +328,12 @@ def test_parts_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(files, "DEALT", 100)
     orders = spark.read.parquet(f"{SMALL}/orders.parquet")
     assert S.raw_tickets(spark, SMALL).rdd.getNumPartitions() == -(-orders.count() // 100) > 4
+
+
+def test_equal_texts_are_scored_once(rows, predictor, monkeypatch):
+    """Three copies of every row: no more vectors are made, and each copy has its row's record."""
+    seen, real = [], models.Features.vectors
+    monkeypatch.setattr(models.Features, "vectors", lambda self, r: (seen.append(r.count()), real(self, r))[1])
+    copies = rows.withColumn("copy", F.explode(F.array(*map(F.lit, range(3)))))
+    found = [predictor.predict(f.select("row_ord", "ticket_id", "ticket_text")).groupBy("row_ord").agg(F.count("*").alias("n"), F.countDistinct("priority", "category", "confidence").alias("k")).collect() for f in (rows, copies)]
+    assert seen[0] == seen[1] <= rows.count() and all(r.n == 3 and r.k == 1 for r in found[1]) and len(found[0]) == len(found[1]) == rows.count()

@@ -287,19 +287,23 @@ class Predictor:
     metrics: dict = field(default_factory=dict)
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (ticket_id, ticket_text, ...) with the prediction record, one plan for all of them.
+        """``rows`` (ticket_id, ticket_text, ...) with the prediction record.
 
-        A null or blank text gives an error record: Unclassified, Medium, the general team, no confidences, signals
-        or explanation.
+        Words and signals are made and written once a row, vectors and probabilities once for each different pair of them. A null
+        or blank text gives an error record: Unclassified, Medium, the general team, no confidences, signals or explanation.
         """
-        known = rows.withColumn("_signals", X.signals(F.col("ticket_text")))
-        scored = self.priority.score(self.category.score(self.features.vectors(known), "_category"), "_priority")
+        kind = F.struct(features.words_of(F.col("ticket_text"), self.features.letters).alias("_words"), X.signals(F.col("ticket_text")).alias("_signals"))
+        known = files.written(rows.withColumn("_kind", kind), "words")
+        kinds = files.written(known.select("_kind").distinct(), "kinds").select("_kind", "_kind._words", "_kind._signals")
+        vectors = files.written(self.features.vectors(kinds).drop("_signals"), "vectors")
+        told = self.priority.score(self.category.score(vectors, "_category"), "_priority").select("_kind", "_category", "_priority")
+        scored = known.join(files.written(told, "scored"), "_kind")
         text = F.col("ticket_text")
         blank = F.coalesce(X.strip(text) == "", F.lit(True))
         ok = lambda c: F.when(~blank, c)
         percent = lambda p: F.round(F.array_max(p) * 100, 2)
         category, priority = self.category.label("_category"), self.priority.label("_priority")
-        signals = F.col("_signals")
+        signals = F.col("_kind._signals")
         record = {
             "status": F.when(blank, "error").otherwise("success"),
             "category": F.when(blank, "Unclassified").otherwise(category),
