@@ -98,3 +98,21 @@ def test_nothing_new_and_odd_rows(spark, places):
     found = spark.read.parquet(f"{out}/rejected").groupBy("batch").agg(F.count("*").alias("n")).collect()
     assert [tuple(r) for r in found] == [(0, 3)]
     assert [r.ticket_text for r in spark.read.parquet(f"{out}/manual").collect()] == ["a\nb text"]
+
+
+def test_one_call_of_the_state_serves_many_keys():
+    from pyspark.sql import Row
+
+    class Keys(dict):
+        updateValue, containsKey = dict.__setitem__, dict.__contains__  # noqa: N815
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return Keys()
+
+    known = landing.Known()
+    known.init(Handle())
+    row = lambda key, batch=None: Row(key=key, batch=batch)
+    told = lambda *rows: [tuple(r) for r in known.handleInputRows((7,), iter(rows), None)]
+    assert told(row(b"a"), row(b"b", 0), row(b"c", 0)) == [(b"b", True, 0), (b"c", True, 0)]
+    assert told(row(b"a"), row(b"c"), row(b"a", 1), row(b"a")) == [(b"c", True, None), (b"a", True, 1), (b"a", True, None)]
