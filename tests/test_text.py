@@ -94,3 +94,9 @@ def test_departments_and_ids(spark):
     assert got == ["Billing Team", "Logistics Team", *["General Support Team"] * 3]
     (number,) = values(spark, ["x"], lambda c: X.reference_number("FB-", c))
     assert len(number) == 9 and number == values(spark, ["x"], lambda c: X.reference_number("FB-", c))[0]
+
+
+def test_the_gate_makes_its_parts_once_a_row(spark):
+    rows = spark.createDataFrame([("  a text  ",)], "t string")
+    plan = rows.select(X.gate(F.col("t")).alias("g")).select("g.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"[^\p{L}\p{N}]+") == 1 and plan.count(r"(?U)\s+$") == 1

@@ -195,12 +195,15 @@ def text_field(body: Column, name: str, default: str = "") -> Column:
 def json_text(body: Column, name: str) -> Column:
     """A text field of a JSON object as it is; null where it is missing, no text, or the body no object."""
     value = F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return X.bound(value, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def truth_field(body: Column, name: str, default: bool = False) -> Column:
     """1 for the JSON values 1, 1.0, true, "1" and "true", else 0; ``default`` where the field is missing."""
-    value = F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant")
+    return X.bound(F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant"), lambda value: _truth(value, default))
+
+
+def _truth(value: Column, default: bool) -> Column:
     kind = F.schema_of_variant(value)
     yes = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(kind == "STRING", F.try_variant_get(value, "$", "string").isin("1", "true"))
     yes = yes.when(kind == "VOID", False).otherwise(F.try_variant_get(value, "$", "double") == 1.0)
