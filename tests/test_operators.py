@@ -209,3 +209,24 @@ def test_softmax_makes_each_margin_once_a_row(spark):
     assert plan._jdf.queryExecution().executedPlan().toString().count("rand(") == 1
     got = [r.s for r in plan.collect()]
     assert got[0] == {"a": 26.89, "b": 73.11} and got[1] == {"a": 50.0, "b": 50.0} and got[2] == {"a": 1.8, "b": 98.2}
+
+
+def test_a_pattern_that_is_there_is_not_made_again_and_shared_texts_are_counted_once(spark):
+    rows = spark.createDataFrame([(0, "Case one", "A", "p"), (1, "Case two", "A", "q"), (2, " case one", "A", "p")], "row_ord long, ticket_text string, category string, pattern string")
+    split = prepare.with_split(rows)
+    assert {(r.row_ord, r.pattern) for r in split.collect()} == {(0, "p"), (1, "q"), (2, "p")}
+    told = rows.withColumn("split", F.when(F.col("row_ord") == 2, "test").otherwise("train"))
+    assert tuple(prepare.split_overlap(told.unionByName(told)).first()) == (1, 0, 1)
+    assert tuple(prepare.split_overlap(told.unionByName(told.withColumn("split", F.lit("test"))).drop("pattern")).first()) == (2, 2, 2)
+
+
+def test_violations_carry_only_what_is_wanted(spark):
+    from triagelake.operators import constraints
+
+    rows = spark.createDataFrame([(1, 1, "f1"), (2, 1, "f2"), (3, 9, "f3"), (4, 4, "f9"), (5, 5, "f1"), (6, None, "f2"), (7, 7, None)], "seq long, id long, feedback_id string")
+    rows = rows.selectExpr("*", "'t' as ticket_id", "'Low' as original_priority", "'Low' as corrected_priority", "repeat('x', 100) as reason")
+    there = spark.createDataFrame([(9, "f9")], "id long, feedback_id string")
+    found = constraints.violations(rows, "priority_feedback", {"priority_feedback": there}, keep=("feedback_id",))
+    assert found.columns == ["seq", "feedback_id", "violation"]
+    why = {r.seq: r.violation and r.violation.rsplit(".", 1)[1] for r in found.collect()}
+    assert why == {1: None, 2: "id", 3: "id", 4: "feedback_id", 5: "feedback_id", 6: None, 7: "feedback_id"}

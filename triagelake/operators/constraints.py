@@ -6,6 +6,7 @@ and, within the batch, by the acceptance fold: a row is turned away only by a ro
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,33 +38,41 @@ def _key(columns: tuple[str, ...]) -> Column:
     return F.when(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False)), None).otherwise(F.to_json(F.struct(*columns)))
 
 
-def violations(rows: DataFrame, name: str, there: dict[str, DataFrame], order: str = "seq") -> DataFrame:
+def violations(rows: DataFrame, name: str, there: dict[str, DataFrame], order: str = "seq", keep: Sequence[str] | None = None) -> DataFrame:
     """``rows`` with ``violation``, why a row cannot be let in after those that are ``there`` (relation -> rows), else null.
 
     Rows are taken in ``order``, values that no two of them share. The first demand in the order required, references,
-    unique that a row misses is told. Null keys are unique.
+    unique that a row misses is told. Null keys are unique. ``keep``: the columns beside ``order`` that are wanted, all
+    unless named; others do not travel.
     """
     demands = DEMANDS[name]
-    told = [F.when(F.col(c).isNull(), f"NOT NULL constraint failed: {name}.{c}") for c in demands.required]
+    kept = list(rows.columns) if keep is None else [order, *[c for c in keep if c != order]]
+    needed = list(dict.fromkeys([*kept, *[c for c, *_ in demands.references]]))
+    missing = F.coalesce(*[F.when(F.col(c).isNull(), f"NOT NULL constraint failed: {name}.{c}") for c in demands.required])
+    rows = rows.select(*needed, missing.alias("violation"), *[_key(columns).alias(f"_key{i}") for i, columns in enumerate(demands.unique)])
+    told = [F.col("violation")]
     for column, relation, key in demands.references:
         known = there[relation].select(F.col(key).alias(column), F.lit(True).alias(f"_has_{column}")).where(F.col(column).isNotNull()).distinct()
         rows = rows.join(known, column, "left")
         told.append(F.when(F.col(column).isNotNull() & F.col(f"_has_{column}").isNull(), f"FOREIGN KEY constraint failed: {name}.{column}"))
     for i, columns in enumerate(demands.unique):
         known = there[name].select(_key(columns).alias(f"_key{i}"), F.lit(True).alias(f"_taken{i}")).where(F.col(f"_key{i}").isNotNull()).distinct()
-        rows = rows.withColumn(f"_key{i}", _key(columns)).join(known, f"_key{i}", "left")
-    rows = files.written(rows.withColumn("violation", F.coalesce(*told)), "demands")
+        rows = rows.join(known, f"_key{i}", "left")
+    keys = [f"_{what}{i}" for what in ("key", "taken") for i in range(2)]
+    rows = files.written(rows.withColumn("violation", F.coalesce(*told)).select(*kept, "violation", *keys), "demands")
     # A null key keeps nobody out: it stands for itself in the fold.
     own = lambda i: F.coalesce(f"_key{i}", F.concat(F.lit("null "), F.col(order).cast("string")))
     let_in = fold.first_come(rows.where("violation is null and _taken0 is null and _taken1 is null"), order, own(0), own(1))
-    why = [F.col("violation")]
-    for i, columns in enumerate(demands.unique):
+    unique = ["UNIQUE constraint failed: " + ", ".join(f"{name}.{c}" for c in columns) for columns in demands.unique]
+    # Only rows that nothing has settled yet meet those that were let in.
+    settled = F.col("violation").isNotNull() | F.col("_taken0").isNotNull()
+    done, rest = rows.where(settled).withColumn("violation", F.coalesce("violation", F.lit(unique[0]))), rows.where(~settled)
+    why = []
+    for i, message in enumerate(unique):
         holder = let_in.select(F.col(f"_{'ab'[i]}").alias(f"_short{i}"), F.col("_ord").alias(f"_holder{i}"))
-        rows = rows.withColumn(f"_short{i}", fold.short(own(i))).join(holder, f"_short{i}", "left")
-        taken = F.col(f"_taken{i}").isNotNull() | F.coalesce(F.col(f"_holder{i}") < F.col(order), F.lit(False))
-        why.append(F.when(taken, "UNIQUE constraint failed: " + ", ".join(f"{name}.{c}" for c in columns)))
-    rows = rows.withColumn("violation", F.coalesce(*why))
-    return rows.drop(*[f"_{what}{i}" for what in ("key", "taken", "short", "holder") for i in range(2)], *[f"_has_{c}" for c, *_ in demands.references])
+        rest = rest.withColumn(f"_short{i}", fold.short(own(i))).drop(f"_key{i}").join(holder, f"_short{i}", "left").drop(f"_short{i}")
+        why.append(F.when(F.col(f"_taken{i}").isNotNull() | F.coalesce(F.col(f"_holder{i}") < F.col(order), F.lit(False)), message))
+    return done.select(*kept, "violation").unionByName(rest.withColumn("violation", F.coalesce(*why)).select(*kept, "violation"))
 
 
 def append_checked(rows: DataFrame, path: str, name: str) -> DataFrame:
