@@ -40,3 +40,11 @@ def test_documents(spark):
         assert got == sorted([(1, "order child box", "k")] * 2 + [(2, "", None), (3, "", ""), (4, " ".join(["geese lost wife"] * 5000), "x"), (None, "status order", "")], key=str)
     assert lemmas.preprocess(docs.limit(0), lexicon, exceptions).count() == 0
     assert sorted(r.words for r in lemmas.preprocess(docs.where("doc_id = 1"), lexicon.limit(0), exceptions.limit(0)).collect()) == ["orders children boxes"] * 2
+
+
+def test_words_that_do_not_change_stay_in_their_row(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    docs = frame([(1, "parcels parcel parcels late"), (2, "late"), (3, None)], "id long, text string")
+    found = lemmas.preprocess(docs, frame([("parcel",)], "word string"), frame([], "word string, form string"))
+    assert {r.id: r.words for r in found.collect()} == {1: "parcel parcel parcel late", 2: "late", 3: ""}
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -48,9 +48,10 @@ def preprocess(docs: DataFrame, lexicon: DataFrame, exceptions: DataFrame, text:
     A null or empty text gives the empty text; repeated rows are handled each. An empty lexicon leaves all words as they are.
     """
     rows = files.written(docs.select(F.struct("*").alias("doc"), X.kept_words(F.col(text)).alias("kept")), "kept").withColumn("row", F.monotonically_increasing_id())
-    placed = rows.select("row", F.posexplode("kept").alias("place", "word"))
-    table = files.written(lemma_table(placed.select("word").distinct(), lexicon, exceptions), "lemmas")
-    told = placed.join(F.broadcast(table) if table.count() <= broadcast else table, "word", "left")
-    again = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("lemma", "word").alias("w")))).alias("found"))
-    joined = F.array_join(F.transform("found", lambda x: x["w"]), " ")
-    return rows.join(again.select("row", joined.alias("words")), "row", "left").select("doc.*", F.coalesce("words", F.lit("")).alias("words"))
+    seen = rows.select("row", F.explode(F.array_distinct("kept")).alias("word"))
+    table = files.written(lemma_table(seen.select("word").distinct(), lexicon, exceptions), "lemmas")
+    # A row's words stay in it: what goes back to it is those of its words that change, once each.
+    told = seen.join(F.broadcast(table) if table.count() <= broadcast else table, "word")
+    changed = told.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("lemmas"))
+    joined = F.array_join(F.transform("kept", lambda w: F.coalesce(F.try_element_at("lemmas", w), w)), " ")
+    return rows.join(changed, "row", "left").select("doc.*", joined.alias("words"))
