@@ -337,3 +337,25 @@ def test_equal_texts_are_scored_once(rows, predictor, monkeypatch):
     copies = rows.withColumn("copy", F.explode(F.array(*map(F.lit, range(3)))))
     found = [predictor.predict(f.select("row_ord", "ticket_id", "ticket_text")).groupBy("row_ord").agg(F.count("*").alias("n"), F.countDistinct("priority", "category", "confidence").alias("k")).collect() for f in (rows, copies)]
     assert seen[0] == seen[1] <= rows.count() and all(r.n == 3 and r.k == 1 for r in found[1]) and len(found[0]) == len(found[1]) == rows.count()
+
+
+def test_languages_and_predictions_of_a_group_are_counted_in_one_pass(spark):
+    """No row is multiplied for the values that are counted; nulls are none of them, and a value that is not listed is told."""
+    rows = spark.createDataFrame([(1, "en", "a", "a"), (1, "hi", "a", "a"), (1, "hi", "a", "a"), (2, "en", "a", "a"), (2, "gu", "b", "a"), (2, "hi", None, "a"), (3, "en", "a", "a"), (4, None, "b", "b"), (4, "en", None, "b"), (4, "gu", None, "b")], "g long, lang string, p string, e string")
+    told = evaluate.by_language(rows, ("g",), "p", "e", ("en", "gu", "hi"), ("a", "b"))
+    assert sorted(map(tuple, told.collect())) == [(1, 2, True, True), (2, 3, False, False), (4, 2, True, True)]
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "SortAggregate" not in plan
+    with pytest.raises(Exception, match="unlisted p: b"):
+        evaluate.by_language(rows, ("g",), "p", "e", ("en", "gu", "hi"), ("a",)).collect()
+
+
+def test_weights_are_made_once_for_a_prediction(spark):
+    """Rows without a known term go without a condition that would make the weights again below them."""
+    docs = spark.createDataFrame([(1, ["aa", "bb"]), (2, ["bb", "bb"]), (3, ["zz"]), (4, [])], "row_ord long, _words array<string>")
+    weighted = models.Features(["aa", "bb"], [1.0, 2.0]).weighted(docs)
+    priors = spark.createDataFrame([("x", math.log(0.5)), ("y", math.log(0.5))], "label string, prior double")
+    likelihood = spark.createDataFrame([("x", "aa", -0.1), ("x", "bb", -2.0), ("y", "aa", -2.0), ("y", "bb", -0.1)], "label string, term string, logp double")
+    found = features.bayes_predict(weighted, ["aa", "bb"], priors, likelihood)
+    assert sorted(map(tuple, found.collect())) == [(1, "y"), (2, "y")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("UDF(") == 1

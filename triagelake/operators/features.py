@@ -54,13 +54,14 @@ def bayes_predict(weighted: DataFrame, terms: list[str], priors: DataFrame, like
     for r in likelihood.collect():
         logp[r.label][0][place[r.term]] = r.logp
     rest = [c for c in weighted.columns if c not in ("_at", "_w")]
-    told = weighted.where(F.size("_at") > 0)
     if not logp:
-        return told.select(*rest, F.lit(None).cast("string").alias("prediction"))
+        return weighted.where(F.size("_at") > 0).select(*rest, F.lit(None).cast("string").alias("prediction"))
 
-    def joint(values: list[float], prior: float) -> Column:
+    def joint(terms: Column, values: list[float], prior: float) -> Column:
         of = F.from_json(F.lit(json.dumps(values)), "array<double>")
-        return F.aggregate(F.zip_with("_at", "_w", lambda i, w: w * F.get(of, i)), F.lit(0.0), lambda a, x: a + x) + prior
+        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["_w"] * F.get(of, x["_at"])) + prior
 
-    ranked = F.array(*[F.struct((-F.round(joint(*of), 9)).alias("s"), F.lit(label).alias("label")) for label, of in logp.items()])
-    return told.select(*rest, F.array_min(ranked)["label"].alias("prediction"))
+    ranked = lambda terms: F.array(*[F.struct((-F.round(joint(terms, *of), 9)).alias("s"), F.lit(label).alias("label")) for label, of in logp.items()])
+    # A condition on the weights would be pushed below them and make them a second time; a list of one or no predictions is not.
+    told = F.when(F.size("_at") > 0, F.array(F.array_min(X.bound(F.arrays_zip("_at", "_w"), ranked))["label"]))
+    return weighted.select(*rest, F.explode(told).alias("prediction"))
