@@ -149,3 +149,27 @@ def test_the_slower_of_two_writers_is_told(spark, tmp_path):
         store.append(row(again, "Closed"), path, "tickets", expect=again)
     store.append(row(again + 1, "Closed"), path, "tickets", expect=again + 1)
     assert [r.status for r in store.state(spark, path, "tickets", "ticket_id").collect()] == ["Closed"]
+
+
+def test_a_first_snapshot_is_counted_by_its_keys(spark, tmp_path, monkeypatch):
+    """The buckets follow from the rows that stay, and no row is made whole to count them."""
+    path, counted, kind = f"file://{tmp_path}/store", [], type(spark.range(1))
+    store.create(spark, path)
+    events = events_of(random.Random(5), 1, 60)
+    append(spark, path, events)
+    real = kind.count
+    with monkeypatch.context() as patch:
+        patch.setattr(kind, "count", lambda self: (counted.append((self.columns, real(self))), counted[-1][1])[1])
+        store.compact(spark, path, "tickets", 7)
+    n = len(replay(events))
+    assert counted[0] == (["ticket_id", "seq"], n) and snapshots.pointer(spark, path, "tickets")["buckets"] == -(-n // 7)
+    assert read(spark, path) == replay(events)
+
+
+def test_replayed_rows_are_made_once(spark, monkeypatch):
+    from triagelake.plans.queries import QUERIES
+
+    read_from, real = [], store.append
+    monkeypatch.setattr(store, "append", lambda rows, *a, **k: (read_from.extend(rows.inputFiles()), real(rows, *a, **k)))
+    assert QUERIES["store_replay"](spark, "/root/testdata/sf0.001").count() > 0
+    assert read_from and not any("orders.parquet" in f for f in read_from)

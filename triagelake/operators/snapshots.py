@@ -50,14 +50,16 @@ def state(spark: SparkSession, path: str, name: str, key: str, events: DataFrame
     return merged(_table(spark, found, schema), events.where((F.col("seq") > found["through"]) & F.col(key).isNotNull()), key)
 
 
-def compact(spark: SparkSession, path: str, name: str, key: str, now: DataFrame, through: int, bucket_rows: int = BUCKET_ROWS) -> None:
+def compact(spark: SparkSession, path: str, name: str, key: str, now: DataFrame, through: int, bucket_rows: int = BUCKET_ROWS, keys: DataFrame | None = None) -> None:
     """Write ``now``, the state up to sequence number ``through``, as the snapshot of a relation. Rows with a null key stay out.
 
+    ``keys``: a frame of as many rows as ``now`` has that costs less to count.
+
     The number of buckets follows from the rows; a snapshot keeps the last one's, so that nothing of it moves, until it holds four
     times the rows they are meant for. The pointer is written last: a compaction that fails leaves the former snapshot.
     """
     found = pointer(spark, path, name)
-    rows = found["rows"] if found else now.count()
+    rows = found["rows"] if found else (now if keys is None else keys).count()
     buckets = found["buckets"] if found and rows <= 4 * bucket_rows * found["buckets"] else max(1, -(-rows // bucket_rows))
     version = uuid.uuid4().hex
     table = f"snapshot_{name}_{hashlib.md5(path.encode()).hexdigest()[:8]}_{version[:8]}"

@@ -58,9 +58,13 @@ def append(rows: DataFrame, path: str, name: str, kind: str = "put", expect: int
     empty.unionByName(rows.withColumn("kind", F.lit(kind)), allowMissingColumns=True).select(*empty.columns).write.mode("append").parquet(f"{path}/{name}")
 
 
+def _events(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.option("mergeSchema", True).schema(f"seq long, kind string, {SCHEMAS[name]}").parquet(f"{path}/{name}")
+
+
 def state(spark: SparkSession, path: str, name: str, key: str) -> DataFrame:
     """The rows that a relation's snapshot, if it has one, and its events leave; columns that older files lack are null."""
-    events = spark.read.option("mergeSchema", True).schema(f"seq long, kind string, {SCHEMAS[name]}").parquet(f"{path}/{name}")
+    events = _events(spark, path, name)
     found = snapshots.state(spark, path, name, key, events)
     return latest(events, key) if found is None else found
 
@@ -68,7 +72,9 @@ def state(spark: SparkSession, path: str, name: str, key: str) -> DataFrame:
 def compact(spark: SparkSession, path: str, name: str, bucket_rows: int = snapshots.BUCKET_ROWS) -> int:
     """Make the state of now a relation's snapshot and delete the event files it holds; returns how many."""
     key, through = KEYS[name], next_seq(spark, path, name) - 1
-    snapshots.compact(spark, path, name, key, state(spark, path, name, key), through, bucket_rows)
+    # The rows of a first snapshot are counted by what settles whether a key is there, not by making them.
+    keys = latest(_events(spark, path, name).select(key, "seq", "kind"), key)
+    snapshots.compact(spark, path, name, key, state(spark, path, name, key), through, bucket_rows, keys)
     return snapshots.trim(spark, path, name)
 
 
