@@ -257,6 +257,11 @@ def test_banded_distance(edits):
         assert line_dedup.within(a, b, edits) == (line_dedup._by_table(a, b) <= edits), (a, b)
 
 
+def test_no_edits_are_equality():
+    assert line_dedup.within("And to", "And to", 0) and not line_dedup.within("And to", "It and", 0)
+    assert not line_dedup.within("abc", "abd", 0) and not line_dedup.within("", "a", 0)
+
+
 def brute_windows(rows, size=13):
     first = {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):

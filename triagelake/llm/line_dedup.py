@@ -143,8 +143,8 @@ def within(a: str, b: str, edits: int) -> bool:
     """
     if abs(len(a) - len(b)) > edits:
         return False
-    if a == b:
-        return True
+    if a == b or not edits:
+        return a == b
     if cut := len(commonprefix([a, b])):
         a, b = a[cut:], b[cut:]
     if cut := len(commonprefix([a[::-1], b[::-1]])):
