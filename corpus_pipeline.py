@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm import langid
-from triagelake.llm.common import apart, clear_shared, drop_written, materialize, table
+from triagelake.llm.common import apart, clear_shared, drop_written, materialize, small_batches, table
 from triagelake.llm.line_dedup import remove_lines
 from triagelake.llm.ngram_join import near_duplicates
 from triagelake.llm.packing import pack_documents
@@ -37,6 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no letter and go; a null doc_id takes no part in training, only in the judgement. Without
     any labelled text there is no network, and everything goes.
     """
+    small_batches(spark)
     found = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
@@ -47,6 +48,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are, as does a document with a null doc_id; blank lines stay. Rows of one doc_id
     are alike in place, so neither cuts the other.
     """
+    small_batches(spark)
     cut = remove_lines(docs.select(*COLUMNS), exact_short=True, scaled=True)
     return _recounted(cut.where((F.col("n_cut") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")))
 
@@ -57,6 +59,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that are null or without words are in no group and stay, as do rows with a null doc_id; rows that repeat the
     smallest doc_id all stay.
     """
+    small_batches(spark)
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -68,6 +71,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and short texts stay as they are, as does a document with a null doc_id; rows of one doc_id do not cut
     each other.
     """
+    small_batches(spark)
     cut = remove_repeats(docs.select(*COLUMNS))
     return _recounted(cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))))
 

@@ -7,11 +7,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from triagelake.llm import packing, sentencepiece_fst, token_records
+from triagelake.llm import common, packing, rows, sentencepiece_fst, token_records
 from triagelake.llm.tokenize import WordEncoder
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -109,6 +111,30 @@ def test_packing_is_gapless_and_whole(docs):
     assert all(a + b > 256 for i, a in enumerate(totals) for b in totals[:i])  # no two could be one
 
 
+def test_texts_reach_workers_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))
+    sizes = lambda rows: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"]) for b in rows)
+    stages = dict(pytest.importorskip("corpus_pipeline").STAGES)
+    for start in (lambda: packing.token_pieces(wide, WORDS, 2048), lambda: stages["language"](spark, wide.selectExpr("*", "cast(null as string) lang", "'' source", "0L n_chars"), "")):
+        spark.conf.unset(name)
+        start()
+        got = wide.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 2 * common.BATCH_BYTES
+    spark.conf.set(name, "1m")
+    common.small_batches(spark)
+    assert spark.conf.get(name) in ("1m", "1048576b")
+    spark.conf.unset(name)
+
+
+def test_small_batches_are_joined_before_they_are_dealt():
+    whole = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["w" * 100] * 100)], ["doc_id", "text"])
+    some = [whole.slice(i, 5) for i in range(0, 100, 5)]
+    joined = list(rows.together(iter([*some, whole.slice(0, 0)]), 2500))
+    assert pa.Table.from_batches(joined).equals(pa.Table.from_batches([whole])) and 2 <= len(joined) <= 6
+    assert list(rows.pack_rows(iter([]), 3)) == [] and len(list(rows.pack_rows(iter(some), 3))) == 3
+
+
 def test_padding_is_little():
     rng = random.Random(1)
     for most in (16, 256, 2048):

@@ -104,6 +104,22 @@ def partitions_for(rows: DataFrame) -> int:
     return max(partitions(rows.sparkSession), -(-size // PARTITION_BYTES) if known else 0)
 
 
+#: Bytes of rows that go to a Python worker in one Arrow batch, unless one row has more.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to ``BATCH_BYTES``, or less if it has less.
+
+    The setting by rows lets 10,000 texts into one batch; JVM and worker then hold tens of MB of it, several times over, in
+    memory beside the heap that is not all given back. It is read when a plan runs, so it stays set. Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, dealt over the cores where it is one small file."""
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, small_batches
 from .tokenize import batches, encoder
 
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -130,6 +130,7 @@ def _pieces(rows: Iterator[pa.RecordBatch], path: str, end_id: int, max_len: int
 
 def token_pieces(docs: DataFrame, vocabulary: str, max_len: int, end_id: int = 1) -> DataFrame:
     """Every whole ``text`` (null: empty) as ids and ``end_id``, cut into pieces of ``max_len`` and a rest."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(partial(_pieces, path=vocabulary, end_id=end_id, max_len=max_len), PIECES_SCHEMA)
 
 

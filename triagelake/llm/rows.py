@@ -17,6 +17,8 @@ from .worker import release
 SCHEMA = "part int, kind int, data binary"
 ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 ROWS, POSTINGS = 0, 1
+#: Bytes of rows that :func:`pack_rows` cuts into blocks at once.
+TOGETHER = 24 << 20
 
 
 def home(owners: np.ndarray, parts: int) -> np.ndarray:
@@ -24,13 +26,32 @@ def home(owners: np.ndarray, parts: int) -> np.ndarray:
     return blocks.target(mix(owners.astype(np.uint64)), parts)
 
 
+def together(batches: Iterator[pa.RecordBatch], least: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``least`` bytes or more, so that the blocks of many partitions are no smaller for small batches."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            held[:] = pa.Table.from_batches(held).combine_chunks().to_batches()
+        while held:
+            yield held.pop(0)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= least:
+                yield from joined()
+                size = 0
+    yield from joined()
+
+
 def pack_rows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows as blocks; those with a null doc_id go by their text, as nothing comes to meet them."""
     release()
     options = pa.ipc.IpcWriteOptions(compression="zstd")
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in together(batches):
         ids = batch.column("doc_id")
         to = home(ids.fill_null(0).to_numpy(zero_copy_only=False), parts)
         for i in np.flatnonzero(np.asarray(ids.is_null())):
