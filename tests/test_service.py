@@ -4,12 +4,14 @@ import csv
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from triagelake import fixed
+from triagelake.functions import text as X
 from triagelake.operators import evaluate, features, ingest, machines, models, store
 from triagelake.plans.queries import QUERIES
 from triagelake.sources import files
@@ -359,3 +361,46 @@ def test_weights_are_made_once_for_a_prediction(spark):
     found = features.bayes_predict(weighted, ["aa", "bb"], priors, likelihood)
     assert sorted(map(tuple, found.collect())) == [(1, "y"), (2, "y")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("UDF(") == 1
+
+
+def test_shapes_have_the_words_and_signals_of_texts(spark):
+    """Digits that patterns name stay as they are, longer runs are alike; blankness stays too."""
+    for pattern in (p for rules in fixed.SIGNALS.values() for p, _ in rules):
+        for named in re.finditer("[0-9]+", pattern):
+            assert pattern.startswith(r"\b(") and pattern[named.start() - 1] in "(|" and re.match(r"\\s|[a-z]", pattern[named.end() :]) and len(named.group()) < X.LONG_RUN
+    chance = random.Random(4)
+    pieces = ["24 hours", "2fa failed", "500 internal", "delayed by 2 days", "late by 123456 days", "delayed for 70000 weeks", "refund", "www.a.org/", "<b", ">", "hours", "fa failed", "internal", "error code", "ERR_", "-", " ", "\n", "હેક", "٣٤٥٦٧"]
+    number = lambda: "".join(chance.choice("0245") for _ in range(chance.randint(1, 7)))
+    texts = [None, "", "  ", "1924 hours", "12342fa failed", "9500 internal", "0000 24 hours", *("".join(chance.choice([number(), *chance.sample(pieces, 2)]) + chance.choice(["", " "]) for _ in range(6)) for _ in range(400))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("s", X.shape(F.col("t")))
+    of = lambda c: F.struct(X.signals(F.col(c)), features.words_of(F.col(c)), features.words_of(F.col(c), True), F.coalesce(X.strip(F.col(c)) == "", F.lit(True)))
+    assert rows.where(of("t") != of("s")).count() == 0 < rows.where("t <> s").count()
+    assert [r.s for r in rows.where("i in (0, 3)").orderBy("i").collect()] == ["", "0000 hours"]
+    named = spark.createDataFrame([(n,) for n in ("Refund", " rEFUND ", "technical support", "re fund", "", None)], "n string")
+    assert [r.n for r in named.select(X.title(F.col("n"), fixed.CATEGORIES).alias("n")).collect()] == ["Refund", "Refund", "Technical Support", None, None, None]
+
+
+def test_texts_are_read_once_a_shape(spark, rows, predictor, monkeypatch):
+    """Texts that differ in a long number: training and prediction make words, signals and records of one, and every row has its own answer."""
+    seen, real = {}, files.written
+
+    def counted(frame, tag):
+        out = real(frame, tag)
+        seen[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(files, "written", counted)
+    asked = spark.createDataFrame([(i, f"T{i}", f"Refund my order {10_000 + i} please", "Refund", "High", "train") for i in range(120)], rows.schema)
+    found = predictor.predict(asked.select("row_ord", "ticket_id", "ticket_text")).collect()
+    assert set(seen.values()) == {1} and sorted(r.row_ord for r in found) == list(range(120)) and {(r.status, r.priority_signals.financial_impact) for r in found} == {("success", 0.75)}
+    seen.clear()
+    made, slim, kinds = models.prepared(asked.unionByName(rows), (models.Config("s", models.SVM, signals=True),), 60)
+    assert slim.count() == 240 == seen.pop("rows") and "words" not in seen and kinds.count() <= 37 and max(seen.values()) <= 37
+    plain = models.Features.fit(asked.unionByName(rows).where("split = 'train'"), 60)
+    assert plain.terms == made.terms and plain.idf == made.idf
+
+
+def test_predicted_rows_meet_no_pattern(spark):
+    """What predict_tickets checks of a text it makes once a shape: no signal's pattern is left for the pass over the rows."""
+    plan = QUERIES["predict_tickets"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp_replace" in plan

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +25,20 @@ def terms_of(words: Column) -> Column:
     return X.bound(words, lambda w: F.concat(w, pairs(w)))
 
 
-def vocabulary(docs: DataFrame, words: Column, n_docs: DataFrame, size: int) -> DataFrame:
-    """(term, idf) of the ``size`` terms with the highest counts, ties by term; a row of ``docs`` is a document, ``n_docs``: one row with n.
+def by_shape(rows: DataFrame, make: Callable[[Column], Column]) -> DataFrame:
+    """(_shape, made), written: ``make`` of the shape (:func:`text.shape`) of ``rows``' ticket_text, once for each different one."""
+    shapes = rows.select(X.shape(F.col("ticket_text")).alias("_shape")).distinct()
+    return files.written(shapes.select("_shape", make(F.col("_shape")).alias("made")), "shapes")
+
+
+def vocabulary(docs: DataFrame, words: Column, n_docs: DataFrame, size: int, times: Column | None = None) -> DataFrame:
+    """(term, idf) of the ``size`` terms with the highest counts, ties by term; a row of ``docs`` is a document, or ``times`` equal ones, ``n_docs``: one row with n.
 
     A row's terms are counted in the row: only terms with their sums are shuffled, never (document, term) pairs.
     """
     first = lambda s: F.transform(s, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get(s, i - 1) == t), 0).otherwise(1).alias("first")))
-    counted = docs.select(F.explode(X.bound(F.sort_array(terms_of(words)), first)).alias("x")).select("x.*")
-    top = counted.groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("total")).orderBy(F.desc("total"), F.asc("term")).limit(size)
+    counted = docs.select((F.lit(1) if times is None else times).alias("times"), F.explode(X.bound(F.sort_array(terms_of(words)), first)).alias("x")).select("times", "x.*")
+    top = counted.groupBy("term").agg(F.sum(F.col("first") * F.col("times")).alias("df"), F.sum("times").alias("total")).orderBy(F.desc("total"), F.asc("term")).limit(size)
     return top.crossJoin(n_docs).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # a single row beside each
 
 
