@@ -25,10 +25,16 @@ def terms_of(words: Column) -> Column:
     return X.bound(words, lambda w: F.concat(w, pairs(w)))
 
 
-def by_shape(rows: DataFrame, make: Callable[[Column], Column]) -> DataFrame:
-    """(_shape, made), written: ``make`` of the shape (:func:`text.shape`) of ``rows``' ticket_text, once for each different one."""
-    shapes = rows.select(X.shape(F.col("ticket_text")).alias("_shape")).distinct()
-    return files.written(shapes.select("_shape", make(F.col("_shape")).alias("made")), "shapes")
+def by_shape(rows: DataFrame, make: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(_shape, kind) and (kind, made), both written: ``make`` of the shape (:func:`text.shape`) of ``rows``' ticket_text, once for each different one.
+
+    What is wide is there once for each different ``made``; rows meet their shapes by a narrow table. Shapes are dealt over all
+    cores, as few bytes of them may be much work.
+    """
+    shapes = rows.select(X.shape(F.col("ticket_text")).alias("_shape")).distinct().repartition(rows.sparkSession.sparkContext.defaultParallelism, "_shape")
+    told = files.written(shapes.select("_shape", make(F.col("_shape")).alias("made")), "shapes")
+    kinds = files.written(told.select("made").distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    return files.written(told.join(kinds, "made").select("_shape", "kind"), "kind_of"), kinds
 
 
 def vocabulary(docs: DataFrame, words: Column, n_docs: DataFrame, size: int, times: Column | None = None) -> DataFrame:

@@ -237,18 +237,11 @@ def by_kind(rows: DataFrame, letters: bool = False, signals: bool = True) -> tup
     Words and signals are made once for each different shape of a text; signals that no model sees are not made, but 0.
     """
     seen = lambda t: X.signals(t) if signals else F.struct(*[F.lit(0.0).alias(s) for s in fixed.SIGNALS])
-    shapes = features.by_shape(rows, lambda t: F.struct(features.words_of(t, letters).alias("_words"), seen(t).alias("_signals")))
-    kinds = numbered(shapes)
-    kind_of = files.written(shapes.join(kinds, "made").select("_shape", "kind"), "kind_of")
+    kind_of, kinds = features.by_shape(rows, lambda t: F.struct(features.words_of(t, letters).alias("_words"), seen(t).alias("_signals")))
     slim = files.written(rows.withColumn("_shape", X.shape(F.col("ticket_text"))).drop("ticket_text").join(kind_of, "_shape").drop("_shape"), "rows")
     return slim, kinds.select("kind", "made._words", "made._signals")
 
 
-def numbered(shapes: DataFrame) -> DataFrame:
-    """(made, kind), written: a number for each different pair of words and signals that was made."""
-    return files.written(shapes.select("made").distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds")
-
-
 def vectors_of(made: Features, kinds: DataFrame) -> DataFrame:
     """The vectors of every kind of :func:`by_kind`, written: what costs by the vector is done once for each."""
     return files.written(made.vectors(kinds).select("kind", "plain", "stacked"), "vectors")
@@ -299,16 +292,16 @@ class Predictor:
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` (ticket_id, ticket_text, ...) with the prediction record.
 
-        Words and signals are made once for each different shape of a text, vectors and probabilities once for each different pair
-        of them, records once for each shape; a row meets its shape's record. A null or blank text gives an error record:
-        Unclassified, Medium, the general team, no confidences, signals or explanation.
+        Words and signals are made once for each different shape of a text, vectors, probabilities and records once for each
+        different pair of them. A null or blank text gives an error record: Unclassified, Medium, the general team, no
+        confidences, signals or explanation.
         """
-        shapes = features.by_shape(rows, lambda t: F.struct(features.words_of(t, self.features.letters).alias("_words"), X.signals(t).alias("_signals")))
-        kinds = numbered(shapes)
+        seen = {"_words": lambda t: features.words_of(t, self.features.letters), "_signals": X.signals, "_blank": lambda t: X.strip(t) == ""}
+        kind_of, kinds = features.by_shape(rows, lambda t: F.struct(*[f(t).alias(k) for k, f in seen.items()]))
         vectors = files.written(self.features.vectors(kinds.select("kind", "made._words", "made._signals")).drop("_signals"), "vectors")
         told = self.priority.score(self.category.score(vectors, "_category"), "_priority").select("kind", "_category", "_priority")
-        scored = shapes.join(kinds, "made").join(files.written(told, "scored"), "kind")
-        blank = X.strip(F.col("_shape")) == ""
+        scored = kinds.join(files.written(told, "scored"), "kind")
+        blank = F.col("made._blank")
         ok = lambda c: F.when(~blank, c)
         percent = lambda p: F.round(F.array_max(p) * 100, 2)
         category, priority = self.category.label("_category"), self.priority.label("_priority")
@@ -326,8 +319,8 @@ class Predictor:
             "confidence": F.when(blank, 0.0).otherwise(percent("_category")),
             "error": F.when(blank, EMPTY),
         }
-        records = files.written(scored.select("_shape", F.struct(*[v.alias(k) for k, v in record.items()]).alias("_record")), "records")
-        found = rows.withColumn("_shape", X.shape(F.col("ticket_text"))).join(records, "_shape")
+        records = files.written(scored.select(F.col("kind").alias("_kind"), F.struct(*[v.alias(k) for k, v in record.items()]).alias("_record")), "records")
+        found = rows.withColumn("_shape", X.shape(F.col("ticket_text"))).join(kind_of.withColumnRenamed("kind", "_kind"), "_shape").join(records, "_kind")
         return found.select(*[c for c in rows.columns if c not in record], *[F.col("_record")[k].alias(k) for k in record])
 
 
